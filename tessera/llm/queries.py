@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import substring_dedup
+from tessera.llm import packing, substring_dedup, token_counts
+from tessera.llm.tokens import default_vocabulary
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +21,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, read(spark, sf_dir, "documents"), default_vocabulary(), capacity=1024, end_id=2)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_document_tokens(spark, read(spark, sf_dir, "documents"), default_vocabulary(), end_id=50256)
+    return out.select("doc_id", "n_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_token_counts": op6_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
