@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, substring_dedup, token_counts
+from tessera.llm import decontaminate, packing, simhash, substring_dedup, token_counts, topk_search
 from tessera.llm.tokens import default_vocabulary
 
 
@@ -25,15 +25,32 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read(spark, sf_dir, "documents"), default_vocabulary(), capacity=1024, end_id=2)
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(spark, read(spark, sf_dir, "documents"), distance=3, shingle=3)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_document_tokens(spark, read(spark, sf_dir, "documents"), default_vocabulary(), end_id=50256)
     return out.select("doc_id", "n_tokens")
 
 
+def op7_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.usable(read(spark, sf_dir, "embeddings"), scale=256.0)
+    return topk_search.search(spark, vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_exact_topk_search": op7_exact_topk_search,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
@@ -60,3 +77,38 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
        sha256(coalesce(kept.k, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
+
+ORACLES["op7_exact_topk_search"] = """
+WITH u AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+ORACLES["op8_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id AS id, regexp_extract_all(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), '[^ ]+') AS ws FROM documents
+), b AS (
+  SELECT item_id AS id, regexp_extract_all(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), '[^ ]+') AS ws FROM benchmark
+), ds AS (
+  SELECT DISTINCT id, array_to_string(list_slice(ws, i, i + 4), ' ') AS k
+  FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)
+), bs AS (
+  SELECT DISTINCT id, array_to_string(list_slice(ws, i, i + 4), ' ') AS k
+  FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM b WHERE len(ws) > 0)
+), m AS (
+  SELECT id, count(*) AS m FROM bs GROUP BY id
+), p AS (
+  SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS shared FROM ds JOIN bs USING (k) GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(shared AS BIGINT) AS shared, CAST(m AS BIGINT) AS shingles,
+       CAST(shared AS DOUBLE) / CAST(m AS DOUBLE) AS containment
+FROM p JOIN m ON p.item_id = m.id WHERE shared >= 0.8 * m - 1e-9
+"""
