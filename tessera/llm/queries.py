@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, simhash, substring_dedup, token_counts, topk_search
+from tessera.llm import decontaminate, language_id, packing, quality, simhash, substring_dedup, token_counts, topk_search
 from tessera.llm.tokens import default_vocabulary
 
 
@@ -25,6 +25,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read(spark, sf_dir, "documents"), default_vocabulary(), capacity=1024, end_id=2)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = language_id.fold("doc_id", 4) == 2
+    model = language_id.train(spark, docs.filter(~held_out))
+    return language_id.predict(spark, docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(spark, read(spark, sf_dir, "documents"), distance=3, shingle=3)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -44,13 +51,22 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained_items(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    held_out = language_id.fold("doc_id", 5) == 0
+    out = quality.classify(spark, read(spark, sf_dir, "documents"), labels, learn=~held_out)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_topk_search": op7_exact_topk_search,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
