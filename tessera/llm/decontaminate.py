@@ -63,7 +63,8 @@ class Sketches:
         self.need = np.array([max(1, math.ceil(threshold * m - 1e-9)) for m in self.size.tolist()], np.int64)
         within = np.arange(len(own)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         sketch = within < (self.size - self.need + 1)[own]
-        self.ids = np.array(ids, np.int64)
+        self.ids = np.array([i or 0 for i in ids], np.int64)
+        self.unnamed = np.array([i is None for i in ids], bool)
         self.key, self.item = h1[sketch], own[sketch]
         by = np.argsort(self.key, kind="stable")
         self.key, self.item = self.key[by], self.item[by]
@@ -99,21 +100,18 @@ class Sketches:
 FOUND = "doc_id long, item_id long, shared long, shingles long, containment double"
 
 
-def _contained(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: float) -> DataFrame:
-    sketches = docs.sparkSession.sparkContext.broadcast(Sketches([i for i, _ in items], [t for _, t in items], n, threshold))
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items, normalised, in lists of about ``BLOCK_BYTES`` of text."""
+    test = items.select(F.col("item_id").cast("long").alias("item_id"), _plain().alias("text")).filter("text rlike '[^ ]'")
+    size = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for b in range(blocks):
+        rows = test.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # a bounded block
+        yield [(r["item_id"], r["text"]) for r in rows]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sketches.value
-        for batch in batches:
-            for part, data, bounds in chunks(batch):
-                doc, item, shared = s.find(words(data, bounds), n)
-                size = s.size[item]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(s.ids[item]), pa.array(shared, pa.int64()), pa.array(size, pa.int64()), pa.array(shared / np.maximum(size, 1))],
-                    names=["doc_id", "item_id", "shared", "shingles", "containment"],
-                )
 
-    return docs.mapInArrow(run, FOUND)
+def _sketches(spark: SparkSession, items: list[tuple[int, str]], n: int, threshold: float):
+    return spark.sparkContext.broadcast(Sketches([i for i, _ in items], [t for _, t in items], n, threshold))
 
 
 def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -122,23 +120,52 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, n: i
     docs: doc_id, text; items: item_id, text.  Case and punctuation do not count.
     Items of fewer than n words are one shingle; items and documents without
     words (null, blank) match nothing.  Items with a null item_id take part.
-    Rows that repeat an id are searched each on their own; equal results of them
-    are given once.  Returns doc_id, item_id, shared and all distinct shingles of
-    the item, containment.
+    Rows that repeat an id are searched each on their own.  Returns doc_id,
+    item_id, shared and all distinct shingles of the item, containment.
     """
     plain = documents(docs).select("doc_id", _plain().alias("text"))
-    test = items.select(F.col("item_id").cast("long").alias("item_id"), _plain().alias("text")).filter("text rlike '[^ ]'")
-    size = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
+
+    def scan(sketches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = sketches.value
+            for batch in batches:
+                for part, data, bounds in chunks(batch):
+                    doc, item, shared = s.find(words(data, bounds), n)
+                    size = s.size[item]
+                    ids = pa.array(s.ids[item], mask=s.unnamed[item])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(pa.array(doc, pa.int64())), ids, pa.array(shared, pa.int64()), pa.array(size, pa.int64()), pa.array(shared / np.maximum(size, 1))],
+                        names=["doc_id", "item_id", "shared", "shingles", "containment"],
+                    )
+
+        return run
+
     out = None
-    for b in range(blocks):
-        rows = test.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # a bounded block
-        found = _contained(plain, [(r["item_id"], r["text"]) for r in rows], n, threshold)
+    for block in _blocks(items):
+        found = plain.mapInArrow(scan(_sketches(spark, block, n, threshold)), FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs without the documents that contain a test item; null doc_ids stay."""
-    found = contained_items(spark, docs, items, n, threshold).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs.doc_id == found["_found"], "left_anti")
+    """docs, with all their columns, without those that contain a test item.
+
+    Documents are dropped where they are scanned: nothing is shuffled.
+    """
+    named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = f"c{docs.columns.index('text')}"
+
+    def scan(sketches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = sketches.value
+            for batch in batches:
+                for part, data, bounds in chunks(batch, column="_plain"):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[s.find(words(data, bounds), n)[0]] = False
+                    yield part.filter(pa.array(keep)).drop_columns("_plain")
+
+        return run
+
+    for block in _blocks(items):
+        named = named.withColumn("_plain", _plain(text)).mapInArrow(scan(_sketches(spark, block, n, threshold)), named.schema)
+    return named.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

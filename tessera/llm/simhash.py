@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import chunks, documents, flat, table, words
 
@@ -44,14 +45,16 @@ def _fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, *more) -> DataFrame:
     """doc_id and a 64-bit SimHash (as a signed long) of each whole text.
 
     A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D;
     shingles of ``shingle`` words, repeats included, are joined by one space and
     hashed with XXH64 (seed 42).  Fewer words: the whole sequence is the only
-    shingle.  No words (null or blank text): fingerprint zero.
+    shingle.  No words (null or blank text): fingerprint zero.  more: further
+    columns, which follow.
     """
+    given = documents(docs, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
@@ -75,9 +78,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                         k = min(shingle, hi - lo)
                         begin, end = to[lo : hi - k + 1].tolist(), (to[lo + k - 1 : hi] + size[lo + k - 1 : hi]).tolist()
                         out[i] = _fingerprint(np.array([h(raw[a:b], 42) for a, b in zip(begin, end, strict=True)], np.uint64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+                columns = [part.column("doc_id"), pa.array(out.view(np.int64)), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *part.schema.names[2:]])
 
-    return documents(docs).mapInArrow(run, "doc_id long, fp long")
+    doc_id, _, *rest = given.schema.fields
+    return given.mapInArrow(run, T.StructType([doc_id, T.StructField("fp", T.LongType()), *rest]))
 
 
 def _syndrome(half: np.ndarray) -> np.ndarray:
@@ -310,10 +315,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = 3, shi
     fingerprint zero.  A null doc_id links like any other and never names a
     component unless it has no other member.  Repeated rows stay.
     """
-    made = table(spark, fingerprints(docs, shingle), "fingerprints")
+    return _grouped(spark, table(spark, fingerprints(docs, shingle), "fingerprints"), distance).select("doc_id", "fp", "component_id")
+
+
+def _grouped(spark: SparkSession, made: DataFrame, distance: int) -> DataFrame:
+    """made (doc_id, fp, ...) with component_id and root, a fingerprint of the component."""
     least = table(spark, made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     root = components(spark, links(spark, least.select("fp"), distance))
     placed = least.join(root, least.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     name = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(name, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return made.join(named, made.fp == named["_fp"]).select("doc_id", "fp", "component_id")
+    named = placed.join(name, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return made.join(named, made.fp == named["_fp"]).drop("_fp")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
+    """docs, with all their columns, with one row of each component: that of the
+    smallest doc_id (nulls last; of rows that share it, the smallest text hash).
+    """
+    of_text = F.xxhash64(F.lit(1), "text").alias("_text_hash")
+    made = table(spark, fingerprints(docs, shingle, of_text), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text_hash").alias("h"))
+    kept = _grouped(spark, made, distance).groupBy("root").agg(F.min(first).alias("k"), F.count("*").alias("n")).select("k.id", "k.h")
+    kept = table(spark, kept, "kept")
+    out = docs.withColumn("_text_hash", of_text).join(kept, docs.doc_id.eqNullSafe(kept.id) & (F.col("_text_hash") == kept.h), "left_semi")
+    again = made.groupBy("doc_id", "_text_hash").count().filter("count > 1").limit(1).count()
+    if again:  # rows that repeat both id and text
+        out = out.dropDuplicates(["doc_id", "_text_hash"])
+    return out.drop("_text_hash")
