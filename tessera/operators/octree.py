@@ -33,23 +33,29 @@ def root_box(items: DataFrame) -> DataFrame:
     return items.agg(F.struct(*g.union_of(F.col("box"))).alias("root"))
 
 
+def steps(depth: int, loose: float) -> list[float]:
+    """By level, how far a child's centre lies from its parent's, in root sides."""
+    return [0.25 * (loose / 2) ** k for k in range(depth)]
+
+
 def path(center: dict[str, Column], root: Column, depth: int, loose: float) -> Column:
-    """The digits of an item's way down ``depth`` levels, as a string."""
-    start = F.struct(*[g.center(root, a).alias(f"c{a}") for a in g.AXES], *[g.extent(root, a).alias(f"s{a}") for a in g.AXES], F.lit("").alias("path"))
+    """The digits of an item's way down ``depth`` levels, as a string.
+
+    Each axis goes its own way: the distance from the node's centre gives one bit
+    and loses the step to the child's centre.
+    """
+    start = F.struct(*[(center[a] - g.center(root, a)).alias(a) for a in g.AXES], F.lit("").alias("path"))
 
-    def down(s: Column, _: Column) -> Column:
-        high = {a: center[a] >= s[f"c{a}"] for a in g.AXES}
-        digit = high["x"].cast("int") + high["y"].cast("int") * 2 + high["z"].cast("int") * 4
-        fields = []
-        for a in g.AXES:
-            quarter = s[f"s{a}"] * F.lit(0.25)
-            mid = s[f"c{a}"] + F.when(high[a], quarter).otherwise(-quarter)
-            half = quarter * F.lit(float(loose))
-            # the box's sides are rounded as its corners are, so that deep levels agree with boxes
-            fields += [(((mid - half) + (mid + half)) * F.lit(0.5)).alias(f"c{a}"), ((mid + half) - (mid - half)).alias(f"s{a}")]
-        return F.struct(*fields[0::2], *fields[1::2], F.concat(s["path"], digit.cast("string")).alias("path"))
+    def down(s: Column, step: Column) -> Column:
+        rest, digit = [], None
+        for i, a in enumerate(g.AXES):
+            high, q = s[a] >= 0, g.extent(root, a) * step
+            rest.append(F.when(high, s[a] - q).otherwise(s[a] + q).alias(a))
+            bit = F.when(high, 1 << i).otherwise(0)
+            digit = bit if digit is None else digit + bit
+        return F.struct(*rest, F.concat(s["path"], digit.cast("string")).alias("path"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, down)["path"]
+    return F.aggregate(F.array(*[F.lit(x) for x in steps(depth, loose)]), start, down)["path"]
 
 
 def with_paths(items: DataFrame, rules: Rules) -> DataFrame:
@@ -59,16 +65,12 @@ def with_paths(items: DataFrame, rules: Rules) -> DataFrame:
     return items.crossJoin(F.broadcast(root)).withColumn("path", path(center, F.col("root"), rules.max_depth, rules.loose))
 
 
-def _side_factor(rules: Rules) -> float:
-    return 0.5 * rules.loose
-
-
 def prefix_counts(paths: DataFrame, rules: Rules) -> DataFrame:
     """(path, depth, n_items, tri_sum, first_id, stop) of all prefixes of all paths."""
     whole = paths.groupBy("path").agg(F.count("*").alias("n"), F.sum("triangles").alias("t"), F.min("id").alias("i"), F.first(g.max_side(F.col("root"))).alias("side"))
     each = whole.select(F.explode(F.sequence(F.lit(0), F.lit(rules.max_depth))).alias("depth"), "path", "n", "t", "i", "side")
     counts = each.groupBy(F.substring("path", 1, F.col("depth")).alias("path"), "depth").agg(F.sum("n").alias("n_items"), F.sum("t").cast("long").alias("tri_sum"), F.min("i").alias("first_id"), F.first("side").alias("side"))
-    small = F.col("side") * F.pow(F.lit(_side_factor(rules)), F.col("depth")) <= F.greatest(F.lit(1e-6), F.lit(rules.min_side))
+    small = F.col("side") * F.pow(F.lit(rules.loose / 2), F.col("depth")) <= F.greatest(F.lit(1e-6), F.lit(rules.min_side))
     stop = (F.col("depth") >= rules.max_depth) | (F.col("n_items") <= rules.max_items) | (F.col("tri_sum") <= rules.max_triangles) | small
     return counts.withColumn("stop", stop).drop("side")
 
@@ -104,15 +106,18 @@ def with_tile_ids(tree: DataFrame) -> DataFrame:
     return part.join(F.broadcast(offset), "_top").withColumn("tile_id", (F.col("_offset") + F.row_number().over(within) - 1).cast("long")).drop("_top", "_offset")
 
 
-def node_box(root: Column, node_path: Column, loose: float) -> Column:
-    """The box of a node, folded down its path from the root's."""
-    start = F.struct(*[root[f"{a}{e}"].alias(f"{a}{e}") for e in ("min", "max") for a in g.AXES])
-
-    def down(s: Column, digit: Column) -> Column:
-        return g.child(s, digit, loose)
-
+def node_box(root: Column, node_path: Column, loose: float, depth: int = 20) -> Column:
+    """The box of a node: its centre along the path, and the root's sides shrunk."""
     digits = F.transform(F.filter(F.split(node_path, ""), lambda c: c != ""), lambda c: c.cast("int"))
-    return F.aggregate(digits, start, down)
+    far = F.slice(F.array(*[F.lit(x) for x in steps(depth, loose)]), F.lit(1), F.length(node_path))
+    way = F.zip_with(digits, far, lambda d, f: F.struct(d.alias("d"), f.alias("f")))
+    sides = {}
+    for i, a in enumerate(g.AXES):
+        step = g.extent(root, a)
+        mid = F.aggregate(way, g.center(root, a), lambda c, w, i=i, step=step: F.when(w["d"].bitwiseAND(F.lit(1 << i)) != 0, c + step * w["f"]).otherwise(c - step * w["f"]))
+        half = step * F.pow(F.lit(loose / 2), F.length(node_path)) * 0.5
+        sides[f"{a}min"], sides[f"{a}max"] = mid - half, mid + half
+    return g.box(**sides)
 
 
 def subtree(tree_members: DataFrame, prefix: str) -> DataFrame:

@@ -79,4 +79,4 @@ FROM part
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RECORDS.replace("FROM part", "FROM {part}").replace("\\", "\\\\"), part=read(spark, sf_dir, "part"))
+    return spark.sql(RECORDS.replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part"))
