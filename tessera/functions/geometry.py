@@ -79,12 +79,20 @@ def inside(outer: Column, inner: Column) -> Column:
 
 
 def only_child(parent: Column, item: Column, loose: float) -> Column:
-    """The one loose octant that contains ``item``; -1 if none or several do."""
-    hits = [inside(child(parent, F.lit(i), loose), item).cast("int") for i in range(8)]
-    total, which = hits[0], hits[0] * 0
-    for i, h in enumerate(hits[1:], 1):
-        total, which = total + h, which + h * i
-    return F.when(total == 1, which).otherwise(-1)
+    """The one loose octant that contains ``item``; -1 if none or several do.
+
+    An octant contains a box iff it does on each axis, so the axes are tested
+    apart: on each, exactly one of the two sides must hold the box.
+    """
+    index, one = None, F.lit(True)
+    for i, a in enumerate(AXES):
+        quarter = extent(parent, a) * F.lit(0.25)
+        half = quarter * F.lit(float(loose))
+        holds = [(item[f"{a}min"] >= mid - half) & (item[f"{a}max"] <= mid + half) for mid in (center(parent, a) - quarter, center(parent, a) + quarter)]
+        one = one & (holds[0] != holds[1])
+        bit = F.when(holds[1], 1 << i).otherwise(0)
+        index = bit if index is None else index + bit
+    return F.when(one, index).otherwise(-1)
 
 
 def union_of(b: Column) -> list[Column]:
@@ -100,8 +108,14 @@ def _m(m: Column, row: int, col: int) -> Column:
     return F.element_at(m, 4 * row + col + 1)
 
 
+def once(make, *values: Column) -> Column:
+    """make(values) with each value computed once, however often it is used."""
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(bound), lambda s: make(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def multiply(a: Column, b: Column) -> Column:
-    """a times b, both row by row."""
+    """a times b, both row by row (of columns; bind expressions with ``once``)."""
     cells = []
     for r in range(4):
         for c in range(4):
@@ -116,7 +130,7 @@ def transpose(m: Column) -> Column:
 
 def multiply_by_columns(a: Column, b: Column) -> Column:
     """a times b, both column by column."""
-    return multiply(b, a)
+    return once(multiply, b, a)
 
 
 def identity() -> Column:
@@ -151,7 +165,9 @@ def local_matrix(matrix: Column, t: Column, r: Column, s: Column) -> Column:
     def part(v: Column, i: int, default: float) -> Column:
         return F.coalesce(F.try_element_at(v, F.lit(i)), F.lit(default))
 
-    built = multiply(multiply(translation(*(part(t, i, 0.0) for i in (1, 2, 3))), rotation(*(part(r, i, d) for i, d in ((1, 0.0), (2, 0.0), (3, 0.0), (4, 1.0))))), scaling(*(part(s, i, 1.0) for i in (1, 2, 3))))
+    moved = translation(*(part(t, i, 0.0) for i in (1, 2, 3)))
+    turned = rotation(*(part(r, i, d) for i, d in ((1, 0.0), (2, 0.0), (3, 0.0), (4, 1.0))))
+    built = once(multiply, once(multiply, moved, turned), scaling(*(part(s, i, 1.0) for i in (1, 2, 3))))
     return F.when(F.size(matrix) == 16, matrix).otherwise(built)
 
 

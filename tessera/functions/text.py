@@ -28,10 +28,9 @@ def entity_id(s: Column) -> Column:
 
 
 def kind(s: Column) -> Column:
-    out = F.when(F.coalesce(entity_id(s).isNull(), F.lit(True)), "NON_ENTITY")
-    for k in KINDS:
-        out = out.when(s.rlike(rf"^#\d+\s*=\s*{k}\s*\("), k)
-    return out.otherwise("UNKNOWN")
+    """NON_ENTITY, one of KINDS, or UNKNOWN."""
+    name = F.regexp_extract(s, r"^#\d+\s*=\s*([A-Z][A-Z0-9_]*)\s*\(", 1)
+    return F.when(F.coalesce(entity_id(s).isNull(), F.lit(True)), "NON_ENTITY").when(name.isin(*KINDS), name).otherwise("UNKNOWN")
 
 
 def entity_types(s: Column) -> Column:

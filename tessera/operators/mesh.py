@@ -242,7 +242,9 @@ def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: flo
         prim = key[0].as_py()
         return pa.table({"prim_id": pa.array([prim] * len(out), pa.int64()), "tidx": pa.array(range(len(out)), pa.int64()), **{c: pa.array(out[:, i], pa.int64()) for i, c in enumerate(CORNERS)}})
 
-    return triangles.groupBy("prim_id").cogroup(vertices.groupBy("prim_id")).applyInArrow(run, "prim_id long, tidx long, a long, b long, c long")
+    # fresh columns, so that both sides may come from the same table
+    apart = vertices.select(*[F.col(c).alias(c) for c in ("prim_id", "vidx", *g.AXES)])
+    return triangles.groupBy("prim_id").cogroup(apart.groupBy("prim_id")).applyInArrow(run, "prim_id long, tidx long, a long, b long, c long")
 
 
 def bake(instances: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.storage import written
 
 
 @dataclass(frozen=True)
@@ -76,11 +77,15 @@ def prefix_counts(paths: DataFrame, rules: Rules) -> DataFrame:
 
 
 def nodes(items: DataFrame, rules: Rules) -> DataFrame:
-    """path, depth, n_items, tri_sum, first_id, is_leaf of every node."""
+    """path, depth, n_items, tri_sum, first_id, is_leaf of every node.
+
+    Nodes are few (a share of items / max_items) and are used many times, so they
+    are written to the shared folder once.
+    """
     counts = prefix_counts(with_paths(items, rules), rules)
     going = counts.filter(~F.col("stop")).select(F.col("path").alias("_parent"), F.col("depth").alias("_depth"))
     below = counts.filter("depth > 0").join(going, (F.substring("path", 1, F.col("depth") - 1) == F.col("_parent")) & (F.col("depth") - 1 == F.col("_depth")), "left_semi")
-    return counts.filter("depth = 0").unionByName(below).withColumnRenamed("stop", "is_leaf")
+    return written(counts.filter("depth = 0").unionByName(below).withColumnRenamed("stop", "is_leaf"), "nodes")
 
 
 def membership(items: DataFrame, tree: DataFrame, rules: Rules) -> DataFrame:
@@ -106,6 +111,13 @@ def with_tile_ids(tree: DataFrame) -> DataFrame:
     return part.join(F.broadcast(offset), "_top").withColumn("tile_id", (F.col("_offset") + F.row_number().over(within) - 1).cast("long")).drop("_top", "_offset")
 
 
+def _toward(bit: int, side: Column):
+    def add(c: Column, w: Column) -> Column:
+        return F.when(w["d"].bitwiseAND(F.lit(bit)) != 0, c + side * w["f"]).otherwise(c - side * w["f"])
+
+    return add
+
+
 def node_box(root: Column, node_path: Column, loose: float, depth: int = 20) -> Column:
     """The box of a node: its centre along the path, and the root's sides shrunk."""
     digits = F.transform(F.filter(F.split(node_path, ""), lambda c: c != ""), lambda c: c.cast("int"))
@@ -114,7 +126,7 @@ def node_box(root: Column, node_path: Column, loose: float, depth: int = 20) ->
     sides = {}
     for i, a in enumerate(g.AXES):
         step = g.extent(root, a)
-        mid = F.aggregate(way, g.center(root, a), lambda c, w, i=i, step=step: F.when(w["d"].bitwiseAND(F.lit(1 << i)) != 0, c + step * w["f"]).otherwise(c - step * w["f"]))
+        mid = F.aggregate(way, g.center(root, a), _toward(1 << i, step))
         half = step * F.pow(F.lit(loose / 2), F.length(node_path)) * 0.5
         sides[f"{a}min"], sides[f"{a}max"] = mid - half, mid + half
     return g.box(**sides)

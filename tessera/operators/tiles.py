@@ -23,7 +23,7 @@ def node_table(items: DataFrame, rules: octree.Rules, sse: float = 80.0) -> Data
     t = t.withColumn("box", octree.node_box(F.col("root"), F.col("path"), rules.loose, rules.max_depth))
     t = t.withColumn("diagonal", g.diagonal(F.col("box"))).withColumn("root_diagonal", g.diagonal(F.col("root")))
     settings = lod.tuning(F.col("diagonal"), F.col("root_diagonal"), F.col("depth"), F.col("levels"), F.col("is_leaf"), F.lit(float(sse)))
-    return t.withColumns(settings).drop("root", "levels")
+    return written(t.withColumns(settings).drop("root", "levels"), "tiles")
 
 
 def with_parents(tiles: DataFrame, *columns: str) -> DataFrame:

@@ -74,7 +74,7 @@ SELECT p_partkey AS rec_no, CASE p_partkey % 12
   WHEN 9 THEN concat('#', p_partkey, '=TESSELLATED_SOLID('''',(#', p_partkey - 7, CASE WHEN p_size % 3 = 0 THEN '' ELSE concat(',#', p_partkey - 6) END, '));')
   WHEN 10 THEN concat('#', p_partkey, '=( REPRESENTATION_RELATIONSHIP($,$,#1,#2)  SHAPE_REPRESENTATION_RELATIONSHIP() );')
   ELSE concat('/* ', p_partkey, ' COLOUR_RGB */') END AS text
-FROM part
+FROM (SELECT p_partkey + 24 AS p_partkey, p_size FROM part) AS p
 """
 
 
