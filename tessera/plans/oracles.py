@@ -117,8 +117,8 @@ def _middle(axis: str, bit: int) -> str:
     return f"r{axis}min * {n(0.5)} + r{axis}max * {n(0.5)} + coalesce(list_sum(list_transform(range(1, len(path) + 1), lambda k: CASE WHEN (CAST(path[k] AS INTEGER) & {bit}) <> 0 THEN 1 ELSE -1 END * (r{axis}max - r{axis}min) * {_FAR}[k])), 0)"
 
 
-q("tileset_rows", f"""SELECT path, tile_id, 'tile_' || tile_id || '.b3dm' AS uri, round({_middle('x', 1)}, 3) AS b1, round(-({_middle('z', 4)}), 3) AS b2, round({_middle('y', 2)}, 3) AS b3,
-  round((rxmax - rxmin) * pow({n(0.9)}, len(path)) * {n(0.5)}, 3) AS b4, round(CASE WHEN is_leaf THEN 0 ELSE own_error END, 6) AS error
+q("tileset_rows", f"""SELECT path, tile_id, 'tile_' || tile_id || '.b3dm' AS uri, round({_middle('x', 1)} + {n(0.00012345)}, 3) AS b1, round(-({_middle('z', 4)}) + {n(0.00012345)}, 3) AS b2, round({_middle('y', 2)} + {n(0.00012345)}, 3) AS b3,
+  round((rxmax - rxmin) * pow({n(0.9)}, len(path)) * {n(0.5)} + {n(0.00012345)}, 3) AS b4, round(CASE WHEN is_leaf THEN 0 ELSE own_error END, 6) AS error
 FROM (SELECT *, row_number() OVER (ORDER BY path || '8') - 1 AS tile_id FROM settings), root""", _K)
 _BOTTOM = "b6 AS (SELECT path, depth, tri_sum AS content FROM nodes WHERE depth = 6)"
 for _d in range(5, -1, -1):
