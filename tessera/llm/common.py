@@ -42,8 +42,19 @@ def table(spark: SparkSession, df: DataFrame, name: str, **options) -> DataFrame
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size; for file scans the files' size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the input's size; for file scans the files' size.
+
+    Some inputs (rows from the driver, joins) have no useful estimate; these are
+    measured.
+    """
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if guess <= 1 << 50:
+        return guess
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    return int(df.agg(F.sum(size)).first()[0] or 0)
 
 
 def bucket_count(spark: SparkSession, df: DataFrame, bytes_each: int = BUCKET_BYTES) -> int:
