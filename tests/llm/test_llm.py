@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language_id, packing, pii, quality, simhash, substring_dedup, token_counts, topk_search
+from tessera.llm import chat, decontaminate, language_id, near_copies, packing, pii, quality, simhash, substring_dedup, token_counts, topk_search
 from tessera.llm.common import chunks, flat, words
 from tessera.llm.queries import ORACLES, QUERIES
 from tessera.llm.tokens import default_vocabulary, encoder
@@ -363,6 +363,100 @@ def test_long_chain_is_one_component(spark):
     assert {r.root for r in simhash.components(spark, edges).collect()} == {0}
 
 
+def shingle_set(text):
+    w = re.findall(WORD, (text or "").encode())
+    w = [x.lower() for x in w]  # bytes: A-Z only
+    return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_groups(rows, threshold=0.8):
+    """(set of shingles -> a name of its component) of rows (id, text)."""
+    sets = list({shingle_set(x) for _, x in rows})
+    name = {s: i for i, s in enumerate(sets)}
+    changed = True
+    pairs = [(a, b) for i, a in enumerate(sets) for b in sets[:i] if a and b and len(a & b) >= threshold * len(a | b) - 1e-9]
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(name[a], name[b])
+            changed |= name[a] != name[b]
+            name[a] = name[b] = low
+    return name
+
+
+def near_copy_rows():
+    """Copies, and near copies by one changed word of 80 to 300, in mixed case."""
+    r = random.Random(8)
+    rows = awkward()
+    for g in range(12):
+        base = [f"t{g}x{r.randrange(900)}" for _ in range(r.randrange(80, 300))]
+        for k in range(6):
+            w = list(base)
+            if k:
+                w[r.randrange(len(w))] = f"new{k}"
+            rows.append((2000 + 10 * g + k, (" ".join(w)).upper() if k == 3 else " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("rows_per_anchor", [20_000, 3])
+def test_near_copies(spark, rows_per_anchor, monkeypatch):
+    monkeypatch.setattr(simhash, "ANCHOR_ROWS", rows_per_anchor)
+    rows = near_copy_rows()
+    group = brute_groups(rows)
+    least = {}
+    for i, x in rows:
+        if i is not None:
+            least[group[shingle_set(x)]] = min(least.get(group[shingle_set(x)], i), i)
+    got = near_copies.near_copies(spark, frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted(((i, least[group[shingle_set(x)]]) for i, x in rows), key=repr)
+    assert near_copies.near_copies(spark, empty(spark)).count() == 0
+
+
+def test_drop_near_copies(spark):
+    rows = near_copy_rows()
+    group = brute_groups(rows)
+    docs = frame(spark, rows)
+    kept = near_copies.drop_near_copies(spark, docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(group[shingle_set(r.text)] for r in got) == sorted(set(group.values()))
+    least = {}
+    for i, x in rows:
+        if i is not None:
+            least[group[shingle_set(x)]] = min(least.get(group[shingle_set(x)], i), i)
+    assert sorted(r.doc_id for r in got) == sorted(least.values())
+    assert near_copies.drop_near_copies(spark, empty(spark)).count() == 0
+
+
+def test_near_copies_meet():
+    """Of pairs at the similarity 0.8 most, and at 0.9 nearly all, share an anchor."""
+    r = np.random.default_rng(6)
+    for similarity, least in ((0.8, 0.86), (0.9, 0.98)):
+        cut = int(400 * 2 * similarity / (1 + similarity))
+        met = 0
+        for _ in range(300):
+            a = r.integers(0, 1 << 63, 800, dtype=np.uint64)
+            h = np.concatenate([a[:400], a[:cut], a[400 : 800 - cut]])
+            f = near_copies._bits(h, np.repeat([0, 1], 400), 2).view("<i8")
+            x = near_copies.anchors(f[:, 0].copy(), f[:, 1].copy())
+            met += (x[:, 0] == x[:, 1]).any()
+        assert met >= 300 * least
+
+
+def test_spanning_forest_is_least():
+    r = np.random.default_rng(9)
+    f0 = r.integers(0, 1 << 63, 40, dtype=np.uint64) & np.uint64(0xFFFF)
+    f1 = np.zeros(40, np.uint64)
+    u, v, d = near_copies.spanning_forest(f0, f1, far=5)
+    edges = sorted((int(a ^ b).bit_count(), i, j) for i, a in enumerate(f0.tolist()) for j, b in enumerate(f0.tolist()) if i < j)
+    root, total = list(range(40)), []
+    for gap, i, j in edges:
+        if gap <= 5 and root[i] != root[j]:
+            total.append(gap)
+            root = [root[i] if x == root[j] else x for x in root]
+    assert sorted(d.tolist()) == total and all(int(f0[a] ^ f0[b]).bit_count() == g for a, b, g in zip(u, v, d.tolist(), strict=True))
+
+
 # -- op 7 ----------------------------------------------------------------------------
 
 
@@ -497,11 +591,11 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    fp = {i: brute_fingerprint(x) for i, x in rows.items() if re.search(r"[^\W\d_]", x or "")}
-    root = brute_components(list(fp.values()))
+    known = [(i, x) for i, x in rows.items() if re.search(r"[^\W\d_]", x or "")]
+    group = brute_groups(known)
     first = {}
-    for i, f in fp.items():
-        first[root[f]] = min(first.get(root[f], i), i)
+    for i, x in known:
+        first[group[shingle_set(x)]] = min(first.get(group[shingle_set(x)], i), i)
 
     def grams(x):
         w = re.findall(r"[^\W_]+", (x or "").lower())
