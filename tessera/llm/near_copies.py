@@ -11,10 +11,13 @@ In simulations, pairs at similarity 0.8 whose difference is one passage meet at
 some anchor in 92 % of cases, at 0.85 in 98 %, at 0.9 in over 99 %; scattered
 changes are found more often.
 
-Fingerprints that meet are compared anchor by anchor.  Only a minimum spanning
-forest of an anchor's close pairs leaves the task, never all pairs; so a text's
-nearest partner there is always among its edges: at most ``BANDS`` edges a text, all
-of which are then verified on whole sets of shingles.
+Fingerprints that meet are compared anchor by anchor.  First a minimum spanning
+forest of an anchor's close pairs leaves the task and is verified on whole sets of
+shingles, which joins most copies.  A text's closest fingerprint need not be its
+copy, so all other close pairs whose texts are not joined yet follow: pairs that
+their sizes or the parities of their shingles rule out stay in the task, the
+others are verified, each text's closest first, eight times as many in every round,
+until no close pair is left that crosses two groups.
 
 Texts with equal sets of shingles are one node, so copies cost one row.  Anchors
 that too many rows visit are cut into parts, and each pair of parts is a group of
@@ -38,6 +41,11 @@ BANDS, CODE, FREE = 96, 15, 7
 #: Words of a shingle of the fingerprint, and of the sets that are verified.
 COARSE, SHINGLE = 3, 5
 THRESHOLD = 0.8
+#: Bits of a set's parities: a shingle flips one, so sets differ in at least as many
+#: shingles as their parities do in bits.
+PARITY = 512
+#: Rows of an anchor of which all pairs are given out at once.
+SMALL = 32
 #: Differing bits, of 128, beyond which a pair is not verified: expected at a
 #: similarity of 0.8 are 20, and 64 of unlike texts.
 FAR = 38
@@ -125,7 +133,7 @@ def sketches(docs: DataFrame, *more) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """key and the set of shingle hashes of each whole text."""
+    """key, the set of shingle hashes and its parities of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +142,20 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 h, own = _shingles(w, w.names(), SHINGLE)
                 at = np.append(0, np.cumsum(np.bincount(own, minlength=part.num_rows))).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(h, own, part.num_rows)), sets], names=["key", "shingles"])
+                parity = pa.array([x.tobytes() for x in _parities(h, own, part.num_rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(h, own, part.num_rows)), sets, parity], names=["key", "shingles", "parity"])
 
-    return documents(docs).mapInArrow(run, "key long, shingles array<long>")
+    return documents(docs).mapInArrow(run, "key long, shingles array<long>, parity binary")
+
+
+def _parities(h: np.ndarray, own: np.ndarray, n: int, width: int = 1 << 12) -> np.ndarray:
+    """Of each text, whether the shingles of each of ``PARITY`` classes are odd in number."""
+    out = np.zeros((n, PARITY // 8), np.uint8)
+    for lo in range(0, n, width):
+        a, b = np.searchsorted(own, (lo, min(lo + width, n)))
+        odd = np.bincount((own[a:b] - lo) * PARITY + (h[a:b] % np.uint64(PARITY)).astype(np.int64), minlength=min(width, n - lo) * PARITY) & 1
+        out[lo : lo + width] = np.packbits(odd.astype(np.uint8).reshape(-1, PARITY), axis=1)
+    return out
 
 
 def anchors(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
@@ -154,7 +173,7 @@ def anchors(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
 
 
 def _replicas(divided: dict[int, int]):
-    """Each node at each of its anchors; in divided anchors, in each cell of its part."""
+    """Each node (key, f0, f1, ...) at each of its anchors; in divided anchors, in each cell of its part."""
     known = np.array(sorted(divided), np.int64)
     parts = np.array([divided[k] for k in known.tolist()], np.int64)
 
@@ -172,7 +191,8 @@ def _replicas(divided: dict[int, int]):
                 k = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
                 mine = simhash._part(key.view(np.uint64), n)[again]
                 cell = np.minimum(mine, k) * n[again] + np.maximum(mine, k)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[again]), pa.array(cell), pa.array(key[again]), pa.array(f0[again]), pa.array(f1[again])], names=["anchor", "cell", "key", "f0", "f1"])
+                rest = [b.column(c).take(pa.array(again)) for c in b.schema.names[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[again]), pa.array(cell), pa.array(key[again]), pa.array(f0[again]), pa.array(f1[again]), *rest], names=["anchor", "cell", "key", "f0", "f1", *b.schema.names[3:]])
 
     return run
 
@@ -229,39 +249,136 @@ def _group_edges(anchor, cell, key, f0, f1) -> list[np.ndarray]:
     return [np.minimum(u, v), np.maximum(u, v), np.concatenate(d)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and cell -> spanning edges, whole groups at a time."""
-
-    def edges(rows):
-        u, v, d = _group_edges(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d)], names=["u", "v", "d"])
-
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by anchor and cell, some whole groups at a time."""
     held: list[list[np.ndarray]] = []
     for b in batches:
         if not b.num_rows:
             continue
-        held.append([np.array(b.column(c)) for c in ("anchor", "cell", "key", "f0", "f1")])
+        held.append(columns(b))
         last = held[-1][0][-1], held[-1][1][-1]
         if last != (held[0][0][0], held[0][1][0]):
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.flatnonzero((rows[0] != last[0]) | (rows[1] != last[1]))[-1]) + 1
             held = [[x[cut:] for x in rows]]
-            yield edges([x[:cut] for x in rows])
+            yield [x[:cut] for x in rows]
     if held:
-        yield edges([np.concatenate(x) for x in zip(*held, strict=True)])
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def candidates(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """Edges (u, v, d) over nodes (key, f0, f1), d being the differing bits."""
-    plain = nodes.mapInArrow(_replicas({}), _REPLICAS)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor and cell -> spanning edges."""
+    for rows in _whole_groups(batches, lambda b: [np.array(b.column(c)) for c in ("anchor", "cell", "key", "f0", "f1")]):
+        u, v, d = _group_edges(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d)], names=["u", "v", "d"])
+
+
+def _may_be_alike(size_a, size_b, parity_a, parity_b, threshold: float) -> np.ndarray:
+    """False only where sizes or parities prove that two sets are not similar enough."""
+    odd = np.bitwise_count(parity_a ^ parity_b).sum(axis=-1, dtype=np.int64)
+    fits = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-6
+    return fits & (odd <= (1 - threshold) / (1 + threshold) * (size_a + size_b) + 1e-6)
+
+
+def _crossing(threshold: float, most: int):
+    """Rows sorted by anchor and cell -> close pairs of different roots that may be
+    alike: each row's ``most`` closest; ``more`` if a row has further ones."""
+
+    def columns(b):
+        parity = np.frombuffer(b"".join(b.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        return [*(np.array(b.column(c)) for c in ("anchor", "cell", "key", "f0", "f1", "root", "size")), parity]
+
+    def batch(u, v, more):
+        pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(pair.shape[1], more))], names=["u", "v", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchor, cell, key, f0, f1, root, size, parity in _whole_groups(batches, columns):
+            f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+
+            def close(i, j, f0=f0, f1=f1, root=root, size=size, parity=parity):
+                """Which of the pairs are given out, and their distances."""
+                gap = np.bitwise_count(f0[i] ^ f0[j]).astype(np.int64) + np.bitwise_count(f1[i] ^ f1[j])
+                at = np.flatnonzero((gap <= FAR) & (root[i] != root[j]))
+                if len(at):
+                    a = i if np.isscalar(i) else i[at]
+                    at = at[_may_be_alike(size[a], size[j[at]], parity[a], parity[j[at]], threshold)]
+                return at, gap[at]
+
+            first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])))
+            n = np.diff(np.append(first, len(anchor)))
+            group = np.repeat(np.arange(len(first)), n)
+            few = np.flatnonzero(n[group] <= SMALL)
+            for shift in range(1, int(n[n <= SMALL].max()) if len(few) else 0):
+                at = np.flatnonzero(group[few[shift:]] == group[few[:-shift]])
+                i, j = few[at], few[at + shift]
+                k, _ = close(i, j)
+                if len(k):
+                    yield batch(key[i[k]], key[j[k]], False)
+            for lo, hi in zip(first[n > SMALL].tolist(), (first + n)[n > SMALL].tolist(), strict=True):
+                if (root[lo:hi] == root[lo]).all():
+                    continue
+                every = np.arange(lo, hi)
+                u, v, held, more = [], [], 0, False
+                for i in range(lo, hi):
+                    k, gap = close(i, every)
+                    if len(k) > most:
+                        k, more = k[np.argpartition(gap, most)[:most]], True
+                    if len(k):
+                        u.append(np.full(len(k), key[i]))
+                        v.append(key[every[k]])
+                        held += len(k)
+                    if held > 1 << 20 or (held and i == hi - 1):
+                        yield batch(np.concatenate(u), np.concatenate(v), more)
+                        u, v, held = [], [], 0
+
+    return run
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """nodes (key, f0, f1, ...) at their anchors, group by group in order."""
+    schema = ", ".join([_REPLICAS, *(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields[3:])])
+    plain = nodes.mapInArrow(_replicas({}), schema)
     rows = nodes.count()
     # at most 500 * BANDS anchors hold more than a 500th of the rows
     bound = max(simhash.ANCHOR_ROWS, rows // 500)
     crowded = plain.groupBy("anchor").count().filter(F.col("count") > bound).collect() if rows > bound else []
     divided = {r["anchor"]: -(-r["count"] // bound) for r in crowded}
-    dealt = nodes.mapInArrow(_replicas(divided), _REPLICAS) if divided else plain
-    dealt = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
-    return dealt.mapInArrow(_groups, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d"))
+    dealt = nodes.mapInArrow(_replicas(divided), schema) if divided else plain
+    return dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+
+
+def candidates(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """Edges (u, v, d) over nodes (key, f0, f1), d being the differing bits: of each
+    anchor a minimum spanning forest."""
+    return _dealt(nodes).mapInArrow(_groups, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d"))
+
+
+def joined(spark: SparkSession, nodes: DataFrame, edges: DataFrame, sets: DataFrame, threshold: float, most: int = 8) -> DataFrame:
+    """(key, root) of the nodes (key, f0, f1) that have a copy: components of all
+    close pairs that meet at an anchor and are similar enough.
+
+    edges: the anchors' spanning forests.  What they join is known first.  A close
+    pair of two components lies on a path of forest edges, one of which leaves its
+    component; so only components that a forest edge leaves are looked at further.
+    """
+    good = table(spark, verified(edges, sets, threshold), "verified")
+    tested = edges.select("u", "v")
+    signs = sets.select("key", F.size("shingles").cast("long").alias("size"), "parity")
+    while True:
+        root = table(spark, simhash.components(spark, good).withColumnRenamed("node", "key"), "roots")
+        ru, rv = (root.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
+        ends = edges.select("u", "v").join(ru, "u", "left").join(rv, "v", "left").select(F.coalesce("ru", "u").alias("a"), F.coalesce("rv", "v").alias("b")).filter("a <> b")
+        left = ends.select(F.col("a").alias("root")).union(ends.select("b")).distinct()
+        open_ = nodes.join(signs, "key").join(root, "key", "left").withColumn("root", F.coalesce("root", "key")).join(left, "root", "left_semi")
+        open_ = table(spark, open_.select("key", "f0", "f1", "root", "size", "parity"), "open")
+        pairs = _dealt(open_).mapInArrow(_crossing(threshold, most), "u long, v long, more boolean")
+        pairs = table(spark, pairs.groupBy("u", "v").agg(F.max("more").alias("more")), "pairs")
+        new = table(spark, verified(pairs.join(tested, ["u", "v"], "left_anti"), sets, threshold), "verified")
+        good, tested = good.union(new), tested.union(pairs.select("u", "v"))
+        if not pairs.agg(F.max("more")).first()[0]:
+            return simhash.components(spark, good).withColumnRenamed("node", "key") if new.limit(1).count() else root
+        most *= 8
 
 
 def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -293,7 +410,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> DataFram
     wanted = nodes.join(ends, "key", "left_semi").select("k.id", "k.h")
     texts = _only(docs.select("doc_id", "text", of_text), wanted)
     sets = table(spark, shingle_sets(texts).dropDuplicates(["key"]), "shingles")
-    root = simhash.components(spark, verified(edges, sets, threshold)).withColumnRenamed("node", "key")
+    root = joined(spark, nodes.select("key", "f0", "f1"), edges, sets, threshold)
     return made.select("doc_id", "key", _TEXT_HASH).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 

@@ -443,6 +443,59 @@ def test_near_copies_meet():
         assert met >= 300 * least
 
 
+def templated_rows(n=300, copies=100):
+    """Texts of one template, mostly at a similarity of 0.6 to 0.75, and copies at about 0.8 of some."""
+    r = random.Random(12)
+    base = [f"b{r.randrange(5000)}" for _ in range(200)]
+
+    def changed(w, name, length):
+        at = r.randrange(len(w) - length)
+        return [*w[:at], *(f"{name}x{r.randrange(5000)}" for _ in range(length)), *w[at + length :]]
+
+    made = [changed(base, f"o{i}p0", 18) for i in range(n)]
+    made += [changed(made[i], f"c{i}", 16) for i in range(copies)]
+    return [(i, " ".join(w)) for i, w in enumerate(made)]
+
+
+def test_near_copies_of_a_template(spark):
+    """Every similar pair that meets is joined, though its forest may link both to others."""
+    rows = templated_rows()
+    made = {r.doc_id: r for r in near_copies.sketches(frame(spark, rows)).collect()}
+    f0, f1 = (np.array([made[i][c] for i, _ in rows]) for c in ("f0", "f1"))
+    x, sets = near_copies.anchors(f0, f1), [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            gap = int(np.bitwise_count((f0[i] ^ f0[j]).view(np.uint64))) + int(np.bitwise_count((f1[i] ^ f1[j]).view(np.uint64)))
+            if gap <= near_copies.FAR and len(a & b) >= 0.8 * len(a | b) - 1e-9 and (x[:, i] == x[:, j]).any():
+                low, high = sorted((root[i], root[j]))
+                root = [low if y == high else y for y in root]
+    assert 30 < len(rows) - len(set(root))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark, frame(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == root
+
+
+def test_crossing_pairs_in_many_rounds(spark):
+    """The number of a text's pairs in the first round changes nothing."""
+    docs = frame(spark, templated_rows(60, 30))
+    nodes = near_copies.sketches(docs).select("key", "f0", "f1")
+    sets, edges = near_copies.shingle_sets(docs), near_copies.candidates(spark, nodes)
+    once, slow = ({(r.key, r.root) for r in near_copies.joined(spark, nodes, edges, sets, 0.8, most).collect()} for most in (1000, 1))
+    assert once == slow and len(once) >= 20
+
+
+def test_parities_rule_out_no_similar_pair():
+    r = np.random.default_rng(3)
+    for n in (1, 40, 400, 3000):
+        for similarity in (0.8, 0.85, 0.5):
+            cut = int(n * 2 * similarity / (1 + similarity))
+            a = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            h = np.concatenate([a[:n], a[:cut], a[n : 2 * n - cut]])
+            p = near_copies._parities(h, np.repeat([0, 1], n), 2).view(np.uint64)
+            alike = near_copies._may_be_alike(np.array([n]), np.array([n]), p[:1], p[1:], 0.8)[0]
+            assert alike or cut < 0.8 * (2 * n - cut)
+
+
 def test_spanning_forest_is_least():
     r = np.random.default_rng(9)
     f0 = r.integers(0, 1 << 63, 40, dtype=np.uint64) & np.uint64(0xFFFF)
