@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: A secret stands after one of these words and one of = and :.
+_NAMED = r"(?i:token|secret|password|passwd|api_key|apikey|access_key)[ \t]{0,3}[=:]"
+
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 #: kind -> pattern, in the order in which they are tried at a place.
 KINDS = {
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)[ \t]{0,3}[=:][ \t]{0,3}[\"']{0,1})[A-Za-z0-9+/_-]{16,128}" + _END,
+    "secret": r"(?<=" + _NAMED + r"[ \t]{0,3}[\"']{0,1})[A-Za-z0-9+/_-]{16,}" + _END,
     "email": r"[\p{L}\p{M}\p{N}._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END,
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{L}\p{N}])",
@@ -193,7 +196,7 @@ def _email(m: Column, key: str) -> Column:
 def _secret(m: Column, key: str) -> Column:
     """A secret of the same length, of hexadecimal digits."""
     h = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), m), 256)
-    return F.substr(F.concat(h, h), F.lit(1), F.length(m))
+    return F.substr(F.repeat(h, F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m))
 
 
 _WAYS = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -219,7 +222,7 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(text: Column, key: str) -> Column:
     """text with every validated match replaced; null stays null.
 
-    Texts without a digit or @ are not searched further.  A text that is one
+    Texts without a digit, an @ or a secret's name are not searched further.  A text that is one
     match, and matches next to each other, are handled like any other.
     """
     p = F.lit(_pattern())
@@ -227,7 +230,7 @@ def pseudonymise(text: Column, key: str) -> Column:
     new = F.concat(F.transform(found, lambda m: pseudonym(m, key)), F.array(F.lit("")))
     between = F.split(text, _pattern(), -1)
     joined = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, b))), "")
-    return F.when(text.rlike("[0-9@]"), joined).otherwise(text)
+    return F.when(text.rlike("[0-9@]") | text.rlike(_NAMED), joined).otherwise(text)
 
 
 def replace_personal_data(docs: DataFrame, key: str, column: str = "text") -> DataFrame:

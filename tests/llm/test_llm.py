@@ -286,6 +286,23 @@ def test_pii(spark):
     assert pii.replace_personal_data(empty(spark), "k").count() == 0
 
 
+def test_secrets_of_letters_and_of_any_length(spark):
+    r = random.Random(2)
+    long = "".join(r.choice("abcdef") for _ in range(300))
+    mixed = "-".join("".join(r.choice("abcdef01") for _ in range(45)) for _ in range(6))
+    values = ["correcthorsebatterystaple", "x" * 16, "ab" * 64, long, long * 300, mixed]
+    rows = [(i, f"the {name}{v}. end") for i, (v, name) in enumerate(zip(values, ["password=", "Token : ", "secret='", "api_key: ", "token=", "passwd = "], strict=True))]
+    rows += [(10, "password=tooshort"), (11, f"no name {long}")]
+    got = {x.doc_id: x.text for x in pii.replace_personal_data(frame(spark, rows), "k").collect()}
+    for i, v in enumerate(values):
+        start, end = rows[i][1].split(v)
+        new = got[i][len(start) : len(got[i]) - len(end)]
+        assert got[i].startswith(start) and got[i].endswith(end)
+        assert len(new) == len(v) and re.fullmatch("[0-9a-f]+", new) and new != v
+    assert got[5][-30:] != rows[5][1][-30:]
+    assert got[10] == rows[-2][1] and got[11] == rows[-1][1]
+
+
 def test_feistel_permutes(spark):
     p, q = 5, 7
     x = spark.range(p * q).select(pii.feistel(F.floor(F.col("id") / q), F.col("id") % q, F.lit(p).cast("long"), F.lit(q).cast("long"), "k", F.lit("t")).alias("s"))
