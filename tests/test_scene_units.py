@@ -12,6 +12,7 @@ from tessera.functions import text as t
 from tessera.operators import exchange_text as ex
 from tessera.operators import hierarchy, mesh, octree, quality, scene, tiles
 from tessera.operators.ids import dense_ids
+from tessera.plans import queries
 from tessera.sources import formats, glb
 from tessera.streaming import counts
 
@@ -106,6 +107,29 @@ def test_octree_equals_recursion(spark):
         tiles.tileset_json(rows, 1.0, most_nodes=3)
 
 
+def test_queries_divide_clusters_to_the_end(spark):
+    """The queries' rules are the production ones: 20 levels, 96 items, 30,000 triangles."""
+    rng = np.random.default_rng(4)
+    pts = np.concatenate([rng.random((400, 3)), 0.3 + rng.random((1500, 3)) * 0.01])
+    d = spark.createDataFrame([(i, *map(float, p), 400) for i, p in enumerate(pts)], "id long, x double, y double, z double, triangles long")
+    items = d.select("id", g.box("x", "y", "z", "x", "y", "z").alias("box"), "triangles")
+    got = {r.path: (r.n_items, r.is_leaf) for r in octree.nodes(items, queries.RULES).collect()}
+    low, high = pts.min(0), pts.max(0)
+    wanted = {}
+
+    def grow(path, ids, mid, side):
+        leaf = len(path) >= 20 or len(ids) <= 96 or 400 * len(ids) <= 30_000
+        wanted[path] = (len(ids), leaf)
+        for k in range(0 if leaf else 8):
+            sign = np.array([1 if k >> i & 1 else -1 for i in range(3)])
+            inside = ids[((pts[ids] >= mid) == (sign > 0)).all(axis=1)]
+            if len(inside):
+                grow(path + str(k), inside, mid + sign * side / 4, side * 0.9)
+
+    grow("", np.arange(len(pts)), (low + high) / 2, high - low)
+    assert max(map(len, wanted)) > 12 and got == wanted
+
+
 def test_empty_tree(spark):
     items = spark.createDataFrame([], "id long, box struct<xmin:double,ymin:double,zmin:double,xmax:double,ymax:double,zmax:double>, triangles long")
     assert octree.nodes(items, octree.Rules()).count() == 0
