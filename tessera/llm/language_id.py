@@ -154,11 +154,11 @@ def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without those in no known language (``und``): null text, or no letter.
 
     The model is learnt from the documents' own text and lang; without any lang
-    nothing is rejected.  All columns are kept as they are.
+    the same documents go.  All columns are kept as they are.
     """
     model = train(spark, docs)
     if model is None:
-        return docs
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.lower("text").alias("_lower"), F.col("text").rlike(r"\p{L}").alias("_letter"))
     judged = _judge(spark, plain, model).filter(F.col("lang_pred") != UNKNOWN)
     return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

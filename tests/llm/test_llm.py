@@ -212,6 +212,12 @@ def test_language_id_cases(spark):
     assert len(language_id.train(spark, d, sample=1).languages) == 2
 
 
+def test_language_stage_without_any_language(spark):
+    d = spark.createDataFrame([(1, "the cat", None), (2, None, None), (3, "123 !?", None), (4, "", None), (5, "é", None)], "doc_id long, text string, lang string")
+    kept = language_id.keep_known(spark, d)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5]
+
+
 def test_quality(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = {r.doc_id: r for r in QUERIES["op9_quality_classifier"](spark, SF).collect()}
