@@ -13,8 +13,10 @@ from tessera.operators import exchange_text as ex
 from tessera.operators import hierarchy, mesh, octree, quality, scene, tiles
 from tessera.operators.ids import dense_ids
 from tessera.plans import queries
+from tessera.plans.oracles import REC
 from tessera.sources import formats, glb
 from tessera.streaming import counts
+from tests.same import assert_same
 
 
 def test_adapter_probe(spark):
@@ -130,6 +132,18 @@ def test_queries_divide_clusters_to_the_end(spark):
     assert max(map(len, wanted)) > 12 and got == wanted
 
 
+def test_retarget_and_stub_leave_all_other_records(spark, duck):
+    """All rows, of which the queries of these operators show a part."""
+    sf = "/root/testdata/sf0.001"
+    stub = "COMPLEX_TRIANGULATED_FACE('',#14338,3,((0.,0.,0.)),$,(1,2,3),(),((1)));"
+    c = queries._classified(spark, sf)
+    solid = "CASE WHEN m = 9 AND rec_no BETWEEN 1 AND 100 THEN regexp_replace(norm, '([(,])#\\d+', '\\1#7', 'g') ELSE text END"
+    assert_same(ex.retarget(c, 1, 100, 7), duck, f"WITH {REC} SELECT rec_no, {solid} AS text FROM cls")
+    face = "m = 2 AND entity_id BETWEEN 20 AND 90"
+    text = "'#' || entity_id || '=" + stub.replace("'", "''") + "'"
+    assert_same(ex.stub_range(c, "COMPLEX_TRIANGULATED_FACE", 20, 90, stub), duck, f"WITH {REC} SELECT rec_no, CASE WHEN {face} THEN {text} ELSE text END AS text, coalesce({face}, false) AS stubbed FROM cls")
+
+
 def test_empty_tree(spark):
     items = spark.createDataFrame([], "id long, box struct<xmin:double,ymin:double,zmin:double,xmax:double,ymax:double,zmax:double>, triangles long")
     assert octree.nodes(items, octree.Rules()).count() == 0
