@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session, unless it names a number itself.
+
+    A batch stands in the memory of the JVM and of a Python worker at once; texts
+    of some kilobytes make Spark's 10,000 rows a large part of a small executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, df: DataFrame, name: str, **options) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it."""
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"

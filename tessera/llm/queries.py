@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, language_id, packing, pii, quality, simhash, substring_dedup, token_counts, topk_search
+from tessera.llm.common import bounded_batches
 from tessera.llm.tokens import default_vocabulary
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
