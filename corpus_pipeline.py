@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, language_id, near_copies, packing, pii
-from tessera.llm.common import table
+from tessera.llm.common import bounded_batches, table
 from tessera.llm.queries import PII_KEY
 from tessera.llm.tokens import default_vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go: null text, and text without a letter."""
+    bounded_batches(spark)
     return language_id.keep_known(spark, docs)
 
 
