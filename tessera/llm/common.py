@@ -7,6 +7,7 @@ over words.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -89,9 +90,11 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes beyond which a word is named by a digest.
+LONG = 64
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240611)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -121,13 +124,42 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def segments(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Polynomial fingerprints, modulo 2**64, of values[start:end]."""
+    """Polynomial fingerprints, modulo 2**64, of values[start:end].
+
+    For short ranges of mixed names only: in ranges of 1,024 values and more that
+    follow a Thue-Morse word, such polynomials collide whatever the base."""
     inverse = _BASE_INV if base == _BASE else pow(base, -1, 1 << 64)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(base, len(values)), out=total[1:])
     return (total[ends] - total[starts]) * powers(inverse, len(values) + 1)[starts]
 
 
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit name of the bytes start..end - 1; names of another ``salt`` are independent of it.
+
+    Bytes are mixed eight at a time, so strings of equal length and at most eight
+    bytes never share a name; the few over ``LONG`` bytes are digested with BLAKE2b.
+    """
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    out = mix(size.astype(np.uint64), salt)
+    at = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        beyond = np.maximum(8 - (size[at] - k), 0).astype(np.uint64) * np.uint64(8)
+        piece = eight[start[at] + k] << beyond
+        out[at] = mix(out[at] ^ piece * np.uint64(0x9FB21C651E98DF25), salt + 1)
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 @dataclass
 class Words:
     """The words of some documents, in order.
@@ -144,11 +176,9 @@ class Words:
     doc: np.ndarray
     first: np.ndarray
 
-    def names(self) -> np.ndarray:
+    def names(self, salt: int = 0) -> np.ndarray:
         """A 64-bit name of each word, the same wherever the word occurs."""
-        if not len(self.data):
-            return np.zeros(0, np.uint64)
-        return mix(segments(_BYTE[self.data], self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        return names(self.data, self.start, self.end, salt)
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -38,15 +38,14 @@ def _plain(text: str = "text"):
 
 
 def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two 64-bit halves, text) of each shingle; texts with fewer words have one."""
-    name = w.names()
+    """(two independent 64-bit halves, text) of each shingle; texts with fewer words have one."""
     length = np.diff(w.first)
     count = np.where(length > 0, np.maximum(length - n + 1, 1), 0)
     own = np.repeat(np.arange(len(length)), count)
     s = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(w.first[:-1], count)
     e = np.minimum(s + n, w.first[1:][own])
     size = (e - s).astype(np.uint64)
-    return mix(segments(mix(name, 1), s, e, _A) + size), mix(segments(mix(name, 2), s, e, _B) + size), own
+    return mix(segments(w.names(1), s, e, _A) + size), mix(segments(w.names(2), s, e, _B) + size), own
 
 
 class Sketches:

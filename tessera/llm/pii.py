@@ -23,21 +23,27 @@ _NAMED = r"(?i:token|secret|password|passwd|api_key|apikey|access_key)[ \t]{0,3}
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
-#: kind -> pattern, in the order in which they are tried at a place.
+#: Characters of the part of an e-mail address before the @, and of its domain's labels.
+_LOCAL, _LABEL = r"[\p{L}\p{M}\p{N}._%+-]", r"[\p{L}\p{N}-]"
+
+#: kind -> pattern, in the order in which they are tried at a place.  Loops without
+#: an upper limit are possessive or of one character class, so that matching takes
+#: linear time and no stack.
 KINDS = {
-    "secret": r"(?<=" + _NAMED + r"[ \t]{0,3}[\"']{0,1})[A-Za-z0-9+/_-]{16,}" + _END,
-    "email": r"[\p{L}\p{M}\p{N}._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END,
+    "secret": r"(?<=" + _NAMED + r"[ \t]{0,3}[\"']{0,1})(?:[A-Za-z0-9+/_-]{16,}|(?=[A-Za-z+/_-]{0,15}[0-9])[A-Za-z0-9+/_-]{8,})" + _END,
+    "email": r"(?<!" + _LOCAL + ")" + _LOCAL + r"++@(?=[\p{N}.-]*+\p{L})" + _LABEL + r"++(?:\." + _LABEL + r"++)++",
+    "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + _END,
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{L}\p{N}])",
     "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})" + _END,
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}+.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}+.-])(?:[0-9]{13,19}|[0-9]{4}(?<x>[ -])[0-9]{4}\k<x>[0-9]{4}\k<x>[0-9]{1,7}|[0-9]{4}(?<y>[ -])[0-9]{6}\k<y>[0-9]{5})(?![\p{L}\p{N}])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|(?<![\p{L}\p{N}.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4})(?![\p{L}\p{N}])",
 }
 
 
 def _pattern() -> str:
-    return "|".join(f"(?:{p})" for p in KINDS.values())
+    """All kinds; group 1 is the secret, if one matched."""
+    return "|".join(f"({p})" if kind == "secret" else f"(?:{p})" for kind, p in KINDS.items())
 
 
 def _hash(key: str, kind: Column, i: Column, x: Column) -> Column:
@@ -145,25 +151,31 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, F.get(F.transform(F.array(net), dashed), F.lit(0))).otherwise(m)
 
 
-#: Days from 1900-01-01 to 2100-01-01, both included: 150 * 487.
-_DAYS = (150, 487)
+#: Spans of days that are permuted each within itself: first day, and two factors of their number.
+_SPANS = (("1900-01-01", 150, 487), ("2100-01-02", 2, 1_442_707), ("0001-01-01", 35, 19_817))
 
 
 def _date(m: Column, key: str) -> Column:
-    """ISO dates, and dates with slashes read as day/month or else month/day."""
+    """ISO dates, and dates with slashes read as day/month or else month/day.
+
+    Dates from 1900 to 2100 stay there, as do earlier and later ones in their span."""
     iso = m.contains("-")
     short = F.coalesce(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")), F.try_to_timestamp(m, F.lit("MM/dd/yyyy")))
     day = F.when(iso, F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).otherwise(short).cast("date")
-    first = F.lit("1900-01-01").cast("date")
-    n = F.datediff(day, first).cast("long")
-    p, q = (F.lit(x).cast("long") for x in _DAYS)
-    net = feistel(F.floor(n / q), n % q, p, q, key, F.lit("date"))
 
-    def shown(s: Column) -> Column:
-        x = F.date_add(first, (s["a"] * q + s["b"]).cast("int"))
+    def shown(x: Column) -> Column:
         return F.when(iso, F.date_format(x, "yyyy-MM-dd")).when(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull(), F.date_format(x, "dd/MM/yyyy")).otherwise(F.date_format(x, "MM/dd/yyyy"))
 
-    return F.when(day.isNotNull() & n.between(0, _DAYS[0] * _DAYS[1] - 1), F.get(F.transform(F.array(net), shown), F.lit(0))).otherwise(m)
+    def of_span(values: list, kind: str) -> Column:
+        late, early = (F.lit(_SPANS[i][0]).cast("date") for i in (1, 0))
+        a, b, c = (F.lit(v).cast(kind) for v in values)
+        return F.when(day >= late, b).when(day >= early, a).otherwise(c)
+
+    first, p, q = of_span([x[0] for x in _SPANS], "date"), of_span([x[1] for x in _SPANS], "long"), of_span([x[2] for x in _SPANS], "long")
+    n = F.datediff(day, first).cast("long")
+    net = feistel(F.floor(n / q), n % q, p, q, key, of_span(["date", "date after", "date before"], "string"))
+    moved = F.transform(F.array(net), lambda s: shown(F.date_add(first, (s["a"] * q + s["b"]).cast("int"))))
+    return F.when(n.between(0, p * q - 1), F.get(moved, F.lit(0))).otherwise(m)
 
 
 def _mod97(s: Column) -> Column:
@@ -177,14 +189,18 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
+    """Blanks between groups stay where they are."""
     bban, country = F.substr(m, F.lit(5), F.length(m) - 4), F.substr(m, F.lit(1), F.lit(2))
     d = _only_digits(bban)
     new = _into(bban, _digits(d, key, "iban"), F.lit(0))
 
+    def tight(x: Column) -> Column:
+        return F.replace(x, F.lit(" "), F.lit(""))
+
     def checked(b: Column) -> Column:
-        return F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
+        return F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(tight(b), country, F.lit("00")))).cast("string"), 2, "0"), b)
 
-    valid = (_mod97(F.concat(bban, F.substr(m, F.lit(1), F.lit(4)))) == 1) & (F.length(d) >= 4)
+    valid = (_mod97(F.concat(tight(bban), F.substr(m, F.lit(1), F.lit(4)))) == 1) & (F.length(d) >= 4)
     return F.when(valid, F.get(F.transform(F.array(new), checked), F.lit(0))).otherwise(m)
 
 
@@ -199,24 +215,17 @@ def _secret(m: Column, key: str) -> Column:
     return F.substr(F.repeat(h, F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m))
 
 
-_WAYS = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
-
+_WAYS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
-def _whole(kind: str) -> str:
-    """The kind's pattern on a match alone, without what stands around it."""
-    p = KINDS[kind]
-    if kind == "secret":
-        p = p[p.index("[\"']{0,1})") + len("[\"']{0,1})") :]
-    return f"^(?:{p})$"
 
+def pseudonym(m: Column, key: str, secret: Column) -> Column:
+    """The replacement of one match; ``secret``: whether it is one.
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The replacement of one match."""
-    out = None
-    for kind in ("email", "iban", "ip", "date", "ssn", "card", "phone"):
-        test = m.rlike(_whole(kind))
-        out = F.when(test, _WAYS[kind](m, key)) if out is None else out.when(test, _WAYS[kind](m, key))
-    return out.otherwise(_secret(m, key))
+    The other kinds differ in form, so a match tells its kind."""
+    out = F.when(secret, _secret(m, key))
+    for kind, way in _WAYS.items():
+        out = out.when(m.rlike(f"^(?:{KINDS[kind]})$"), way(m, key))
+    return out.otherwise(m)
 
 
 def pseudonymise(text: Column, key: str) -> Column:
@@ -226,11 +235,13 @@ def pseudonymise(text: Column, key: str) -> Column:
     match, and matches next to each other, are handled like any other.
     """
     p = F.lit(_pattern())
+    named = text.rlike(_NAMED)
     found = F.regexp_extract_all(text, p, F.lit(0))
-    new = F.concat(F.transform(found, lambda m: pseudonym(m, key)), F.array(F.lit("")))
+    secret = F.when(named, F.regexp_extract_all(text, p, F.lit(1))).otherwise(F.transform(found, lambda m: F.lit("")))
+    new = F.concat(F.zip_with(found, secret, lambda m, s: pseudonym(m, key, F.coalesce(s, F.lit("")) != "")), F.array(F.lit("")))
     between = F.split(text, _pattern(), -1)
     joined = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, b))), "")
-    return F.when(text.rlike("[0-9@]") | text.rlike(_NAMED), joined).otherwise(text)
+    return F.when(text.rlike("[0-9@]") | named, joined).otherwise(text)
 
 
 def replace_personal_data(docs: DataFrame, key: str, column: str = "text") -> DataFrame:

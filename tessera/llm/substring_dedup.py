@@ -100,9 +100,9 @@ def anchors(w: Words, name: np.ndarray, window: int) -> tuple[np.ndarray, np.nda
     return where, chosen
 
 
-def fingerprints(name: np.ndarray, where: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints, in two halves, of the windows at ``where``."""
-    return (mix(segments(mix(name, 1), where, where + window, _BASE_A)), mix(segments(mix(name, 2), where, where + window, _BASE_B)))
+def fingerprints(w: Words, where: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit fingerprints of the windows at ``where``: two halves from independent names of the words."""
+    return mix(segments(w.names(1), where, where + window, _BASE_A)), mix(segments(w.names(2), where, where + window, _BASE_B))
 
 
 def _least(keys: list[np.ndarray], doc: np.ndarray):
@@ -196,7 +196,7 @@ def _windows(bucket: int, t: pa.Table, shared: pa.Table, window: int, slices: in
         at = np.minimum(np.searchsorted(far, name), len(far) - 1)
         hit |= far[at] == name
     where = where[hit]
-    h1, h2 = fingerprints(b.name, where, window)
+    h1, h2 = fingerprints(b.w, where, window)
     (h1, h2), low, _, _ = _least([h1, h2], b.of(where))
     return _deal(bucket, slices, [h1, h2, low], h1)
 
@@ -219,7 +219,7 @@ def _mark(t: pa.Table, far: pa.Table, window: int) -> pa.Table:
     length = np.diff(w.first)
     where = np.flatnonzero(np.arange(n) + window <= np.repeat(w.first[1:], length))
     where = where[b.of(where) != BIG]
-    h1, h2 = fingerprints(b.name, where, window)
+    h1, h2 = fingerprints(b.w, where, window)
     f1, f2, fdoc = (_join(far.column(c), k) for c, k in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))
     _, low, _, index = _least([np.concatenate([h1, f1]), np.concatenate([h2, f2])], np.concatenate([b.of(where), fdoc]))
     gone = where[low[index[: len(where)]] < b.of(where)]

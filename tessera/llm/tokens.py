@@ -14,7 +14,7 @@ import json
 
 import numpy as np
 
-from tessera.llm.common import _BYTE, mix, segments
+from tessera.llm.common import mix, names
 
 #: Pieces kept per worker (about 30 bytes each); later ones are encoded anew.
 MEMO = 3_000_000
@@ -132,8 +132,7 @@ class BytePieces:
         doc = np.cumsum(first) - 1
         use = ~odd[doc]
         s, e, spaced, ended, doc = (x[use] for x in (s, e, spaced, ended, doc))
-        value = segments(_BYTE[data], s, e) + (e - s).astype(np.uint64) * np.uint64(4) + spaced * np.uint64(2) + ended
-        at, length, ids = self._find(data, s, e, spaced, ended, value)
+        at, length, ids = self._find(data, s, e, spaced, ended)
         count = np.bincount(doc, weights=length, minlength=n).astype(np.int64)
         flat = ids[ranges(at, length)].astype(np.uint32)
         if odd.any():
@@ -146,10 +145,11 @@ class BytePieces:
             count[odd] = [len(p[1]) for p in parts]
         return flat, np.append(0, np.cumsum(count))
 
-    def _find(self, data, s, e, spaced, ended, value):
+    def _find(self, data, s, e, spaced, ended):
         """Where each piece's ids stand, how many there are, and the array of ids."""
-        key, where, back = np.unique(mix(value, 11), return_index=True, return_inverse=True)
-        check = (mix(value[where], 12) >> np.uint64(32)).astype(np.uint32)
+        kind = (spaced * 2 + ended).astype(np.uint64)
+        key, where, back = np.unique(mix(names(data, s, e, 11) + kind), return_index=True, return_inverse=True)
+        check = (mix(names(data, s[where], e[where], 21) + kind[where]) >> np.uint64(32)).astype(np.uint32)
         k = np.minimum(np.searchsorted(self._key, key), max(len(self._key) - 1, 0))
         known = (self._key[k] == key) & (self._check[k] == check) if len(self._key) else np.zeros(len(key), bool)
         at, length, ids = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), self._ids

@@ -84,6 +84,28 @@ def test_windows_with_equal_words_choose_equal_names():
         assert seen.setdefault(key, a) == a
 
 
+def thue_morse(n):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join("ab"[x] for x in t[:n])
+
+
+@pytest.mark.parametrize("size", [2048, 65_536])
+def test_words_that_differ_never_pass_as_equal(spark, size):
+    """A Thue-Morse word and its complement collide under any polynomial modulo 2**64."""
+    one = thue_morse(size)
+    other = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one} {tail}")]
+    d = frame(spark, rows)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark, d, 13).collect()} == {1: 0, 2: 0, 3: 13}
+    items = spark.createDataFrame([(7, " ".join([one] * 5))], "item_id long, text string")
+    texts = frame(spark, [(1, " ".join([one] * 6)), (2, " ".join([other] * 6))])
+    assert [r.doc_id for r in decontaminate.contained_items(spark, texts, items).collect()] == [1]
+    assert {r.component_id for r in near_copies.near_copies(spark, frame(spark, [(1, one), (2, other)])).collect()} == {1, 2}
+
+
 # -- ops 2 and 6 ----------------------------------------------------------------
 
 
@@ -309,6 +331,73 @@ def test_secrets_of_letters_and_of_any_length(spark):
     assert got[10] == rows[-2][1] and got[11] == rows[-1][1]
 
 
+def test_pii_of_hard_texts(spark):
+    """Kinds are told by the pattern that matched; long words and dotted names take linear time."""
+    rows = [
+        ("token = 1234567890123456", r"token = [0-9a-f]{16}"),
+        ("password=AB12CDEFGHIJKLMNOP", r"password=[0-9a-f]{18}"),
+        ('api_key="4111111111111112"', r'api_key="[0-9a-f]{16}"'),
+        ("secret: hunter2x!", r"secret: [0-9a-f]{8}!"),
+        ("x token=" + "a1B2" * 2500 + " y", r"x token=[0-9a-f]{10000} y"),
+        ("1 " + "w" * 1_000_000, r"1 w{1000000}"),
+        ("a@" + "b." * 100_000 + "com", r"[0-9a-f]{16}@example\.invalid"),
+        ("a." * 200_000 + " 7", r"(a\.){200000} 7"),
+        ("9" * 1_000_000, r"9{1000000}"),
+        ("to bob.x@mail.example.com. Yes", r"to [0-9a-f]{16}@example\.invalid\. Yes"),
+        ("react@18.2.0 tokens: 5 apples", r"react@18\.2\.0 tokens: 5 apples"),
+    ]
+    got = {x.doc_id: x.text for x in pii.replace_personal_data(frame(spark, [(i, x) for i, (x, _) in enumerate(rows)]), "k").collect()}
+    for i, (text, pattern) in enumerate(rows):
+        assert re.fullmatch(pattern, got[i]), text[:80]
+        assert got[i] != text or i in (5, 7, 8, 10)
+
+
+def test_every_kind_against_brute_force(spark):
+    """Social security numbers, IBANs with and without blanks, dates and phones, value by value."""
+
+    def digits(d, kind):
+        k = len(d) // 2
+        a, b = net(int(d[:k]), int(d[k:]), 10**k, 10 ** (len(d) - k), "k", f"{kind}:{len(d)}")
+        return f"{a:0{k}d}{b:0{len(d) - k}d}"
+
+    def ssn(x):
+        area, group, serial = map(int, x.split("-"))
+        a, b = net(area - 2 if area > 666 else area - 1, (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "k", "ssn")
+        return f"{a + 2 if a >= 665 else a + 1:03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+
+    def iban(x):
+        new = x[:2] + "00" + digits(x[4:], "iban")
+        check = 98 - int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97
+        return f"{x[:2]}{check:02d}{new[4:]}"
+
+    def date(x):
+        from datetime import date as day
+        from datetime import timedelta
+
+        d = day.fromisoformat(x)
+        first, p, q, kind = (day(2100, 1, 2), 2, 1_442_707, "date after") if d > day(2100, 1, 1) else (day(1900, 1, 1), 150, 487, "date") if d.year >= 1900 else (day(1, 1, 1), 35, 19_817, "date before")
+        a, b = net(*divmod((d - first).days, q), p, q, "k", kind)
+        return (first + timedelta(a * q + b)).isoformat()
+
+    def spaced(x):
+        return " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+
+    numbers = ["123-45-6789", "665-01-0001", "667-99-9999", "899-50-5000", "001-01-0001"]
+    accounts = ["DE89370400440532013000", "GB29NWBK60161331926819"[:2] + "00" + "1" * 18]
+    accounts[1] = "GB" + f"{98 - int('1' * 18 + '161100') % 97:02d}" + "1" * 18
+    dates = ["1900-01-01", "2100-01-01", "2100-01-02", "1066-10-14", "0001-01-01", "9999-12-31", "1999-12-31"]
+    rows = [*numbers, *accounts, *map(spaced, accounts), *dates, "+49 30 1234 5678", "(212) 555-0187"]
+    phone = digits("3012345678", "phone")
+    wanted = [*map(ssn, numbers), *map(iban, accounts), *(spaced(iban(x)) for x in accounts), *map(date, dates), f"+49 {phone[:2]} {phone[2:6]} {phone[6:]}"]
+    local = digits("2125550187", "phone")
+    wanted.append(f"({local[:3]}) {local[3:6]}-{local[6:]}")
+    got = [x.text for x in pii.replace_personal_data(frame(spark, list(enumerate(rows))), "k").orderBy("doc_id").collect()]
+    assert got == wanted
+    far = pii.replace_personal_data(frame(spark, [(0, "Mail A.B@x.org now"), (1, "a.b@X.org")]), "k").orderBy("doc_id").collect()
+    name = hashlib.sha256(b"k|email|a.b@x.org").hexdigest()[:16]
+    assert [x.text for x in far] == [f"Mail {name}@example.invalid now", f"{name}@example.invalid"]
+
+
 def test_feistel_permutes(spark):
     p, q = 5, 7
     x = spark.range(p * q).select(pii.feistel(F.floor(F.col("id") / q), F.col("id") % q, F.lit(p).cast("long"), F.lit(q).cast("long"), "k", F.lit("t")).alias("s"))
