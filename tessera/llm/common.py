@@ -76,6 +76,14 @@ def bucket_count(spark: SparkSession, df: DataFrame, bytes_each: int = BUCKET_BY
     return int(max(shuffle, min(wanted, 1_000_000)))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """(doc_id long, text string, ...): only these columns go any further."""
     kinds = dict(df.dtypes)

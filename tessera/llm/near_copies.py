@@ -3,29 +3,31 @@
 Documents are near copies if their sets of 5-word shingles have a Jaccard
 similarity of at least 0.8.  Such texts differ in about a seventh of the bits of a
 SimHash, far more than a single covering radius can bridge, so the covering is
-repeated: a 128-bit fingerprint is read in ``BANDS`` bands of 22 bits, and on each
+repeated: a 256-bit fingerprint is read in ``BANDS`` bands of 22 bits, and on each
 band the anchors are the words of a perfect covering code, a [15, 11] Hamming
-code with seven free bits.  At threshold 0 precisely one anchor of a band lies
-within the covering radius, so a fingerprint is replicated to one anchor a band.
-In simulations, pairs at similarity 0.8 whose difference is one passage meet at
-some anchor in 92 % of cases, at 0.85 in 98 %, at 0.9 in over 99 %; scattered
-changes are found more often.
-
-Fingerprints that meet are compared anchor by anchor.  First a minimum spanning
-forest of an anchor's close pairs leaves the task and is verified on whole sets of
-shingles, which joins most copies.  A text's closest fingerprint need not be its
-copy, so all other close pairs whose texts are not joined yet follow: pairs that
-their sizes or the parities of their shingles rule out stay in the task, the
-others are verified, each text's closest first, eight times as many in every round,
-until no close pair is left that crosses two groups.
+code with seven free bits.  The threshold of a band is 0, so the anchors within
+covering radius plus threshold are one, and a fingerprint is replicated to one
+anchor a band.
+
+1. At each anchor every text is linked to a leader: the smallest of the texts
+   close to it, for long groups the first leader that covers it.  Of all anchors a
+   text keeps its smallest leader only, so links are at most one per text however
+   large a group of copies is; they are verified on whole sets of shingles.
+2. Texts that met a close one are compared again, now with what is known of their
+   groups.  Anchors whose texts are all joined drop out.  At the others, pairs
+   that lie in two groups and that their sizes and the parities of their shingles
+   don't rule out are verified, each text's closest first, sixteen times as many in
+   every round, until no close pair is left that crosses two groups.
 
 Texts with equal sets of shingles are one node, so copies cost one row.  Anchors
-that too many rows visit are cut into parts, and each pair of parts is a group of
-its own.  Nodes are named by 64-bit hashes.
+that more than ``simhash.ANCHOR_ROWS`` rows visit are cut into parts, and each pair
+of parts is a group of its own.  Nodes are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +37,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import simhash
-from tessera.llm.common import Words, chunks, documents, mix, segments, table, words
+from tessera.llm.common import Words, chunks, documents, free_name, mix, segments, table, words
 
 BANDS, CODE, FREE = 96, 15, 7
+#: Texts beyond which each doubling adds a free bit, and bands for the same recall.
+SPARSE = 1 << 28
 #: Words of a shingle of the fingerprint, and of the sets that are verified.
 COARSE, SHINGLE = 3, 5
 THRESHOLD = 0.8
 #: Bits of a set's parities: a shingle flips one, so sets differ in at least as many
 #: shingles as their parities do in bits.
 PARITY = 512
-#: Rows of an anchor of which all pairs are given out at once.
-SMALL = 32
-#: Differing bits, of 128, beyond which a pair is not verified: expected at a
-#: similarity of 0.8 are 20, and 64 of unlike texts.
+#: Rows of an anchor up to which all pairs are looked at side by side.
+SMALL, MIDDLE = 32, 512
+#: Rows that are grouped at a time.
+STEP = 50_000
+#: Differing bits, of the first 128, beyond which a pair is not verified: expected at
+#: a similarity of 0.8 are 20, and 64 of unlike texts.
 FAR = 38
+_F = ("f0", "f1", "f2", "f3")
 
 
 def _nearest_code_words() -> np.ndarray:
@@ -63,14 +70,20 @@ def _nearest_code_words() -> np.ndarray:
 _NEAREST = _nearest_code_words()
 
 
-def _band_bits() -> np.ndarray:
-    """The bits of each band; five bands in turn share none."""
-    r = np.random.Generator(np.random.PCG64(5))
-    rows = [r.permutation(128)[: 5 * (CODE + FREE)].reshape(5, CODE + FREE) for _ in range(-(-BANDS // 5))]
-    return np.concatenate(rows)[:BANDS]
+def shape(rows: int) -> tuple[int, int]:
+    """(bands, free bits) for a table of this many texts."""
+    extra = max(0, math.ceil(math.log2(max(rows, 1) / SPARSE)))
+    return math.ceil(BANDS * 1.18**extra), FREE + extra
 
 
-_BAND_BITS = _band_bits()
+@functools.cache
+def _band_bits(bands: int, free: int) -> np.ndarray:
+    """The bits of each band; as many bands as 256 bits allow share none."""
+    r = np.random.Generator(np.random.PCG64(5))
+    width = CODE + free
+    each = 256 // width
+    rows = [r.permutation(256)[: each * width].reshape(each, width) for _ in range(-(-bands // each))]
+    return np.concatenate(rows)[:bands]
 
 
 def _shingles(w: Words, name: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +103,15 @@ def _shingles(w: Words, name: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return h[new], own[new]
 
 
-def _bits(h: np.ndarray, own: np.ndarray, n: int, width: int = 1 << 17) -> np.ndarray:
-    """The 128-bit SimHash of each text, as 16 bytes: bits set in over half of its hashes."""
-    ones = np.zeros((n, 128), np.int64)
+def _bits(h: np.ndarray, own: np.ndarray, n: int, width: int = 1 << 16) -> np.ndarray:
+    """The 256-bit SimHash of each text, as four longs: bits set in over half of its hashes."""
+    ones = np.zeros((n, 256), np.int64)
     for lo in range(0, len(h), width):
         x, o = h[lo : lo + width], own[lo : lo + width]
-        two = np.stack([x, mix(x, 7)], axis=1).astype("<u8")
+        four = np.stack([x, mix(x, 7), mix(x, 8), mix(x, 9)], axis=1).astype("<u8")
         head = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-        ones[o[head]] += np.add.reduceat(np.unpackbits(two.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little"), head, axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > np.bincount(own, minlength=n)[:, None], axis=1, bitorder="little")
+        ones[o[head]] += np.add.reduceat(np.unpackbits(four.view(np.uint8).reshape(-1, 32), axis=1, bitorder="little"), head, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.bincount(own, minlength=n)[:, None], axis=1, bitorder="little").view("<i8")
 
 
 def _keys(h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
@@ -111,7 +124,7 @@ def _keys(h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, key, f0, f1 of each whole text: its node and its fingerprint.
+    """doc_id, key, f0 .. f3 of each whole text: its node and its fingerprint.
 
     more: further columns, which follow."""
     given = documents(docs, *more)
@@ -119,16 +132,16 @@ def sketches(docs: DataFrame, *more) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, bounds in chunks(batch):
+            for part, data, bounds in chunks(batch, 1 << 20):
                 n = part.num_rows
                 w = words(simhash._LOWER[data], bounds)
                 name = w.names()
-                f = _bits(*_shingles(w, name, COARSE), n).view("<i8")
+                f = _bits(*_shingles(w, name, COARSE), n)
                 key = _keys(*_shingles(w, name, SHINGLE), n)
-                columns = [part.column("doc_id"), pa.array(key), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), *part.columns[2:]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "f0", "f1", *(x.name for x in rest)])
+                columns = [part.column("doc_id"), pa.array(key), *(pa.array(f[:, i].copy()) for i in range(4)), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", *_F, *(x.name for x in rest)])
 
-    kinds = [T.StructField(c, T.LongType()) for c in ("doc_id", "key", "f0", "f1")]
+    kinds = [T.StructField(c, T.LongType()) for c in ("doc_id", "key", *_F)]
     return given.mapInArrow(run, T.StructType([*kinds, *rest]))
 
 
@@ -137,7 +150,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, bounds in chunks(batch):
+            for part, data, bounds in chunks(batch, 1 << 20):
                 w = words(simhash._LOWER[data], bounds)
                 h, own = _shingles(w, w.names(), SHINGLE)
                 at = np.append(0, np.cumsum(np.bincount(own, minlength=part.num_rows))).astype(np.int32)
@@ -158,119 +171,128 @@ def _parities(h: np.ndarray, own: np.ndarray, n: int, width: int = 1 << 12) -> n
     return out
 
 
-def anchors(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
-    """The anchor of each fingerprint on each band: bands x fingerprints."""
-    bits = np.unpackbits(np.stack([f0, f1], axis=1).astype("<i8").view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").T.astype(np.int64)
-    out = np.zeros((BANDS, len(f0)), np.int64)
-    for band, places in enumerate(_BAND_BITS):
-        code, free = np.zeros(len(f0), np.int64), np.zeros(len(f0), np.int64)
+def anchors(f: np.ndarray, bands: int = BANDS, free: int = FREE) -> np.ndarray:
+    """The anchor of each fingerprint (rows of four longs) on each band: bands x fingerprints."""
+    bits = np.unpackbits(np.ascontiguousarray(f).astype("<i8").view(np.uint8).reshape(-1, 32), axis=1, bitorder="little").T.astype(np.int64)
+    out = np.zeros((bands, len(f)), np.int64)
+    for band, places in enumerate(_band_bits(bands, free)):
+        code, left = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
         for i, p in enumerate(places[:CODE]):
             code |= bits[p] << i
         for i, p in enumerate(places[CODE:]):
-            free |= bits[p] << i
-        out[band] = (band << CODE | _NEAREST[code]) << FREE | free
+            left |= bits[p] << i
+        out[band] = (band << CODE | _NEAREST[code]) << free | left
     return out
 
 
-def _replicas(divided: dict[int, int]):
-    """Each node (key, f0, f1, ...) at each of its anchors; in divided anchors, in each cell of its part."""
-    known = np.array(sorted(divided), np.int64)
-    parts = np.array([divided[k] for k in known.tolist()], np.int64)
+def _replicas(nodes: DataFrame, rows: int) -> DataFrame:
+    """Each node (key, f0 .. f3, ...) at each of its anchors: anchor, key, f0, f1, ..."""
+    bands, free = shape(rows)
+    rest = nodes.schema.fields[5:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            key, f0, f1 = (np.array(b.column(c)) for c in ("key", "f0", "f1"))
-            for anchor in anchors(f0, f1):
-                n = np.ones(len(anchor), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-                    n = np.where(known[at] == anchor, parts[at], 1)
-                again = np.repeat(np.arange(len(anchor)), n)
-                k = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
-                mine = simhash._part(key.view(np.uint64), n)[again]
-                cell = np.minimum(mine, k) * n[again] + np.maximum(mine, k)
-                rest = [b.column(c).take(pa.array(again)) for c in b.schema.names[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[again]), pa.array(cell), pa.array(key[again]), pa.array(f0[again]), pa.array(f1[again]), *rest], names=["anchor", "cell", "key", "f0", "f1", *b.schema.names[3:]])
-
-    return run
-
-
-_REPLICAS = "anchor long, cell long, key long, f0 long, f1 long"
-
-
-def spanning_forest(f0: np.ndarray, f1: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, node, distance): minimum spanning forest of the pairs at most ``far`` apart (Prim)."""
-    n = len(f0)
-    best, parent, open_ = np.full(n, 999, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-    u, v, d = [], [], []
-    now = 0
-    for _ in range(n - 1):
-        open_[now] = False
-        gap = np.bitwise_count(f0 ^ f0[now]).astype(np.int64) + np.bitwise_count(f1 ^ f1[now])
-        closer = open_ & (gap < best)
-        best[closer], parent[closer] = gap[closer], now
-        now = int(np.where(open_, best, 1000).argmin())
-        if best[now] <= far:
-            u.append(int(parent[now]))
-            v.append(now)
-            d.append(int(best[now]))
-    return np.array(u, np.int64), np.array(v, np.int64), np.array(d, np.int64)
-
-
-def _group_edges(anchor, cell, key, f0, f1) -> list[np.ndarray]:
-    """Spanning edges (u < v, d) of whole groups, sorted by anchor and cell."""
-    f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
-    at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])))
-    size = np.diff(np.append(at, len(anchor)))
-    two = at[size == 2]
-    gap = np.bitwise_count(f0[two] ^ f0[two + 1]).astype(np.int64) + np.bitwise_count(f1[two] ^ f1[two + 1])
-    near = gap <= FAR
-    a, b, d = [key[two[near]]], [key[two[near] + 1]], [gap[near]]
-    # of small groups only rows with a close partner are looked at further
-    small = (size > 2) & (size <= 512)
-    group = np.repeat(np.arange(len(at)), size)
-    row = np.flatnonzero(small[group])
-    close = size[group] > 512
-    of, x0, x1 = group[row], f0[row], f1[row]
-    for shift in range(1, int(size[small].max()) if small.any() else 0):
-        i = np.flatnonzero(of[shift:] == of[:-shift])
-        g = np.bitwise_count(x0[i] ^ x0[i + shift]).astype(np.int64) + np.bitwise_count(x1[i] ^ x1[i + shift])
-        i = i[g <= FAR]
-        close[row[i]] = close[row[i + shift]] = True
-    row = np.flatnonzero(close)
-    for at_ in np.split(row, np.flatnonzero(np.diff(group[row])) + 1) if len(row) else []:
-        u, v, gaps = spanning_forest(f0[at_], f1[at_])
-        a.append(key[at_[u]])
-        b.append(key[at_[v]])
-        d.append(gaps)
-    u, v = np.concatenate(a), np.concatenate(b)
-    return [np.minimum(u, v), np.maximum(u, v), np.concatenate(d)]
+            if b.num_rows:
+                f = np.stack([np.array(b.column(c)) for c in _F], axis=1)
+                for anchor in anchors(f, bands, free):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), *b.columns[:3], *b.columns[5:]], names=["anchor", "key", "f0", "f1", *(x.name for x in rest)])
+
+    kinds = [T.StructField(c, T.LongType()) for c in ("anchor", "key", "f0", "f1")]
+    return nodes.mapInArrow(run, T.StructType([*kinds, *rest]))
+
+
+def _apart(f0: np.ndarray, f1: np.ndarray, i, j) -> np.ndarray:
+    """Differing bits of the fingerprints i and j."""
+    return np.bitwise_count(f0[i] ^ f0[j]).astype(np.int64) + np.bitwise_count(f1[i] ^ f1[j])
+
+
+def leaders(f0: np.ndarray, f1: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leader) of one group: rows are covered by the first leader at most ``far``
+    away, rows that none covers lead.  A leader of none whose neighbours others
+    cover is linked to one of these."""
+    open_ = np.ones(len(f0), bool)
+    row, lead = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = 0
+    every = np.arange(len(f0))
+    while at < len(f0):
+        near = np.flatnonzero(_apart(f0, f1, at, every) <= far)
+        open_[at] = False
+        near = near[near != at]
+        mine = near[open_[near]]
+        if len(mine):
+            row.append(mine)
+            lead.append(np.full(len(mine), at))
+            open_[mine] = False
+        elif len(near):
+            row.append(np.array([at]))
+            lead.append(near[:1])
+        more = np.flatnonzero(open_[at:])
+        at = at + int(more[0]) if len(more) else len(f0)
+    return np.concatenate(row), np.concatenate(lead)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], columns) -> Iterator[list[np.ndarray]]:
     """Rows sorted by anchor and cell, some whole groups at a time."""
     held: list[list[np.ndarray]] = []
+    count = 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(columns(b))
+        count += b.num_rows
         last = held[-1][0][-1], held[-1][1][-1]
-        if last != (held[0][0][0], held[0][1][0]):
+        if count >= STEP and last != (held[0][0][0], held[0][1][0]):
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.flatnonzero((rows[0] != last[0]) | (rows[1] != last[1]))[-1]) + 1
             held = [[x[cut:] for x in rows]]
+            count = len(held[0][0])
             yield [x[:cut] for x in rows]
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and cell -> spanning edges."""
-    for rows in _whole_groups(batches, lambda b: [np.array(b.column(c)) for c in ("anchor", "cell", "key", "f0", "f1")]):
-        u, v, d = _group_edges(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d)], names=["u", "v", "d"])
+    """Rows sorted by anchor, cell and key -> (key, low): nodes that met a close one,
+    and a smaller one of these, if there is one.  Of divided anchors all nodes."""
+    for anchor, cell, key, f0, f1, divided in _whole_groups(batches, lambda b: [np.array(b.column(c)) for c in ("anchor", "cell", "key", "f0", "f1", "divided")]):
+        f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+        at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])))
+        size = np.diff(np.append(at, len(anchor)))
+        group = np.repeat(np.arange(len(at)), size)
+        low = np.full(len(anchor), -1)  # the row of the smallest close node
+        met = divided.copy()
+        row = np.flatnonzero((size > 1)[group] & (size <= MIDDLE)[group])
+        of = group[row]
+        for shift in range(1, int(size[group[row]].max()) if len(row) else 0):
+            i = np.flatnonzero(of[shift:] == of[:-shift])
+            i = i[_apart(f0, f1, row[i], row[i + shift]) <= FAR]
+            low[row[i + shift]] = row[i]  # a larger shift finds a smaller one
+            met[row[i]] = met[row[i + shift]] = True
+        for lo, n in zip(at[size > MIDDLE].tolist(), size[size > MIDDLE].tolist(), strict=True):
+            one, lead = leaders(f0[lo : lo + n], f1[lo : lo + n])
+            low[lo + one] = lo + lead
+            met[lo + one] = met[lo + lead] = True
+        found = np.flatnonzero(met)
+        least = np.minimum(key[low[found]], key[found])
+        own = np.where(low[found] < 0, key[found], least)
+        yield pa.RecordBatch.from_arrays([pa.array(key[found]), pa.array(own)], names=["key", "low"])
+        # the other end of a link whose leader is the larger one
+        turned = found[(low[found] >= 0) & (key[low[found]] > key[found])]
+        if len(turned):
+            yield pa.RecordBatch.from_arrays([pa.array(key[low[turned]]), pa.array(key[turned])], names=["key", "low"])
+
+
+def candidates(spark: SparkSession, nodes: DataFrame, rows: int) -> DataFrame:
+    """(key, low) of the nodes (key, f0 .. f3) that met a close one: low is the
+    smallest of their leaders, or the node itself if they are all larger."""
+    dealt = _replicas(nodes, rows)
+    parts = F.ceil(F.col("count") / simhash.ANCHOR_ROWS).cast("long").alias("parts")
+    crowded = table(spark, dealt.groupBy("anchor").count().filter(F.col("count") > simhash.ANCHOR_ROWS).select("anchor", parts), "crowded")
+    dealt = dealt.join(crowded, "anchor", "left")
+    cell = F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)).alias("cell")
+    dealt = dealt.select("anchor", cell, "key", "f0", "f1", F.col("parts").isNotNull().alias("divided"))
+    dealt = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "key")
+    return dealt.mapInArrow(_groups, "key long, low long").groupBy("key").agg(F.min("low").alias("low"))
 
 
 def _may_be_alike(size_a, size_b, parity_a, parity_b, threshold: float) -> np.ndarray:
@@ -298,7 +320,7 @@ def _crossing(threshold: float, most: int):
 
             def close(i, j, f0=f0, f1=f1, root=root, size=size, parity=parity):
                 """Which of the pairs are given out, and their distances."""
-                gap = np.bitwise_count(f0[i] ^ f0[j]).astype(np.int64) + np.bitwise_count(f1[i] ^ f1[j])
+                gap = _apart(f0, f1, i, j)
                 at = np.flatnonzero((gap <= FAR) & (root[i] != root[j]))
                 if len(at):
                     a = i if np.isscalar(i) else i[at]
@@ -316,11 +338,13 @@ def _crossing(threshold: float, most: int):
                 if len(k):
                     yield batch(key[i[k]], key[j[k]], False)
             for lo, hi in zip(first[n > SMALL].tolist(), (first + n)[n > SMALL].tolist(), strict=True):
-                if (root[lo:hi] == root[lo]).all():
+                names, member, count = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
+                if len(names) == 1:
                     continue
                 every = np.arange(lo, hi)
                 u, v, held, more = [], [], 0, False
-                for i in range(lo, hi):
+                # pairs within the largest root are none, so its rows are only partners
+                for i in (lo + np.flatnonzero(member != count.argmax())).tolist():
                     k, gap = close(i, every)
                     if len(k) > most:
                         k, more = k[np.argpartition(gap, most)[:most]], True
@@ -328,57 +352,55 @@ def _crossing(threshold: float, most: int):
                         u.append(np.full(len(k), key[i]))
                         v.append(key[every[k]])
                         held += len(k)
-                    if held > 1 << 20 or (held and i == hi - 1):
+                    if held > 1 << 20:
                         yield batch(np.concatenate(u), np.concatenate(v), more)
                         u, v, held = [], [], 0
+                if held:
+                    yield batch(np.concatenate(u), np.concatenate(v), more)
 
     return run
 
 
-def _dealt(nodes: DataFrame) -> DataFrame:
-    """nodes (key, f0, f1, ...) at their anchors, group by group in order."""
-    schema = ", ".join([_REPLICAS, *(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields[3:])])
-    plain = nodes.mapInArrow(_replicas({}), schema)
-    rows = nodes.count()
-    # at most 500 * BANDS anchors hold more than a 500th of the rows
-    bound = max(simhash.ANCHOR_ROWS, rows // 500)
-    crowded = plain.groupBy("anchor").count().filter(F.col("count") > bound).collect() if rows > bound else []
-    divided = {r["anchor"]: -(-r["count"] // bound) for r in crowded}
-    dealt = nodes.mapInArrow(_replicas(divided), schema) if divided else plain
-    return dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+def _mixed(spark: SparkSession, nodes: DataFrame, rows: int, name: str = "mixed") -> DataFrame:
+    """(anchor, parts) of anchors at which nodes of several roots meet."""
+    seen = _replicas(nodes.select("key", *_F, "root"), rows).groupBy("anchor").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return table(spark, seen.filter("low <> high").select("anchor", F.ceil(F.col("n") / simhash.ANCHOR_ROWS).cast("long").alias("parts")), name)
 
 
-def candidates(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """Edges (u, v, d) over nodes (key, f0, f1), d being the differing bits: of each
-    anchor a minimum spanning forest."""
-    return _dealt(nodes).mapInArrow(_groups, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d"))
+def crossing(spark: SparkSession, nodes: DataFrame, rows: int, threshold: float, most: int) -> DataFrame:
+    """(u, v, more): close pairs of nodes (key, f0 .. f3, root, size, parity) of different roots."""
+    dealt = _replicas(nodes, rows).join(_mixed(spark, nodes, rows), "anchor")
+    mine = F.pmod(F.xxhash64("key"), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.least(mine, k) * F.col("parts") + F.greatest(mine, k))
+    dealt = dealt.select("anchor", F.explode(cells).alias("cell"), "key", "f0", "f1", "root", "size", "parity")
+    dealt = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    return dealt.mapInArrow(_crossing(threshold, most), "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
-def joined(spark: SparkSession, nodes: DataFrame, edges: DataFrame, sets: DataFrame, threshold: float, most: int = 8) -> DataFrame:
-    """(key, root) of the nodes (key, f0, f1) that have a copy: components of all
+def joined(spark: SparkSession, nodes: DataFrame, links: DataFrame, sets: DataFrame, rows: int, threshold: float, most: int = 2) -> DataFrame:
+    """(key, root) of the nodes (key, f0 .. f3) that met a close one: components of all
     close pairs that meet at an anchor and are similar enough.
 
-    edges: the anchors' spanning forests.  What they join is known first.  A close
-    pair of two components lies on a path of forest edges, one of which leaves its
-    component; so only components that a forest edge leaves are looked at further.
+    links: (key, low) of these nodes; sets: their shingles.
     """
-    good = table(spark, verified(edges, sets, threshold), "verified")
-    tested = edges.select("u", "v")
+    tested = links.filter("key <> low").select(F.least("key", "low").alias("u"), F.greatest("key", "low").alias("v"))
+    good = table(spark, verified(tested, sets, threshold), "verified")
+    root = table(spark, simhash.components(spark, good).withColumnRenamed("node", "key"), "roots")
     signs = sets.select("key", F.size("shingles").cast("long").alias("size"), "parity")
+    open_ = table(spark, nodes.join(signs, "key"), "open")
     while True:
-        root = table(spark, simhash.components(spark, good).withColumnRenamed("node", "key"), "roots")
-        ru, rv = (root.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
-        ends = edges.select("u", "v").join(ru, "u", "left").join(rv, "v", "left").select(F.coalesce("ru", "u").alias("a"), F.coalesce("rv", "v").alias("b")).filter("a <> b")
-        left = ends.select(F.col("a").alias("root")).union(ends.select("b")).distinct()
-        open_ = nodes.join(signs, "key").join(root, "key", "left").withColumn("root", F.coalesce("root", "key")).join(left, "root", "left_semi")
-        open_ = table(spark, open_.select("key", "f0", "f1", "root", "size", "parity"), "open")
-        pairs = _dealt(open_).mapInArrow(_crossing(threshold, most), "u long, v long, more boolean")
-        pairs = table(spark, pairs.groupBy("u", "v").agg(F.max("more").alias("more")), "pairs")
+        rooted = open_.join(root, "key", "left").select("key", *_F, F.coalesce("root", "key").alias("root"), "size", "parity")
+        rooted = table(spark, rooted, "rooted")
+        pairs = table(spark, crossing(spark, rooted, rows, threshold, most), "pairs")
         new = table(spark, verified(pairs.join(tested, ["u", "v"], "left_anti"), sets, threshold), "verified")
-        good, tested = good.union(new), tested.union(pairs.select("u", "v"))
-        if not pairs.agg(F.max("more")).first()[0]:
-            return simhash.components(spark, good).withColumnRenamed("node", "key") if new.limit(1).count() else root
-        most *= 8
+        of_u, of_v = (rooted.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
+        steps = simhash.components(spark, new.join(of_u, "u").join(of_v, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+        root = rooted.select("key", "root").join(steps.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("key", F.coalesce("to", "root").alias("root"))
+        root = table(spark, root, "roots")
+        if pairs.filter("more").isEmpty():
+            return root
+        tested = tested.union(pairs.select("u", "v"))
+        most *= 16
 
 
 def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -391,27 +413,34 @@ def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(shared >= threshold * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
 
-_TEXT_HASH = "_text_hash"
+def _hashed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of text hashes, and its name."""
+    name = free_name(docs, "text_hash")
+    return docs.withColumn(name, F.xxhash64(F.lit(1), "text")), name
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _only(docs: DataFrame, wanted: DataFrame, text_hash: str) -> DataFrame:
     """The docs of these ids and text hashes (id, h)."""
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs[_TEXT_HASH] == wanted["h"]), "left_semi")
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs[text_hash] == wanted["h"]), "left_semi")
+
+
+def _first(text_hash: str):
+    """What orders documents: the id (nulls last), then the text hash."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(text_hash).alias("h"))
 
 
-def _grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> DataFrame:
+def _grouped(spark: SparkSession, docs: DataFrame, text_hash: str, threshold: float) -> DataFrame:
     """doc_id, the text's hash and ``root``, a node of its component, of each document."""
-    of_text = F.xxhash64(F.lit(1), "text").alias(_TEXT_HASH)
-    made = table(spark, sketches(docs, of_text), "sketches")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(_TEXT_HASH).alias("h"))
-    nodes = table(spark, made.groupBy("key").agg(F.min(first).alias("k"), F.min("f0").alias("f0"), F.min("f1").alias("f1")), "nodes")
-    edges = table(spark, candidates(spark, nodes.select("key", "f0", "f1")), "edges")
-    ends = edges.select(F.col("u").alias("key")).union(edges.select(F.col("v").alias("key"))).distinct()
-    wanted = nodes.join(ends, "key", "left_semi").select("k.id", "k.h")
-    texts = _only(docs.select("doc_id", "text", of_text), wanted)
+    made = table(spark, sketches(docs, F.col(text_hash)), "sketches")
+    nodes = made.groupBy("key").agg(F.min(_first(text_hash)).alias("k"), *(F.min(f).alias(f) for f in _F))
+    nodes = table(spark, nodes.select("key", *_F, "k"), "nodes")
+    rows, plain = nodes.count(), nodes.select("key", *_F)
+    links = table(spark, candidates(spark, plain, rows), "links")
+    wanted = nodes.join(links, "key", "left_semi").select("k.id", "k.h")
+    texts = _only(docs.select("doc_id", "text", text_hash), wanted, text_hash)
     sets = table(spark, shingle_sets(texts).dropDuplicates(["key"]), "shingles")
-    root = joined(spark, nodes.select("key", "f0", "f1"), edges, sets, threshold)
-    return made.select("doc_id", "key", _TEXT_HASH).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    root = joined(spark, plain, links, sets, rows, threshold)
+    return made.select("doc_id", "key", text_hash).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -423,7 +452,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, threshold: float = THRESHO
     null doc_id is grouped like any other and names no group.  Repeated rows stay;
     an empty table gives no rows.
     """
-    made = table(spark, _grouped(spark, docs, threshold), "grouped")
+    hashed, text_hash = _hashed(docs)
+    made = table(spark, _grouped(spark, hashed, text_hash, threshold), "grouped")
     name = made.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return made.join(name, "root").select("doc_id", "component_id")
 
@@ -432,11 +462,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, threshold: float = TH
     """docs, with all their columns, with one row of each group: that of the
     smallest doc_id (nulls last; of rows that share it, the smallest text hash).
     """
-    made = _grouped(spark, docs, threshold)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(_TEXT_HASH).alias("h"))
-    kept = table(spark, made.groupBy("root").agg(F.min(first).alias("k")).select("k.id", "k.h"), "kept")
-    out = _only(docs.withColumn(_TEXT_HASH, F.xxhash64(F.lit(1), "text")), kept)
-    again = made.groupBy("doc_id", _TEXT_HASH).count().filter("count > 1").limit(1).count()
+    hashed, text_hash = _hashed(docs)
+    made = _grouped(spark, hashed, text_hash, threshold)
+    kept = made.groupBy("root").agg(F.min(_first(text_hash)).alias("k")).select("k.id", "k.h")
+    out = _only(hashed, table(spark, kept, "kept"), text_hash)
+    again = made.groupBy("doc_id", text_hash).count().filter("count > 1").limit(1).count()
     if again:  # rows that repeat both id and text
-        out = out.dropDuplicates(["doc_id", _TEXT_HASH])
-    return out.drop(_TEXT_HASH)
+        out = out.dropDuplicates(["doc_id", text_hash])
+    return out.drop(text_hash)

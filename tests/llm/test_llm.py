@@ -543,14 +543,13 @@ def test_drop_near_copies(spark):
 def test_near_copies_meet():
     """Of pairs at the similarity 0.8 most, and at 0.9 nearly all, share an anchor."""
     r = np.random.default_rng(6)
-    for similarity, least in ((0.8, 0.86), (0.9, 0.98)):
+    for similarity, least in ((0.8, 0.93), (0.9, 0.99)):
         cut = int(400 * 2 * similarity / (1 + similarity))
         met = 0
         for _ in range(300):
             a = r.integers(0, 1 << 63, 800, dtype=np.uint64)
             h = np.concatenate([a[:400], a[:cut], a[400 : 800 - cut]])
-            f = near_copies._bits(h, np.repeat([0, 1], 400), 2).view("<i8")
-            x = near_copies.anchors(f[:, 0].copy(), f[:, 1].copy())
+            x = near_copies.anchors(near_copies._bits(h, np.repeat([0, 1], 400), 2))
             met += (x[:, 0] == x[:, 1]).any()
         assert met >= 300 * least
 
@@ -570,11 +569,11 @@ def templated_rows(n=300, copies=100):
 
 
 def test_near_copies_of_a_template(spark):
-    """Every similar pair that meets is joined, though its forest may link both to others."""
+    """Every similar pair that meets is joined, though its leaders may be others."""
     rows = templated_rows()
     made = {r.doc_id: r for r in near_copies.sketches(frame(spark, rows)).collect()}
-    f0, f1 = (np.array([made[i][c] for i, _ in rows]) for c in ("f0", "f1"))
-    x, sets = near_copies.anchors(f0, f1), [shingle_set(t) for _, t in rows]
+    f0, f1, f2, f3 = (np.array([made[i][c] for i, _ in rows]) for c in ("f0", "f1", "f2", "f3"))
+    x, sets = near_copies.anchors(np.stack([f0, f1, f2, f3], axis=1)), [shingle_set(t) for _, t in rows]
     root = list(range(len(rows)))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
@@ -590,10 +589,10 @@ def test_near_copies_of_a_template(spark):
 def test_crossing_pairs_in_many_rounds(spark):
     """The number of a text's pairs in the first round changes nothing."""
     docs = frame(spark, templated_rows(60, 30))
-    nodes = near_copies.sketches(docs).select("key", "f0", "f1")
-    sets, edges = near_copies.shingle_sets(docs), near_copies.candidates(spark, nodes)
-    once, slow = ({(r.key, r.root) for r in near_copies.joined(spark, nodes, edges, sets, 0.8, most).collect()} for most in (1000, 1))
-    assert once == slow and len(once) >= 20
+    nodes = near_copies.sketches(docs).select("key", "f0", "f1", "f2", "f3")
+    sets, links = near_copies.shingle_sets(docs), near_copies.candidates(spark, nodes, 90)
+    once, slow = ({(r.key, r.root) for r in near_copies.joined(spark, nodes, links, sets, 90, 0.8, most).collect()} for most in (1000, 1))
+    assert once == slow and sum(k != r for k, r in once) >= 20
 
 
 def test_parities_rule_out_no_similar_pair():
@@ -608,18 +607,59 @@ def test_parities_rule_out_no_similar_pair():
             assert alike or cut < 0.8 * (2 * n - cut)
 
 
-def test_spanning_forest_is_least():
+def test_leaders():
+    """Each row with a close one is in a link, and links are close."""
     r = np.random.default_rng(9)
-    f0 = r.integers(0, 1 << 63, 40, dtype=np.uint64) & np.uint64(0xFFFF)
-    f1 = np.zeros(40, np.uint64)
-    u, v, d = near_copies.spanning_forest(f0, f1, far=5)
-    edges = sorted((int(a ^ b).bit_count(), i, j) for i, a in enumerate(f0.tolist()) for j, b in enumerate(f0.tolist()) if i < j)
-    root, total = list(range(40)), []
-    for gap, i, j in edges:
-        if gap <= 5 and root[i] != root[j]:
-            total.append(gap)
-            root = [root[i] if x == root[j] else x for x in root]
-    assert sorted(d.tolist()) == total and all(int(f0[a] ^ f0[b]).bit_count() == g for a, b, g in zip(u, v, d.tolist(), strict=True))
+    f0 = r.integers(0, 1 << 63, 200, dtype=np.uint64) & np.uint64(0xFFFF)
+    f1 = np.zeros(200, np.uint64)
+    row, lead = near_copies.leaders(f0, f1, far=3)
+    gap = np.bitwise_count(f0[:, None] ^ f0[None, :]) + 99 * np.eye(200, dtype=np.int64)
+    assert (gap[row, lead] <= 3).all() and len(row) <= 200
+    assert set(row.tolist()) | set(lead.tolist()) == set(np.flatnonzero((gap <= 3).any(axis=1)).tolist())
+
+
+def planted_rows(r, groups, size, length, lowest):
+    """Groups of near copies: an original and copies that share ``lowest`` to all of its shingles."""
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{r.randrange(4000)}" for _ in range(length)]
+        for k in range(size):
+            w = list(base)
+            if k:
+                share = r.uniform(lowest, 1)
+                n = max(1, int(length * (1 - share) / (1 + share)))  # words of one changed passage
+                at = r.randrange(length - n)
+                w[at : at + n] = [f"c{g}x{k}y{r.randrange(4000)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs of the original and a copy by similarity, small groups and dense ones; at least 0.9 each."""
+    r = random.Random(17)
+    rows = planted_rows(r, 120, 2, 150, 0.78) + [(i + 1000, x) for i, x in planted_rows(r, 2, 150, 150, 0.8)]
+    rows = [(i, x) for i, (_, x) in enumerate(rows)]
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(spark, frame(spark, rows)).collect()}
+    sets = [shingle_set(x) for _, x in rows]
+    bands = {}
+    for i, a in enumerate(sets):
+        for j in range(max(0, i - 150), i):
+            alike = len(a & sets[j]) / len(a | sets[j])
+            if alike >= 0.8:
+                band = bands.setdefault(min(int(alike * 20), 18), [0, 0])
+                band[0] += 1
+                band[1] += got[i] == got[j]
+    assert sorted(bands) == [16, 17, 18] and all(linked >= 0.9 * n for n, linked in bands.values()), bands
+    assert sum(n for n, _ in bands.values()) > 2000
+
+
+def test_bands_grow_with_free_bits():
+    """A larger table gets more free bits and the bands that keep its recall."""
+    assert near_copies.shape(0) == near_copies.shape(1 << 28) == (96, 7)
+    assert near_copies.shape(1 << 30) == (134, 9)
+    f = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, (5, 4))
+    x = near_copies.anchors(f, *near_copies.shape(1 << 30))
+    assert x.shape == (134, 5) and len(np.unique(x >> 24)) == 134
 
 
 # -- op 7 ----------------------------------------------------------------------------
