@@ -61,6 +61,42 @@ def test_exchange_text(spark):
     assert {(x.rec_no, x.round) for x in ex.removed(c).collect()} == {(0, 0), (1, 0), (2, 0), (6, 1), (7, 1)}
 
 
+def test_structure_of_records(spark):
+    """Brackets, commas and references within strings are none; blanks don't count."""
+    rows = [
+        "#1 = SURFACE_SIDE_STYLE ( 'a,(b#9' , ( #2 , #3 ) ) ;",
+        "#2=TESSELLATED_SOLID($,(#7),#5);",
+        "#3=( LENGTH_UNIT() NAMED_UNIT(*) SI_UNIT($,.METRE.) X(#1,RATIO(2.),'Y(') );",
+        "#4=COMPLEX_TRIANGULATED_FACE('x,(),y',#5,3,((0.,0.,1.)),$,(1,2,3),((1)));",
+        "#5=GROUP_RELATIONSHIP('n',$,#1,#2);",
+        "#6=GROUP_RELATIONSHIP( $ , $ , #1,#2);",
+        "#7=PRODUCT_DEFINITION_SHAPE($ , $,#7);",
+        "#8=(REPRESENTATION_RELATIONSHIP($, $,#1,#2)SHAPE_REPRESENTATION_RELATIONSHIP($,#4));",
+        "#x=A(1);",
+        "#9=",
+        "# 10=A(1);",
+        "#11=1A(#2);",
+        "#99999999999999999999=A(1);",
+        "",
+        "#12=SURFACE_STYLE_RENDERING_WITH_PROPERTIES( .NORMAL_SHADING. ,#4,(#5));",
+        "#13=APPLIED_GROUP_ASSIGNMENT ( #9 , $ ) ;",
+        "#14=APPLIED_GROUP_ASSIGNMENT('#9',$);",
+        None,
+    ]
+    c = {x.rec_no: x for x in ex.classify(spark.createDataFrame(list(enumerate(rows)), "rec_no long, text string")).withColumn("bad", t.broken(F.col("norm"), F.col("kind"))).withColumn("new", t.patched(F.col("norm"), F.col("kind"))).collect()}
+    assert [c[i].entity_id for i in range(len(rows))] == [1, 2, 3, 4, 5, 6, 7, 8, None, 9, None, 11, None, None, 12, 13, 14, None]
+    assert c[0].kind == "SURFACE_SIDE_STYLE" and c[0].refs == [2, 3] and c[0].name == "'a,(b#9'" and c[0].types == ["SURFACE_SIDE_STYLE"]
+    assert c[1].refs == [] and c[1].kind == "TESSELLATED_SOLID"
+    assert c[2].kind == "UNKNOWN" and c[2].types == ["LENGTH_UNIT", "NAMED_UNIT", "SI_UNIT", "X", "RATIO"]
+    assert [i for i in c if c[i].bad] == [15]
+    assert {i: c[i].new for i in c if c[i].new} == {
+        5: "#6=GROUP_RELATIONSHIP('','', #1,#2);",
+        6: "#7=PRODUCT_DEFINITION_SHAPE('',$,#7);",
+        7: "#8=(REPRESENTATION_RELATIONSHIP('', $,#1,#2)SHAPE_REPRESENTATION_RELATIONSHIP('',#4));",
+    }
+    assert c[8].kind == c[13].kind == c[17].kind == "NON_ENTITY" and c[11].kind == "UNKNOWN" and c[11].types == []
+
+
 def test_lines_become_records(spark):
     lines = ["ISO;", "#1=A(1,", " 2);", "", "#2=B(", "#3)", ");", "#4=C("]
     d = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
