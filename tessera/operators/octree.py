@@ -1,22 +1,32 @@
 """Loose octrees without recursion.
 
 An item's way down the tree depends on its own centre alone, so its path (a
-digit 0-7 per level) is a row-local expression.  Counts of all prefixes come from
-one aggregate over prefixes, after equal paths have been counted.  The stop rule
-holds for all descendants once it holds, so a prefix is a node iff its parent
-does not stop: one join on the parent's path.  Ids follow from sorting.
+digit 0-7 per level) is a row-local expression.  Counts of prefixes come from
+aggregates over prefixes, ``LEVELS`` levels at a time: items are counted by the
+longest prefix of these levels, and only that is expanded; the next levels are
+counted for the items of nodes that go on.  The stop rule holds for all
+descendants once it holds, so a prefix is a node iff its parent does not stop: one
+join on the parent's path.  In the order of paths a leaf is followed by its items,
+so one sort by range finds each item's leaf.  Ids follow from sorting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.operators.ids import dense_ids
 from tessera.storage import written
 
+#: Levels that are counted in one step.
+LEVELS = 7
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -31,6 +41,8 @@ class Rules:
 
 def root_box(items: DataFrame) -> DataFrame:
     """One row: the box around all items."""
+    if "root" in items.columns:
+        return items.agg(F.first("root").alias("root"))
     return items.agg(F.struct(*g.union_of(F.col("box"))).alias("root"))
 
 
@@ -60,16 +72,24 @@ def path(center: dict[str, Column], root: Column, depth: int, loose: float) -> C
 
 
 def with_paths(items: DataFrame, rules: Rules) -> DataFrame:
-    """items (id, box, triangles) and the path of each; void boxes go to octant 0."""
+    """items (id, box, triangles, ...), the root's box and the path of each; void boxes go to octant 0."""
+    if "path" in items.columns:
+        return items
     root = root_box(items)
     center = {a: F.coalesce(g.center(F.col("box"), a), F.lit(float("-inf"))) for a in g.AXES}
     return items.crossJoin(F.broadcast(root)).withColumn("path", path(center, F.col("root"), rules.max_depth, rules.loose))
 
 
-def prefix_counts(paths: DataFrame, rules: Rules) -> DataFrame:
-    """(path, depth, n_items, tri_sum, first_id, stop) of all prefixes of all paths."""
-    whole = paths.groupBy("path").agg(F.count("*").alias("n"), F.sum("triangles").alias("t"), F.min("id").alias("i"), F.first(g.max_side(F.col("root"))).alias("side"))
-    each = whole.select(F.explode(F.sequence(F.lit(0), F.lit(rules.max_depth))).alias("depth"), "path", "n", "t", "i", "side")
+def placed(items: DataFrame, rules: Rules) -> DataFrame:
+    """``with_paths``, written once for all that is made of it."""
+    return written(with_paths(items, rules), "placed")
+
+
+def _counted(rows: DataFrame, low: int, high: int, rules: Rules) -> DataFrame:
+    """(path, depth, n_items, tri_sum, first_id, stop) of the prefixes of low..high digits."""
+    longest = F.substring("path", 1, high).alias("path")
+    whole = rows.groupBy(longest).agg(F.count("*").alias("n"), F.sum("triangles").alias("t"), F.min("id").alias("i"), F.first("side").alias("side"))
+    each = whole.select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"), "path", "n", "t", "i", "side")
     counts = each.groupBy(F.substring("path", 1, F.col("depth")).alias("path"), "depth").agg(F.sum("n").alias("n_items"), F.sum("t").cast("long").alias("tri_sum"), F.min("i").alias("first_id"), F.first("side").alias("side"))
     small = F.col("side") * F.pow(F.lit(rules.loose / 2), F.col("depth")) <= F.greatest(F.lit(1e-6), F.lit(rules.min_side))
     stop = (F.col("depth") >= rules.max_depth) | (F.col("n_items") <= rules.max_items) | (F.col("tri_sum") <= rules.max_triangles) | small
@@ -80,35 +100,61 @@ def nodes(items: DataFrame, rules: Rules) -> DataFrame:
     """path, depth, n_items, tri_sum, first_id, is_leaf of every node.
 
     Nodes are few (a share of items / max_items) and are used many times, so they
-    are written to the shared folder once.
+    are written to the shared folder, once for each ``LEVELS`` levels.
     """
-    counts = prefix_counts(with_paths(items, rules), rules)
-    going = counts.filter(~F.col("stop")).select(F.col("path").alias("_parent"), F.col("depth").alias("_depth"))
-    below = counts.filter("depth > 0").join(going, (F.substring("path", 1, F.col("depth") - 1) == F.col("_parent")) & (F.col("depth") - 1 == F.col("_depth")), "left_semi")
-    return written(counts.filter("depth = 0").unionByName(below).withColumnRenamed("stop", "is_leaf"), "nodes")
-
-
-def membership(items: DataFrame, tree: DataFrame, rules: Rules) -> DataFrame:
-    """(path, item id) of the leaf that each item lies in."""
-    each = with_paths(items, rules).select("id", "path", F.explode(F.sequence(F.lit(0), F.lit(rules.max_depth))).alias("depth"))
-    leaves = tree.filter("is_leaf").select(F.col("path").alias("leaf"), F.col("depth").alias("leaf_depth"))
-    met = each.select("id", F.substring("path", 1, F.col("depth")).alias("_prefix"), "depth").join(leaves, (F.col("_prefix") == F.col("leaf")) & (F.col("depth") == F.col("leaf_depth")))
-    return met.select(F.col("leaf").alias("path"), F.col("id").alias("item_id"))
+    rows = with_paths(items, rules).select("id", "triangles", "path", g.max_side(F.col("root")).alias("side"))
+    tree = None
+    for low in range(0, rules.max_depth + 1, LEVELS):
+        high = min(low + LEVELS - 1, rules.max_depth)
+        counts = written(_counted(rows, low, high, rules), "prefixes")
+        going = counts.filter(~F.col("stop")).select(F.col("path").alias("_parent"), F.col("depth").alias("_depth"))
+        parent = (F.substring("path", 1, F.col("depth") - 1) == F.col("_parent")) & (F.col("depth") - 1 == F.col("_depth"))
+        below = counts.filter(F.col("depth") > low).join(going, parent, "left_semi")
+        level = written(counts.filter(F.col("depth") == low).unionByName(below).withColumnRenamed("stop", "is_leaf"), "nodes")
+        tree = level if tree is None else tree.unionByName(level)
+        on = level.filter((F.col("depth") == high) & ~F.col("is_leaf")).select(F.col("path").alias("_on"))
+        if on.isEmpty():
+            break
+        rows = rows.join(on, F.substring("path", 1, high) == F.col("_on"), "left_semi")
+    return tree
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows: each takes the last leaf at or before it in its partition, if any."""
+    last = pa.scalar(None, pa.string())
+    for b in batches:
+        if b.num_rows:
+            leaf = pc.fill_null_forward(pa.concat_arrays([pa.array([last.as_py()], pa.string()), b.column("leaf")])).slice(1)
+            last = leaf[-1]
+            yield b.set_column(b.schema.get_field_index("leaf"), "leaf", leaf)
+
+
+def membership(items: DataFrame, tree: DataFrame, rules: Rules, *keep: str) -> DataFrame:
+    """(path, item id, further columns of items) of the leaf that each item lies in.
+
+    Leaves and items are sorted by range together; the leaf of the first items of
+    a partition is the last of the partitions before, one row each.
+    """
+    depth = rules.max_depth
+    mine = with_paths(items, rules).select(F.col("path").alias("_key"), F.lit(None).cast("string").alias("leaf"), F.col("id").alias("item_id"), *keep)
+    first = tree.filter("is_leaf").select(F.rpad(F.concat("path"), depth, "0").alias("_key"), F.col("path").alias("leaf"))
+    both = mine.withColumn("_item", F.lit(1)).unionByName(first.withColumn("_item", F.lit(0)), allowMissingColumns=True)
+    order = ["_key", "_item", "item_id"]
+    rows = both.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.mapInArrow(_carried, rows.schema).withColumn("_part", F.spark_partition_id()), "members")
+    ends = rows.filter("_item = 0").groupBy("_part").agg(F.max_by("leaf", "_key").alias("_last"), F.max("_key").alias("_end"))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n")).join(ends, "_part", "left")  # a row for each partition
+    before = F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carry = parts.select("_part", before.alias("_before"))
+    return rows.filter("_item = 1").join(F.broadcast(carry), "_part").select(F.coalesce("leaf", "_before").alias("path"), "item_id", *keep)
 
 
 def with_tile_ids(tree: DataFrame) -> DataFrame:
     """tile_id in post-order: children before parents, octant by octant.
 
-    Nodes are few (items / max_items), and the sort key alone orders them: a
-    digit after all octants, 8, closes a path.
+    The sort key alone orders them: a digit after all octants, 8, closes a path.
     """
-    last = F.concat("path", F.lit("8"))
-    part = tree.withColumn("_top", F.substring(last, 1, 2))
-    size = part.groupBy("_top").agg(F.count("*").alias("_n"))
-    # at most 73 values of two digits: offsets of the branches, then numbers within each
-    offset = size.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_top").orderBy(last)
-    return part.join(F.broadcast(offset), "_top").withColumn("tile_id", (F.col("_offset") + F.row_number().over(within) - 1).cast("long")).drop("_top", "_offset")
+    return dense_ids(tree.withColumn("_closed", F.concat("path", F.lit("8"))), ["_closed"], "tile_id").drop("_closed")
 
 
 def _toward(bit: int, side: Column):

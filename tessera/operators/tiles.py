@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
@@ -34,19 +34,24 @@ def with_parents(tiles: DataFrame, *columns: str) -> DataFrame:
 
 
 def tile_errors(tiles: DataFrame) -> DataFrame:
-    """The error written for each tile: 0 at leaves, and below 0.97 of the parent's.
+    """The error written for each tile: 0 at leaves, else the tile's own, but at most
+    0.97 of what its parent's is, all the way from the root.
 
-    A tile's diagonal is a fixed share of its parent's, so the parent's written
-    error is its own; ``loose`` factors of 1.94 and more would need a fold down
-    the tree (parent_own_error is then not final)."""
-    t = with_parents(tiles, "own_error")
-    capped = F.least("own_error", F.coalesce(F.col("parent_own_error") * 0.97, F.col("own_error")))
-    return t.withColumn("tile_error", F.when(F.col("is_leaf"), 0.0).otherwise(capped))
-
-
-def cull_small(members: DataFrame, items: DataFrame, tiles: DataFrame, ratio: float = 1e-3) -> DataFrame:
-    """Members whose diagonal is at least ``ratio`` of their tile's (0: all)."""
-    joined = members.join(items.select(F.col("id").alias("item_id"), "box"), "item_id").join(tiles.select("path", F.col("diagonal").alias("_tile")), "path")
+    Tiles of a level have one size and so one error; what the levels above leave
+    of it is one window over the levels, at most 21 rows.
+    """
+    level = tiles.groupBy("depth").agg(F.min("own_error").alias("_own"))
+    shrink = F.pow(F.lit(0.97), F.col("depth"))
+    down = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.min(F.col("_own") / shrink).over(down) * shrink
+    cap = level.select(F.col("depth").alias("_level"), above.alias("_cap"))
+    t = tiles.join(F.broadcast(cap), F.col("depth") == F.col("_level"), "left")
+    return t.withColumn("tile_error", F.when(F.col("is_leaf"), 0.0).otherwise(F.least("own_error", F.coalesce("_cap", "own_error")))).drop("_level", "_cap")
+
+
+def cull_small(members: DataFrame, tiles: DataFrame, ratio: float = 1e-3) -> DataFrame:
+    """Members (path, item_id, box) whose diagonal is at least ``ratio`` of their tile's (0: all)."""
+    joined = members.join(tiles.select("path", F.col("diagonal").alias("_tile")), "path")
     keep = F.col("box").isNotNull() & (F.lit(ratio <= 0) | (g.diagonal(F.col("box")) / F.greatest(F.col("_tile"), F.lit(1e-12)) >= ratio))
     return joined.filter(keep).select("path", "item_id")
 

@@ -6,7 +6,8 @@ from tessera.plans.bindings import RECORDS
 
 ORACLES: dict[str, str] = {}
 
-DEPTH = 12
+#: Levels of the trees, as of the production rules.
+DEPTH = 20
 
 
 def n(x) -> str:
@@ -120,10 +121,10 @@ def _middle(axis: str, bit: int) -> str:
 q("tileset_rows", f"""SELECT path, tile_id, 'tile_' || tile_id || '.b3dm' AS uri, round({_middle('x', 1)} + {n(0.00012345)}, 3) AS b1, round(-({_middle('z', 4)}) + {n(0.00012345)}, 3) AS b2, round({_middle('y', 2)} + {n(0.00012345)}, 3) AS b3,
   round((rxmax - rxmin) * pow({n(0.9)}, len(path)) * {n(0.5)} + {n(0.00012345)}, 3) AS b4, round(CASE WHEN is_leaf THEN 0 ELSE own_error END, 6) AS error
 FROM (SELECT *, row_number() OVER (ORDER BY path || '8') - 1 AS tile_id FROM settings), root""", _K)
-_BOTTOM = "b6 AS (SELECT path, depth, tri_sum AS content FROM nodes WHERE depth = 6)"
-for _d in range(5, -1, -1):
+_BOTTOM = f"b{DEPTH} AS (SELECT path, depth, tri_sum AS content FROM nodes WHERE depth = {DEPTH})"
+for _d in range(DEPTH - 1, -1, -1):
     _BOTTOM += f", b{_d} AS (SELECT path, depth, tri_sum AS content FROM nodes WHERE depth = {_d} AND is_leaf UNION ALL SELECT left(path, {_d}), {_d}, CAST(sum(content // 2) AS BIGINT) FROM b{_d + 1} GROUP BY 1)"
-q("bottom_up_triangles", " UNION ALL ".join(f"SELECT path, content FROM b{k}" for k in range(7)), f"{tree(6)}, {_BOTTOM}")
+q("bottom_up_triangles", " UNION ALL ".join(f"SELECT path, content FROM b{k}" for k in range(DEPTH + 1)), f"{TREE}, {_BOTTOM}")
 _FIT = f"r / sin(radians({n(60.0)}) / 2)"
 q("camera_fit", f"SELECT round({_FIT} * {n(1.2)}, 6) AS distance, round(greatest({_FIT} / 1000, {n(0.01)}), 6) AS near, round({_FIT} * 20, 6) AS far, round(greatest(r * {n(0.5)}, {n(1.0)}), 6) AS speed FROM (SELECT sqrt((rxmax - rxmin) * (rxmax - rxmin) + (rymax - rymin) * (rymax - rymin) + (rzmax - rzmin) * (rzmax - rzmin)) / 2 AS r FROM root)")
 q("tessellation_policies", f"""SELECT p_partkey AS occ_id, round(d * {n(2e-3)} * {n(0.5)}, 9) AS high_linear, round({n(3.0)} * {n(0.5)}, 9) AS high_angular,

@@ -8,18 +8,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset and the
+    master is this machine, as executors elsewhere would not see it."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
+        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if application not in _own:
+            _own[application] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        there = _own[application]
     return there.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what this application has written; results that still read it become void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

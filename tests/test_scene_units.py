@@ -285,3 +285,86 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("levels", [1, 3, 7])
+def test_octree_equals_a_recursive_build(spark, levels, monkeypatch):
+    """Clustered boxes, void ones and repeated places; nodes, members, ids and errors of a plain recursion."""
+    import random
+
+    monkeypatch.setattr(octree, "LEVELS", levels)
+    rules = octree.Rules(max_depth=9, max_items=3, max_triangles=20)
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        scale = 10.0 ** -r.randrange(5)
+        c = [r.random() * scale for _ in range(3)]
+        rows.append((i, None if i % 50 == 7 else tuple(x - 0.001 for x in c) + tuple(x + 0.001 for x in c), 1 + i % 4))
+    rows += [(300 + i, rows[0][1], 9) for i in range(12)]
+    items = spark.createDataFrame(rows, "id long, box struct<xmin:double,ymin:double,zmin:double,xmax:double,ymax:double,zmax:double>, triangles long").repartition(5)
+    boxes = [b for _, b, _ in rows if b]
+    low, high = [min(b[k] for b in boxes) for k in range(3)], [max(b[k + 3] for b in boxes) for k in range(3)]
+    wanted, member = {}, {}
+
+    def divide(path, center, inside):
+        d = len(path)
+        n, t = len(inside), sum(x[2] for x in inside)
+        side = max(h - a for a, h in zip(low, high, strict=True)) * (rules.loose / 2) ** d
+        leaf = d >= rules.max_depth or n <= rules.max_items or t <= rules.max_triangles or side <= 1e-6
+        wanted[path] = (d, n, t, min(x[0] for x in inside), leaf)
+        if leaf:
+            member.update({x[0]: path for x in inside})
+            return
+        step = [0.25 * (rules.loose / 2) ** d * (h - a) for a, h in zip(low, high, strict=True)]
+        parts = {}
+        for x in inside:
+            mid = [(x[1][k] + x[1][k + 3]) * 0.5 if x[1] else float("-inf") for k in range(3)]
+            parts.setdefault(sum(1 << k for k in range(3) if mid[k] - center[k] >= 0), []).append(x)
+        for k, part in parts.items():
+            divide(path + str(k), [c + s * (1 if k >> i & 1 else -1) for i, (c, s) in enumerate(zip(center, step, strict=True))], part)
+
+    divide("", [(a + b) / 2 for a, b in zip(low, high, strict=True)], rows)
+    assert max(map(len, wanted)) >= 7
+    placed = octree.placed(items, rules)
+    tree = octree.nodes(placed, rules)
+    assert {x.path: (x.depth, x.n_items, x.tri_sum, x.first_id, x.is_leaf) for x in tree.collect()} == wanted
+    assert {x.item_id: x.path for x in octree.membership(placed, tree, rules, "triangles").collect()} == member
+    order = {p: k for k, p in enumerate(sorted(wanted, key=lambda p: p + "8"))}
+    assert {x.path: x.tile_id for x in octree.with_tile_ids(tree).collect()} == order
+
+
+def test_tile_errors_shrink_all_the_way_down(spark):
+    """Levels that hardly shrink: each is at most 0.97 of what its parent's is."""
+    own = [10.0, 9.9, 9.8, 5.0, 4.99]
+    t = spark.createDataFrame([("0" * d, d, e, d == 4) for d, e in enumerate(own)], "path string, depth int, own_error double, is_leaf boolean")
+    got = {x.depth: x.tile_error for x in tiles.tile_errors(t).collect()}
+    wanted = [own[0]]
+    for e in own[1:]:
+        wanted.append(min(e, 0.97 * wanted[-1]))
+    assert all(abs(got[d] - w) < 1e-9 for d, w in enumerate(wanted[:-1])) and got[4] == 0.0
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    """Tables lie in a folder of the application, which can be deleted; a cluster must name it."""
+    import os
+
+    from tessera import storage
+
+    assert storage._home(spark).endswith(f"/tessera/{spark.sparkContext.applicationId}")
+    monkeypatch.setattr(storage, "_home", lambda spark: f"file://{tmp_path}/shared/tessera/app")
+    assert storage.written(spark.range(3), "x").count() == 3 and len(os.listdir(tmp_path / "shared/tessera/app")) == 1
+    storage.forget(spark)
+    assert os.listdir(tmp_path / "shared/tessera") == []
+
+    class Other:
+        master, applicationId = "spark://host:7077", "a"
+
+        def get(self, key, default):
+            return default
+
+    other = Other()
+    other.conf = other.sparkContext = other
+    with pytest.raises(ValueError):
+        storage.shared_dir(other)
+    other.master = "local[2]"
+    assert storage.shared_dir(other) == storage.shared_dir(other)
