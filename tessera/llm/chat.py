@@ -133,33 +133,52 @@ _JSON = {
 } | {x.name: ", ".join(f"{f} string" for f in x.fields) for x in LAYOUTS if x.turns is not None and not any("[]" in f for f in x.fields)}
 
 
-def canonical_turns_json(df: DataFrame, column: str, conv_id: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, role, text) of JSON texts, whose layouts may differ by row.
+def _json_layouts(column: str) -> Column:
+    """The name of a JSON text's layout: that with the fingerprint of its known key
+    paths, else, as in ``layout_of``, that of most fields they contain; else null.
 
-    Each row's key paths (top level, and those of the first element of a list of
-    turns) are sorted and hashed, and the hash selects the row's layout.  Rows of
-    no known layout, and texts that are not JSON objects, have no turns.
-    """
+    The keys of all elements of a list of turns count, not only of the first."""
     top = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+    lists = F.from_json(column, "messages array<map<string,string>>, conversations array<map<string,string>>")
 
     def inner(name: str) -> Column:
-        keys = F.coalesce(F.json_object_keys(F.get_json_object(column, f"$.{name}[0]")), F.array().cast("array<string>"))
-        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
+        keys = F.array_distinct(F.flatten(F.transform(lists[name], F.map_keys)))
+        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast("array<string>"))
 
     known = F.array(*[F.lit(p) for p in sorted(_KNOWN)])
     own = F.array_sort(F.array_intersect(F.concat(top, inner("messages"), inner("conversations")), known))
     mark = F.substring(F.sha2(F.array_join(own, "\n"), 256), 1, 16)
-    parsed = df.select(F.col(conv_id).alias("conv_id"), F.col(column).alias("_json"), mark.alias("_mark"))
+    chosen = [x for x in LAYOUTS if x.name in _JSON]
+    exact = F.create_map(*[F.lit(y) for x in chosen for y in (x.fingerprint, x.name)])
+    inside = [F.when(F.size(F.array_except(F.array(*[F.lit(f) for f in x.fields]), own)) == 0, x.name) for x in sorted(chosen, key=lambda x: -len(x.fields))]
+    return F.coalesce(F.try_element_at(exact, mark), *inside)
+
+
+def canonical_turns_json(df: DataFrame, column: str, conv_id: str = "conv_id") -> DataFrame:
+    """(conv_id, turn, role, text) of JSON texts, whose layouts may differ by row.
+
+    Each row's key paths are sorted and hashed, and the hash selects the row's
+    layout; rows with further known fields take the layout of most of them.
+    Elements of a list that lack a role or a text have null there.  Rows of no
+    known layout have no turns here: ``unknown_json`` returns them.
+    """
+    parsed = df.select(F.col(conv_id).alias("conv_id"), F.col(column).alias("_json"), _json_layouts(column).alias("_layout"))
     turns = None
     for layout in LAYOUTS:
         if layout.name in _JSON:
             fields = F.from_json("_json", _JSON[layout.name])
-            part = parsed.filter(F.col("_mark") == layout.fingerprint).select("conv_id", fields.alias("_f")).select("conv_id", "_f.*")
+            part = parsed.filter(F.col("_layout") == layout.name).select("conv_id", fields.alias("_f")).select("conv_id", "_f.*")
             part = part.select("conv_id", F.posexplode(layout.turns()).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
             turns = part if turns is None else turns.unionByName(part)
     return turns
 
 
+def unknown_json(df: DataFrame, column: str) -> DataFrame:
+    """The rows, with all their columns, that ``canonical_turns_json`` has no layout
+    for: null texts, texts that are no JSON object, objects of other fields."""
+    return df.filter(_json_layouts(column).isNull())
+
+
 def format_conversations(turns: DataFrame, learnt: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, formatted, mask: the spans (start, length in code points) of
     ``formatted`` that hold the texts of the roles ``learnt``.

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,22 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import written
+
 #: Input bytes (as Catalyst estimates them) that one bucket of documents holds.
 BUCKET_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset (single-machine tests) a temporary folder is made.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows in this session, unless it names a number itself.
 
@@ -46,11 +34,9 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def table(spark: SparkSession, df: DataFrame, name: str, **options) -> DataFrame:
+def table(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it."""
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name, **{"compression": "zstd", **options})
 
 
 def estimated_bytes(df: DataFrame) -> int:

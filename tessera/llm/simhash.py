@@ -10,7 +10,7 @@ compared anchor by anchor, on all 64 bits.  No link is lost.
 
 Distinct fingerprints, not documents, are compared, so thousands of exact copies
 cost one row.  Of each anchor only the edges of a spanning forest leave the task,
-never all pairs.  Anchors that more rows visit than one task should hold are
+never all pairs.  Anchors that more than ``ANCHOR_ROWS`` rows visit are
 divided: homes and visitors are cut into parts, and each pair of parts is a group
 of its own.  Components follow from the edges by alternating star contraction,
 each round written to the shared folder.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import chunks, documents, flat, table, words
+from tessera.llm.common import chunks, documents, flat, free_name, table, words
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -132,17 +132,11 @@ def _visited(half: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _part(fp: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
-
-
-def _replicas(distance: int, divided: dict[int, int]):
-    """At home: (anchor, cell, fp, true); visiting: (anchor, cell, fp, false).
+def _replicas(distance: int):
+    """At home: (anchor, fp, true); visiting: (anchor, fp, false).
 
     The anchor is a long: which half, then the code word."""
     near = distance // 2  # by pigeonhole, in one of two halves
-    keys = np.array(sorted(divided), np.int64)
-    parts = np.array([divided[k] for k in keys.tolist()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,22 +148,11 @@ def _replicas(distance: int, divided: dict[int, int]):
                 home = np.zeros(len(anchor), bool)
                 home[: len(x)] = True
                 own = fp[np.concatenate([np.arange(len(x)), row])]
-                n = np.ones(len(anchor), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
-                    n = np.where(keys[at] == anchor, parts[at], 1)
-                again = np.repeat(np.arange(len(anchor)), n)
-                k = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
-                mine = _part(own, n)[again]
-                cell = np.where(home[again], mine * n[again] + k, k * n[again] + mine)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[again]), pa.array(cell), pa.array(own[again].view(np.int64)), pa.array(home[again])], names=["anchor", "cell", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(own.view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
 
     return run
 
 
-_REPLICAS = "anchor long, cell long, fp long, home boolean"
-
-
 def _popcount(x: np.ndarray) -> np.ndarray:
     low = np.uint64(0xFFFF)
     return _BITS[(x & low).astype(np.uint16)] + _BITS[((x >> np.uint64(16)) & low).astype(np.uint16)] + _BITS[((x >> np.uint64(32)) & low).astype(np.uint16)] + _BITS[(x >> np.uint64(48)).astype(np.uint16)]
@@ -268,13 +251,13 @@ def links(spark: SparkSession, fps: DataFrame, distance: int = 3) -> DataFrame:
     limit = 2 * (1 + distance // 2)
     if limit > 8:
         raise ValueError("at this distance too many anchors would be visited")
-    plain = fps.mapInArrow(_replicas(distance, {}), _REPLICAS)
-    # at most (rows / ANCHOR_ROWS) anchors; the bound rises with the rows, so the list stays short
-    rows = fps.count()
-    bound = max(ANCHOR_ROWS, rows // 500)
-    crowded = plain.groupBy("anchor").count().filter(F.col("count") > bound).collect()
-    divided = {r["anchor"]: -(-r["count"] // bound) for r in crowded}
-    dealt = fps.mapInArrow(_replicas(distance, divided), _REPLICAS) if divided else plain
+    plain = fps.mapInArrow(_replicas(distance), "anchor long, fp long, home boolean")
+    parts = F.ceil(F.col("count") / ANCHOR_ROWS).cast("long").alias("parts")
+    crowded = table(spark, plain.groupBy("anchor").count().filter(F.col("count") > ANCHOR_ROWS).select("anchor", parts), "crowded")
+    n = F.coalesce("parts", F.lit(1).cast("long"))
+    mine = F.pmod(F.xxhash64("fp"), n)
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.when(F.col("home"), mine * n + k).otherwise(k * n + mine))
+    dealt = plain.join(crowded, "anchor", "left").select("anchor", F.explode(cells).alias("cell"), "fp", "home")
     dealt = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", F.desc("home"))
     return dealt.mapInArrow(_groups(distance), "u long, v long").distinct()
 
@@ -332,13 +315,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = 3
     """docs, with all their columns, with one row of each component: that of the
     smallest doc_id (nulls last; of rows that share it, the smallest text hash).
     """
-    of_text = F.xxhash64(F.lit(1), "text").alias("_text_hash")
-    made = table(spark, fingerprints(docs, shingle, of_text), "fingerprints")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text_hash").alias("h"))
+    name = free_name(docs, "text_hash")
+    hashed = docs.withColumn(name, F.xxhash64(F.lit(1), "text"))
+    made = table(spark, fingerprints(hashed, shingle, F.col(name)), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(name).alias("h"))
     kept = _grouped(spark, made, distance).groupBy("root").agg(F.min(first).alias("k"), F.count("*").alias("n")).select("k.id", "k.h")
     kept = table(spark, kept, "kept")
-    out = docs.withColumn("_text_hash", of_text).join(kept, docs.doc_id.eqNullSafe(kept.id) & (F.col("_text_hash") == kept.h), "left_semi")
-    again = made.groupBy("doc_id", "_text_hash").count().filter("count > 1").limit(1).count()
+    out = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["id"]) & (hashed[name] == kept["h"]), "left_semi")
+    again = made.groupBy("doc_id", name).count().filter("count > 1").limit(1).count()
     if again:  # rows that repeat both id and text
-        out = out.dropDuplicates(["doc_id", "_text_hash"])
-    return out.drop("_text_hash")
+        out = out.dropDuplicates(["doc_id", name])
+    return out.drop(name)

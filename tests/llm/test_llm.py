@@ -234,6 +234,40 @@ def test_language_id_cases(spark):
     assert len(language_id.train(spark, d, sample=1).languages) == 2
 
 
+def test_language_id_against_brute_force(spark):
+    """Naive Bayes over hashed character n-grams, gram by gram in plain Python."""
+    import math
+    from collections import Counter
+
+    def mixed(h, size):
+        m = ((h ^ (size * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF
+        return (((m ^ (m >> 15)) * 0xC2B2AE35) & 0xFFFFFFFF) >> 16
+
+    def buckets(text):
+        x = [int.from_bytes(c.encode(), "big") if ord(c) > 0x20 else 0x20 for c in text.lower()]
+        for size in language_id.SIZES:
+            for i in range(len(x) - size + 1):
+                h = 0
+                for c in x[i : i + size]:
+                    h = (h * 0x9E3779B1 + c + 1) & 0xFFFFFFFF
+                yield mixed(h, size) % language_id.BUCKETS
+
+    rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "кот и собака", "ru"), (4, "猫と犬がいる", "ja"), (5, "a dog", "en"), (6, "собака\tи 犬", None), (7, "Ein Hund 🙂 and", None), (8, "x", None), (9, "the dog " * 3000, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs = sorted({lang for _, _, lang in rows if lang})
+    count = {k: Counter(b for _, x, lang in rows if lang == k for b in buckets(x)) for k in langs}
+    docs_of = Counter(lang for _, _, lang in rows if lang)
+    got = {r.doc_id: r for r in language_id.predict(spark, d, language_id.train(spark, d)).collect()}
+    for i, text, _ in rows:
+        grams = list(buckets(text))
+        total = {k: sum(math.log((count[k][b] + 0.5) / (sum(count[k].values()) + 0.5 * language_id.BUCKETS)) for b in grams) for k in langs}
+        prior = {k: math.log((docs_of[k] + 1) / (sum(docs_of.values()) + len(langs))) for k in langs}
+        best = max(langs, key=lambda k: total[k] + prior[k])
+        each = {k: total[k] * min(len(grams), language_id.TEMPER) / len(grams) + prior[k] for k in langs}
+        score = 1 / sum(math.exp(each[k] - each[best]) for k in langs)
+        assert got[i].lang_pred == best and abs(got[i].score - score) < 1e-4, (i, best, got[i])
+
+
 def test_language_stage_without_any_language(spark):
     d = spark.createDataFrame([(1, "the cat", None), (2, None, None), (3, "123 !?", None), (4, "", None), (5, "é", None)], "doc_id long, text string, lang string")
     kept = language_id.keep_known(spark, d)
@@ -773,6 +807,31 @@ def test_layouts(spark):
     for r in chat.canonical_turns_json(j, "body").orderBy("conv_id", "turn").collect():
         got.setdefault(r.conv_id, []).append((r.role, r.text))
     assert got == {0: one, 1: one, 2: one}
+    assert sorted(r.conv_id for r in chat.unknown_json(j, "body").collect()) == [3, 4, 5]
+
+
+def test_json_rows_with_further_fields_keep_their_turns(spark):
+    texts = [
+        '{"system":"s","prompt":"q","response":"a","question":"z"}',
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"prompt":"x"}',
+        '{"messages":[{"content":"q"},{"role":"assistant","content":"a"}]}',
+        '{"messages":[{"role":"user"},{"role":"assistant","content":"a","n":3}]}',
+    ]
+    wanted = [[("system", "s"), ("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "a")], [(None, "q"), ("assistant", "a")], [("user", None), ("assistant", "a")]]
+    j = spark.createDataFrame(list(enumerate(texts)), "conv_id long, body string")
+    got = {}
+    for r in chat.canonical_turns_json(j, "body").orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == dict(enumerate(wanted)) and chat.unknown_json(j, "body").count() == 0
+    assert chat.canonical_turns_json(j.filter("false"), "body").count() == 0
+
+
+def test_chat_of_long_texts_and_clashing_columns(spark):
+    long = "</turn> <#\\ " * 100_000
+    rows = [(1, 0, "user", long, "x", 1), (1, 1, "assistant", long, "y", 2)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, head string, mask int")
+    got = chat.read_back(chat.format_conversations(chat.canonical_turns(d))).first()
+    assert [t.text for t in got.turns] == [long, long] and got.learnt == long
 
 
 # -- shared, op 1's SQL, pipeline --------------------------------------------------------
