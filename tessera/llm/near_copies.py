@@ -13,11 +13,12 @@ anchor a band.
    close to it, for long groups the first leader that covers it.  Of all anchors a
    text keeps its smallest leader only, so links are at most one per text however
    large a group of copies is; they are verified on whole sets of shingles.
-2. Texts that met a close one are compared again, now with what is known of their
-   groups.  Anchors whose texts are all joined drop out.  At the others, pairs
-   that lie in two groups and that their sizes and the parities of their shingles
-   don't rule out are verified, each text's closest first, sixteen times as many in
-   every round, until no close pair is left that crosses two groups.
+2. Texts that met a close one are compared again, on all bits and with what is
+   known of their groups; those without a close one in another group drop out.  Of
+   the others, pairs that lie in two groups and that their sizes and the parities
+   of their shingles don't rule out are verified, each text's closest first,
+   sixteen times as many in every round, until no close pair is left that crosses
+   two groups.
 
 Texts with equal sets of shingles are one node, so copies cost one row.  Anchors
 that more than ``simhash.ANCHOR_ROWS`` rows visit are cut into parts, and each pair
@@ -52,9 +53,10 @@ PARITY = 512
 SMALL, MIDDLE = 32, 512
 #: Rows that are grouped at a time.
 STEP = 50_000
-#: Differing bits, of the first 128, beyond which a pair is not verified: expected at
-#: a similarity of 0.8 are 20, and 64 of unlike texts.
-FAR = 38
+#: Differing bits, of the first 128 and of all 256, beyond which a pair is not looked
+#: at: expected at a similarity of 0.8 are 19 (one in 10,000 such pairs differs in
+#: more than 34) and 39, of unlike texts 64 and 128.
+FAR, FAR_ALL = 34, 64
 _F = ("f0", "f1", "f2", "f3")
 
 
@@ -185,37 +187,54 @@ def anchors(f: np.ndarray, bands: int = BANDS, free: int = FREE) -> np.ndarray:
     return out
 
 
-def _replicas(nodes: DataFrame, rows: int) -> DataFrame:
-    """Each node (key, f0 .. f3, ...) at each of its anchors: anchor, key, f0, f1, ..."""
+def _replicas(nodes: DataFrame, rows: int, bits: tuple[str, ...]) -> DataFrame:
+    """Each node (key, f0 .. f3, ...) at each of its anchors: anchor, key, these bits, ..."""
     bands, free = shape(rows)
     rest = nodes.schema.fields[5:]
+    kept = ["key", *bits, *(x.name for x in rest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 f = np.stack([np.array(b.column(c)) for c in _F], axis=1)
+                own = [b.column(c) for c in kept]
                 for anchor in anchors(f, bands, free):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), *b.columns[:3], *b.columns[5:]], names=["anchor", "key", "f0", "f1", *(x.name for x in rest)])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), *own], names=["anchor", *kept])
 
-    kinds = [T.StructField(c, T.LongType()) for c in ("anchor", "key", "f0", "f1")]
+    kinds = [T.StructField(c, T.LongType()) for c in ("anchor", "key", *bits)]
     return nodes.mapInArrow(run, T.StructType([*kinds, *rest]))
 
 
-def _apart(f0: np.ndarray, f1: np.ndarray, i, j) -> np.ndarray:
+def _dealt(replicas: DataFrame, crowded: DataFrame, pairs: bool) -> DataFrame:
+    """replicas, group by group (anchor, cell) in order of keys: crowded anchors are cut
+    into parts, each of which is a cell or, for ``pairs``, each pair of which."""
+    own = [c for c in replicas.columns if c != "anchor"]
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    mine = F.pmod(F.xxhash64("key"), parts)
+    each = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.least(mine, k) * parts + F.greatest(mine, k))
+    cell = F.explode(each) if pairs else mine
+    dealt = replicas.join(crowded, "anchor", "left").select("anchor", cell.alias("cell"), *own, F.col("parts").isNotNull().alias("divided"))
+    return dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "key")
+
+
+def _bits_of(b: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    return np.stack([np.array(b.column(c)).view(np.uint64) for c in names], axis=1)
+
+
+def _apart(f: np.ndarray, i, j) -> np.ndarray:
     """Differing bits of the fingerprints i and j."""
-    return np.bitwise_count(f0[i] ^ f0[j]).astype(np.int64) + np.bitwise_count(f1[i] ^ f1[j])
+    return np.bitwise_count(f[i] ^ f[j]).sum(axis=-1, dtype=np.int64)
 
 
-def leaders(f0: np.ndarray, f1: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray]:
+def leaders(f: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray]:
     """(row, leader) of one group: rows are covered by the first leader at most ``far``
     away, rows that none covers lead.  A leader of none whose neighbours others
     cover is linked to one of these."""
-    open_ = np.ones(len(f0), bool)
+    open_ = np.ones(len(f), bool)
     row, lead = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = 0
-    every = np.arange(len(f0))
-    while at < len(f0):
-        near = np.flatnonzero(_apart(f0, f1, at, every) <= far)
+    while at < len(f):
+        near = np.flatnonzero(_apart(f, at, slice(None)) <= far)
         open_[at] = False
         near = near[near != at]
         mine = near[open_[near]]
@@ -227,7 +246,7 @@ def leaders(f0: np.ndarray, f1: np.ndarray, far: int = FAR) -> tuple[np.ndarray,
             row.append(np.array([at]))
             lead.append(near[:1])
         more = np.flatnonzero(open_[at:])
-        at = at + int(more[0]) if len(more) else len(f0)
+        at = at + int(more[0]) if len(more) else len(f)
     return np.concatenate(row), np.concatenate(lead)
 
 
@@ -254,8 +273,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns) -> Iterator[list[n
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, cell and key -> (key, low): nodes that met a close one,
     and a smaller one of these, if there is one.  Of divided anchors all nodes."""
-    for anchor, cell, key, f0, f1, divided in _whole_groups(batches, lambda b: [np.array(b.column(c)) for c in ("anchor", "cell", "key", "f0", "f1", "divided")]):
-        f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+    for anchor, cell, key, divided, f in _whole_groups(batches, lambda b: [*(np.array(b.column(c)) for c in ("anchor", "cell", "key", "divided")), _bits_of(b, _F[:2])]):
         at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])))
         size = np.diff(np.append(at, len(anchor)))
         group = np.repeat(np.arange(len(at)), size)
@@ -265,11 +283,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = group[row]
         for shift in range(1, int(size[group[row]].max()) if len(row) else 0):
             i = np.flatnonzero(of[shift:] == of[:-shift])
-            i = i[_apart(f0, f1, row[i], row[i + shift]) <= FAR]
+            i = i[_apart(f, row[i], row[i + shift]) <= FAR]
             low[row[i + shift]] = row[i]  # a larger shift finds a smaller one
             met[row[i]] = met[row[i + shift]] = True
         for lo, n in zip(at[size > MIDDLE].tolist(), size[size > MIDDLE].tolist(), strict=True):
-            one, lead = leaders(f0[lo : lo + n], f1[lo : lo + n])
+            one, lead = leaders(f[lo : lo + n])
             low[lo + one] = lo + lead
             met[lo + one] = met[lo + lead] = True
         found = np.flatnonzero(met)
@@ -282,19 +300,47 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[low[turned]]), pa.array(key[turned])], names=["key", "low"])
 
 
-def candidates(spark: SparkSession, nodes: DataFrame, rows: int) -> DataFrame:
+def crowded_anchors(spark: SparkSession, nodes: DataFrame, rows: int) -> DataFrame:
+    """(anchor, parts) of the anchors that more than ``simhash.ANCHOR_ROWS`` nodes visit."""
+    count = _replicas(nodes.select("key", *_F), rows, ()).groupBy("anchor").count()
+    parts = F.ceil(F.col("count") / simhash.ANCHOR_ROWS).cast("long").alias("parts")
+    return table(spark, count.filter(F.col("count") > simhash.ANCHOR_ROWS).select("anchor", parts), "crowded")
+
+
+def candidates(nodes: DataFrame, rows: int, crowded: DataFrame) -> DataFrame:
     """(key, low) of the nodes (key, f0 .. f3) that met a close one: low is the
     smallest of their leaders, or the node itself if they are all larger."""
-    dealt = _replicas(nodes, rows)
-    parts = F.ceil(F.col("count") / simhash.ANCHOR_ROWS).cast("long").alias("parts")
-    crowded = table(spark, dealt.groupBy("anchor").count().filter(F.col("count") > simhash.ANCHOR_ROWS).select("anchor", parts), "crowded")
-    dealt = dealt.join(crowded, "anchor", "left")
-    cell = F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)).alias("cell")
-    dealt = dealt.select("anchor", cell, "key", "f0", "f1", F.col("parts").isNotNull().alias("divided"))
-    dealt = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "key")
+    dealt = _dealt(_replicas(nodes, rows, _F[:2]), crowded, False)
     return dealt.mapInArrow(_groups, "key long, low long").groupBy("key").agg(F.min("low").alias("low"))
 
 
+def _largest(root: np.ndarray) -> np.ndarray:
+    """Which rows are of the commonest root."""
+    _, member, count = np.unique(root, return_inverse=True, return_counts=True)
+    return member == count.argmax()
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor and cell -> keys of nodes with a close one of another root."""
+    for anchor, cell, key, root, f in _whole_groups(batches, lambda b: [*(np.array(b.column(c)) for c in ("anchor", "cell", "key", "root")), _bits_of(b, _F)]):
+        at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])))
+        size = np.diff(np.append(at, len(anchor)))
+        group = np.repeat(np.arange(len(at)), size)
+        met = np.zeros(len(anchor), bool)
+        row = np.flatnonzero((size > 1)[group] & (size <= MIDDLE)[group])
+        for shift in range(1, int(size[group[row]].max()) if len(row) else 0):
+            i = np.flatnonzero((group[row[shift:]] == group[row[:-shift]]) & (root[row[shift:]] != root[row[:-shift]]))
+            i = i[_apart(f, row[i], row[i + shift]) <= FAR_ALL]
+            met[row[i]] = met[row[i + shift]] = True
+        for lo, n in zip(at[size > MIDDLE].tolist(), size[size > MIDDLE].tolist(), strict=True):
+            own = slice(lo, lo + n)
+            for i in (lo + np.flatnonzero(~_largest(root[own]))).tolist():
+                near = lo + np.flatnonzero((root[own] != root[i]) & (_apart(f, i, own) <= FAR_ALL))
+                met[near] = True
+                met[i] |= bool(len(near))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[met]))], names=["key"])
+
+
 def _may_be_alike(size_a, size_b, parity_a, parity_b, threshold: float) -> np.ndarray:
     """False only where sizes or parities prove that two sets are not similar enough."""
     odd = np.bitwise_count(parity_a ^ parity_b).sum(axis=-1, dtype=np.int64)
@@ -308,20 +354,19 @@ def _crossing(threshold: float, most: int):
 
     def columns(b):
         parity = np.frombuffer(b"".join(b.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
-        return [*(np.array(b.column(c)) for c in ("anchor", "cell", "key", "f0", "f1", "root", "size")), parity]
+        return [*(np.array(b.column(c)) for c in ("anchor", "cell", "key", "root", "size")), parity, _bits_of(b, _F)]
 
     def batch(u, v, more):
         pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(pair.shape[1], more))], names=["u", "v", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, cell, key, f0, f1, root, size, parity in _whole_groups(batches, columns):
-            f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+        for anchor, cell, key, root, size, parity, f in _whole_groups(batches, columns):
 
-            def close(i, j, f0=f0, f1=f1, root=root, size=size, parity=parity):
+            def close(i, j, f=f, root=root, size=size, parity=parity):
                 """Which of the pairs are given out, and their distances."""
-                gap = _apart(f0, f1, i, j)
-                at = np.flatnonzero((gap <= FAR) & (root[i] != root[j]))
+                gap = _apart(f, i, j)
+                at = np.flatnonzero((gap <= FAR_ALL) & (root[i] != root[j]))
                 if len(at):
                     a = i if np.isscalar(i) else i[at]
                     at = at[_may_be_alike(size[a], size[j[at]], parity[a], parity[j[at]], threshold)]
@@ -338,13 +383,10 @@ def _crossing(threshold: float, most: int):
                 if len(k):
                     yield batch(key[i[k]], key[j[k]], False)
             for lo, hi in zip(first[n > SMALL].tolist(), (first + n)[n > SMALL].tolist(), strict=True):
-                names, member, count = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
-                if len(names) == 1:
-                    continue
                 every = np.arange(lo, hi)
                 u, v, held, more = [], [], 0, False
                 # pairs within the largest root are none, so its rows are only partners
-                for i in (lo + np.flatnonzero(member != count.argmax())).tolist():
+                for i in (lo + np.flatnonzero(~_largest(root[lo:hi]))).tolist():
                     k, gap = close(i, every)
                     if len(k) > most:
                         k, more = k[np.argpartition(gap, most)[:most]], True
@@ -361,23 +403,15 @@ def _crossing(threshold: float, most: int):
     return run
 
 
-def _mixed(spark: SparkSession, nodes: DataFrame, rows: int, name: str = "mixed") -> DataFrame:
-    """(anchor, parts) of anchors at which nodes of several roots meet."""
-    seen = _replicas(nodes.select("key", *_F, "root"), rows).groupBy("anchor").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return table(spark, seen.filter("low <> high").select("anchor", F.ceil(F.col("n") / simhash.ANCHOR_ROWS).cast("long").alias("parts")), name)
-
-
-def crossing(spark: SparkSession, nodes: DataFrame, rows: int, threshold: float, most: int) -> DataFrame:
+def crossing(spark: SparkSession, nodes: DataFrame, rows: int, crowded: DataFrame, threshold: float, most: int) -> DataFrame:
     """(u, v, more): close pairs of nodes (key, f0 .. f3, root, size, parity) of different roots."""
-    dealt = _replicas(nodes, rows).join(_mixed(spark, nodes, rows), "anchor")
-    mine = F.pmod(F.xxhash64("key"), F.col("parts"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.least(mine, k) * F.col("parts") + F.greatest(mine, k))
-    dealt = dealt.select("anchor", F.explode(cells).alias("cell"), "key", "f0", "f1", "root", "size", "parity")
-    dealt = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    met = _dealt(_replicas(nodes.select("key", *_F, "root"), rows, _F), crowded, True).mapInArrow(_meeting, "key long")
+    nodes = nodes.join(table(spark, met.distinct(), "crossing"), "key", "left_semi")
+    dealt = _dealt(_replicas(nodes, rows, _F), crowded, True)
     return dealt.mapInArrow(_crossing(threshold, most), "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
-def joined(spark: SparkSession, nodes: DataFrame, links: DataFrame, sets: DataFrame, rows: int, threshold: float, most: int = 2) -> DataFrame:
+def joined(spark: SparkSession, nodes: DataFrame, links: DataFrame, sets: DataFrame, rows: int, crowded: DataFrame, threshold: float, most: int = 2) -> DataFrame:
     """(key, root) of the nodes (key, f0 .. f3) that met a close one: components of all
     close pairs that meet at an anchor and are similar enough.
 
@@ -391,12 +425,13 @@ def joined(spark: SparkSession, nodes: DataFrame, links: DataFrame, sets: DataFr
     while True:
         rooted = open_.join(root, "key", "left").select("key", *_F, F.coalesce("root", "key").alias("root"), "size", "parity")
         rooted = table(spark, rooted, "rooted")
-        pairs = table(spark, crossing(spark, rooted, rows, threshold, most), "pairs")
+        pairs = table(spark, crossing(spark, rooted, rows, crowded, threshold, most), "pairs")
         new = table(spark, verified(pairs.join(tested, ["u", "v"], "left_anti"), sets, threshold), "verified")
-        of_u, of_v = (rooted.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
-        steps = simhash.components(spark, new.join(of_u, "u").join(of_v, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
-        root = rooted.select("key", "root").join(steps.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("key", F.coalesce("to", "root").alias("root"))
-        root = table(spark, root, "roots")
+        if not new.isEmpty():
+            of_u, of_v = (rooted.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
+            steps = simhash.components(spark, new.join(of_u, "u").join(of_v, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+            root = rooted.select("key", "root").join(steps.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("key", F.coalesce("to", "root").alias("root"))
+            root = table(spark, root, "roots")
         if pairs.filter("more").isEmpty():
             return root
         tested = tested.union(pairs.select("u", "v"))
@@ -435,11 +470,12 @@ def _grouped(spark: SparkSession, docs: DataFrame, text_hash: str, threshold: fl
     nodes = made.groupBy("key").agg(F.min(_first(text_hash)).alias("k"), *(F.min(f).alias(f) for f in _F))
     nodes = table(spark, nodes.select("key", *_F, "k"), "nodes")
     rows, plain = nodes.count(), nodes.select("key", *_F)
-    links = table(spark, candidates(spark, plain, rows), "links")
+    crowded = crowded_anchors(spark, plain, rows)
+    links = table(spark, candidates(plain, rows, crowded), "links")
     wanted = nodes.join(links, "key", "left_semi").select("k.id", "k.h")
     texts = _only(docs.select("doc_id", "text", text_hash), wanted, text_hash)
     sets = table(spark, shingle_sets(texts).dropDuplicates(["key"]), "shingles")
-    root = joined(spark, plain, links, sets, rows, threshold)
+    root = joined(spark, plain, links, sets, rows, crowded, threshold)
     return made.select("doc_id", "key", text_hash).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 

@@ -611,8 +611,8 @@ def test_near_copies_of_a_template(spark):
     root = list(range(len(rows)))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            gap = int(np.bitwise_count((f0[i] ^ f0[j]).view(np.uint64))) + int(np.bitwise_count((f1[i] ^ f1[j]).view(np.uint64)))
-            if gap <= near_copies.FAR and len(a & b) >= 0.8 * len(a | b) - 1e-9 and (x[:, i] == x[:, j]).any():
+            gap = [int(np.bitwise_count((f[i] ^ f[j]).view(np.uint64))) for f in (f0, f1, f2, f3)]
+            if gap[0] + gap[1] <= near_copies.FAR and sum(gap) <= near_copies.FAR_ALL and len(a & b) >= 0.8 * len(a | b) - 1e-9 and (x[:, i] == x[:, j]).any():
                 low, high = sorted((root[i], root[j]))
                 root = [low if y == high else y for y in root]
     assert 30 < len(rows) - len(set(root))
@@ -624,8 +624,9 @@ def test_crossing_pairs_in_many_rounds(spark):
     """The number of a text's pairs in the first round changes nothing."""
     docs = frame(spark, templated_rows(60, 30))
     nodes = near_copies.sketches(docs).select("key", "f0", "f1", "f2", "f3")
-    sets, links = near_copies.shingle_sets(docs), near_copies.candidates(spark, nodes, 90)
-    once, slow = ({(r.key, r.root) for r in near_copies.joined(spark, nodes, links, sets, 90, 0.8, most).collect()} for most in (1000, 1))
+    crowded = near_copies.crowded_anchors(spark, nodes, 90)
+    sets, links = near_copies.shingle_sets(docs), near_copies.candidates(nodes, 90, crowded)
+    once, slow = ({(r.key, r.root) for r in near_copies.joined(spark, nodes, links, sets, 90, crowded, 0.8, most).collect()} for most in (1000, 1))
     assert once == slow and sum(k != r for k, r in once) >= 20
 
 
@@ -645,8 +646,7 @@ def test_leaders():
     """Each row with a close one is in a link, and links are close."""
     r = np.random.default_rng(9)
     f0 = r.integers(0, 1 << 63, 200, dtype=np.uint64) & np.uint64(0xFFFF)
-    f1 = np.zeros(200, np.uint64)
-    row, lead = near_copies.leaders(f0, f1, far=3)
+    row, lead = near_copies.leaders(np.stack([f0, np.zeros(200, np.uint64)], axis=1), far=3)
     gap = np.bitwise_count(f0[:, None] ^ f0[None, :]) + 99 * np.eye(200, dtype=np.int64)
     assert (gap[row, lead] <= 3).all() and len(row) <= 200
     assert set(row.tolist()) | set(lead.tolist()) == set(np.flatnonzero((gap <= 3).any(axis=1)).tolist())
