@@ -84,3 +84,8 @@ def uv_channel(base: Column, diffuse: Column, channels: Column) -> Column:
     """The channel of the base colour, else of the diffuse one, else 0; null if the mesh lacks it."""
     c = F.coalesce(base, diffuse, F.lit(0))
     return F.when(c < channels, c)
+
+
+def double_sided(given: Column, force: Column) -> Column:
+    """What the material says, or true where all are to be."""
+    return F.coalesce(given, F.lit(False)) | force

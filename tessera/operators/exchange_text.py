@@ -6,7 +6,7 @@ unsuitable entities; one that loses all goes too, until nothing changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
@@ -159,3 +159,62 @@ def id_ranges(classified: DataFrame, kind: str, width: int) -> DataFrame:
     low = classified.filter(F.col("kind") == kind).agg(F.min("entity_id").alias("_low"))
     e = classified.filter(F.col("kind") == kind).crossJoin(F.broadcast(low))
     return e.groupBy(F.floor((F.col("entity_id") - F.col("_low")) / width).cast("long").alias("run")).agg(F.min("entity_id").alias("first_id"), F.max("entity_id").alias("last_id"), F.count("*").alias("n"))
+
+
+def cleaning_statistics(classified: DataFrame) -> DataFrame:
+    """One row: what ``sanitize`` removes, patches, filters and skips."""
+    gone = removed(classified)
+    kinds = gone.join(classified.select("rec_no", "kind"), "rec_no")
+
+    def lost(kind: str) -> Column:
+        return F.count_if(F.col("kind") == kind)
+
+    one = kinds.agg(
+        lost("APPLIED_GROUP_ASSIGNMENT").alias("removed_assignments"),
+        lost("COMPLEX_TRIANGULATED_FACE").alias("removed_faces"),
+        lost("SURFACE_STYLE_RENDERING_WITH_PROPERTIES").alias("removed_renderings"),
+        lost("SURFACE_SIDE_STYLE").alias("removed_side_styles"),
+        lost("TESSELLATED_SOLID").alias("removed_solids"),
+        F.count_distinct("entity_id").alias("removed_ids"),
+    )
+    left = classified.join(gone.select("rec_no"), "rec_no", "left_anti")
+    k, patch = F.col("kind"), t.patched(F.col("norm"), F.col("kind"))
+    named = k.isin("GROUP_RELATIONSHIP", "ITEM_DEFINED_TRANSFORMATION", "PRODUCT_DEFINITION_SHAPE")
+    hit = patch.isNotNull() & (k != "NON_ENTITY")
+    two = left.agg(
+        *[F.count_if(hit & (k == x)).alias(f"patched_{n}") for x, n in (("GROUP_RELATIONSHIP", "groups"), ("ITEM_DEFINED_TRANSFORMATION", "transformations"), ("PRODUCT_DEFINITION_SHAPE", "shapes"))],
+        F.count_if(hit & ~named).alias("patched_relationships"),
+    )
+    # a reference is skipped as removed, as unknown or as of an unsuitable type
+    ids = gone.select(F.col("entity_id").alias("_gone")).distinct()
+    use = _allowed(classified).join(ids, F.col("ref") == F.col("_gone"), "left")
+    why = F.when(F.col("_gone").isNotNull(), "removed").when(~F.col("known"), "unknown").when(~F.col("fits"), "unsuitable")
+    use = use.withColumn("_why", why)
+    short = {"SURFACE_SIDE_STYLE": "side_style", "TESSELLATED_SOLID": "solid"}
+    three = use.agg(*[F.count_if((k == kind) & (F.col("_why") == w)).alias(f"{w}_{n}_refs") for kind, n in short.items() for w in ("removed", "unknown", "unsuitable")])
+    live = use.join(gone.select("rec_no"), "rec_no", "left_anti").filter("_why is not null").select("rec_no", "kind").distinct()
+    four = live.agg(*[F.count_if(k == kind).alias(f"filtered_{n}s") for kind, n in short.items()])
+    colored, solid = (t.uses(F.col("text"), *x) for x in (("COLOUR", "COLOR"), ("MATERIAL",)))
+    five = classified.agg(F.count("*").alias("records"), F.count_if(colored).alias("color_hits"), F.count_if(solid).alias("material_hits"))
+    out = one.crossJoin(two).crossJoin(three).crossJoin(four).crossJoin(five)
+    return out.withColumn("has_colors", F.col("color_hits") > 0).withColumn("has_materials", F.col("material_hits") > 0)
+
+
+def shard_texts(classified: DataFrame, n: int) -> DataFrame:
+    """(shard, entities, text): each shard as a whole file, all with the records before
+    the first entity as head and those after the last one as foot.
+
+    A shard's text is one row, so ``n`` is chosen to keep files in memory.
+    """
+    ends = classified.filter("entity_id is not null").agg(F.min("rec_no").alias("_first"), F.max("rec_no").alias("_last"))
+    numbered = spread_shards(n, classified.sparkSession)
+    other = classified.filter("entity_id is null").crossJoin(F.broadcast(ends))
+    edge = other.filter("_first is null or rec_no < _first or rec_no > _last").select("rec_no", "text").crossJoin(F.broadcast(numbered))
+    own = shards(classified, n).join(classified.select("rec_no", "text"), "rec_no").select("rec_no", "text", "shard", F.lit(1).alias("_e"))
+    rows = own.unionByName(edge.withColumn("_e", F.lit(0)))
+    per = rows.groupBy("shard").agg(F.sum("_e").cast("long").alias("entities"), F.array_sort(F.collect_list(F.struct("rec_no", "text"))).alias("_t"))
+    return per.select("shard", "entities", F.concat(F.array_join(F.transform("_t", lambda x: x["text"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def spread_shards(n: int, spark: SparkSession) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("shard"))

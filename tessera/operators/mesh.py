@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.functions.materials import canonical
+from tessera.storage import written
 
 CORNERS = ("a", "b", "c")
 
@@ -259,3 +260,36 @@ def bake(instances: DataFrame, vertices: DataFrame) -> DataFrame:
 def triangle_count(indices: Column, positions: Column, mode: Column) -> Column:
     return F.when(mode == 4, F.floor(F.coalesce(indices, positions) / 3)).otherwise(0).cast("long")
 
+
+
+def optimiser_statistics(triangles: DataFrame, vertex_count: Column, vertices: DataFrame, steps: dict[str, float], eps: float, most: int) -> DataFrame:
+    """One row: what each step of cleaning takes away, in order: primitives with a bad
+    index, the weld, triangles of fewer than three corners, those without area, and
+    what is over the budget."""
+    valid = written(valid_primitives(triangles, vertex_count).select("prim_id", "tidx", *CORNERS), "valid")
+    remap = written(weld(vertices, steps), "weld")
+    moved = written(rewire(valid, remap).drop("missed"), "rewired")
+    apart = distinct_corners(moved)
+    area = written(with_area(apart, vertices).filter(F.col("area2") > eps), "solid")
+    kept = budget(area, most)
+
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count("*").alias(name), F.count_distinct("prim_id").alias(f"{name}_prims"))
+
+    sizes = count(triangles, "n0").crossJoin(count(valid, "n1")).crossJoin(count(apart, "n2")).crossJoin(count(area, "n3")).crossJoin(count(kept, "n4"))
+    welded_ = remap.agg(F.count("*").alias("input_vertices"), F.count_if(F.col("vidx") == F.col("to")).alias("merged_vertices"))
+    used = kept.select(F.explode(F.array(*CORNERS)).alias("v")).agg(F.count_distinct("v").alias("output_vertices"))
+    return sizes.crossJoin(welded_).crossJoin(used).select(
+        F.col("n0_prims").alias("primitives_seen"),
+        F.col("n1_prims").alias("primitives_extracted"),
+        (F.col("n0_prims") - F.col("n1_prims")).alias("primitives_with_bad_indices"),
+        "input_vertices",
+        "merged_vertices",
+        "output_vertices",
+        F.col("n0").alias("input_triangles"),
+        F.col("n4").alias("output_triangles"),
+        (F.col("n1") - F.col("n2")).alias("degenerate_by_corner"),
+        (F.col("n2") - F.col("n3")).alias("degenerate_by_area"),
+        (F.col("n1") - F.col("n3")).alias("removed_by_weld"),
+        (F.col("n3") - F.col("n4")).alias("removed_by_budget"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.functions.keys import has_color
 from tessera.functions.text import qualified_key
 from tessera.operators.ids import dense_ids
 
@@ -106,3 +107,50 @@ def rejects(leaves: DataFrame, most: int = 20) -> DataFrame:
     shown = bad.orderBy("leaf").limit(most)
     more = bad.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
     return shown.crossJoin(F.broadcast(more))
+
+
+def evidence(occurrences: DataFrame) -> DataFrame:
+    """One row of what an import has found.
+
+    occurrences: appearance (colors, has_material, faces; may be null), face_count,
+    has_metadata, and what ``counters`` takes.
+    """
+    a = F.col("appearance")
+    faces = F.coalesce(a["faces"], F.array())
+    colored, solid = F.size(F.filter(faces, lambda f: has_color(f["colors"]))), F.size(F.filter(faces, lambda f: f["has_material"]))
+    key = qualified_key(F.col("geometry_key"), F.col("material_key"))
+    return occurrences.agg(
+        F.count("*").alias("occurrences"),
+        F.count_distinct(key).alias("prototypes"),
+        F.count_if(a.isNotNull() & has_color(a["colors"])).alias("shape_color_occurrences"),
+        F.count_if(a.isNotNull() & a["has_material"]).alias("shape_material_occurrences"),
+        F.coalesce(F.sum(colored), F.lit(0)).cast("long").alias("face_color_entries"),
+        F.coalesce(F.sum(solid), F.lit(0)).cast("long").alias("face_material_entries"),
+        F.count_if((colored > 0) | (solid > 0)).alias("occurrences_with_face_style"),
+        F.coalesce(F.sum(F.size(faces)), F.lit(0)).cast("long").alias("face_slots"),
+        F.coalesce(F.sum("face_count"), F.lit(0)).cast("long").alias("source_faces"),
+        F.count_if("has_metadata").alias("metadata_occurrences"),
+    )
+
+
+def export_evidence(occurrences: DataFrame, sse: float, linear: float, angular: float) -> DataFrame:
+    """A row per written file: what went in, what came out, and how.
+
+    occurrences: glb (the file), appearance, triangles, glb_triangles, face_slots
+    (faces that the export visited).  A file without triangles has status error.
+    """
+    a = F.col("appearance")
+    faces = F.coalesce(a["faces"], F.array())
+    rows = occurrences.groupBy("glb").agg(
+        F.count("*").alias("occurrences"),
+        F.sum("triangles").cast("long").alias("source_triangles"),
+        F.sum("glb_triangles").cast("long").alias("glb_triangles"),
+        F.count_if(a.isNotNull() & F.coalesce(a["colors"]["surf"], a["colors"]["gen"]).isNotNull()).alias("shape_color_applied"),
+        F.count_if(a.isNotNull() & a["has_material"]).alias("shape_material_applied"),
+        F.count_if(F.size(faces) > 0).alias("occurrences_with_faces"),
+        F.sum(F.size(F.filter(faces, lambda f: F.coalesce(f["colors"]["surf"], f["colors"]["gen"]).isNotNull()))).cast("long").alias("face_color_applied"),
+        F.sum(F.size(F.filter(faces, lambda f: f["has_material"]))).cast("long").alias("face_material_applied"),
+        F.count_if(a.isNotNull() & (F.size(faces) != F.col("face_slots"))).alias("face_mismatches"),
+    )
+    status = F.when(F.col("glb_triangles") > 0, "ok").otherwise("error")
+    return rows.select("*", F.lit(sse).alias("sse"), F.lit(linear).alias("linear_deflection"), F.lit(angular).alias("angular_deflection"), status.alias("status"))

@@ -19,10 +19,10 @@ ITEMS = f"""base AS (
     l_extendedprice / {n(1000.0)} AS cx, CAST(l_quantity AS DOUBLE) AS cy,
     CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) / {n(50.0)} AS cz,
     CAST(p_size AS DOUBLE) * {n(0.01)} AS hx, CAST(p_size AS DOUBLE) * {n(0.02)} AS hy, CAST(p_size AS DOUBLE) * {n(0.005)} AS hz,
-    CAST(p_size AS BIGINT) * 24 AS triangles
+    CAST(p_size AS BIGINT) * 24 AS triangles, p_partkey AS part
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ), items AS (
-  SELECT id, triangles, cx - hx AS xmin, cy - hy AS ymin, cz - hz AS zmin, cx + hx AS xmax, cy + hy AS ymax, cz + hz AS zmax FROM base
+  SELECT id, triangles, part, cx - hx AS xmin, cy - hy AS ymin, cz - hz AS zmin, cx + hx AS xmax, cy + hy AS ymax, cz + hz AS zmax FROM base
 ), mid AS (
   SELECT *, {", ".join(f"({a}min + {a}max) * {n(0.5)} AS m{a}" for a in "xyz")} FROM items
 ), root AS (
@@ -268,3 +268,5 @@ q("face_id_ranges", "SELECT CAST((entity_id - (SELECT min(entity_id) FROM cls WH
 q("importer_route", """SELECT occ_id, CASE WHEN size % 5 IN (1, 4) THEN 'fbx' ELSE 'step' END AS importer, 'application/octet-stream' AS mime, 'out/' || occ_id AS uri FROM occ""", OCC)
 q("glb_roundtrip", "SELECT occ_id, 'ok' AS status, CAST(8 AS BIGINT) AS corners, CAST(36 AS BIGINT) AS indices, CAST(size AS DOUBLE) AS xmax FROM occ", OCC)
 q("b3dm_wrap", "SELECT p_partkey AS occ_id, CAST(28 + 24 + (14 + l + 7) // 8 * 8 + 4 + l AS BIGINT) AS bytes, 'b3dm' AS magic FROM (SELECT p_partkey, strlen(p_name) AS l FROM part)", "")
+
+from tessera.plans import model_oracles  # noqa: E402, F401  (adds the SQL of the model queries)

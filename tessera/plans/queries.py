@@ -670,3 +670,6 @@ def glb_roundtrip(spark, d):
 def b3dm_wrap(spark, d):
     p = b.parts(spark, d).select("occ_id", F.encode(F.concat(F.lit("glTF"), F.col("source_label")), "utf-8").alias("glb"), F.create_map(F.lit("label"), F.col("source_label")).alias("metadata"))
     return glb.to_b3dm(p).select("occ_id", F.octet_length("b3dm").cast("long").alias("bytes"), F.decode(F.substring("b3dm", 1, 4), "utf-8").alias("magic"))
+
+
+from tessera.plans import model_queries  # noqa: E402, F401  (adds the queries about models)

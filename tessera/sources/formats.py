@@ -78,3 +78,26 @@ def tileset_rows(spark: SparkSession, path: str, max_depth: int = 6) -> DataFram
         children = F.from_json(F.get_json_object("node", "$.children"), "array<string>")
         level = level.select("path", F.posexplode(children).alias("k", "node")).select(F.concat_ws("/", F.nullif("path", F.lit("")), F.col("k").cast("string")).alias("path"), F.lit(d + 1).alias("depth"), "node")
     return out
+
+
+def write_evidence(evidence: DataFrame, occurrences: DataFrame, folder: str) -> None:
+    """Evidence of an import as JSON: ``import_evidence`` (one row), and a row per
+    occurrence (label, source_faces, has_metadata, has_appearance)."""
+    evidence.coalesce(1).write.mode("overwrite").json(f"{folder}/import_evidence")
+    rows = occurrences.select(F.col("source_label").alias("label"), F.col("face_count").alias("source_faces"), "has_metadata", F.col("appearance").isNotNull().alias("has_appearance"))
+    rows.write.mode("overwrite").json(f"{folder}/occurrence_evidence")
+
+
+def append_export_evidence(rows: DataFrame, folder: str) -> None:
+    """Adds rows of ``scene.export_evidence`` to those of earlier exports."""
+    rows.write.mode("append").json(f"{folder}/export_evidence")
+
+
+def write_shards(texts: DataFrame, total: int, n: int, source: str, path: str) -> None:
+    """Shards (shard, entities, text) as text files, one folder each, and a manifest:
+    what was cut into how many, and the entities of each shard."""
+    texts.select(F.format_string("%02d", "shard").alias("shard"), F.substr(F.col("text"), F.lit(1), F.length("text") - 1).alias("value")).write.partitionBy("shard").text(path)
+    spark = texts.sparkSession
+    head = spark.createDataFrame([(source, total, n, total // n, total % n)], "input string, total_entities long, num_shards int, base long, remainder long")
+    each = texts.agg(F.sort_array(F.collect_list(F.struct("shard", "entities"))).alias("shards"))
+    head.crossJoin(each).coalesce(1).write.json(f"{path}_manifest")

@@ -368,3 +368,84 @@ def test_shared_folder(spark, tmp_path, monkeypatch):
         storage.shared_dir(other)
     other.master = "local[2]"
     assert storage.shared_dir(other) == storage.shared_dir(other)
+
+
+def test_options():
+    from tessera.options import Options
+
+    made = Options("in.stp", input_format="STEP")
+    assert made.input_format == "step" and made.uri(7) == "tiles/tile_7.b3dm"
+    wrong = [{"content_subdir": ""}, {"tile_prefix": ""}, {"input_format": "obj"}, {"viewer_sse": 0.0}, {"viewer_sse": float("nan")}, {"min_size_ratio": -1.0}, {"min_size_ratio": float("inf")}]
+    for bad in wrong:
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            Options("in.stp", **bad)
+    with pytest.raises(ValueError):
+        Options("")
+
+
+def test_glb_with_textures_materials_and_colors(spark):
+    """Equal images are stored once; unsound files have a status and stop nothing."""
+    image = (b"\x89PNG....", "image/png")
+    mesh_ = glb.box_mesh([0.0] * 3, [1.0] * 3) | {"colors": [[1.0, 0.0, 0.0, 1.0]] * 8, "material": 1}
+    data = glb.build([mesh_], [{"name": "a", "image": image}, {"name": "b", "image": image, "pbrMetallicRoughness": {"metallicFactor": 0.0}}])
+    doc, body = glb.parse(data)
+    assert len(doc["images"]) == len(doc["textures"]) == 1 and doc["samplers"] == [glb.SAMPLER]
+    assert [m["pbrMetallicRoughness"]["baseColorTexture"] for m in doc["materials"]] == [{"index": 0}] * 2
+    view = doc["bufferViews"][doc["images"][0]["bufferView"]]
+    assert body[view["byteOffset"] : view["byteOffset"] + view["byteLength"]] == image[0]
+    prim = doc["meshes"][0]["primitives"][0]
+    assert prim["material"] == 1 and (glb.numbers(doc, body, prim["attributes"]["COLOR_0"]) == [1.0, 0.0, 0.0, 1.0]).all()
+
+    def other(text):
+        part = text.encode() + b" " * (-len(text) % 4)
+        return struct.pack("<4sIIII", b"glTF", 2, 20 + len(part), len(part), glb.JSON_CHUNK) + part
+
+    files = [("ok", data), ("list", other("[1]")), ("meshes", other('{"meshes":[3]}')), ("prims", other('{"meshes":[{"primitives":[7,{"attributes":4}]}]}')), ("null", None), ("none", other("{}"))]
+    got = {}
+    for r in glb.read_meshes(spark.createDataFrame(files, "path string, content binary")).collect():
+        got.setdefault(r.file, []).append((r.status, r.indices and len(r.indices), r.positions and len(r.positions)))
+    assert got["ok"] == [("ok", 36, 8)] and "none" not in got
+    assert all(x[0].startswith("file:") for k in ("list", "meshes", "null") for x in got[k]) and [x[0][:10] for x in got["prims"]] == ["primitive:"] * 2
+
+
+def test_tile_content_as_files(spark):
+    """Merged triangles of a tile become a primitive per material, with shared corners."""
+    from tessera.operators import models
+
+    names = [f"{c}{a}" for c in "abc" for a in "xyz"]
+    square = [((0, 0, 0), (1, 0, 0), (1, 1, 0)), ((0, 0, 0), (1, 1, 0), (0, 1, 0))]
+    rows = [("0", m, *[float(v) for p in t for v in p]) for m in (3, None) for t in square]
+    d = spark.createDataFrame(rows, "path string, material long, " + ", ".join(f"{x} double" for x in names))
+    parts = models.parts(d)
+    assert {(r.part, r.material, len(r.positions), len(r.indices)) for r in parts.collect()} == {(3, 3, 12, 6), (-1, None, 12, 6)}
+    made = glb.write_meshes(parts.withColumnRenamed("path", "tile")).withColumnRenamed("tile", "path").withColumnRenamed("glb", "content")
+    doc, _ = glb.parse(made.first().content)
+    assert len(doc["meshes"][0]["primitives"]) == 2 and len(doc["materials"]) == 1
+    back = glb.read_meshes(made).orderBy("prim").collect()
+    assert [r.material for r in back] == [None, 0]
+    for r in back:
+        corners = [tuple(r.positions[i]) for i in r.indices]
+        assert {tuple(sorted(corners[k : k + 3])) for k in (0, 3)} == {tuple(sorted(tuple(map(float, p)) for p in t)) for t in square}
+
+
+def test_evidence_and_shard_files(spark, tmp_path):
+    from tessera.plans import model_queries as mq
+
+    sf = "/root/testdata/sf0.001"
+    occ = mq._appearances(spark, sf)
+    formats.write_evidence(scene.evidence(occ), occ, f"file://{tmp_path}/e")
+    assert spark.read.json(f"file://{tmp_path}/e/import_evidence").first().occurrences == 200
+    assert spark.read.json(f"file://{tmp_path}/e/occurrence_evidence").filter("has_appearance").count() == occ.filter("size % 10 <> 0").count()
+    rows = mq.export_evidence(spark, sf)
+    for _ in range(2):
+        formats.append_export_evidence(rows, f"file://{tmp_path}/e")
+    assert spark.read.json(f"file://{tmp_path}/e/export_evidence").count() == 2 * rows.count()
+    texts = [(i, f"#{i}=A({i});" if 1 < i < 12 else f"LINE {i}") for i in range(14)]
+    c = ex.classify(spark.createDataFrame(texts, "rec_no long, text string"))
+    formats.write_shards(ex.shard_texts(c, 3), 10, 3, "in.stp", f"file://{tmp_path}/shards")
+    got = [next((tmp_path / f"shards/shard={k:02d}").glob("part-*")).read_text() for k in range(3)]
+    head, foot = "LINE 0\nLINE 1\n", "LINE 12\nLINE 13\n"
+    assert all(x.startswith(head) and x.endswith(foot) for x in got)
+    assert "".join(x[len(head) : -len(foot)] for x in got) == "".join(f"{x}\n" for _, x in texts[2:12])
+    manifest = spark.read.json(f"file://{tmp_path}/shards_manifest").first()
+    assert (manifest.base, manifest.remainder, [s.entities for s in manifest.shards]) == (3, 1, [4, 3, 3])
