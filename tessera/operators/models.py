@@ -215,8 +215,8 @@ def merge_tiles(tree: DataFrame, triangles: DataFrame, root: DataFrame, loose: f
     """The content of every tile: (path, material, ax .. cz), a row per triangle.
 
     triangles: path (of their leaf), material, ax ay az bx .. cz.  A leaf has its
-    own triangles; a parent those of its children, with corners moved to a grid of
-    ``share`` of its largest side.  Triangles that collapse go, and of equal ones
+    own triangles; a parent those of its children, with corners moved to the middle of
+    their cell on a grid of ``share`` of its largest side.  Triangles that collapse go, and of equal ones
     (corners in any order) of a material one is left.
 
     What a grid does to a corner is row by row, and grids of ancestors follow from
@@ -234,7 +234,7 @@ def merge_tiles(tree: DataFrame, triangles: DataFrame, root: DataFrame, loose: f
 
     def up(s: Column, d: Column) -> Column:
         step = side * F.pow(F.lit(loose / 2), d) * share
-        moved = F.transform(s["at"], lambda v: F.round(v / step) * step + 0.0)
+        moved = F.transform(s["at"], lambda v: (F.floor(v / step) + 0.5) * step)
         return F.struct(moved.alias("at"), F.concat(s["all"], F.array(F.struct(d.cast("int").alias("depth"), moved.alias("at")))).alias("all"))
 
     above = F.when(level > 0, F.sequence(level - 1, F.lit(0))).otherwise(F.array().cast("array<int>"))

@@ -61,7 +61,7 @@ _MERGE = f"""{TREE}, own AS (SELECT m.path, i.part % 5 AS material, {_CORNERS} A
 ), t{DEPTH + 1} AS (SELECT * FROM flat WHERE false)"""
 for _d in range(DEPTH, -1, -1):
     _step = f"{_SIDE} * pow({n(0.9)}, {_d}) * {n(1 / 64)}"
-    _move = ", ".join(f"'{a}': round(p.{a} / step) * step + {n(0.0)}" for a in "xyz")
+    _move = ", ".join(f"'{a}': (floor(p.{a} / step) + {n(0.5)}) * step" for a in "xyz")
     _MERGE += f""", t{_d} AS MATERIALIZED (SELECT DISTINCT path, material, t FROM (SELECT * FROM flat WHERE len(path) = {_d}
       UNION ALL SELECT left(path, {_d}), material, list_sort(list_transform(t, lambda p: {{{_move}}})) FROM t{_d + 1}, (SELECT {_step} AS step)) WHERE t[1] <> t[2] AND t[2] <> t[3])"""
 q("merge_tiles", f"""SELECT path, count(*) AS triangles, count(DISTINCT material) AS materials, any_value(v) AS vertices FROM every JOIN (SELECT path, count(*) AS v FROM (SELECT DISTINCT path, unnest(t) AS p FROM every) GROUP BY 1) USING (path) GROUP BY 1""",
