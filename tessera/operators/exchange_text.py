@@ -30,7 +30,7 @@ def split_lines(lines: DataFrame) -> DataFrame:
     first = F.coalesce(F.max("_begin").over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = x.withColumn("_new", F.when((opened == 1) & (first == 1), 0).otherwise(1))
     x = x.withColumn("rec_no", F.sum("_new").over(w))
-    rows = x.groupBy("file", "rec_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    rows = x.groupBy("file", "rec_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     return rows.select("file", "rec_no", F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("text"))
 
 
@@ -93,7 +93,7 @@ def sanitize(classified: DataFrame) -> DataFrame:
     gone = removed(classified)
     ids = gone.select(F.col("entity_id").alias("_gone")).distinct()
     live = _allowed(classified).join(ids, F.col("ref") == F.col("_gone"), "left_anti").filter("fits")
-    refs = live.groupBy("rec_no").agg(F.array_sort(F.collect_list(F.struct("k", "ref"))).alias("_live"))
+    refs = live.groupBy("rec_no").agg(F.sort_array(F.collect_list(F.struct("k", "ref"))).alias("_live"))
     left = classified.join(gone.select("rec_no"), "rec_no", "left_anti").join(refs, "rec_no", "left")
     kept = F.coalesce(F.col("_live"), F.array())
     joined = F.array_join(F.transform("_live", lambda x: F.concat(F.lit("#"), x["ref"].cast("string"))), ",")
@@ -212,9 +212,14 @@ def shard_texts(classified: DataFrame, n: int) -> DataFrame:
     edge = other.filter("_first is null or rec_no < _first or rec_no > _last").select("rec_no", "text").crossJoin(F.broadcast(numbered))
     own = shards(classified, n).join(classified.select("rec_no", "text"), "rec_no").select("rec_no", "text", "shard", F.lit(1).alias("_e"))
     rows = own.unionByName(edge.withColumn("_e", F.lit(0)))
-    per = rows.groupBy("shard").agg(F.sum("_e").cast("long").alias("entities"), F.array_sort(F.collect_list(F.struct("rec_no", "text"))).alias("_t"))
+    per = rows.groupBy("shard").agg(F.sum("_e").cast("long").alias("entities"), F.sort_array(F.collect_list(F.struct("rec_no", "text"))).alias("_t"))
     return per.select("shard", "entities", F.concat(F.array_join(F.transform("_t", lambda x: x["text"]), "\n"), F.lit("\n")).alias("text"))
 
 
 def spread_shards(n: int, spark: SparkSession) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("shard"))
+
+
+def sorted_ids(classified: DataFrame, kind: str) -> DataFrame:
+    """The ids of a kind, each once, in order."""
+    return classified.filter(F.col("kind") == kind).select("entity_id").distinct().orderBy("entity_id")

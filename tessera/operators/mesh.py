@@ -130,6 +130,13 @@ def groups(primitives: DataFrame) -> DataFrame:
     return both.groupBy(*key, "bucket").agg(F.count("*").alias("n_primitives"), F.sum("n_vertices").cast("long").alias("n_vertices"), F.sum("n_indices").cast("long").alias("n_indices"))
 
 
+def group_order(grouped: DataFrame) -> DataFrame:
+    """Groups numbered in the order of their keys, part by part."""
+    from tessera.operators.ids import dense_ids
+
+    return dense_ids(grouped, ["material", "mode", "has_normals", "has_texcoord", "has_color", "bucket"], "group_id")
+
+
 def offsets(df: DataFrame, size: str, order: list[str], by: list[str], name: str) -> DataFrame:
     """Running totals: where each row's part begins."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -172,11 +179,13 @@ def cluster(triangles: DataFrame, vertices: DataFrame, step: float) -> DataFrame
 # -- simplification by edge collapse (one primitive per group) -----------------
 
 
-def _collapse(x: np.ndarray, t: np.ndarray, target: int, most_error: float) -> np.ndarray:
+def _collapse(x: np.ndarray, t: np.ndarray, target: int, most_error: float, more: np.ndarray | None = None) -> np.ndarray:
     """Collapse short, flat edges until ``target`` triangles are left.
 
     Costs are quadric errors of the kept end; rounds collapse an independent set
-    of the cheapest edges at once.  Corners stay original vertices.
+    of the cheapest edges at once.  Corners stay original vertices.  more: weighted
+    attributes of each vertex; the square of what an edge changes of them, as a
+    share of the mesh's size, adds to its cost.
     """
     scale = float(np.ptp(x, axis=0).max() or 1.0) if len(x) else 1.0
     limit = (most_error * scale) ** 2
@@ -198,6 +207,8 @@ def _collapse(x: np.ndarray, t: np.ndarray, target: int, most_error: float) -> n
         both = q[edge[:, 0]] + q[edge[:, 1]]
         total = np.maximum(weight[edge[:, 0]] + weight[edge[:, 1]], 1e-30)
         cost = np.stack([np.einsum("ni,nij,nj->n", h[edge[:, k]], both, h[edge[:, k]]) / total for k in (0, 1)], axis=1)
+        if more is not None and more.shape[1]:
+            cost = cost + scale * scale * ((more[edge[:, 0]] - more[edge[:, 1]]) ** 2).sum(axis=1)[:, None]
         keep = cost.argmin(axis=1)
         best = np.maximum(cost.min(axis=1), 0)
         order = np.argsort(best, kind="stable")
@@ -221,11 +232,18 @@ def _collapse(x: np.ndarray, t: np.ndarray, target: int, most_error: float) -> n
     return t
 
 
-def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: float = 0.05) -> DataFrame:
+#: How much a change of an attribute counts against a change of place (fixed values).
+ATTRIBUTE_WEIGHTS = {"nx": 0.5, "ny": 0.5, "nz": 0.5, "u": 1.0, "v": 1.0, "r": 0.25, "g": 0.25, "b": 0.25, "a": 0.25}
+
+
+def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: float = 0.05, weights: dict[str, float] | None = None) -> DataFrame:
     """Keep about ``ratio`` of each primitive's triangles (1 at least).
 
-    A group is one primitive; budgets keep those at a million triangles at most.
+    weights: attributes of the vertices that edges should keep, as of
+    ``ATTRIBUTE_WEIGHTS``.  A group is one primitive; budgets keep those at a million
+    triangles at most.
     """
+    weights = weights or {}
 
     def run(key, t: pa.Table, v: pa.Table) -> pa.Table:
         ids = np.array(v.column("vidx"))
@@ -236,7 +254,8 @@ def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: flo
         if len(ids) and len(corner):
             at = np.minimum(np.searchsorted(ids, corner), len(ids) - 1)
             corner = at[(ids[at] == corner).all(axis=1)]
-            left = _collapse(x, corner, max(1, int(len(corner) * ratio)), error)
+            more = np.stack([np.array(v.column(c))[order] * w for c, w in weights.items()], axis=1) if weights else None
+            left = _collapse(x, corner, max(1, int(len(corner) * ratio)), error, more)
         else:
             left = np.zeros((0, 3), np.int64)
         out = ids[left] if len(left) else left
@@ -244,7 +263,7 @@ def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: flo
         return pa.table({"prim_id": pa.array([prim] * len(out), pa.int64()), "tidx": pa.array(range(len(out)), pa.int64()), **{c: pa.array(out[:, i], pa.int64()) for i, c in enumerate(CORNERS)}})
 
     # fresh columns, so that both sides may come from the same table
-    apart = vertices.select(*[F.col(c).alias(c) for c in ("prim_id", "vidx", *g.AXES)])
+    apart = vertices.select(*[F.col(c).alias(c) for c in ("prim_id", "vidx", *g.AXES, *weights)])
     return triangles.groupBy("prim_id").cogroup(apart.groupBy("prim_id")).applyInArrow(run, "prim_id long, tidx long, a long, b long, c long")
 
 

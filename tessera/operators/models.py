@@ -242,7 +242,7 @@ def merge_tiles(tree: DataFrame, triangles: DataFrame, root: DataFrame, loose: f
     corner = [F.struct(*[F.get("t.at", F.lit(3 * i + k)).alias(a) for k, a in enumerate(g.AXES)]) for i in range(3)]
     rows = each.select(F.substring("path", 1, F.col("t.depth")).alias("path"), "material", *[c.alias(n) for c, n in zip(corner, "abc", strict=True)])
     rows = rows.filter("a <> b and b <> c and a <> c")
-    merged = rows.groupBy("path", "material", F.array_sort(F.array("a", "b", "c")).alias("_key")).agg(F.min(F.struct("a", "b", "c")).alias("t"))
+    merged = rows.groupBy("path", "material", F.sort_array(F.array("a", "b", "c")).alias("_key")).agg(F.min(F.struct("a", "b", "c")).alias("t"))
     return merged.select("path", "material", *[F.col(f"t.{c}.{a}").alias(f"{c}{a}") for c in "abc" for a in g.AXES])
 
 
@@ -261,8 +261,8 @@ def parts(content: DataFrame) -> DataFrame:
     by = ["path", "material"]
     each = written(each.withColumn("material", F.coalesce("material", F.lit(-1))), "corners")
     vertex = each.select(*by, "p").distinct().withColumn("v", F.row_number().over(Window.partitionBy(*by).orderBy("p")) - 1)
-    vertices = vertex.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("v", "p"))).alias("_v"))
-    corners = each.join(vertex, [*by, "p"]).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_t", "_k", "v"))).alias("_i"))
+    vertices = vertex.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("v", "p"))).alias("_v"))
+    corners = each.join(vertex, [*by, "p"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_t", "_k", "v"))).alias("_i"))
     flat = F.flatten(F.transform("_v", lambda v: F.array(*[v["p"][a] for a in g.AXES])))
     rows = vertices.join(corners, by).withColumn("part", F.col("material").cast("int"))
     return rows.select("path", "part", F.nullif(F.col("part"), F.lit(-1)).alias("material"), flat.alias("positions"), F.transform("_i", lambda i: i["v"]).alias("indices"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.operators.mesh import gather
+from tessera.storage import written
 
 
 def repeated_ids(df: DataFrame, key: str) -> DataFrame:
@@ -56,12 +57,20 @@ def corner_angles(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     return got.select("prim_id", "tidx", F.explode(F.array(*each)).alias("angle")).filter("angle is not null")
 
 
-def floor_percentile(df: DataFrame, value: str, by: list[str], share: float = 0.95) -> DataFrame:
-    """Mean, largest, and the value at place floor(share * (n - 1)) in order."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = F.floor(F.lit(share) * (F.col("_n") - 1))
-    return ranked.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("largest"), F.max(F.when(F.col("_r") == at, F.col(value))).alias("percentile"))
+def floor_percentile(df: DataFrame, value: str, by: list[str], share: float = 0.95, width: float = 0.05) -> DataFrame:
+    """Mean, largest, and the value at place floor(share * (n - 1)) in order.
+
+    Values are counted in buckets of ``width``, map-side first; the counts say in
+    which bucket the place lies, and only that bucket's values are put in order.
+    """
+    df = written(df.select(*by, value).withColumn("_bucket", F.floor(F.col(value) / width)), "values")
+    count = df.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    up_to = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.floor(F.lit(share) * (F.sum("_n").over(Window.partitionBy(*by)) - 1))
+    at = count.select(*by, "_bucket", "_n", (place - F.coalesce(F.sum("_n").over(up_to), F.lit(0))).alias("_at")).filter("_at >= 0 and _at < _n").drop("_n")
+    ranked = df.join(at, [*by, "_bucket"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
+    total = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("largest"))
+    return total.join(ranked.filter("_r = _at").select(*by, F.col(value).alias("percentile")), by)
 
 
 def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:

@@ -154,3 +154,13 @@ def export_evidence(occurrences: DataFrame, sse: float, linear: float, angular:
     )
     status = F.when(F.col("glb_triangles") > 0, "ok").otherwise("error")
     return rows.select("*", F.lit(sse).alias("sse"), F.lit(linear).alias("linear_deflection"), F.lit(angular).alias("angular_deflection"), status.alias("status"))
+
+
+def union_occurrences(*files: DataFrame) -> DataFrame:
+    """Occurrences of several files as one scene: numbered anew, file by file, with
+    ``file`` (from 0) and their own number as ``file_occ``."""
+    out = None
+    for i, df in enumerate(files):
+        part = df.withColumn("file", F.lit(i)).withColumnRenamed("occ_id", "file_occ")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return dense_ids(out, ["file", "file_occ"], "occ_id")

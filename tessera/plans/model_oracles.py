@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracles import DEPTH, OCC, PROTO, REC, TREE, TRI, VERT, n, q
+from tessera.plans.oracles import DEPTH, OCC, PRIM, PROTO, REC, TREE, TRI, VERT, n, q
 
 _SIX = "CASE WHEN {0} = 0 THEN 0 ELSE round({0} / pow(CAST(10 AS DOUBLE), floor(log10(abs({0}))) - 5)) * pow(CAST(10 AS DOUBLE), floor(log10(abs({0}))) - 5) END"
 
@@ -107,4 +107,9 @@ q("material_rules", f"""SELECT occ_id, CASE WHEN size % 3 = 0 THEN {n(0.25)} WHE
   CASE WHEN ch < size % 6 THEN ch ELSE -1 END AS channel, round(CASE WHEN size % 4 = 0 THEN size / {n(50.0)} ELSE 0 END, 6) AS metallic, round(CASE WHEN size % 7 = 0 OR size % 5 = 0 THEN 1 ELSE size / {n(50.0)} END, 6) AS roughness,
   round(CASE WHEN size >= 48 AND size % 4 <> 0 THEN {n(0.1)} ELSE size / {n(50.0)} END, 6) AS shown_metallic, round(CASE WHEN size >= 48 AND size % 4 <> 0 THEN greatest(size / {n(100.0)}, {n(0.8)}) ELSE size / {n(100.0)} END, 6) AS shown_roughness, true AS double_sided
 FROM (SELECT *, CASE WHEN size % 3 = 0 THEN size % 4 WHEN size % 2 = 0 THEN size % 5 ELSE 0 END AS ch FROM occ)""", OCC)
-
+q("primitive_group_order", """SELECT row_number() OVER (ORDER BY material, mode, has_normals, has_texcoord, bucket) - 1 AS group_id, * FROM (SELECT DISTINCT material, mode, has_normals, has_texcoord, CAST(bucket AS INTEGER) AS bucket
+FROM (SELECT *, CASE WHEN mode = 4 THEN 0 ELSE row_number() OVER (PARTITION BY material, mode, has_normals, has_texcoord ORDER BY prim_id) - 1 END AS bucket FROM prim))""", PRIM)
+q("union_occurrences", "SELECT row_number() OVER (ORDER BY file, file_occ) - 1 AS occ_id, file, file_occ FROM (SELECT CAST(1 - occ_id % 2 AS INTEGER) AS file, occ_id AS file_occ FROM occ)", OCC)
+q("face_ids", "SELECT DISTINCT entity_id FROM cls WHERE kind = 'COMPLEX_TRIANGULATED_FACE'", REC)
+q("attribute_simplify", "SELECT prim_id, count(*) AS before, true AS fewer, true AS known FROM ok WHERE a <> b AND b <> c AND a <> c GROUP BY 1", TRI)
+q("baked_occurrences", "SELECT 'occ_' || n_nationkey || '_high.glb' AS file, 'ok' AS status, count(*) AS corners, count(*) // 3 * 3 AS indices, round(CAST(max(CAST(x + n_nationkey AS FLOAT)) AS DOUBLE), 4) AS xmax FROM nation JOIN vert ON n_nationkey % 10 = prim_id GROUP BY n_nationkey", VERT)

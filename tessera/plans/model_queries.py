@@ -9,7 +9,8 @@ from tessera.functions import keys, materials
 from tessera.operators import mesh, models, octree, scene
 from tessera.operators import exchange_text as ex
 from tessera.plans import bindings as b
-from tessera.plans.queries import RULES, _classified, _counted, _placed, _r, query
+from tessera.plans.queries import RULES, _classified, _counted, _placed, _primitives, _r, query
+from tessera.sources import glb
 
 
 def _same(df, key):
@@ -279,3 +280,49 @@ def material_rules(spark, d):
     shown = materials.less_metal(s / 50, s / 100, s % 4 == 0)
     default = models.material_or_default(F.when(s % 2 == 0, materials.default_material()))
     return b.parts(spark, d).select("occ_id", F.element_at(color, 1).alias("red"), F.element_at(color, 4).alias("alpha"), F.coalesce(channel, F.lit(-1)).cast("long").alias("channel"), _r(pbr["metallic"]).alias("metallic"), _r(pbr["roughness"]).alias("roughness"), _r(shown["metallic"]).alias("shown_metallic"), _r(shown["roughness"]).alias("shown_roughness"), materials.double_sided(default["double_sided"], s % 2 == 0).alias("double_sided"))
+
+
+@query
+def primitive_group_order(spark, d):
+    return mesh.group_order(mesh.groups(_primitives(spark, d))).select("group_id", "material", "mode", "has_normals", "has_texcoord", "bucket")
+
+
+@query
+def union_occurrences(spark, d):
+    occ = b.parts(spark, d).select("occ_id", "source_label")
+    return scene.union_occurrences(occ.filter("occ_id % 2 = 1"), occ.filter("occ_id % 2 = 0")).select("occ_id", "file", "file_occ")
+
+
+@query
+def face_ids(spark, d):
+    return ex.sorted_ids(_classified(spark, d), "COMPLEX_TRIANGULATED_FACE")
+
+
+@query
+def attribute_simplify(spark, d):
+    """Simplification that keeps normals and texture coordinates: as ``simplify_checks``."""
+    tri = mesh.distinct_corners(mesh.in_range(_counted(spark, d), F.col("nv")).drop("nv"))
+    use = tri.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).distinct()
+    weights = {k: w for k, w in mesh.ATTRIBUTE_WEIGHTS.items() if k in ("nx", "ny", "nz", "u", "v")}
+    out = mesh.simplify(tri, b.vertices(spark, d).drop("prim_id").join(use, "vidx"), 0.5, 10.0, weights)
+    strange = out.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).join(use, ["prim_id", "vidx"], "left_anti").groupBy("prim_id").agg(F.count("*").alias("strange"))
+    x = tri.groupBy("prim_id").agg(F.count("*").alias("before")).join(out.groupBy("prim_id").agg(F.count("*").alias("after")), "prim_id", "left").join(strange, "prim_id", "left")
+    return x.select("prim_id", "before", F.coalesce(F.col("after") <= F.col("before"), F.lit(False)).alias("fewer"), F.col("strange").isNull().alias("known"))
+
+
+@query
+def baked_occurrences(spark, d):
+    """A GLB for each nation's copy of a mesh, with its place in the file, read back."""
+    v = b.vertices(spark, d).withColumn("prototype_id", F.col("prim_id"))
+    inst = b.read(spark, d, "nation").select(F.col("n_nationkey").alias("instance_id"), (F.col("n_nationkey") % 10).alias("prototype_id"), g.translation(F.col("n_nationkey").cast("double"), F.lit(1.0), F.lit(0.5)).alias("world_m"))
+    baked = mesh.bake(inst, v).groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("vidx", *g.AXES))).alias("p"))
+    n = F.floor(F.size("p") / 3).cast("int") * 3
+    rows = baked.select(
+        F.format_string("occ_%s_high.glb", F.col("instance_id").cast("string")).alias("tile"),
+        F.lit(0).alias("part"),
+        F.flatten(F.transform("p", lambda x: F.array(*[x[a] for a in g.AXES]))).alias("positions"),
+        F.slice(F.sequence(F.lit(0), F.size("p") - 1), F.lit(1), n).alias("indices"),
+        F.lit(None).cast("int").alias("material"),
+    )
+    back = glb.read_meshes(glb.write_meshes(rows).select(F.col("tile").alias("path"), F.col("glb").alias("content")))
+    return back.select("file", "status", F.size("positions").cast("long").alias("corners"), F.size("indices").cast("long").alias("indices"), _r(F.array_max(F.transform("positions", lambda x: F.get(x, F.lit(0)))), 4).alias("xmax"))

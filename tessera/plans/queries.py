@@ -272,7 +272,7 @@ def mesh_use_count(spark, d):
 def explicit_reference(spark, d):
     occ = b.parts(spark, d)
     uses = scene.use_counts(occ.select(F.col("qualified_key" if "qualified_key" in occ.columns else "material_key").alias("mesh"), "size").filter("size > 45").select("mesh"))
-    return occ.select("occ_id", F.col("material_key").alias("mesh")).join(F.broadcast(uses), "mesh", "left").select("occ_id", F.coalesce("explicit", F.lit(False)).alias("explicit"))
+    return occ.select("occ_id", F.col("material_key").alias("mesh")).join(uses, "mesh", "left").select("occ_id", F.coalesce("explicit", F.lit(False)).alias("explicit"))
 
 
 @query
@@ -469,11 +469,10 @@ def cluster_simplify(spark, d):
 
 @query
 def simplify_meshes(spark, d):
-    tri = mesh.in_range(_counted(spark, d), F.col("nv")).drop("nv")
-    # every primitive indexes all vertices
-    prims = tri.select("prim_id").distinct()
-    v = b.vertices(spark, d).drop("prim_id").crossJoin(F.broadcast(prims))
-    return mesh.simplify(mesh.distinct_corners(tri), v, 0.5, 10.0)
+    tri = mesh.distinct_corners(mesh.in_range(_counted(spark, d), F.col("nv")).drop("nv"))
+    # each primitive with the vertices that it uses
+    use = tri.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).distinct()
+    return mesh.simplify(tri, b.vertices(spark, d).drop("prim_id").join(use, "vidx"), 0.5, 10.0)
 
 
 @query
