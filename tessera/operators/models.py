@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as g
 from tessera.functions.materials import default_material
 from tessera.operators.ids import dense_ids
+from tessera.operators.tiles import bottom_up
 from tessera.storage import written
 
 
@@ -211,39 +212,45 @@ def distinct_per_tile(members: DataFrame, instances: DataFrame) -> DataFrame:
     return x.groupBy("path").agg(F.count("*").alias("n_items"), F.count_distinct("prototype_id").alias("n_prototypes"))
 
 
+_NINE = [f"{c}{a}" for c in "abc" for a in g.AXES]
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """rows (path, depth, material, ax .. cz) without collapsed triangles and with one of
+    those that share their corners.  Corners are put in order and a flag says whether
+    that turned the triangle over, so that all keys and sums are plain numbers."""
+    a, b, c = (F.struct(*[F.col(f"{k}{x}").alias(x) for x in g.AXES]) for k in "abc")
+    x = rows.select("path", "depth", "material", a.alias("a"), b.alias("b"), c.alias("c")).filter("a <> b and b <> c and a <> c")
+    x = x.withColumn("s", F.sort_array(F.array("a", "b", "c")))
+    one, two = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    kept = ((F.col("a") == one) & (F.col("b") == two)) | ((F.col("b") == one) & (F.col("c") == two)) | ((F.col("c") == one) & (F.col("a") == two))
+    flat = [F.get("s", F.lit(i))[x_].alias(f"{k}{x_}") for i, k in enumerate("abc") for x_ in g.AXES]
+    key = ["path", "depth", "material", *_NINE]
+    found = x.select("path", "depth", "material", *flat, (~kept).cast("int").alias("over")).groupBy(*key).agg(F.min("over").alias("over"))
+    turned = {"b": "c", "c": "b"}
+    corner = [F.when(F.col("over") == 1, F.col(f"{turned.get(k, k)}{x_}")).otherwise(F.col(f"{k}{x_}")).alias(f"{k}{x_}") for k in "abc" for x_ in g.AXES]
+    return found.select("path", "depth", "material", *corner)
+
+
 def merge_tiles(tree: DataFrame, triangles: DataFrame, root: DataFrame, loose: float, share: float = 1 / 64) -> DataFrame:
     """The content of every tile: (path, material, ax .. cz), a row per triangle.
 
     triangles: path (of their leaf), material, ax ay az bx .. cz.  A leaf has its
-    own triangles; a parent those of its children, with corners moved to the middle of
-    their cell on a grid of ``share`` of its largest side.  Triangles that collapse go, and of equal ones
-    (corners in any order) of a material one is left.
-
-    What a grid does to a corner is row by row, and grids of ancestors follow from
-    the levels alone, so no level waits for another: each triangle goes to all of
-    its ancestors, moved from grid to grid on the way, and one aggregate per tile
-    and material merges them, map-side first, where coarse tiles shrink most.
+    own triangles; a parent those of its children, with corners moved to the middle
+    of their cell on a grid of ``share`` of its largest side.  Triangles that collapse
+    go, and of those of a material that share their corners one is left.  Levels are
+    made from the deepest up, each from the contents one level below.
     """
-    side = g.max_side(F.col("root"))
-    depth = tree.agg(F.max("depth").alias("_most"))
-    names = [f"{c}{a}" for c in "abc" for a in g.AXES]
-    x = triangles.crossJoin(F.broadcast(root)).crossJoin(F.broadcast(depth))
-    level = F.length("path")
-    # corners on the leaf's level, then on each ancestor's
-    start = F.struct(F.array(*names).alias("at"), F.array(F.struct(level.alias("depth"), F.array(*names).alias("at"))).alias("all"))
-
-    def up(s: Column, d: Column) -> Column:
-        step = side * F.pow(F.lit(loose / 2), d) * share
-        moved = F.transform(s["at"], lambda v: (F.floor(v / step) + 0.5) * step)
-        return F.struct(moved.alias("at"), F.concat(s["all"], F.array(F.struct(d.cast("int").alias("depth"), moved.alias("at")))).alias("all"))
-
-    above = F.when(level > 0, F.sequence(level - 1, F.lit(0))).otherwise(F.array().cast("array<int>"))
-    each = x.select("path", "material", F.explode(F.aggregate(above, start, up)["all"]).alias("t"))
-    corner = [F.struct(*[F.get("t.at", F.lit(3 * i + k)).alias(a) for k, a in enumerate(g.AXES)]) for i in range(3)]
-    rows = each.select(F.substring("path", 1, F.col("t.depth")).alias("path"), "material", *[c.alias(n) for c, n in zip(corner, "abc", strict=True)])
-    rows = rows.filter("a <> b and b <> c and a <> c")
-    merged = rows.groupBy("path", "material", F.sort_array(F.array("a", "b", "c")).alias("_key")).agg(F.min(F.struct("a", "b", "c")).alias("t"))
-    return merged.select("path", "material", *[F.col(f"t.{c}.{a}").alias(f"{c}{a}") for c in "abc" for a in g.AXES])
+    side = root.select(g.max_side(F.col("root")).alias("_side"))
+
+    def move(rows: DataFrame) -> DataFrame:
+        step = F.col("_side") * F.pow(F.lit(loose / 2), F.col("depth") - 1) * share
+        at = {c: (F.floor(F.col(c) / step) + 0.5) * step for c in _NINE}
+        return rows.crossJoin(F.broadcast(side)).select("path", "depth", "material", *[v.alias(c) for c, v in at.items()])
+
+    leaves = written(_merged(triangles.withColumn("depth", F.length("path"))), "content")
+    inner = tree.filter(~F.col("is_leaf")).select("path", "depth")
+    return bottom_up(leaves, inner, combine=_merged, reduce=move).drop("depth")
 
 
 def tile_totals(content: DataFrame) -> DataFrame:
