@@ -300,6 +300,29 @@ def test_quality_cases(spark):
         assert np.allclose((far**2).sum(1), np.einsum("ni,ij,nj->n", x - m.mean[k], np.linalg.inv(s), x - m.mean[k]))
 
 
+def test_quality_against_brute_force(spark):
+    """Densities of two normal distributions, with covariances shrunk by hand."""
+    r = random.Random(3)
+    good, bad = ["the", "of", "Report", "shows", "results", "and", "method."], ["BUY", "now!!!", "$$$", "click", "x", "free"]
+    rows = [(i, " ".join(r.choice(good if i % 2 else bad) for _ in range(r.randrange(5, 60)))) for i in range(120)] + [(120, None), (121, "")]
+    d = frame(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, label int")
+    got = {x.doc_id: x.score for x in quality.classify(spark, d, labels, F.col("doc_id") % 3 != 0).collect()}
+    x = {f.doc_id: np.array(f.x) for f in quality.features(d).collect()}
+    part = [np.stack([x[i] for i in range(90) if i % 3 and i % 2 == k]) for k in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in part]
+    n = [len(p) for p in part]
+    pooled = sum(c * k for c, k in zip(cov, n, strict=True)) / sum(n) + 1e-6 * np.eye(quality.FEATURES)
+    density = []
+    for p, c, k in zip(part, cov, n, strict=True):
+        w = quality.POOL + (1 - quality.POOL) * quality.FEATURES / (quality.FEATURES + k)
+        s = (1 - quality.RIDGE) * ((1 - w) * c + w * pooled) + quality.RIDGE * np.diag(np.diag(pooled))
+        density.append(lambda v, m=p.mean(axis=0), s=s: -0.5 * ((v - m) @ np.linalg.solve(s, v - m) + np.linalg.slogdet(s)[1]))
+    for i, v in x.items():
+        odds = np.log((n[1] + 1) / (n[0] + 1)) + density[1](v) - density[0](v)
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(odds, -40, 40)))) < 1e-6
+
+
 # -- op 4 -------------------------------------------------------------------------
 
 
@@ -834,6 +857,29 @@ def test_chat_of_long_texts_and_clashing_columns(spark):
     assert [t.text for t in got.turns] == [long, long] and got.learnt == long
 
 
+# -- the queries themselves ----------------------------------------------------------------
+
+
+def test_queries_of_whole_tables(spark):
+    """Ops 2, 4, 5 and 6 as they are registered, over the whole of ``documents``."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    used, least = check_packed(docs, QUERIES["op2_best_fit_packing"](spark, SF).collect(), 1024)
+    assert used <= least * 1.02 + 1
+    fp = {i: brute_fingerprint(x) for i, x in docs}
+    root = brute_components(fp.values())
+    name = {}
+    for i, f in fp.items():
+        name[root[f]] = min(name.get(root[f], i), i)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op5_simhash_near_dedup"](spark, SF).collect()}
+    assert got == {i: (f"{f:016x}", name[root[f]]) for i, f in fp.items()}
+    assert {r.doc_id: r.n_tokens for r in QUERIES["op6_token_counts"](spark, SF).collect()} == {i: len(whole_ids(x)) for i, x in docs}
+    new = {r.doc_id: r.text for r in QUERIES["op4_pii"](spark, SF).collect()}
+    assert set(new) == {i for i, _ in docs}
+    for i, x in docs:  # words that hold neither digits nor an address or secret stay
+        if x and not re.search(r"[0-9@=:]", x):
+            assert new[i] == x
+
+
 # -- shared, op 1's SQL, pipeline --------------------------------------------------------
 
 
