@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,23 +83,56 @@ def bottom_up(leaves: DataFrame, inner: DataFrame, combine: Callable[[DataFrame]
 
 def tileset(tiles: DataFrame) -> DataFrame:
     """Rows of a tileset: path, box of 12 numbers, error, content uri."""
-    return tile_errors(tiles).select("path", "depth", "tile_id", g.tile_box(F.col("box")).alias("box"), F.col("tile_error").alias("error"), F.when(F.col("n_items") > 0, F.concat(F.lit("tile_"), F.col("tile_id").cast("string"), F.lit(".b3dm"))).otherwise("").alias("uri"))
+    return tile_errors(tiles).select("path", "depth", "tile_id", g.tile_box(F.col("box")).alias("box"), F.col("tile_error").alias("error"), "is_leaf", F.when(F.col("n_items") > 0, F.concat(F.lit("tile_"), F.col("tile_id").cast("string"), F.lit(".b3dm"))).otherwise("").alias("uri"))
+
+
+def _tile(r: dict) -> dict:
+    node = {"boundingVolume": {"box": [float(f"{x:.15g}") for x in r["box"]]}, "geometricError": float(f"{r['error']:.15g}"), "refine": "REPLACE"}
+    if r["uri"]:
+        node["content"] = {"uri": r["uri"]}
+    return node
+
+
+def _nested(rows: list[dict], top_error: float) -> str:
+    """A tileset of rows in order of paths, the root first; children by octant."""
+    made: dict[str, dict] = {}
+    for r in rows:
+        made[r["path"]] = _tile(r)
+        if len(made) > 1:
+            made[r["path"][:-1]].setdefault("children", []).append(made[r["path"]])
+    return json.dumps({"asset": {"version": "1.0"}, "geometricError": top_error, "root": made[rows[0]["path"]]})
 
 
 def tileset_json(rows: DataFrame, top_error: float, most_nodes: int = 200_000) -> str:
     """The nested JSON of a tileset, children by octant.
 
     A tileset file is one document and is assembled on the driver, so its number
-    of tiles is checked; larger trees are to be cut into several files by prefix.
+    of tiles is checked; ``tileset_files`` cuts larger trees into several files.
     """
     if rows.limit(most_nodes + 1).count() > most_nodes:
-        raise ValueError(f"more than {most_nodes} tiles: cut the tree by path prefix")
-    made: dict[str, dict] = {}
-    for r in rows.orderBy("path").collect():
-        node = {"boundingVolume": {"box": [float(f"{x:.15g}") for x in r["box"]]}, "geometricError": float(f"{r['error']:.15g}"), "refine": "REPLACE"}
-        if r["uri"]:
-            node["content"] = {"uri": r["uri"]}
-        made[r["path"]] = node
-        if r["path"]:
-            made[r["path"][:-1]].setdefault("children", []).append(node)
-    return json.dumps({"asset": {"version": "1.0"}, "geometricError": top_error, "root": made[""]})
+        raise ValueError(f"more than {most_nodes} tiles: use tileset_files")
+    return _nested([r.asDict() for r in rows.orderBy("path").collect()], top_error)
+
+
+def tileset_files(rows: DataFrame, top_error: float, levels: int = 4) -> DataFrame:
+    """(uri, text): the tileset as files of ``levels`` levels each, ``tileset.json`` at
+    the top.  A tile on the edge that has children is in its file a reference to
+    the file that begins with it.
+
+    A file has at most 8 ** levels * 8 / 7 tiles, so each is one small group.
+    """
+    prefix = F.substring("path", 1, (F.floor(F.col("depth") / levels) * levels).cast("int"))
+    edge = (F.col("depth") > 0) & (F.col("depth") % levels == 0)
+    above = F.substring("path", 1, F.col("depth") - levels)
+    name = F.concat(F.lit("tileset_"), F.col("path"), F.lit(".json"))
+    plain = ["path", "box", "error", "uri"]
+    # leaves on the edge stay in the file above; other edge tiles begin a file and are referred to
+    own = rows.select(F.when(edge & F.col("is_leaf"), above).otherwise(prefix).alias("file"), *plain)
+    refer = rows.filter(edge & ~F.col("is_leaf")).select(above.alias("file"), "path", "box", "error", name.alias("uri"))
+
+    def write(key, t):
+        file = key[0].as_py()
+        part = sorted(t.select(plain).to_pylist(), key=lambda r: r["path"])
+        return pa.table({"uri": [f"tileset_{file}.json" if file else "tileset.json"], "text": [_nested(part, top_error if not file else part[0]["error"])]})
+
+    return own.unionByName(refer).groupBy("file").applyInArrow(write, "uri string, text string")

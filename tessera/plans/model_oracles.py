@@ -113,3 +113,6 @@ q("union_occurrences", "SELECT row_number() OVER (ORDER BY file, file_occ) - 1 A
 q("face_ids", "SELECT DISTINCT entity_id FROM cls WHERE kind = 'COMPLEX_TRIANGULATED_FACE'", REC)
 q("attribute_simplify", "SELECT prim_id, count(*) AS before, true AS fewer, true AS known FROM ok WHERE a <> b AND b <> c AND a <> c GROUP BY 1", TRI)
 q("baked_occurrences", "SELECT 'occ_' || n_nationkey || '_high.glb' AS file, 'ok' AS status, count(*) AS corners, count(*) // 3 * 3 AS indices, round(CAST(max(CAST(x + n_nationkey AS FLOAT)) AS DOUBLE), 4) AS xmax FROM nation JOIN vert ON n_nationkey % 10 = prim_id GROUP BY n_nationkey", VERT)
+q("tileset_files", """SELECT 'tileset' || CASE WHEN file = '' THEN '' ELSE '_' || file END || '.json' AS uri, count(*) AS tiles, count(*) FILTER (WHERE refers) AS refers FROM (
+  SELECT CASE WHEN depth > 0 AND depth % 2 = 0 AND is_leaf THEN left(path, depth - 2) ELSE left(path, depth // 2 * 2) END AS file, false AS refers FROM nodes
+  UNION ALL SELECT left(path, depth - 2), true FROM nodes WHERE depth > 0 AND depth % 2 = 0 AND NOT is_leaf) GROUP BY 1""", TREE)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.functions import keys, materials
-from tessera.operators import mesh, models, octree, scene
+from tessera.operators import mesh, models, octree, scene, tiles
 from tessera.operators import exchange_text as ex
 from tessera.plans import bindings as b
 from tessera.plans.queries import RULES, _classified, _counted, _placed, _primitives, _r, query
@@ -326,3 +326,15 @@ def baked_occurrences(spark, d):
     )
     back = glb.read_meshes(glb.write_meshes(rows).select(F.col("tile").alias("path"), F.col("glb").alias("content")))
     return back.select("file", "status", F.size("positions").cast("long").alias("corners"), F.size("indices").cast("long").alias("indices"), _r(F.array_max(F.transform("positions", lambda x: F.get(x, F.lit(0)))), 4).alias("xmax"))
+
+
+@query
+def tileset_files(spark, d):
+    """Tiles and references of each file of a tileset that is cut every two levels."""
+    rows = tiles.tileset(tiles.node_table(_placed(spark, d), RULES))
+    files = tiles.tileset_files(rows, 100.0, 2)
+
+    def times(mark):
+        return F.size(F.split("text", mark)) - 1
+
+    return files.select("uri", times('"refine"').cast("long").alias("tiles"), times('uri": "tileset_').cast("long").alias("refers"))

@@ -30,8 +30,14 @@ def require(df: DataFrame, contract: dict[str, str] | None = None) -> DataFrame:
 
 
 def step_files(spark: SparkSession, path: str) -> DataFrame:
-    """Exchange files of a folder (not below it), or one file, sorted by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    """Exchange files of a folder (not below it), or one file, sorted by path; none
+    where nothing is there.  Contents are not read."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "path string, length long")
     return files.filter(has_suffix(F.col("path"), *STEP_SUFFIXES)).select("path", "length").orderBy("path")
 
 

@@ -449,3 +449,31 @@ def test_evidence_and_shard_files(spark, tmp_path):
     assert "".join(x[len(head) : -len(foot)] for x in got) == "".join(f"{x}\n" for _, x in texts[2:12])
     manifest = spark.read.json(f"file://{tmp_path}/shards_manifest").first()
     assert (manifest.base, manifest.remainder, [s.entities for s in manifest.shards]) == (3, 1, [4, 3, 3])
+
+
+def test_files_that_are_not_there(spark, tmp_path):
+    assert formats.step_files(spark, f"file://{tmp_path}/none").count() == 0
+    (tmp_path / "b.step").write_text("x")
+    (tmp_path / "a.STP").write_text("xy")
+    (tmp_path / "c.txt").write_text("x")
+    assert [(r.path.rsplit("/", 1)[1], r.length) for r in formats.step_files(spark, f"file://{tmp_path}").collect()] == [("a.STP", 2), ("b.step", 1)]
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_tileset_files_say_what_one_file_says(spark, levels):
+    """References followed, the files make up the whole tree."""
+    paths = ["", "0", "1", "00", "01", "07", "000", "001", "0010", "0017", "00170", "001700", "1" + "2"]
+    leaf = {p: not any(q != p and q.startswith(p) for q in paths) for p in paths}
+    rows = spark.createDataFrame([(p, len(p), i, [float(i)] * 12, 0.0 if leaf[p] else 9.0 - len(p), leaf[p], f"tile_{i}.b3dm") for i, p in enumerate(paths)], "path string, depth int, tile_id long, box array<double>, error double, is_leaf boolean, uri string")
+    files = {r.uri: json.loads(r.text) for r in tiles.tileset_files(rows, 50.0, levels).collect()}
+
+    def follow(node):
+        uri = node.get("content", {}).get("uri", "")
+        if uri.startswith("tileset_"):
+            assert node["geometricError"] == files[uri]["root"]["geometricError"]
+            return follow(files[uri]["root"])
+        return {k: [follow(c) for c in v] if k == "children" else v for k, v in node.items()}
+
+    whole = json.loads(tiles.tileset_json(rows, 50.0))
+    assert files["tileset.json"]["geometricError"] == 50.0 and follow(files["tileset.json"]["root"]) == whole["root"]
+    assert len(files) > 1
