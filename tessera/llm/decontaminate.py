@@ -119,7 +119,8 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, n: i
     docs: doc_id, text; items: item_id, text.  Case and punctuation do not count.
     Items of fewer than n words are one shingle; items and documents without
     words (null, blank) match nothing.  Items with a null item_id take part.
-    Rows that repeat an id are searched each on their own.  Returns doc_id,
+    Rows that repeat an id are searched each on their own; an empty table on either
+    side gives no rows; long documents are searched whole.  Returns doc_id,
     item_id, shared and all distinct shingles of the item, containment.
     """
     plain = documents(docs).select("doc_id", _plain().alias("text"))

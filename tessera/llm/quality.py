@@ -184,7 +184,9 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn) ->
 
     labels: doc_id, label (0 or 1; others and nulls do not count); learn: which
     of its rows may be learnt from.  Repeated documents are scored row by row;
-    repeated labels count each.  Empty text is scored like any other.
+    repeated labels count each.  Null and empty texts are scored like any other,
+    long ones whole; an empty table gives no rows.  Without labels of both classes
+    there is no model, and all scores are 0.5.
     """
     made = table(spark, features(docs), "features")
     known = labels.filter(learn).filter("label in (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), "label")

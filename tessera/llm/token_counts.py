@@ -117,5 +117,11 @@ def count_tokens(blocks: DataFrame, end_id: int) -> DataFrame:
 
 
 def count_document_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 50256) -> DataFrame:
-    """Write the token streams of whole texts and count them."""
+    """(file, ordinal, doc_id, n_tokens, closed): the ids of each whole text, counted in
+    token streams that are written first.
+
+    Null and empty texts have none; repeated rows are counted each; a null doc_id
+    stays null; very long texts span blocks; an empty table gives no rows.  Further
+    columns are ignored.
+    """
     return count_tokens(table(spark, token_blocks(docs, vocabulary, end_id), "tokens"), end_id)
