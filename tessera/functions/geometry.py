@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
 
+#: Thresholds that results must share (fixed values): how far w may be from 1, and from
+#: 0, for a point to be divided by it; the least length of a normal; the least radius
+#: of a box with content.
+W_IS_ONE, W_IS_ZERO = 1e-8, 1e-12
+LEAST_NORMAL = 1e-18
+LEAST_RADIUS = 1e-9
+
 
 def box(xmin, ymin, zmin, xmax, ymax, zmax) -> Column:
     values = dict(xmin=xmin, ymin=ymin, zmin=zmin, xmax=xmax, ymax=ymax, zmax=zmax)
@@ -38,7 +45,8 @@ def max_side(b: Column) -> Column:
 
 
 def tile_box(b: Column) -> Column:
-    """The 12 numbers of a 3D-tile bounding volume (y-up becomes z-up)."""
+    """The 12 numbers of a 3D-tile bounding volume.  Scenes are y-up and tiles z-up, so
+    y is -z and z is y (fixed values, as is the order of the numbers)."""
     c = {a: center(b, a) for a in AXES}
     h = {a: extent(b, a) * F.lit(0.5) for a in AXES}
     zero = F.lit(0.0)
@@ -54,6 +62,13 @@ def sphere(tile: Column) -> Column:
     return F.struct(*[F.element_at(tile, i + 1).alias(a) for i, a in enumerate(AXES)], F.sqrt(total).alias("radius"))
 
 
+def volume_sphere(volume: Column) -> Column:
+    """The sphere of a bounding volume (box, sphere, region; all nullable): a sphere's
+    own four numbers, else that around the box; regions have none."""
+    given = F.struct(*[F.element_at(volume["sphere"], i + 1).alias(n) for i, n in enumerate((*AXES, "radius"))])
+    return F.when(volume["sphere"].isNotNull(), given).when(volume["box"].isNotNull(), sphere(volume["box"]))
+
+
 def octant(parent: Column, item: Column) -> Column:
     """0..7: which octant of ``parent`` the centre of ``item`` lies in (void: 0)."""
     bits = [F.when(center(item, a) >= center(parent, a), 1 << i).otherwise(0) for i, a in enumerate(AXES)]
@@ -176,7 +191,7 @@ def move_point(m: Column, x: Column, y: Column, z: Column, projective: bool = Fa
     out = [_m(m, r, 0) * x + _m(m, r, 1) * y + _m(m, r, 2) * z + _m(m, r, 3) for r in range(3)]
     if projective:
         w = _m(m, 3, 0) * x + _m(m, 3, 1) * y + _m(m, 3, 2) * z + _m(m, 3, 3)
-        divide = (F.abs(w - 1.0) > 1e-8) & (F.abs(w) > 1e-12)
+        divide = (F.abs(w - 1.0) > W_IS_ONE) & (F.abs(w) > W_IS_ZERO)
         out = [F.when(divide, c / F.when(divide, w).otherwise(1.0)).otherwise(c) for c in out]
     return out
 
@@ -195,7 +210,7 @@ def determinant(m: Column) -> Column:
     return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
 
-def normalized(x: Column, y: Column, z: Column, least: float = 1e-18) -> list[Column]:
+def normalized(x: Column, y: Column, z: Column, least: float = LEAST_NORMAL) -> list[Column]:
     n = F.sqrt(x * x + y * y + z * z)
     ok = n > least
     return [F.when(ok, v / F.when(ok, n).otherwise(1.0)).otherwise(0.0) for v in (x, y, z)]
@@ -205,7 +220,7 @@ def move_direction(m: Column, x: Column, y: Column, z: Column) -> list[Column]:
     return normalized(*[_m(m, r, 0) * x + _m(m, r, 1) * y + _m(m, r, 2) * z for r in range(3)])
 
 
-def move_normal(m: Column, x: Column, y: Column, z: Column, least: float = 1e-18) -> list[Column]:
+def move_normal(m: Column, x: Column, y: Column, z: Column, least: float = LEAST_NORMAL) -> list[Column]:
     """By the inverse transpose; unchanged where the matrix is singular."""
     a, b, c, d, e, f, g, h, i = (_m(m, r, k) for r in range(3) for k in range(3))
     det = determinant(m)
@@ -278,7 +293,7 @@ def valid_box(b: Column, content: bool = True) -> Column:
     ok = b.isNotNull()
     for a in AXES:
         ok = ok & finite(b[f"{a}min"]) & finite(b[f"{a}max"]) & (b[f"{a}min"] <= b[f"{a}max"])
-    return F.coalesce(ok & (diagonal(b) * 0.5 > 1e-9) if content else ok, F.lit(False))
+    return F.coalesce(ok & (diagonal(b) * 0.5 > LEAST_RADIUS) if content else ok, F.lit(False))
 
 
 def camera(radius: Column, fov_degrees: float) -> Column:

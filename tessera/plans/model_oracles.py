@@ -116,3 +116,4 @@ q("baked_occurrences", "SELECT 'occ_' || n_nationkey || '_high.glb' AS file, 'ok
 q("tileset_files", """SELECT 'tileset' || CASE WHEN file = '' THEN '' ELSE '_' || file END || '.json' AS uri, count(*) AS tiles, count(*) FILTER (WHERE refers) AS refers FROM (
   SELECT CASE WHEN depth > 0 AND depth % 2 = 0 AND is_leaf THEN left(path, depth - 2) ELSE left(path, depth // 2 * 2) END AS file, false AS refers FROM nodes
   UNION ALL SELECT left(path, depth - 2), true FROM nodes WHERE depth > 0 AND depth % 2 = 0 AND NOT is_leaf) GROUP BY 1""", TREE)
+q("volume_spheres", "SELECT occ_id, CAST(CASE size % 3 WHEN 0 THEN size WHEN 1 THEN 0 ELSE -1 END AS DOUBLE) AS x, CAST(CASE size % 3 WHEN 0 THEN 0 WHEN 1 THEN size ELSE -1 END AS DOUBLE) AS y, CASE size % 3 WHEN 0 THEN 3 * CAST(size AS DOUBLE) WHEN 1 THEN size / CAST(2 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS radius FROM occ", OCC)

@@ -338,3 +338,14 @@ def tileset_files(spark, d):
         return F.size(F.split("text", mark)) - 1
 
     return files.select("uri", times('"refine"').cast("long").alias("tiles"), times('uri": "tileset_').cast("long").alias("refers"))
+
+
+@query
+def volume_spheres(spark, d):
+    """Bounding volumes of tiles: boxes, spheres, and regions, which have no sphere."""
+    s, zero = F.col("size").cast("double"), F.lit(0.0)
+    box = F.array(s, zero, zero, s, zero, zero, zero, s * 2, zero, zero, zero, s * 2)
+    ball = F.array(zero, s, zero, s / 2)
+    volume = F.struct(F.when(F.col("size") % 3 == 0, box).alias("box"), F.when(F.col("size") % 3 == 1, ball).alias("sphere"), F.when(F.col("size") % 3 == 2, F.array(zero)).alias("region"))
+    found = b.parts(spark, d).select("occ_id", g.volume_sphere(volume).alias("s"))
+    return found.select("occ_id", *[F.coalesce(_r(F.col(f"s.{c}")), F.lit(-1.0)).alias(c) for c in ("x", "y", "radius")])
