@@ -24,8 +24,9 @@ BLOCK = 1 << 18
 BLOCKS = "file string, block long, ids binary, doc_ids array<long>"
 
 
-def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, block: int = BLOCK) -> DataFrame:
-    """Flat token streams, one per task, cut into blocks of ``block`` 16-bit ids.
+def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, block: int = BLOCK, id_bytes: int = 2) -> DataFrame:
+    """Flat token streams, one per task, cut into blocks of ``block`` ids of ``id_bytes``
+    (2 or 4) bytes each.
 
     doc_ids names, in order, the documents whose end lies in a block; it holds
     no places.  Null text counts as empty.
@@ -36,7 +37,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, block: int = BLO
         enc = encoder(vocabulary)
         context = TaskContext.get()
         file = f"part-{context.partitionId() if context else 0:06d}"
-        number, held, ends, names = 0, np.zeros(0, np.uint16), np.zeros(0, np.int64), []
+        number, held, ends, names = 0, np.zeros(0, f"<u{id_bytes}"), np.zeros(0, np.int64), []
 
         def out(ids, who):
             return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([who], pa.list_(pa.int64()))], names=["file", "block", "ids", "doc_ids"])
@@ -45,11 +46,11 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, block: int = BLO
             for part, data, bounds in chunks(batch):
                 ids, at = enc.encode(data, bounds)
                 ids = np.insert(ids, at[1:], np.uint32(end_id))
-                if len(ids) and ids.max() >= 1 << 16:
-                    raise ValueError("ids do not fit 16 bits")
+                if len(ids) and int(ids.max()) >= 1 << 8 * id_bytes:
+                    raise ValueError(f"ids do not fit {id_bytes} bytes")
                 ends = np.append(ends, len(held) + at[1:] + np.arange(len(at) - 1))
                 names += part.column("doc_id").to_pylist()
-                held = np.append(held, ids.astype(np.uint16))
+                held = np.append(held, ids.astype(f"<u{id_bytes}"))
                 while len(held) >= block:
                     k = int(np.searchsorted(ends, block))
                     yield out(held[:block], names[:k])
@@ -60,24 +61,25 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, block: int = BLO
     return documents(docs).mapInArrow(run, BLOCKS)
 
 
-def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks of raw little-endian 16-bit token files (files of under 2 GB)."""
+def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, id_bytes: int = 2) -> DataFrame:
+    """Blocks of raw little-endian token files (files of under 2 GB)."""
+    step = id_bytes * block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for k in range(0, len(content), 2 * block):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k // (2 * block)], pa.int64()), pa.array([content[k : k + 2 * block]], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["file", "block", "ids", "doc_ids"])
+                for k in range(0, len(content), step):
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k // step], pa.int64()), pa.array([content[k : k + step]], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["file", "block", "ids", "doc_ids"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
 
 
-def _search(end_id: int):
+def _search(end_id: int, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, ends, last, first, more = [], [], [], [], []
             for raw in b.column("ids").to_pylist():
-                ids = np.frombuffer(raw or b"", "<u2")
+                ids = np.frombuffer(raw or b"", f"<u{id_bytes}")
                 at = np.flatnonzero(ids == end_id)
                 size.append(len(ids))
                 ends.append(len(at))
@@ -90,16 +92,16 @@ def _search(end_id: int):
     return run
 
 
-def count_tokens(blocks: DataFrame, end_id: int) -> DataFrame:
+def count_tokens(blocks: DataFrame, end_id: int, id_bytes: int = 2) -> DataFrame:
     """Documents of token files and how many ids each has.
 
-    blocks: file, block (from 0, in order), ids (packed 16-bit), doc_ids (null if
+    blocks: file, block (from 0, in order), ids (packed, ``id_bytes`` each), doc_ids (null if
     unknown).  Returns file, ordinal (from 0 in its file), doc_id (null if
     unknown), n_tokens (without the end id), closed (false for ids after the last
     end).  Two ends in a row are an empty document.  Empty files have no rows.
     """
     found = blocks.select("file", "block", "ids", "doc_ids").mapInArrow(
-        _search(end_id), "file string, block long, size long, ends long, first long, last long, more array<long>, doc_ids array<long>"
+        _search(end_id, id_bytes), "file string, block long, size long, ends long, first long, last long, more array<long>, doc_ids array<long>"
     )
     # the scan's rows are a few numbers per block, whatever the documents are
     up_to = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -199,6 +199,19 @@ def test_token_counts(spark, block):
     assert token_counts.count_document_tokens(spark, empty(spark), default_vocabulary()).count() == 0
 
 
+def test_wide_token_ids(spark, tmp_path):
+    """Ids of four bytes, which two could not hold, in files that blocks cut anywhere."""
+    documents = [[70_000, 3], [], [80_000] * 11, [1, 2, 3, 4]]
+    ids = [x for d in documents[:-1] for x in [*d, 100_000]] + documents[-1]
+    (tmp_path / "a.bin").write_bytes(np.array(ids, "<u4").tobytes())
+    got = token_counts.count_tokens(token_counts.read_token_files(spark, f"file://{tmp_path}/a.bin", 5, 4), 100_000, 4).orderBy("ordinal").collect()
+    assert [(r.n_tokens, r.closed) for r in got] == [(2, True), (0, True), (11, True), (4, False)]
+    rows = awkward()
+    blocks = token_counts.token_blocks(frame(spark, rows), default_vocabulary(), 100_000, 64, 4)
+    got = token_counts.count_tokens(blocks, 100_000, 4).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=repr) == sorted(((i, len(whole_ids(x))) for i, x in rows), key=repr)
+
+
 def test_raw_token_files(spark, tmp_path):
     stream = [5, 9, 1, 9, 9, 7, 7, 7, 7, 7, 7, 7, 9, 3]
     (tmp_path / "a.bin").write_bytes(np.array(stream, "<u2").tobytes())
