@@ -13,24 +13,39 @@ from tessera.functions import text as t
 from tessera.storage import written
 
 
+#: Lines that are counted in one task, where a file has no blocks of its own.
+BLOCK_LINES = 1 << 16
+
+
+def _running(lines: DataFrame, flag: str, name: str, last: int) -> DataFrame:
+    """The sum of ``flag`` over a file's lines up to this one (last 0) or the one before
+    (-1): within its block, plus that of the blocks before."""
+    within = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, last)
+    total = lines.groupBy("file", "block").agg(F.sum(flag).alias("_t"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    start = total.select("file", "block", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
+    return lines.withColumn(name, F.coalesce(F.sum(flag).over(within), F.lit(0))).join(start, ["file", "block"]).withColumn(name, F.col(name) + F.col("_b")).drop("_b")
+
+
 def split_lines(lines: DataFrame) -> DataFrame:
     """Lines (file, line_no, line) to records (file, rec_no, text).
 
     A record begins at a line that starts with # (after blanks) unless one is
     open, and ends at the line in which a semicolon stands; other lines stand for
-    themselves.  What is left open at the end is kept.
+    themselves.  What is left open at the end is kept.  Files are handled in blocks,
+    so no task holds a file: by a column ``block``, where line numbers grow with
+    the blocks and within each, else by ``BLOCK_LINES`` line numbers.
     """
-    begin = F.ltrim(F.col("line")).startswith("#").cast("int")
-    stop = F.col("line").contains(";").cast("int")
-    w = Window.partitionBy("file").orderBy("line_no")
+    x = lines if "block" in lines.columns else lines.withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
+    x = x.withColumn("_stop", F.col("line").contains(";").cast("int")).withColumn("_begin", F.ltrim(F.col("line")).startswith("#").cast("int"))
     # an open record is closed by the first line with a semicolon, whatever starts between
-    x = lines.withColumn("_closed", F.coalesce(F.sum(stop).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_begin", begin)
-    part = Window.partitionBy("file", "_closed").orderBy("line_no")
+    x = _running(x, "_stop", "_closed", -1)
+    part = Window.partitionBy("file", "_closed").orderBy("block", "line_no")
     opened = F.max("_begin").over(part.rowsBetween(Window.unboundedPreceding, 0))
     first = F.coalesce(F.max("_begin").over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = x.withColumn("_new", F.when((opened == 1) & (first == 1), 0).otherwise(1))
-    x = x.withColumn("rec_no", F.sum("_new").over(w))
-    rows = x.groupBy("file", "rec_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    x = x.select("file", "block", "line_no", "line", F.when((opened == 1) & (first == 1), 0).otherwise(1).alias("_new"))
+    x = _running(written(x, "lines"), "_new", "rec_no", 0)
+    rows = x.groupBy("file", "rec_no").agg(F.sort_array(F.collect_list(F.struct("block", "line_no", "line"))).alias("l"))
     return rows.select("file", "rec_no", F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("text"))
 
 

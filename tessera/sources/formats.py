@@ -42,9 +42,13 @@ def step_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def step_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rec_no, text) of exchange files; a file's lines are kept in order."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("line_no", "line"))
+    """(file, rec_no, text) of exchange files; a file's lines are kept in order.
+
+    Large files are read in blocks: a line's place is its block's and, within it,
+    the order of reading.  Empty lines are left out.
+    """
+    where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(path).select(*where, F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
     return split_lines(lines.filter("line <> ''"))
 
 

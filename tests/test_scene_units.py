@@ -103,6 +103,26 @@ def test_lines_become_records(spark):
     assert [x.text for x in ex.split_lines(d).orderBy("rec_no").collect()] == ["ISO;", "#1=A(1,\n 2);", "", "#2=B(\n#3)\n);", "#4=C("]
 
 
+def test_records_of_files_in_blocks(spark, tmp_path, monkeypatch):
+    """Records that cross blocks, in files read in many pieces and by line numbers."""
+    lines = ["ISO;", "HEADER;"] + [x for i in range(300) for x in ([f"#{i}=A(", f" {'x' * (i % 7)}", f"#{i});"] if i % 3 else [f"#{i}=B({i});"])] + ["ENDSEC;", "#9=C("]
+    wanted = ["ISO;", "HEADER;"] + [f"#{i}=A(\n {'x' * (i % 7)}\n#{i});" if i % 3 else f"#{i}=B({i});" for i in range(300)] + ["ENDSEC;", "#9=C("]
+    (tmp_path / "a.stp").write_text("\r\n".join(lines))
+    (tmp_path / "b.stp").write_text("\n\n".join(lines))
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = {}
+        for r in formats.step_records(spark, f"file://{tmp_path}").orderBy("rec_no").collect():
+            got.setdefault(r.file[-5:], []).append(r.text)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert got == {"a.stp": wanted, "b.stp": wanted}
+    monkeypatch.setattr(ex, "BLOCK_LINES", 4)
+    d = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
+    assert [x.text for x in ex.split_lines(d).orderBy("rec_no").collect()] == wanted
+
+
 def test_shards_and_files(spark, tmp_path):
     c = ex.classify(spark.createDataFrame([(i, f"#{i}=X({i});") for i in range(10)], "rec_no long, text string"))
     assert sorted(x.shard for x in ex.shards(c, 3).collect()) == [0, 0, 0, 0, 1, 1, 1, 2, 2, 2]
