@@ -1,7 +1,8 @@
 """A Python data source for scenes that another program has tessellated.
 
 Each line of a JSON-lines file is an occurrence; geometry kernels that write such
-files plug in here without further code.
+files plug in here without further code.  It reads folders that all executors
+mount; ``formats.scene_occurrences`` reads the same files from any store.
 """
 
 from __future__ import annotations

@@ -67,6 +67,14 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def scene_occurrences(spark: SparkSession, path: str) -> DataFrame:
+    """Occurrences of JSON-lines files in any store that Spark reads, as the contract
+    has them: no mark is no explicit reference, no number no triangles."""
+    schema = ", ".join(f"{k} {v}" for k, v in OCCURRENCE_CONTRACT.items())
+    rows = json_rows(spark, path, schema)
+    return require(rows.withColumn("from_explicit", F.coalesce("from_explicit", F.lit(False))).withColumn("triangles", F.coalesce("triangles", F.lit(0).cast("long"))))
+
+
 def textures(models: DataFrame, files: DataFrame) -> DataFrame:
     """Texture bytes of models (model_id, folder, texture, embedded): embedded ones,
     else those of a file (absolute, or next to the model), else null; with MIME type."""

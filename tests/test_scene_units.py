@@ -497,3 +497,10 @@ def test_tileset_files_say_what_one_file_says(spark, levels):
     whole = json.loads(tiles.tileset_json(rows, 50.0))
     assert files["tileset.json"]["geometricError"] == 50.0 and follow(files["tileset.json"]["root"]) == whole["root"]
     assert len(files) > 1
+
+
+def test_scene_occurrences(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"occ_id": 1, "source_label": "a", "triangles": 3, "from_explicit": true}\n\n{"occ_id": 2, "geometry_key": "g", "x": 1}\n')
+    got = formats.scene_occurrences(spark, f"file://{tmp_path}").orderBy("occ_id").collect()
+    assert [(r.occ_id, r.source_label, r.geometry_key, r.from_explicit, r.triangles) for r in got] == [(1, "a", None, True, 3), (2, None, "g", False, 0)]
+    assert formats.scene_occurrences(spark, f"file://{tmp_path}/none").count() == 0
