@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language_id, packing, pii, quality, simhash, substring_dedup, token_counts, topk_search
+from tessera.llm import chat, decontaminate, language_id, packing, pii, quality, ranked_search, secret_scan, simhash, spelling, substring_dedup, token_counts, topk_search
 from tessera.llm.common import bounded_batches
 from tessera.llm.tokens import default_vocabulary
 
@@ -84,6 +84,25 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spark, read(spark, sf_dir, "documents"), least=3, letters=5, factor=2, damage=97)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(spark, read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rule"] < len(secret_scan.BASE))
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["rule"] == i)).cast("long").alias(f"n_{secret_scan.BASE[i].kind}")
+
+    counts = map(count, range(len(secret_scan.BASE)))
+    return found.select("doc_id", *counts, F.sha2(F.encode(secret_scan.listed(base), "utf-8"), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -95,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {}
@@ -175,3 +197,90 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM n GROUP BY conv_id
 """
+
+ORACLES["op11_spelling_variants"] = r"""
+WITH r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), d AS (
+  SELECT doc_id, low, count(*) AS n FROM r WHERE length(low) >= 5 GROUP BY ALL
+), x AS (
+  SELECT low, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || low)) AS bytes FROM d
+), y AS (
+  -- CRC-32 bit by bit: a byte is added, then eight shifts follow it (-1)
+  SELECT low, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(bytes), 2),
+    lambda i: [CAST(('0x' || substr(bytes, i, 2)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h
+  FROM x
+), v AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(low, 1, h % length(low)) || substr(low, h % length(low) + 2) ELSE low END AS word, sum(n) AS n FROM y GROUP BY word
+), w AS (
+  SELECT word, CAST(n AS BIGINT) AS n FROM v WHERE n >= 3 AND length(word) >= 5
+), g AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), p AS (
+  SELECT a.word, b.word AS other FROM g a JOIN g b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT g.word, w.word FROM g JOIN w ON g.rest = w.word
+  UNION SELECT w.word, g.word FROM g JOIN w ON g.rest = w.word
+), f AS (
+  SELECT p.word, count(*) AS n_near, max(o.n) AS form_n, arg_min(o.word, (-o.n, o.word)) AS form FROM p JOIN w o ON p.other = o.word GROUP BY p.word
+), l AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM w LEFT JOIN f ON w.word = f.word
+), c AS (
+  WITH RECURSIVE c AS (SELECT word, word AS last, form AS next FROM l UNION ALL SELECT c.word, l.word, l.form FROM c JOIN l ON c.next = l.word)
+  SELECT word, last FROM c WHERE next IS NULL
+)
+SELECT l.word, l.form, c.last AS root, l.n, l.n_near, l.form_n FROM l JOIN c ON l.word = c.word
+"""
+
+
+def _secrets_sql() -> str:
+    """Matches of every rule and what stands between them, as running lengths."""
+    parts = []
+    for i, rule in enumerate(secret_scan.RULES):
+        p = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT row, {i} AS rule, '{rule.kind}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(regexp_extract_all(text, '{p}', {rule.group})) AS v,
+  unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}')))) AS b, unnest(range(1, len(regexp_extract_all(text, '{p}')) + 1)) AS i, {rule.least} AS least FROM d""")
+    found = " UNION ALL\n".join(parts)
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), f AS (
+  {found}
+), e AS (
+  SELECT *, CAST(sum(length(b) + length(m)) OVER (PARTITION BY row, rule ORDER BY i) AS BIGINT) AS stop FROM f
+), s AS (
+  SELECT row, rule, stop - length(m) AS start, kind || ':' || (stop - length(m)) || ':' || stop AS span FROM e WHERE length(v) >= least
+), g AS (
+  SELECT row, count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1) AS n_access, count(*) FILTER (rule = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, rule) FILTER (rule < 3) AS base, string_agg(span, ',' ORDER BY start, rule) AS spans FROM s GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.row = g.row
+"""
+
+
+ORACLES["op12_secret_scan"] = _secrets_sql()
+
+ORACLES["op13_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), c AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0
+), tf AS (
+  SELECT row, doc_id, any_value(n) AS n, t, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT row, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY row, doc_id, t
+), w AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, c GROUP BY t
+), q AS (
+  SELECT item_id, t, count(*) AS uses FROM i GROUP BY ALL
+), s AS (
+  SELECT item_id, row, doc_id, CAST(sum(uses * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // l)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN w USING (t), c GROUP BY item_id, row, doc_id
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 10
+"""
