@@ -7,8 +7,6 @@ scene of any size is cleaned without holding one mesh in a task.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,97 +174,6 @@ def cluster(triangles: DataFrame, vertices: DataFrame, step: float) -> DataFrame
     return moved.withColumn("_key", same).groupBy("prim_id", "_key").agg(F.min(F.struct("tidx", *CORNERS)).alias("t")).select("prim_id", "t.*")
 
 
-# -- simplification by edge collapse (one primitive per group) -----------------
-
-
-def _collapse(x: np.ndarray, t: np.ndarray, target: int, most_error: float, more: np.ndarray | None = None) -> np.ndarray:
-    """Collapse short, flat edges until ``target`` triangles are left.
-
-    Costs are quadric errors of the kept end; rounds collapse an independent set
-    of the cheapest edges at once.  Corners stay original vertices.  more: weighted
-    attributes of each vertex; the square of what an edge changes of them, as a
-    share of the mesh's size, adds to its cost.
-    """
-    scale = float(np.ptp(x, axis=0).max() or 1.0) if len(x) else 1.0
-    limit = (most_error * scale) ** 2
-    while len(t) > target:
-        p = x[t]
-        n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
-        area = np.linalg.norm(n, axis=1)
-        n = n / np.where(area > 0, area, 1)[:, None]
-        plane = np.concatenate([n, -(n * p[:, 0]).sum(axis=1, keepdims=True)], axis=1)
-        q = np.zeros((len(x), 4, 4))
-        outer = plane[:, :, None] * plane[:, None, :] * area[:, None, None]
-        for k in range(3):
-            np.add.at(q, t[:, k], outer)
-        weight = np.zeros(len(x))
-        for k in range(3):
-            np.add.at(weight, t[:, k], area)
-        edge = np.unique(np.sort(np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]]), axis=1), axis=0)
-        h = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-        both = q[edge[:, 0]] + q[edge[:, 1]]
-        total = np.maximum(weight[edge[:, 0]] + weight[edge[:, 1]], 1e-30)
-        cost = np.stack([np.einsum("ni,nij,nj->n", h[edge[:, k]], both, h[edge[:, k]]) / total for k in (0, 1)], axis=1)
-        if more is not None and more.shape[1]:
-            cost = cost + scale * scale * ((more[edge[:, 0]] - more[edge[:, 1]]) ** 2).sum(axis=1)[:, None]
-        keep = cost.argmin(axis=1)
-        best = np.maximum(cost.min(axis=1), 0)
-        order = np.argsort(best, kind="stable")
-        order = order[best[order] <= limit]
-        touched, into, gone = np.zeros(len(x), bool), np.arange(len(x)), 0
-        for i in order.tolist():
-            u, v = edge[i]
-            if touched[u] or touched[v]:
-                continue
-            touched[u] = touched[v] = True
-            a, b = (u, v) if keep[i] == 0 else (v, u)
-            into[b] = a
-            gone += 2
-            if len(t) - gone <= target:
-                break
-        new = into[t]
-        new = new[(new[:, 0] != new[:, 1]) & (new[:, 1] != new[:, 2]) & (new[:, 0] != new[:, 2])]
-        if len(new) == len(t) or not gone:
-            break
-        t = new
-    return t
-
-
-#: How much a change of an attribute counts against a change of place (fixed values).
-ATTRIBUTE_WEIGHTS = {"nx": 0.5, "ny": 0.5, "nz": 0.5, "u": 1.0, "v": 1.0, "r": 0.25, "g": 0.25, "b": 0.25, "a": 0.25}
-
-
-def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: float = 0.05, weights: dict[str, float] | None = None) -> DataFrame:
-    """Keep about ``ratio`` of each primitive's triangles (1 at least).
-
-    weights: attributes of the vertices that edges should keep, as of
-    ``ATTRIBUTE_WEIGHTS``.  A group is one primitive; budgets keep those at a million
-    triangles at most.
-    """
-    weights = weights or {}
-
-    def run(key, t: pa.Table, v: pa.Table) -> pa.Table:
-        ids = np.array(v.column("vidx"))
-        order = np.argsort(ids)
-        x = np.stack([np.array(v.column(a))[order] for a in g.AXES], axis=1) if len(ids) else np.zeros((0, 3))
-        corner = np.stack([np.array(t.column(c)) for c in CORNERS], axis=1) if t.num_rows else np.zeros((0, 3), np.int64)
-        ids = ids[order]
-        if len(ids) and len(corner):
-            at = np.minimum(np.searchsorted(ids, corner), len(ids) - 1)
-            corner = at[(ids[at] == corner).all(axis=1)]
-            more = np.stack([np.array(v.column(c))[order] * w for c, w in weights.items()], axis=1) if weights else None
-            left = _collapse(x, corner, max(1, int(len(corner) * ratio)), error, more)
-        else:
-            left = np.zeros((0, 3), np.int64)
-        out = ids[left] if len(left) else left
-        prim = key[0].as_py()
-        return pa.table({"prim_id": pa.array([prim] * len(out), pa.int64()), "tidx": pa.array(range(len(out)), pa.int64()), **{c: pa.array(out[:, i], pa.int64()) for i, c in enumerate(CORNERS)}})
-
-    # fresh columns, so that both sides may come from the same table
-    apart = vertices.select(*[F.col(c).alias(c) for c in ("prim_id", "vidx", *g.AXES, *weights)])
-    return triangles.groupBy("prim_id").cogroup(apart.groupBy("prim_id")).applyInArrow(run, "prim_id long, tidx long, a long, b long, c long")
-
-
 def bake(instances: DataFrame, vertices: DataFrame) -> DataFrame:
     """A copy of a prototype's vertices for each instance, moved by its matrix."""
     m = F.col("world_m")
@@ -280,7 +187,6 @@ def triangle_count(indices: Column, positions: Column, mode: Column) -> Column:
     return F.when(mode == 4, F.floor(F.coalesce(indices, positions) / 3)).otherwise(0).cast("long")
 
 
-
 def optimiser_statistics(triangles: DataFrame, vertex_count: Column, vertices: DataFrame, steps: dict[str, float], eps: float, most: int) -> DataFrame:
     """One row: what each step of cleaning takes away, in order: primitives with a bad
     index, the weld, triangles of fewer than three corners, those without area, and

@@ -113,3 +113,21 @@ def near_triangles(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
 
     both = l.join(r, "cell").filter(F.forall("p", lambda x: F.exists("q", lambda y: close(x, y))))
     return both.select("prim_id", "tidx").distinct()
+
+
+def geometry_statistics(meshes: DataFrame, vertices: DataFrame, matrix: Column, samples: int = 16) -> DataFrame:
+    """One row: meshes (prim_id), those with vertices (prim_id, vidx, x, y, z), their
+    vertices, and of the first ``samples`` of each mesh how many are at a finite place
+    once moved by ``matrix``."""
+    first = Window.partitionBy("prim_id").orderBy("vidx")
+    place = g.move_point(matrix, *(F.col(a) for a in g.AXES))
+    finite = F.lit(True)
+    for v in place:
+        finite = finite & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    ranked = vertices.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= samples)
+    sampled = ranked.groupBy("prim_id").agg(F.count("*").alias("tried"), F.count_if(finite).alias("finite"))
+    size = vertices.groupBy("prim_id").agg(F.count("*").alias("positions"))
+    each = meshes.select("prim_id").distinct().join(size, "prim_id", "left").join(sampled, "prim_id", "left")
+    total = {"positions": "positions", "samples_tried": "tried", "finite_samples": "finite"}
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in total.items()]
+    return each.agg(F.count("*").alias("meshes"), F.count("positions").alias("with_positions"), *sums, F.coalesce(F.sum(F.col("tried") - F.col("finite")), F.lit(0)).cast("long").alias("invalid_samples"))

@@ -164,3 +164,14 @@ def union_occurrences(*files: DataFrame) -> DataFrame:
         part = df.withColumn("file", F.lit(i)).withColumnRenamed("occ_id", "file_occ")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return dense_ids(out, ["file", "file_occ"], "occ_id")
+
+
+def with_triangles(occurrences: DataFrame, triangles: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(occurrences that have a triangle, with their number; the bounds of all).
+
+    occurrences, triangles, vertices: prim_id and what belongs to it.  An occurrence
+    without a triangle goes, but what it spans still counts for the scene's bounds.
+    """
+    size = triangles.groupBy("prim_id").agg(F.count("*").alias("triangles"))
+    bounds = vertices.join(occurrences.select("prim_id").distinct(), "prim_id", "left_semi").agg(*[f(a).alias(f"{a}{e}") for a in g.AXES for e, f in (("min", F.min), ("max", F.max))])
+    return occurrences.join(size, "prim_id"), bounds

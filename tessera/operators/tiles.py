@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -81,6 +82,31 @@ def bottom_up(leaves: DataFrame, inner: DataFrame, combine: Callable[[DataFrame]
     return done
 
 
+def visible_tiles(tiles: DataFrame, cameras: DataFrame, target: float = 80.0, most_depth: int = 6, height: float = 1080.0, fov: float = 60.0) -> DataFrame:
+    """(camera, path, depth, tile_error): the tiles that each camera shows.
+
+    tiles: path, depth, box, is_leaf, tile_error; cameras: camera, x, y, z, a stated set
+    of views.  A tile is fine enough where its error, seen from the nearest point of its
+    box (never from inside), takes at most ``target`` of ``height`` pixels; leaves and tiles
+    at ``most_depth`` are shown in any case.  Tiles replace their parents, so of the fine
+    enough tiles on a path the topmost is shown: for each camera every leaf lies under
+    exactly one.  A tile looks for fine enough ancestors by the prefixes of its path, in
+    one join.
+    """
+    c = cameras.select("camera", *[F.col(a).cast("double").alias(f"_{a}") for a in g.AXES])
+    away = [F.greatest(F.col("box")[f"{a}min"] - F.col(f"_{a}"), F.lit(0.0), F.col(f"_{a}") - F.col("box")[f"{a}max"]) for a in g.AXES]
+    distance = F.sqrt(away[0] * away[0] + away[1] * away[1] + away[2] * away[2])
+    scale = height / (2 * math.tan(math.radians(fov) / 2))
+    seen = tiles.select("path", "depth", "box", "is_leaf", "tile_error").crossJoin(c)  # views, not rows of the scene
+    fine = F.col("is_leaf") | (F.col("depth") >= most_depth) | ((distance > 0) & (F.col("tile_error") * scale <= target * distance))
+    enough = seen.filter(fine).select("camera", "path", "depth", "tile_error")
+    above = enough.select("camera", "path", F.explode(F.transform(F.sequence(F.lit(0), F.col("depth")), lambda k: F.struct(F.substr("path", F.lit(1), k).alias("up"), k.alias("k")))).alias("u"))
+    above = above.select("camera", "path", F.col("u.up").alias("_up"), F.col("u.k").alias("_k")).filter(F.length("path") > F.col("_k"))
+    other = enough.select(F.col("camera").alias("_camera"), F.col("path").alias("_path"))
+    hidden = above.join(other, (F.col("camera") == F.col("_camera")) & (F.col("_up") == F.col("_path"))).select("camera", "path").distinct()
+    return enough.join(hidden, ["camera", "path"], "left_anti").select("camera", "path", "depth", "tile_error")
+
+
 def tileset(tiles: DataFrame) -> DataFrame:
     """Rows of a tileset: path, box of 12 numbers, error, content uri."""
     return tile_errors(tiles).select("path", "depth", "tile_id", g.tile_box(F.col("box")).alias("box"), F.col("tile_error").alias("error"), "is_leaf", F.when(F.col("n_items") > 0, F.concat(F.lit("tile_"), F.col("tile_id").cast("string"), F.lit(".b3dm"))).otherwise("").alias("uri"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracles import DEPTH, OCC, PRIM, PROTO, REC, TREE, TRI, VERT, n, q
+import math
+
+from tessera.operators import tile_merge
+from tessera.plans.oracles import _K, DEPTH, ITEMS, OCC, PRIM, PROTO, REC, TREE, TRI, VERT, _middle, n, q
 
 _SIX = "CASE WHEN {0} = 0 THEN 0 ELSE round({0} / pow(CAST(10 AS DOUBLE), floor(log10(abs({0}))) - 5)) * pow(CAST(10 AS DOUBLE), floor(log10(abs({0}))) - 5) END"
 
@@ -67,6 +70,54 @@ for _d in range(DEPTH, -1, -1):
 q("merge_tiles", f"""SELECT path, count(*) AS triangles, count(DISTINCT material) AS materials, any_value(v) AS vertices FROM every JOIN (SELECT path, count(*) AS v FROM (SELECT DISTINCT path, unnest(t) AS p FROM every) GROUP BY 1) USING (path) GROUP BY 1""",
   f"{_MERGE}, every AS ({' UNION ALL '.join(f'SELECT * FROM t{_k}' for _k in range(DEPTH + 1))})")
 
+# the same with attributes: at each depth above its leaf, a triangle's corners are in cells of that
+# depth's grid; a cell's place and attributes come from sums over all corners in it
+_HALVED = "[" + ", ".join(map(str, tile_merge.grid_levels(1.8))) + "]"
+_SETS = {"nx": "normal", "ny": "normal", "nz": "normal", "u": "texcoord", "v": "texcoord", "r": "color", "g": "color", "b": "color", "a": "color"}
+
+
+def _corner(k: int) -> str:
+    x, y, z = (("xmin", "ymin", "zmin"), ("xmax", "ymin", "zmin"), ("xmax", "ymax", "zmax"), ("xmin", "ymax", "zmax"))[k]
+    normal, color = "CASE WHEN part % 5 <> 3 THEN {} END", "CASE WHEN part % 5 <> 4 THEN {} END"
+    made = {"x": x, "y": y, "z": z, "nx": normal.format(f"(part % 7 - 3) / {n(4.0)}"), "ny": normal.format(f"(part % 5 - 2) / {n(4.0)}"), "nz": normal.format(n(1.0))}
+    made |= {"u": f"{n(k / 4)} + (part % 10) / {n(40.0)}", "v": f"(part % 3) / {n(4.0)}", "r": color.format(f"(part % 4) / {n(4.0)}"), "g": color.format(n(k / 8)), "b": color.format(n(0.5)), "a": color.format(n(1.0))}
+    return "{" + ", ".join(f"'{a}': CAST({v} AS DOUBLE)" for a, v in made.items()) + "}"
+
+
+_Q = [(i, j) for i in range(4) for j in range(i, 4)]
+_ALL = ("x", "y", "z", *_SETS)
+
+
+def _det(m: list[list[str]]) -> str:
+    a, b, c = m
+    return f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+
+
+_A = [[f"(q{min(i, j)}{max(i, j)}" + (f" + w * {n(0.01)})" if i == j else ")") for j in range(3)] for i in range(3)]
+_RIGHT = [f"(w * {n(0.01)} * (s{x} / w) - q{i}3)" for i, x in enumerate("xyz")]
+_SOLVED = [f"{_det([[_RIGHT[i] if j == k else _A[i][j] for j in range(3)] for i in range(3)])} / {_det(_A)}" for k in range(3)]
+q("merge_tiles_attributes", f"""SELECT path, count(*) FILTER (WHERE k = 1) AS triangles, count(DISTINCT material) AS materials, {', '.join(f'round(coalesce(sum(p.{x}), 0), 4) AS sum_{x}' for x in _ALL)}
+FROM (SELECT path, material, unnest(t) AS p, unnest([1, 2, 3]) AS k FROM (SELECT path, material, t FROM raw UNION ALL SELECT path, material, t FROM merged)) GROUP BY path""",
+  f"""{TREE}, grid AS (SELECT *, {_SIDE} * {n(1 / 64)} AS step, {_HALVED} AS halved FROM root
+), own AS (SELECT m.path, i.part % 5 AS material, [{', '.join(map(_corner, range(4)))}] AS c FROM members m JOIN items i ON i.id = m.item_id
+), raw AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT path, material, unnest([[c[1], c[2], c[3]], [c[1], c[3], c[4]]]) AS t FROM own) WHERE ({' AND '.join(f"(t[{i}].x, t[{i}].y, t[{i}].z) <> (t[{j}].x, t[{j}].y, t[{j}].z)" for i, j in ((1, 2), (2, 3), (1, 3)))})
+), near AS (SELECT id, path, material, list_transform(t, lambda p: {{'x': p.x - rxmin, 'y': p.y - rymin, 'z': p.z - rzmin, {', '.join(f"'{x}': p.{x}" for x in _SETS)}}}) AS t FROM raw, grid
+), plane AS (SELECT *, [t[2].x - t[1].x, t[2].y - t[1].y, t[2].z - t[1].z] AS e, [t[3].x - t[1].x, t[3].y - t[1].y, t[3].z - t[1].z] AS f FROM near
+), cross_ AS (SELECT *, [e[2] * f[3] - e[3] * f[2], e[3] * f[1] - e[1] * f[3], e[1] * f[2] - e[2] * f[1]] AS c FROM plane
+), unit AS (SELECT id, path, material, t, greatest(sqrt(c[1] * c[1] + c[2] * c[2] + c[3] * c[3]) / 2, {n(1e-12)}) AS w, list_transform(c, lambda v: CASE WHEN c[1] * c[1] + c[2] * c[2] + c[3] * c[3] > 0 THEN v / sqrt(c[1] * c[1] + c[2] * c[2] + c[3] * c[3]) ELSE 0 END) AS u FROM cross_
+), full_ AS (SELECT *, list_append(u, -(u[1] * t[1].x + u[2] * t[1].y + u[3] * t[1].z)) AS o FROM unit
+), up AS MATERIALIZED (SELECT id, left(path, d) AS path, d, material, w, o, unnest(t) AS p, unnest([1, 2, 3]) AS k, list_extract(halved, len(path) + 1) AS fine, list_extract(halved, d + 1) AS coarse, step
+  FROM (SELECT *, unnest(range(0, len(path))) AS d FROM full_), grid
+), cell AS MATERIALIZED (SELECT id, path, d, material, w, o, p, k, step / pow(2, coarse) AS size, {', '.join(f'CAST(floor(floor(p.{x} / (step / pow(2, fine))) / pow(2, fine - coarse)) AS BIGINT) AS c{x}' for x in 'xyz')} FROM up
+), part_ AS MATERIALIZED (SELECT path, any_value(size) AS size, material, cx, cy, cz, sum(w) AS w, {', '.join(f'sum(w * o[{i + 1}] * o[{j + 1}]) AS q{i}{j}' for i, j in _Q)}, {', '.join(f'sum(w * p.{x}) AS s{x}' for x in _ALL)},
+  sum(w) FILTER (p.u IS NOT NULL) AS w_texcoord, sum(w) FILTER (p.r IS NOT NULL) AS w_color FROM cell GROUP BY path, material, cx, cy, cz
+), place AS (SELECT path, cx, cy, cz, any_value(size) AS size, {', '.join(f'sum({c}) AS {c}' for c in ('w', *(f'q{i}{j}' for i, j in _Q), 'sx', 'sy', 'sz'))} FROM part_ GROUP BY ALL
+), solved AS (SELECT path, cx, cy, cz, {', '.join(f'greatest(c{x} * size, least((c{x} + 1) * size, {v})) + r{x}min AS {x}' for x, v in zip('xyz', _SOLVED, strict=True))} FROM place, grid
+), corner AS MATERIALIZED (SELECT path, material, {{'x': cx, 'y': cy, 'z': cz}} AS cell, {{'x': x, 'y': y, 'z': z, {', '.join(f"'{a}': " + (f'CASE WHEN sqrt(snx * snx + sny * sny + snz * snz) > {n(1e-24)} THEN s{a} / sqrt(snx * snx + sny * sny + snz * snz) END' if s == 'normal' else f's{a} / w_{s}') for a, s in _SETS.items())}}} AS p
+  FROM part_ JOIN solved USING (path, cx, cy, cz)
+), tri AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT path, material, s FROM (SELECT path, material, list_sort(list({{'x': cx, 'y': cy, 'z': cz}})) AS s FROM cell GROUP BY id, path, material) WHERE s[1] <> s[2] AND s[2] <> s[3])
+), merged AS (SELECT e.path, e.material, list(p) AS t FROM (SELECT id, path, material, unnest(s) AS cell FROM tri) e JOIN corner USING (path, material, cell) GROUP BY id, e.path, e.material)""")
+
 _FACES = "(nf > 0 AND has AND {0})::INT + (nf > 1 AND has AND {1})::INT"
 q("import_evidence", f"""SELECT count(*) AS occurrences, count(DISTINCT qualified_key) AS prototypes, count(*) FILTER (WHERE has AND (gen IS NOT NULL OR surf IS NOT NULL OR curv IS NOT NULL)) AS shape_color_occurrences,
   count(*) FILTER (WHERE has AND mat) AS shape_material_occurrences, CAST(sum({_FACES.format('g0 IS NOT NULL', 'g1 IS NOT NULL')}) AS BIGINT) AS face_color_entries, CAST(sum({_FACES.format('m0', 'm1')}) AS BIGINT) AS face_material_entries,
@@ -102,7 +153,7 @@ q("optimizer_statistics", """SELECT (SELECT count(DISTINCT prim_id) FROM tri) AS
   (SELECT count(DISTINCT v) FROM (SELECT unnest([a, b, c]) AS v FROM kept)) AS output_vertices, (SELECT count(*) FROM tri) AS input_triangles, (SELECT count(*) FROM kept) AS output_triangles,
   (SELECT count(*) FROM moved) - (SELECT count(*) FROM apart) AS degenerate_by_corner, (SELECT count(*) FROM apart) - (SELECT count(*) FROM solid) AS degenerate_by_area,
   (SELECT count(*) FROM moved) - (SELECT count(*) FROM solid) AS removed_by_weld, (SELECT count(*) FROM solid) - (SELECT count(*) FROM kept) AS removed_by_budget""", _OPT)
-q("simplify_checks", "SELECT prim_id, count(*) AS before, true AS fewer, true AS known, true AS solid FROM ok WHERE a <> b AND b <> c AND a <> c GROUP BY 1", TRI)
+q("simplify_checks", "SELECT prim_id, count(*) AS before, greatest(1, count(*) // 2) AS target, true AS fewer, true AS kept, true AS tight, true AS known, true AS solid, true AS once FROM ok WHERE a <> b AND b <> c AND a <> c GROUP BY 1", TRI)
 q("material_rules", f"""SELECT occ_id, CASE WHEN size % 3 = 0 THEN {n(0.25)} WHEN size % 2 = 0 THEN {n(0.1)} ELSE {n(0.7)} END AS red, CASE WHEN size % 3 = 0 THEN {n(1.0)} WHEN size % 2 = 0 THEN {n(0.4)} ELSE {n(1.0)} END AS alpha,
   CASE WHEN ch < size % 6 THEN ch ELSE -1 END AS channel, round(CASE WHEN size % 4 = 0 THEN size / {n(50.0)} ELSE 0 END, 6) AS metallic, round(CASE WHEN size % 7 = 0 OR size % 5 = 0 THEN 1 ELSE size / {n(50.0)} END, 6) AS roughness,
   round(CASE WHEN size >= 48 AND size % 4 <> 0 THEN {n(0.1)} ELSE size / {n(50.0)} END, 6) AS shown_metallic, round(CASE WHEN size >= 48 AND size % 4 <> 0 THEN greatest(size / {n(100.0)}, {n(0.8)}) ELSE size / {n(100.0)} END, 6) AS shown_roughness, true AS double_sided
@@ -111,9 +162,43 @@ q("primitive_group_order", """SELECT row_number() OVER (ORDER BY material, mode,
 FROM (SELECT *, CASE WHEN mode = 4 THEN 0 ELSE row_number() OVER (PARTITION BY material, mode, has_normals, has_texcoord ORDER BY prim_id) - 1 END AS bucket FROM prim))""", PRIM)
 q("union_occurrences", "SELECT row_number() OVER (ORDER BY file, file_occ) - 1 AS occ_id, file, file_occ FROM (SELECT CAST(1 - occ_id % 2 AS INTEGER) AS file, occ_id AS file_occ FROM occ)", OCC)
 q("face_ids", "SELECT DISTINCT entity_id FROM cls WHERE kind = 'COMPLEX_TRIANGULATED_FACE'", REC)
-q("attribute_simplify", "SELECT prim_id, count(*) AS before, true AS fewer, true AS known FROM ok WHERE a <> b AND b <> c AND a <> c GROUP BY 1", TRI)
+q("attribute_simplify", "SELECT prim_id, count(*) AS before, greatest(1, count(*) // 2) AS target, true AS fewer, true AS kept, true AS tight, true AS known, true AS solid, true AS once FROM ok WHERE a <> b AND b <> c AND a <> c GROUP BY 1", TRI)
 q("baked_occurrences", "SELECT 'occ_' || n_nationkey || '_high.glb' AS file, 'ok' AS status, count(*) AS corners, count(*) // 3 * 3 AS indices, round(CAST(max(CAST(x + n_nationkey AS FLOAT)) AS DOUBLE), 4) AS xmax FROM nation JOIN vert ON n_nationkey % 10 = prim_id GROUP BY n_nationkey", VERT)
 q("tileset_files", """SELECT 'tileset' || CASE WHEN file = '' THEN '' ELSE '_' || file END || '.json' AS uri, count(*) AS tiles, count(*) FILTER (WHERE refers) AS refers FROM (
   SELECT CASE WHEN depth > 0 AND depth % 2 = 0 AND is_leaf THEN left(path, depth - 2) ELSE left(path, depth // 2 * 2) END AS file, false AS refers FROM nodes
   UNION ALL SELECT left(path, depth - 2), true FROM nodes WHERE depth > 0 AND depth % 2 = 0 AND NOT is_leaf) GROUP BY 1""", TREE)
 q("volume_spheres", "SELECT occ_id, CAST(CASE size % 3 WHEN 0 THEN size WHEN 1 THEN 0 ELSE -1 END AS DOUBLE) AS x, CAST(CASE size % 3 WHEN 0 THEN 0 WHEN 1 THEN size ELSE -1 END AS DOUBLE) AS y, CASE size % 3 WHEN 0 THEN 3 * CAST(size AS DOUBLE) WHEN 1 THEN size / CAST(2 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS radius FROM occ", OCC)
+
+# tiles from above: fine enough ones without a fine enough one above them
+_HALF = " * ".join(("(r{0}max - r{0}min)", f"pow({n(0.9)}, len(path))", n(0.5)))
+_AWAY = " + ".join("pow(greatest(m{0} - {1} - c{0}, 0, c{0} - m{0} - {1}), 2)".format(a, _HALF.format(a)) for a in "xyz")
+q("visible_tiles", f"""SELECT s.camera, s.path, round(s.error, 6) AS error FROM enough s ANTI JOIN (
+  SELECT u.camera, u.path FROM (SELECT camera, path, left(path, unnest(range(0, depth))) AS up FROM enough) u JOIN enough e ON e.camera = u.camera AND e.path = u.up) h ON h.camera = s.camera AND h.path = s.path""",
+  f"""{_K}, views AS (SELECT CAST(n_nationkey AS BIGINT) AS camera, CAST(n_nationkey * 9 - 50 AS DOUBLE) AS cx, CAST(n_regionkey * 15 - 5 AS DOUBLE) AS cy, CAST(n_nationkey % 7 * 12 AS DOUBLE) AS cz FROM nation
+), mids AS (SELECT path, depth, is_leaf, CASE WHEN is_leaf THEN 0 ELSE own_error END AS error, {', '.join(f'{_middle(a, 1 << i)} AS m{a}' for i, a in enumerate('xyz'))}, {', '.join(f'r{a}min, r{a}max' for a in 'xyz')} FROM settings, root
+), away AS (SELECT *, sqrt({_AWAY}) AS dist FROM mids, views
+), enough AS MATERIALIZED (SELECT camera, path, depth, error FROM away WHERE is_leaf OR depth >= 6 OR (dist > 0 AND error * {n(1080 / (2 * math.tan(math.radians(60) / 2)))} <= 80 * dist))""")
+
+_ZONE = f"""{ITEMS}, zc AS (SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey % 997 = 0 THEN {n(6.0)} ELSE {n(0.25)} END AS h, o_totalprice / {n(5000.0)} AS x, CAST(o_custkey % 50 AS DOUBLE) AS y, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) / {n(50.0)} AS z FROM orders
+), zones AS (SELECT id, {', '.join(f'{a} - h AS z{a}min, {a} + h AS z{a}max' for a in 'xyz')} FROM zc)"""
+q("box_pairs", f"SELECT i.id AS item, z.id AS zone FROM items i JOIN zones z ON {' AND '.join(f'{a}min <= z{a}max AND z{a}min <= {a}max' for a in 'xyz')}", _ZONE)
+q("boxes_inside", f"SELECT z.id AS zone, count(*) AS items FROM items i JOIN zones z ON {' AND '.join(f'{a}min >= z{a}min AND {a}max <= z{a}max' for a in 'xyz')} GROUP BY 1", _ZONE)
+q("deep_assembly", f"""SELECT 'n' || k AS node, CAST(k % 100 AS BIGINT) AS depth, round(CAST(coalesce(sum(m % 5) OVER w, 0) AS DOUBLE), 6) AS x, round(CAST(k % 100 AS DOUBLE), 6) AS y, round(CAST(coalesce(sum(m) OVER w, 0) AS DOUBLE), 6) AS z,
+  CAST(sum(CASE WHEN k % 100 = 0 THEN length('n' || k) ELSE length('/n' || k || '#mesh_0') END) OVER w AS BIGINT) AS path_length,
+  left(string_agg(CASE WHEN k % 100 = 0 THEN 'n' || k ELSE '/n' || k || '#mesh_' || k % 3 END, '') OVER w, 40) AS path_start
+FROM (SELECT CAST(c_custkey AS BIGINT) AS k, CASE WHEN c_custkey % 100 <> 0 THEN c_custkey END AS m FROM customer) WINDOW w AS (PARTITION BY k // 100 ORDER BY k)""", "")
+
+q("occurrence_filter", f"""SELECT prim_id, triangles, {', '.join(f'round(any_value({a}{e}), 6) AS {a}{e}' for a in 'xyz' for e in ('min', 'max'))} FROM (SELECT prim_id, count(*) AS triangles FROM ok WHERE a <> b AND b <> c AND a <> c AND prim_id % 4 <> 1 GROUP BY 1) t,
+  (SELECT {', '.join(f'{f}({a}) AS {a}{f}' for a in 'xyz' for f in ('min', 'max'))} FROM vert) WHERE prim_id IN (SELECT prim_id FROM vert) GROUP BY 1, 2""", TRI)
+q("geometry_statistics", """SELECT count(DISTINCT prim_id) + 3 AS meshes, count(DISTINCT prim_id) AS with_positions, count(*) AS positions, count(*) FILTER (WHERE r <= 16) AS samples_tried,
+  count(*) FILTER (WHERE r <= 16 AND vidx % 7 <> 0 AND vidx % 11 <> 0) AS finite_samples, count(*) FILTER (WHERE r <= 16 AND (vidx % 7 = 0 OR vidx % 11 = 0)) AS invalid_samples
+FROM (SELECT *, row_number() OVER (PARTITION BY prim_id ORDER BY vidx) AS r FROM vert)""", VERT)
+# a quarter turn about z, z doubled: the common factor goes with the length
+q("direction_moves", "SELECT vidx, round(CASE WHEN l > 0 THEN -ny / l ELSE 0 END, 6) AS x, round(CASE WHEN l > 0 THEN nx / l ELSE 0 END, 6) AS y, round(CASE WHEN l > 0 THEN 2 * nz / l ELSE 0 END, 6) AS z FROM (SELECT *, sqrt(nx * nx + ny * ny + 4 * nz * nz) AS l FROM vert)", VERT)
+_NEAR = " AND ".join("(" + " OR ".join("(" + " AND ".join(f"abs(l.{a}{i} - r.{a}{k} - r.s) <= {n(0.003)}" for a in "xyz") + ")" for k in "abc") + ")" for i in "abc")
+q("near_triangles", f"SELECT DISTINCT l.prim_id, l.tidx FROM cornered l JOIN cornered r ON l.xa >= r.lo + r.s - {n(0.0031)} AND l.xa <= r.hi + r.s + {n(0.0031)} AND l.ya >= r.ylo + r.s - {n(0.0031)} AND l.ya <= r.yhi + r.s + {n(0.0031)} AND {_NEAR}",
+  f"""{TRI}, cornered AS MATERIALIZED (SELECT o.prim_id, o.tidx, {', '.join(f'v{c}.{a} AS {a}{c}' for c in 'abc' for a in 'xyz')}, (o.tidx % 3) * {n(0.004)} + {n(0.0005)} AS s,
+  least(va.x, vb.x, vc.x) AS lo, greatest(va.x, vb.x, vc.x) AS hi, least(va.y, vb.y, vc.y) AS ylo, greatest(va.y, vb.y, vc.y) AS yhi FROM ok o JOIN vert va ON va.vidx = o.a JOIN vert vb ON vb.vidx = o.b JOIN vert vc ON vc.vidx = o.c)""")
+q("ordered_union", """SELECT occ_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS names FROM (SELECT occ_id, list_transform(list_concat(list_transform(range(size % 4 + 1), lambda k: k * 2 % 5), list_transform(range(size % 7 + 1), lambda k: k * 3 % 5)), lambda x: 'm' || x) AS l FROM occ)""", OCC)
+q("step_listing", "SELECT path FROM (SELECT '/in/' || occ_id || ['.stp', '.STEP', '.fbx', '.step.txt', '.Stp'][size % 5 + 1] AS path FROM occ) WHERE lower(path) LIKE '%.stp' OR lower(path) LIKE '%.step'", OCC)
+q("texture_sources", """SELECT occ_id AS model_id, CASE WHEN size % 5 = 0 THEN 'own' || size WHEN (size % 3 = 0) = (size % 8 % 2 = 0) THEN 'f' || size % 8 END AS bytes, CASE WHEN size % 3 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM occ""", OCC)

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.functions import keys, materials
-from tessera.operators import mesh, models, octree, scene, tiles
+from tessera.functions.text import has_suffix
+from tessera.operators import box_join, hierarchy, mesh, models, octree, quality, scene, simplify, tile_merge, tiles
 from tessera.operators import exchange_text as ex
 from tessera.plans import bindings as b
 from tessera.plans.queries import RULES, _classified, _counted, _placed, _primitives, _r, query
-from tessera.sources import glb
+from tessera.sources import formats, glb
 
 
 def _same(df, key):
@@ -221,6 +222,40 @@ def merge_tiles(spark, d):
     return models.tile_totals(_tile_content(spark, d))
 
 
+def _attributed_content(spark, d):
+    """Two triangles across each item's box, with normals, texture coordinates and colours."""
+    items = _placed(spark, d)
+    tree = octree.nodes(items, RULES)
+    m = octree.membership(items, tree, RULES, "box", "part")
+    x, y, z = ([F.col("box")[f"{a}{e}"] for e in ("min", "max")] for a in g.AXES)
+    places = [(x[0], y[0], z[0]), (x[1], y[0], z[0]), (x[1], y[1], z[1]), (x[0], y[1], z[1])]
+    part, material = F.col("part"), F.col("part") % 5
+
+    def corner(k):
+        values = dict(zip(g.AXES, places[k], strict=True))
+        values |= {name: F.when(material != 3, v) for name, v in {"nx": (part % 7 - 3) / 4, "ny": (part % 5 - 2) / 4, "nz": F.lit(1.0)}.items()}
+        values |= {"u": F.lit(k / 4) + (part % 10) / 40, "v": (part % 3) / 4}
+        values |= {name: F.when(material != 4, v) for name, v in {"r": (part % 4) / 4, "g": F.lit(k / 8), "b": F.lit(0.5), "a": F.lit(1.0)}.items()}
+        return F.struct(*[v.cast("double").alias(n) for n, v in values.items()])
+
+    two = F.explode(F.array(*[F.array(*[corner(k) for k in t]) for t in ((0, 1, 2), (0, 2, 3))])).alias("t")
+    rows = m.select("path", material.alias("material"), two).select("path", "material", *[F.get("t", F.lit(i)).alias(c) for i, c in enumerate("abc")])
+    return tile_merge.merge_tiles(tree, rows, octree.root_box(items), RULES.loose)
+
+
+@query
+def merge_tiles_attributes(spark, d):
+    """Every tile's triangles with checksums of all that their corners carry."""
+    content = _attributed_content(spark, d)
+    names = (*g.AXES, *tile_merge.ATTRIBUTES)
+    each = content.select("path", "material", F.posexplode(F.array("a", "b", "c")).alias("k", "p"))
+    return each.groupBy("path").agg(
+        F.count_if(F.col("k") == 0).alias("triangles"),
+        F.count_distinct("material").alias("materials"),
+        *[_r(F.coalesce(F.sum(F.col("p")[x]), F.lit(0.0)), 4).alias(f"sum_{x}") for x in names],
+    )
+
+
 @query
 def import_evidence(spark, d):
     return scene.evidence(_appearances(spark, d))
@@ -252,19 +287,42 @@ def optimizer_statistics(spark, d):
     return mesh.optimiser_statistics(tri, F.col("nv"), b.vertices(spark, d), {"x": 0.05, "y": 0.05, "z": 0.2}, 1e-20, 5000)
 
 
-@query
-def simplify_checks(spark, d):
-    """Of each simplified primitive: triangles before, and whether at most half are left
-    (or no edge could go) and all corners are corners from before."""
+def _used(spark, d):
+    """Proper triangles, and the vertices that each primitive uses."""
     tri = mesh.distinct_corners(mesh.in_range(_counted(spark, d), F.col("nv")).drop("nv"))
     use = tri.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).distinct()
-    v = b.vertices(spark, d).drop("prim_id").join(use, "vidx")
-    out = mesh.simplify(tri, v, 0.5, 10.0)
-    before = tri.groupBy("prim_id").agg(F.count("*").alias("before"))
-    known = out.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).join(use, ["prim_id", "vidx"], "left_anti").groupBy("prim_id").agg(F.count("*").alias("strange"))
-    after = out.groupBy("prim_id").agg(F.count("*").alias("after"), F.count_if((F.col("a") == F.col("b")) | (F.col("b") == F.col("c")) | (F.col("a") == F.col("c"))).alias("flat"))
-    x = before.join(after, "prim_id", "left").join(known, "prim_id", "left")
-    return x.select("prim_id", "before", (F.coalesce("after", F.lit(0)) <= F.col("before")).alias("fewer"), F.col("strange").isNull().alias("known"), (F.coalesce("flat", F.lit(0)) == 0).alias("solid"))
+    return tri, b.vertices(spark, d).drop("prim_id").join(use, "vidx")
+
+
+def _simplified(tri, v, out):
+    """Of each simplified primitive: triangles before, the target, whether fewer are left but
+    no fewer than that, whether no edge is left that few enough triangles share to go, and
+    whether all corners are apart and from before."""
+    edge = F.explode(F.array(*[F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")) for x, y in (("a", "b"), ("b", "c"), ("c", "a"))])).alias("e")
+    shared = out.select("prim_id", edge).groupBy("prim_id", "e").agg(F.count("*").alias("n")).groupBy("prim_id").agg(F.min("n").alias("least"))
+    before = tri.groupBy("prim_id").agg(F.count("*").alias("before")).withColumn("target", F.greatest(F.lit(1).cast("long"), F.floor(F.col("before") / 2)))
+    strange = out.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).join(v, ["prim_id", "vidx"], "left_anti").groupBy("prim_id").agg(F.count("*").alias("strange"))
+    after = out.groupBy("prim_id").agg(F.count("*").alias("after"), F.count_if((F.col("a") == F.col("b")) | (F.col("b") == F.col("c")) | (F.col("a") == F.col("c"))).alias("flat"), (F.count_distinct("tidx") == F.count("*")).alias("once"))
+    x = before.join(after, "prim_id", "left").join(strange, "prim_id", "left").join(shared, "prim_id", "left")
+    n = F.coalesce("after", F.lit(0))
+    fewer = (n < F.col("before")) | (F.col("before") == F.col("target"))
+    return x.select(
+        "prim_id",
+        "before",
+        "target",
+        fewer.alias("fewer"),
+        (n >= F.col("target")).alias("kept"),
+        F.coalesce(F.col("least") > n - F.col("target"), F.lit(False)).alias("tight"),
+        F.col("strange").isNull().alias("known"),
+        (F.coalesce("flat", F.lit(1)) == 0).alias("solid"),
+        F.coalesce("once", F.lit(False)).alias("once"),
+    )
+
+
+@query
+def simplify_checks(spark, d):
+    tri, v = _used(spark, d)
+    return _simplified(tri, v, simplify.simplify(tri, v, 0.5, 10.0))
 
 
 @query
@@ -301,13 +359,9 @@ def face_ids(spark, d):
 @query
 def attribute_simplify(spark, d):
     """Simplification that keeps normals and texture coordinates: as ``simplify_checks``."""
-    tri = mesh.distinct_corners(mesh.in_range(_counted(spark, d), F.col("nv")).drop("nv"))
-    use = tri.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).distinct()
-    weights = {k: w for k, w in mesh.ATTRIBUTE_WEIGHTS.items() if k in ("nx", "ny", "nz", "u", "v")}
-    out = mesh.simplify(tri, b.vertices(spark, d).drop("prim_id").join(use, "vidx"), 0.5, 10.0, weights)
-    strange = out.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).join(use, ["prim_id", "vidx"], "left_anti").groupBy("prim_id").agg(F.count("*").alias("strange"))
-    x = tri.groupBy("prim_id").agg(F.count("*").alias("before")).join(out.groupBy("prim_id").agg(F.count("*").alias("after")), "prim_id", "left").join(strange, "prim_id", "left")
-    return x.select("prim_id", "before", F.coalesce(F.col("after") <= F.col("before"), F.lit(False)).alias("fewer"), F.col("strange").isNull().alias("known"))
+    tri, v = _used(spark, d)
+    weights = {k: w for k, w in simplify.ATTRIBUTE_WEIGHTS.items() if k in ("nx", "ny", "nz", "u", "v")}
+    return _simplified(tri, v, simplify.simplify(tri, v, 0.5, 10.0, weights))
 
 
 @query
@@ -349,3 +403,130 @@ def volume_spheres(spark, d):
     volume = F.struct(F.when(F.col("size") % 3 == 0, box).alias("box"), F.when(F.col("size") % 3 == 1, ball).alias("sphere"), F.when(F.col("size") % 3 == 2, F.array(zero)).alias("region"))
     found = b.parts(spark, d).select("occ_id", g.volume_sphere(volume).alias("s"))
     return found.select("occ_id", *[F.coalesce(_r(F.col(f"s.{c}")), F.lit(-1.0)).alias(c) for c in ("x", "y", "radius")])
+
+
+@query
+def visible_tiles(spark, d):
+    """What 25 cameras, one a nation, show of the scene."""
+    t = tiles.tile_errors(tiles.node_table(_placed(spark, d), RULES))
+    n = b.read(spark, d, "nation")
+    cameras = n.select(F.col("n_nationkey").cast("long").alias("camera"), (F.col("n_nationkey") * 9 - 50).cast("double").alias("x"), (F.col("n_regionkey") * 15 - 5).cast("double").alias("y"), (F.col("n_nationkey") % 7 * 12).cast("double").alias("z"))
+    return tiles.visible_tiles(t, cameras).select("camera", "path", _r(F.col("tile_error")).alias("error"))
+
+
+def _zones(spark, d):
+    """A box around each order's customer, price and day; a few are large."""
+    o = b.read(spark, d, "orders")
+    half = F.when(F.col("o_orderkey") % 997 == 0, 6.0).otherwise(0.25)
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double") / 50.0
+    c = {"x": F.col("o_totalprice") / 5000.0, "y": (F.col("o_custkey") % 50).cast("double"), "z": day}
+    return o.select(F.col("o_orderkey").cast("long").alias("id"), g.box(*[c[a] - half for a in g.AXES], *[c[a] + half for a in g.AXES]).alias("box"))
+
+
+@query
+def box_pairs(spark, d):
+    """Items whose boxes touch a zone's."""
+    return box_join.box_join(b.items(spark, d).select("id", "box"), _zones(spark, d)).select(F.col("a_id").alias("item"), F.col("b_id").alias("zone"))
+
+
+@query
+def boxes_inside(spark, d):
+    """By zone: how many items lie in it."""
+    pairs = box_join.box_join(b.items(spark, d).select("id", "box"), _zones(spark, d), "inside")
+    return pairs.groupBy(F.col("b_id").alias("zone")).agg(F.count("*").alias("items"))
+
+
+def _chain(spark, d):
+    """Customers as assemblies: each hangs below the one before it, in chains of 100."""
+    c = b.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    here = F.concat(F.lit("n"), F.col("k").cast("string"))
+    below = c.filter("k % 100 <> 0").select(F.concat(F.lit("n"), (F.col("k") - 1).cast("string")).alias("parent"), here.alias("child"), (F.col("k") % 3).cast("int").alias("slot"), g.translation((F.col("k") % 5).cast("double"), F.lit(1.0), F.col("k").cast("double")).alias("matrix"))
+    roots = c.filter("k % 100 = 0").select(here.alias("node"), g.identity().alias("matrix"), here.alias("path"))
+    return roots, below
+
+
+@query
+def deep_assembly(spark, d):
+    """Placements of assemblies 100 levels deep."""
+    placed = hierarchy.flatten(*_chain(spark, d))
+    return placed.select("node", F.col("depth").cast("long").alias("depth"), _r(F.element_at("matrix", 4)).alias("x"), _r(F.element_at("matrix", 8)).alias("y"), _r(F.element_at("matrix", 12)).alias("z"), F.length("path").cast("long").alias("path_length"), F.substring("path", 1, 40).alias("path_start"))
+
+
+@query
+def occurrence_filter(spark, d):
+    """Occurrences with triangles, beside the bounds of all."""
+    v = b.vertices(spark, d)
+    occ = v.select("prim_id").distinct()
+    tri = mesh.distinct_corners(mesh.in_range(_counted(spark, d), F.col("nv")).drop("nv")).filter("prim_id % 4 <> 1")
+    kept, bounds = scene.with_triangles(occ, tri, v)
+    return kept.crossJoin(F.broadcast(bounds)).select("prim_id", "triangles", *[_r(F.col(f"{a}{e}")).alias(f"{a}{e}") for a in g.AXES for e in ("min", "max")])
+
+
+@query
+def geometry_statistics(spark, d):
+    """Meshes, positions and finite samples; every seventh vertex is at no place."""
+    v = b.vertices(spark, d)
+    v = v.withColumn("x", F.when(F.col("vidx") % 7 == 0, F.lit(float("nan"))).when(F.col("vidx") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("x")))
+    meshes = v.select("prim_id").distinct().unionByName(spark.range(3).select((F.col("id") + 1000).alias("prim_id")))
+    return quality.geometry_statistics(meshes, v, g.translation(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+
+
+@query
+def direction_moves(spark, d):
+    """Directions turned by a matrix whose scale does not matter."""
+    s = F.col("vidx") % 5 + 1.0
+    zero, one = F.lit(0.0), F.lit(1.0)
+    m = F.array(zero, -s, zero, one, s, zero, zero, one, zero, zero, s * 2, one, zero, zero, zero, one)
+    moved = g.move_direction(m, F.col("nx"), F.col("ny"), F.col("nz"))
+    return b.vertices(spark, d).select("vidx", *[_r(v).alias(a) for v, a in zip(moved, g.AXES, strict=True)])
+
+
+@query
+def near_triangles(spark, d):
+    """Triangles each of whose corners is close to one of some moved triangle."""
+    tri = mesh.in_range(_counted(spark, d), F.col("nv")).select("prim_id", "tidx", "a", "b", "c")
+    got = mesh.gather(tri, b.vertices(spark, d).drop("prim_id"), "vidx", list(g.AXES))
+    step = (F.col("tidx") % 3) * 0.004
+
+    def corners(shift):
+        return F.array(*[F.struct(*[(F.col(f"{a}_{c}") + shift).alias(a) for a in g.AXES]) for c in ("a", "b", "c")]).alias("p")
+
+    left = got.select("prim_id", "tidx", corners(F.lit(0.0)))
+    right = got.select("prim_id", "tidx", corners(step + 0.0005))
+    return quality.near_triangles(left, right, 0.003)
+
+
+@query
+def ordered_union(spark, d):
+    """Names of two lists, each once, in order of first appearance."""
+    s = F.col("size")
+
+    def names(last, by):
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.concat(F.lit("m"), ((k * by) % 5).cast("string")))
+
+    one, two = names(s % 4, 2), names(s % 7, 3)
+    return b.parts(spark, d).select("occ_id", F.array_join(hierarchy.union_of_lists(one, two), ",").alias("names"))
+
+
+@query
+def step_listing(spark, d):
+    """Of paths in a folder, the exchange files, sorted."""
+    p = b.parts(spark, d)
+    path = F.concat(F.lit("/in/"), F.col("occ_id").cast("string"), F.element_at(F.array(*map(F.lit, (".stp", ".STEP", ".fbx", ".step.txt", ".Stp"))), (F.col("size") % 5 + 1).cast("int")))
+    return p.select(path.alias("path")).filter(has_suffix(F.col("path"), *formats.STEP_SUFFIXES))
+
+
+@query
+def texture_sources(spark, d):
+    """Where each model's texture comes from: itself, a file beside it, a file elsewhere or nowhere."""
+    s = F.col("size")
+    models_ = b.parts(spark, d).select(
+        F.col("occ_id").alias("model_id"),
+        F.lit("/models").alias("folder"),
+        F.when(s % 3 == 0, F.concat(F.lit("tex\\t"), (s % 8).cast("string"), F.lit(".png"))).otherwise(F.concat(F.lit("/else/t"), (s % 8).cast("string"), F.lit(".JPG"))).alias("texture"),
+        F.when(s % 5 == 0, F.encode(F.concat(F.lit("own"), s.cast("string")), "utf-8")).alias("embedded"),
+    )
+    n = b.read(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
+    at = F.when(F.col("k") % 2 == 0, F.concat(F.lit("file:/models/tex/t"), F.col("k").cast("string"), F.lit(".png"))).otherwise(F.concat(F.lit("file:///else/t"), F.col("k").cast("string"), F.lit(".JPG")))
+    files = n.select(at.alias("path"), F.encode(F.concat(F.lit("f"), F.col("k").cast("string")), "utf-8").alias("content"))
+    return formats.textures(models_, files).select("model_id", F.decode("bytes", "utf-8").alias("bytes"), "mime")

@@ -11,7 +11,7 @@ from tessera.functions import geometry as g
 from tessera.functions import lod, materials
 from tessera.functions import text as t
 from tessera.operators import exchange_text as ex
-from tessera.operators import hierarchy, mesh, octree, quality, scene, tiles
+from tessera.operators import hierarchy, mesh, octree, quality, scene, simplify, tiles
 from tessera.plans import bindings as b
 from tessera.sources import formats, glb
 from tessera.storage import written
@@ -472,7 +472,7 @@ def simplify_meshes(spark, d):
     tri = mesh.distinct_corners(mesh.in_range(_counted(spark, d), F.col("nv")).drop("nv"))
     # each primitive with the vertices that it uses
     use = tri.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).distinct()
-    return mesh.simplify(tri, b.vertices(spark, d).drop("prim_id").join(use, "vidx"), 0.5, 10.0)
+    return simplify.simplify(tri, b.vertices(spark, d).drop("prim_id").join(use, "vidx"), 0.5, 10.0)
 
 
 @query

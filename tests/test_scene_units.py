@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as g
 from tessera.functions import text as t
 from tessera.operators import exchange_text as ex
-from tessera.operators import hierarchy, mesh, octree, quality, scene, tiles
+from tessera.operators import hierarchy, mesh, octree, quality, scene, simplify, tiles
 from tessera.operators.ids import dense_ids
 from tessera.plans import queries
 from tessera.plans.oracles import REC
@@ -234,7 +234,7 @@ def test_simplify_keeps_vertices_and_ratio(spark):
             k += 2
     vd = spark.createDataFrame(v, "prim_id long, vidx long, x double, y double, z double")
     td = spark.createDataFrame(tri, "prim_id long, tidx long, a long, b long, c long")
-    out = mesh.simplify(td, vd, 0.4, 0.5).collect()
+    out = simplify.simplify(td, vd, 0.4, 0.5).collect()
     assert 0 < len(out) <= 0.45 * len(tri) and all(0 <= r.a < n * n for r in out)
     assert mesh.cluster(td, vd, 3.0).count() < len(tri)
 
