@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bucket_count, chunks, documents, table, worker_env
+from tessera.llm.common import bucket_count, chunks, documents, free_name, table, worker_env
 from tessera.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -127,12 +127,14 @@ def pack(spark: SparkSession, made: DataFrame, capacity: int = 1024) -> DataFram
     read twice and the same each time (a written table).  Rows that are equal in
     all of these are interchangeable.  Empty input gives an empty result.
     """
+    made = made.drop("sequence_id", "offset")
     n = bucket_count(spark, made)
+    salt, base, rank, size_, row = (free_name(made, x) for x in ("_salt", "_base", "_rank", "_n", "_r"))
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in made.columns]
-    salted = made.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    size = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = size.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    salted = made.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    size = salted.groupBy("length", salt).agg(F.count("*").alias(size_))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = size.select("length", salt, F.coalesce(F.sum(size_).over(before), F.lit(0)).alias(base))
     # at most `capacity` rows, however large the input
     count = {r[0]: r[1] for r in made.groupBy("length").agg(F.count("*")).collect()}
     if any(not 0 < k <= capacity for k in count):
@@ -147,14 +149,14 @@ def pack(spark: SparkSession, made: DataFrame, capacity: int = 1024) -> DataFram
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place_in_all = own[np.array(b.column("length"))] + np.array(b.column("_rank"))
+            place_in_all = own[np.array(b.column("length"))] + np.array(b.column(rank))
             run = np.searchsorted(lead, place_in_all, side="right") - 1
             arrays = [*b.columns[:-1], pa.array(first[run] + place_in_all - lead[run], pa.int64()), pa.array(place[run], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    within = Window.partitionBy("length", "_salt").orderBy(*order)
-    rank = salted.withColumn("_r", F.row_number().over(within)).join(base, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_r") - 1)
-    return rank.select(*made.columns, F.col("_rank").cast("long")).mapInArrow(assign, schema)
+    within = Window.partitionBy("length", salt).orderBy(*order)
+    ranked = salted.withColumn(row, F.row_number().over(within)).join(starts, ["length", salt]).withColumn(rank, F.col(base) + F.col(row) - 1)
+    return ranked.select(*made.columns, F.col(rank).cast("long")).mapInArrow(assign, schema)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

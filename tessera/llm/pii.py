@@ -18,8 +18,21 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-#: A secret stands after one of these words and one of = and :.
-_NAMED = r"(?i:token|secret|password|passwd|api_key|apikey|access_key)[ \t]{0,3}[=:]"
+#: A secret stands after one of these words, any blanks and one of = and :, or after one of
+#: the words of a header; a name in quotes, as in JSON, is one, too.
+_NAMED = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \t]*+[=:]"
+_HEADER = r"(?i:bearer|basic)[ \t]++(?=[A-Za-z0-9._~+/=-]{16})(?=[A-Za-z._~+/-]{0,200}[0-9=])"
+
+#: Characters of a secret but the last, and the last one: closing marks do not belong to it.
+_INNER, _LAST = r"[^\s\"'<>,;&]", r"[^\s\"'<>,;&.:!?)\]}]"
+
+#: What must stand between name and value, and follow, for it to be a secret: in quotes 6
+#: characters; after = 12; else 16, or 8 with a digit.
+_LONG = "|".join((
+    r"[ \t]*+[\"'](?=" + _INNER + r"{6,}+[\"'])",
+    r"(?<==)[ \t]*+[\"']?(?=" + _INNER + "{12})",
+    r"[ \t]*+[\"']?(?=" + _INNER + r"{16}|(?=[^0-9\s]{0,15}[0-9])" + _INNER + "{8})",
+))
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
@@ -30,20 +43,21 @@ _LOCAL, _LABEL = r"[\p{L}\p{M}\p{N}._%+-]", r"[\p{L}\p{N}-]"
 #: an upper limit are possessive or of one character class, so that matching takes
 #: linear time and no stack.
 KINDS = {
-    "secret": r"(?<=" + _NAMED + r"[ \t]{0,3}[\"']{0,1})(?:[A-Za-z0-9+/_-]{16,}|(?=[A-Za-z+/_-]{0,15}[0-9])[A-Za-z0-9+/_-]{8,})" + _END,
+    "secret": "(?:" + _NAMED + "(?:" + _LONG + ")|" + _HEADER + ")(" + _INNER + "*" + _LAST + ")",
     "email": r"(?<!" + _LOCAL + ")" + _LOCAL + r"++@(?=[\p{N}.-]*+\p{L})" + _LABEL + r"++(?:\." + _LABEL + r"++)++",
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + _END,
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{L}\p{N}])",
-    "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})" + _END,
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "date": _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _END,
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}+.-])(?:[0-9]{13,19}|[0-9]{4}(?<x>[ -])[0-9]{4}\k<x>[0-9]{4}\k<x>[0-9]{1,7}|[0-9]{4}(?<y>[ -])[0-9]{6}\k<y>[0-9]{5})(?![\p{L}\p{N}])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|(?<![\p{L}\p{N}.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4})(?![\p{L}\p{N}])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|(?<![\p{L}\p{N}.-])(?:(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}))(?![\p{L}\p{N}])",
 }
 
 
 def _pattern() -> str:
-    """All kinds; group 1 is the secret, if one matched."""
-    return "|".join(f"({p})" if kind == "secret" else f"(?:{p})" for kind, p in KINDS.items())
+    """All kinds; group 1 is the secret, if one matched: what stands before it is part of the match."""
+    return "|".join(f"(?:{p})" for p in KINDS.values())
 
 
 def _hash(key: str, kind: Column, i: Column, x: Column) -> Column:
@@ -120,8 +134,8 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     d = _only_digits(m)
-    # the country code stays
-    code = F.when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+([0-9]{1,3}?)(?:[ .(-]|(?=[0-9]{8,}$))", 1))).otherwise(F.lit(0))
+    # the country code, or a leading 0, stays
+    code = F.when(m.startswith("0"), F.lit(1)).when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+([0-9]{1,3}?)(?:[ .(-]|(?=[0-9]{8,}$))", 1))).otherwise(F.lit(0))
     rest = F.substr(d, code + 1, F.length(d) - code)
     return F.when(F.length(d).between(7, 15) & (F.length(rest) >= 6), _into(m, _digits(rest, key, "phone"), code)).otherwise(m)
 
@@ -137,6 +151,25 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(o, lambda x: x <= 255), F.get(F.transform(F.array(net), dotted), F.lit(0))).otherwise(m)
 
 
+def _ipv6(m: Column, key: str) -> Column:
+    """Each group of hexadecimal digits is permuted within its length, by its place; at
+    least three groups and a decimal digit make an address."""
+    sixteen = F.lit(16.0)
+
+    def group(x: Column, i: Column) -> Column:
+        k = F.length(x)
+        low = F.pow(sixteen, k - F.floor(k / 2)).cast("long")
+        value = F.conv(x, 16, 10).cast("long")
+        net = feistel(F.floor(value / low), value % low, F.pow(sixteen, F.floor(k / 2)).cast("long"), low, key, F.concat_ws(":", F.lit("ipv6"), i.cast("string"), k.cast("string")))
+        shown = F.get(F.transform(F.array(net), lambda s: F.lpad(F.lower(F.hex(s["a"] * low + s["b"])), k, "0")), F.lit(0))
+        return F.when(k > 0, shown).otherwise(x)
+
+    groups = F.split(m, ":")
+    new = F.array_join(F.transform(groups, group), ":")
+    real = (F.size(F.filter(groups, lambda x: x != "")) >= 3) & m.rlike("[0-9]")
+    return F.when(real, F.when(m == F.lower(m), new).otherwise(F.upper(new))).otherwise(m)
+
+
 def _ssn(m: Column, key: str) -> Column:
     """Areas 001-899 but 666, groups 01-99, serials 0001-9999: 898 * 99 * 9999 values."""
     area, group, serial = (F.substr(m, F.lit(i), F.lit(n)).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
@@ -156,15 +189,21 @@ _SPANS = (("1900-01-01", 150, 487), ("2100-01-02", 2, 1_442_707), ("0001-01-01",
 
 
 def _date(m: Column, key: str) -> Column:
-    """ISO dates, and dates with slashes read as day/month or else month/day.
+    """ISO dates, with slashes too, day.month.year, and day/month/year or else month/day/year.
 
     Dates from 1900 to 2100 stay there, as do earlier and later ones in their span."""
-    iso = m.contains("-")
-    short = F.coalesce(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")), F.try_to_timestamp(m, F.lit("MM/dd/yyyy")))
-    day = F.when(iso, F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).otherwise(short).cast("date")
+    styles = [(m.contains("-"), "yyyy-MM-dd"), (m.contains("."), "dd.MM.yyyy"), (m.rlike("^[0-9]{4}"), "yyyy/MM/dd"), (F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull(), "dd/MM/yyyy"), (F.lit(True), "MM/dd/yyyy")]
+
+    def by_style(use) -> Column:
+        out = F
+        for style, form in styles:
+            out = out.when(style, use(form))
+        return out
+
+    day = by_style(lambda form: F.try_to_timestamp(m, F.lit(form))).cast("date")
 
     def shown(x: Column) -> Column:
-        return F.when(iso, F.date_format(x, "yyyy-MM-dd")).when(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull(), F.date_format(x, "dd/MM/yyyy")).otherwise(F.date_format(x, "MM/dd/yyyy"))
+        return by_style(lambda form: F.date_format(x, form))
 
     def of_span(values: list, kind: str) -> Column:
         late, early = (F.lit(_SPANS[i][0]).cast("date") for i in (1, 0))
@@ -215,33 +254,48 @@ def _secret(m: Column, key: str) -> Column:
     return F.substr(F.repeat(h, F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m))
 
 
-_WAYS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+_WAYS = {"email": _email, "iban": _iban, "ip": _ip, "ipv6": _ipv6, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
 def pseudonym(m: Column, key: str, secret: Column) -> Column:
-    """The replacement of one match; ``secret``: whether it is one.
+    """The replacement of one match; ``secret``: the end of it that is one, or "".
 
     The other kinds differ in form, so a match tells its kind."""
-    out = F.when(secret, _secret(m, key))
+    out = F.when(secret != "", F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(secret)), _secret(secret, key)))
     for kind, way in _WAYS.items():
         out = out.when(m.rlike(f"^(?:{KINDS[kind]})$"), way(m, key))
     return out.otherwise(m)
 
 
+#: Characters that no text holds, as a rule: they mark matches, and secrets in them.
+_MARK, _INSIDE = "\ufdd0", "\ufdd1"
+
+
 def pseudonymise(text: Column, key: str) -> Column:
     """text with every validated match replaced; null stays null.
 
     Texts without a digit, an @ or a secret's name are not searched further.  A text that is one
-    match, and matches next to each other, are handled like any other.
+    match, and matches next to each other, are handled like any other.  Matches are marked
+    in one pass of the pattern; texts that hold the marks themselves are cut at the
+    matches instead, which takes three.
     """
+    named = text.rlike(_NAMED + "|" + _HEADER)
+    marked = F.split(F.regexp_replace(text, _pattern(), f"{_MARK}$0{_INSIDE}$1{_MARK}"), _MARK, -1)
+
+    def turned(x: Column, i: Column) -> Column:
+        return F.when(i % 2 == 0, x).otherwise(pseudonym(F.substring_index(x, _INSIDE, 1), key, F.substring_index(x, _INSIDE, -1)))
+
+    joined = F.array_join(F.transform(marked, turned), "")
+    return F.when(text.rlike("[0-9@]") | named, F.when(text.contains(_MARK) | text.contains(_INSIDE), _cut(text, key)).otherwise(joined)).otherwise(text)
+
+
+def _cut(text: Column, key: str) -> Column:
+    """The same, by cutting the text at its matches."""
     p = F.lit(_pattern())
-    named = text.rlike(_NAMED)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    secret = F.when(named, F.regexp_extract_all(text, p, F.lit(1))).otherwise(F.transform(found, lambda m: F.lit("")))
-    new = F.concat(F.zip_with(found, secret, lambda m, s: pseudonym(m, key, F.coalesce(s, F.lit("")) != "")), F.array(F.lit("")))
+    found, secret = (F.regexp_extract_all(text, p, F.lit(i)) for i in (0, 1))
+    new = F.concat(F.zip_with(found, secret, lambda m, s: pseudonym(m, key, s)), F.array(F.lit("")))
     between = F.split(text, _pattern(), -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, b))), "")
-    return F.when(text.rlike("[0-9@]") | named, joined).otherwise(text)
+    return F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, b))), "")
 
 
 def replace_personal_data(docs: DataFrame, key: str, column: str = "text") -> DataFrame:

@@ -162,6 +162,20 @@ def test_packing(spark, capacity):
     assert packing.pack_documents(spark, empty(spark), default_vocabulary(), capacity).count() == 0
 
 
+def test_packing_of_clashing_columns(spark):
+    made = spark.createDataFrame([(i, 0, 0, 1 + i % 7, 5, "r", 1, 2, 3, 4, 9) for i in range(50)], "doc_id long, piece int, start long, length long, ids_crc32 long, _rank string, _salt int, _base int, _n int, _r int, offset int")
+    got = packing.pack(spark, made, 16)
+    assert got.columns == [*made.drop("offset").columns, "sequence_id", "offset"]
+    rows = got.collect()
+    assert {r._rank for r in rows} == {"r"} and len({(r.sequence_id, r.offset) for r in rows}) == 50
+    for s in {r.sequence_id for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 16
+
+
 def test_sweeps_are_best_fit():
     r = random.Random(1)
     for _ in range(30):
@@ -422,6 +436,36 @@ def test_pii_of_hard_texts(spark):
         assert got[i] != text or i in (5, 7, 8, 10)
 
 
+def test_leaks(spark):
+    """Names in quotes, many blanks, dotted tokens, headers, further styles of dates and numbers."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    rows = [
+        ('{"password": "hunter2hunter2x9"}', r'\{"password": "[0-9a-f]{16}"\}'),
+        ('"api_key": "ABCDEF1234567890ABCD",', r'"api_key": "[0-9a-f]{20}",'),
+        ("password    =   abc12345xyz99", r"password    =   [0-9a-f]{13}"),
+        ("password" + " " * 500 + "=abc12345xyz99", r"password {500}=[0-9a-f]{13}"),
+        ("password=P@ssw0rd!2024xyz", r"password=[0-9a-f]{16}"),
+        (f"token={jwt}, x", rf"token=[0-9a-f]{{{len(jwt)}}}, x"),
+        ("password=correcthorse", r"password=[0-9a-f]{12}"),
+        (f"Authorization: Bearer {jwt}", rf"Authorization: Bearer [0-9a-f]{{{len(jwt)}}}"),
+        ("on 1999/12/31 and 31.12.1999", r"on \d{4}/\d\d/\d\d and \d\d\.\d\d\.\d{4}"),
+        ("call 020 7946 0958", r"call 0\d\d \d{4} \d{4}"),
+        ("at 2001:db8:0:1:1:1:1:1 or FE80::1a2b:3", r"at [0-9a-f]{4}:[0-9a-f]{3}(:[0-9a-f]){6} or [0-9A-F]{4}::[0-9A-F]{4}:[0-9A-F]"),
+        ("mark \ufdd0 token=correcthorse12 \ufdd1 1.2.3.4", "mark \ufdd0 token=[0-9a-f]{14} \ufdd1 \\d+(\\.\\d+){3}"),
+        # and what is none
+        ("the secret: patience is all", None),
+        ("std::add dead::beef 12:30:45", None),
+        ("a bearer of news, basic words", None),
+        ("on 99/99/9999 and 31.13.1999", None),
+    ]
+    got = {x.doc_id: x.text for x in pii.replace_personal_data(frame(spark, [(i, x) for i, (x, _) in enumerate(rows)]), "k").collect()}
+    for i, (text, pattern) in enumerate(rows):
+        assert got[i] == text if pattern is None else got[i] != text and re.fullmatch(pattern, got[i]), (text, got[i])
+    both = pii.replace_personal_data(frame(spark, [(0, "1999/12/31"), (1, "31.12.1999"), (2, "1999-12-31")]), "k").orderBy("doc_id").collect()
+    y, m, d = both[2].text.split("-")
+    assert [x.text for x in both[:2]] == [f"{y}/{m}/{d}", f"{d}.{m}.{y}"]
+
+
 def test_every_kind_against_brute_force(spark):
     """Social security numbers, IBANs with and without blanks, dates and phones, value by value."""
 
