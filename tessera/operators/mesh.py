@@ -93,21 +93,40 @@ def solid(triangles: DataFrame, vertices: DataFrame, eps: float = 1e-20) -> Data
     return with_area(distinct_corners(triangles), vertices).filter(F.col("area2") > eps)
 
 
+#: Parts of a doubling of the area that are counted apart.
+FINE = 256
+
+
 def budget(triangles: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFrame:
     """At most ``most`` triangles (per ``by``): the smallest go first, ties by
-    (prim_id, tidx).  Within budget nothing is sorted: totals come first."""
-    total = triangles.groupBy(*by).agg(F.count("*").alias("_n"))
-    all_ = triangles.join(F.broadcast(total) if not by else total, list(by)) if by else triangles.crossJoin(F.broadcast(total))
-    within = all_.filter(F.col("_n") <= most).drop("_n")
-    over = all_.filter(F.col("_n") > most)
+    (prim_id, tidx).
+
+    Over all, the threshold is selected, not sorted for: triangles are counted by the
+    logarithm of their area, and only those of the class in which the budget ends are
+    put in order.  Within budget nothing is counted but their number.
+    """
     if by:
+        total = triangles.groupBy(*by).agg(F.count("*").alias("_n"))
+        all_ = triangles.join(total, list(by))
+        within = all_.filter(F.col("_n") <= most).drop("_n")
         rank = Window.partitionBy(*by).orderBy("area2", "prim_id", "tidx")
-        cut = over.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") > F.col("_n") - most).drop("_r", "_n")
-        return within.unionByName(cut)
+        over = all_.filter(F.col("_n") > most).withColumn("_r", F.row_number().over(rank))
+        return within.unionByName(over.filter(F.col("_r") > F.col("_n") - most).drop("_r", "_n"))
     from tessera.operators.ids import dense_ids
 
-    cut = dense_ids(over, ["area2", "prim_id", "tidx"], "_r").filter(F.col("_r") >= F.col("_n") - most).drop("_r", "_n")
-    return within.unionByName(cut)
+    # null areas come first and NaN last, as in an order; so do areas of 0 and infinite ones
+    area = F.col("area2")
+    kind = F.when(area.isNull(), F.lit(-1 << 40)).when(F.isnan(area), F.lit(1 << 40)).when(area <= 0, F.lit(-1 << 39)).when(area == float("inf"), F.lit(1 << 39)).otherwise(F.floor(F.log2(area) * FINE)).cast("long")
+    classes = sorted(triangles.groupBy(kind.alias("k")).agg(F.count("*").alias("n")).collect())  # at most FINE for each power of two
+    drop, before = max(0, sum(c["n"] for c in classes) - most), 0
+    if not drop:
+        return triangles
+    for c in classes:
+        if before + c["n"] >= drop:
+            break
+        before += c["n"]
+    edge = dense_ids(triangles.filter(kind == c["k"]), ["area2", "prim_id", "tidx"], "_r").filter(F.col("_r") >= drop - before).drop("_r")
+    return triangles.filter(kind > c["k"]).unionByName(edge)
 
 
 def compact(triangles: DataFrame) -> DataFrame:
@@ -218,3 +237,28 @@ def optimiser_statistics(triangles: DataFrame, vertex_count: Column, vertices: D
         (F.col("n1") - F.col("n3")).alias("removed_by_weld"),
         (F.col("n3") - F.col("n4")).alias("removed_by_budget"),
     )
+
+
+def input_statistics(meshes: DataFrame, primitives: DataFrame, materials: DataFrame, triangles: DataFrame, vertices: DataFrame, remap: DataFrame) -> DataFrame:
+    """One row about what cleaning finds: meshes, materials before and after those that are
+    equal became one, primitives whose material changed by that, groups that primitives
+    merge into, primitives without any known vertex, triangles with a corner that does not
+    exist, and corners that the weld does not know.
+
+    meshes: mesh; primitives: as of ``groups``, with midx; materials: as of
+    ``dedup_materials``; triangles, vertices: prim_id and corners, vidx; remap: as of ``weld``.
+    """
+    same = dedup_materials(materials)
+    slots = primitives.join(same, "midx").agg(F.count_if(F.col("midx") != F.col("to")).alias("material_slots_remapped"))
+    kinds = same.agg(F.count("*").alias("materials_input"), F.count_distinct("to").alias("materials_canonical"))
+    merged = groups(primitives).agg(F.count("*").alias("primitives_merged_out"))
+    corner = triangles.select("prim_id", "tidx", F.explode(F.array(*CORNERS)).alias("vidx"))
+    known = vertices.select("vidx", F.lit(True).alias("_there")).distinct()
+    seen = corner.join(known, "vidx", "left").groupBy("prim_id", "tidx").agg(F.count("_there").alias("_n"))
+    by_prim = seen.groupBy("prim_id").agg(F.count_if(F.col("_n") < len(CORNERS)).alias("_bad"), F.max("_n").alias("_most"))
+    invalid = by_prim.agg(F.coalesce(F.sum("_bad"), F.lit(0)).cast("long").alias("triangles_with_unknown_vertices"), F.count_if(F.col("_most") == 0).alias("primitives_without_vertices"))
+    missed = rewire(triangles, remap).agg(F.coalesce(F.sum("missed"), F.lit(0)).cast("long").alias("corners_without_remap"))
+    out = meshes.agg(F.count_distinct("mesh").alias("meshes"))
+    for one in (kinds, slots, merged, invalid, missed):  # a row each
+        out = out.crossJoin(F.broadcast(one))
+    return out

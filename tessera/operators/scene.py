@@ -156,6 +156,21 @@ def export_evidence(occurrences: DataFrame, sse: float, linear: float, angular:
     return rows.select("*", F.lit(sse).alias("sse"), F.lit(linear).alias("linear_deflection"), F.lit(angular).alias("angular_deflection"), status.alias("status"))
 
 
+def scene_evidence(found: DataFrame) -> DataFrame:
+    """One row about the scene itself, of a row of ``evidence``."""
+    names = ("shape_color_occurrences", "shape_material_occurrences", "face_color_entries", "face_material_entries", "metadata_occurrences")
+    return found.select(F.col("occurrences").alias("instances"), "prototypes", *names)
+
+
+def with_materials(evidence: DataFrame, materials: DataFrame) -> DataFrame:
+    """Rows of ``export_evidence`` with the materials of each file (glb, alpha_mode): how
+    many there are, are blended and are masked."""
+    mode = F.upper(F.coalesce("alpha_mode", F.lit("OPAQUE")))
+    counts = materials.groupBy("glb").agg(F.count("*").alias("_all"), F.count_if(mode == "BLEND").alias("_blend"), F.count_if(mode == "MASK").alias("_mask"))
+    names = {"_all": "exported_materials", "_blend": "alpha_blend_materials", "_mask": "alpha_mask_materials"}
+    return evidence.join(counts, "glb", "left").select(*evidence.columns, *[F.coalesce(k, F.lit(0).cast("long")).alias(v) for k, v in names.items()])
+
+
 def union_occurrences(*files: DataFrame) -> DataFrame:
     """Occurrences of several files as one scene: numbered anew, file by file, with
     ``file`` (from 0) and their own number as ``file_occ``."""

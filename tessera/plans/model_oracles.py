@@ -96,9 +96,7 @@ def _det(m: list[list[str]]) -> str:
 _A = [[f"(q{min(i, j)}{max(i, j)}" + (f" + w * {n(0.01)})" if i == j else ")") for j in range(3)] for i in range(3)]
 _RIGHT = [f"(w * {n(0.01)} * (s{x} / w) - q{i}3)" for i, x in enumerate("xyz")]
 _SOLVED = [f"{_det([[_RIGHT[i] if j == k else _A[i][j] for j in range(3)] for i in range(3)])} / {_det(_A)}" for k in range(3)]
-q("merge_tiles_attributes", f"""SELECT path, count(*) FILTER (WHERE k = 1) AS triangles, count(DISTINCT material) AS materials, {', '.join(f'round(coalesce(sum(p.{x}), 0), 4) AS sum_{x}' for x in _ALL)}
-FROM (SELECT path, material, unnest(t) AS p, unnest([1, 2, 3]) AS k FROM (SELECT path, material, t FROM raw UNION ALL SELECT path, material, t FROM merged)) GROUP BY path""",
-  f"""{TREE}, grid AS (SELECT *, {_SIDE} * {n(1 / 64)} AS step, {_HALVED} AS halved FROM root
+_CONTENT = f"""{TREE}, grid AS (SELECT *, {_SIDE} * {n(1 / 64)} AS step, {_HALVED} AS halved FROM root
 ), own AS (SELECT m.path, i.part % 5 AS material, [{', '.join(map(_corner, range(4)))}] AS c FROM members m JOIN items i ON i.id = m.item_id
 ), raw AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT path, material, unnest([[c[1], c[2], c[3]], [c[1], c[3], c[4]]]) AS t FROM own) WHERE ({' AND '.join(f"(t[{i}].x, t[{i}].y, t[{i}].z) <> (t[{j}].x, t[{j}].y, t[{j}].z)" for i, j in ((1, 2), (2, 3), (1, 3)))})
 ), near AS (SELECT id, path, material, list_transform(t, lambda p: {{'x': p.x - rxmin, 'y': p.y - rymin, 'z': p.z - rzmin, {', '.join(f"'{x}': p.{x}" for x in _SETS)}}}) AS t FROM raw, grid
@@ -116,7 +114,10 @@ FROM (SELECT path, material, unnest(t) AS p, unnest([1, 2, 3]) AS k FROM (SELECT
 ), corner AS MATERIALIZED (SELECT path, material, {{'x': cx, 'y': cy, 'z': cz}} AS cell, {{'x': x, 'y': y, 'z': z, {', '.join(f"'{a}': " + (f'CASE WHEN sqrt(snx * snx + sny * sny + snz * snz) > {n(1e-24)} THEN s{a} / sqrt(snx * snx + sny * sny + snz * snz) END' if s == 'normal' else f's{a} / w_{s}') for a, s in _SETS.items())}}} AS p
   FROM part_ JOIN solved USING (path, cx, cy, cz)
 ), tri AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT path, material, s FROM (SELECT path, material, list_sort(list({{'x': cx, 'y': cy, 'z': cz}})) AS s FROM cell GROUP BY id, path, material) WHERE s[1] <> s[2] AND s[2] <> s[3])
-), merged AS (SELECT e.path, e.material, list(p) AS t FROM (SELECT id, path, material, unnest(s) AS cell FROM tri) e JOIN corner USING (path, material, cell) GROUP BY id, e.path, e.material)""")
+), merged AS (SELECT e.path, e.material, list(p) AS t FROM (SELECT id, path, material, unnest(s) AS cell FROM tri) e JOIN corner USING (path, material, cell) GROUP BY id, e.path, e.material)"""
+q("merge_tiles_attributes", f"""SELECT path, count(*) FILTER (WHERE k = 1) AS triangles, count(DISTINCT material) AS materials, {', '.join(f'round(coalesce(sum(p.{x}), 0), 4) AS sum_{x}' for x in _ALL)}
+FROM (SELECT path, material, unnest(t) AS p, unnest([1, 2, 3]) AS k FROM (SELECT path, material, t FROM raw UNION ALL SELECT path, material, t FROM merged)) GROUP BY path""", _CONTENT)
+q("tile_models", "SELECT path, CAST(material AS INTEGER) AS material, count(*) * 3 AS indices, material <> 3 AS has_normals, true AS has_texcoords, material <> 4 AS has_colors FROM (SELECT path, material FROM raw UNION ALL SELECT path, material FROM merged) GROUP BY ALL", _CONTENT)
 
 _FACES = "(nf > 0 AND has AND {0})::INT + (nf > 1 AND has AND {1})::INT"
 q("import_evidence", f"""SELECT count(*) AS occurrences, count(DISTINCT qualified_key) AS prototypes, count(*) FILTER (WHERE has AND (gen IS NOT NULL OR surf IS NOT NULL OR curv IS NOT NULL)) AS shape_color_occurrences,
@@ -202,3 +203,15 @@ q("near_triangles", f"SELECT DISTINCT l.prim_id, l.tidx FROM cornered l JOIN cor
 q("ordered_union", """SELECT occ_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS names FROM (SELECT occ_id, list_transform(list_concat(list_transform(range(size % 4 + 1), lambda k: k * 2 % 5), list_transform(range(size % 7 + 1), lambda k: k * 3 % 5)), lambda x: 'm' || x) AS l FROM occ)""", OCC)
 q("step_listing", "SELECT path FROM (SELECT '/in/' || occ_id || ['.stp', '.STEP', '.fbx', '.step.txt', '.Stp'][size % 5 + 1] AS path FROM occ) WHERE lower(path) LIKE '%.stp' OR lower(path) LIKE '%.step'", OCC)
 q("texture_sources", """SELECT occ_id AS model_id, CASE WHEN size % 5 = 0 THEN 'own' || size WHEN (size % 3 = 0) = (size % 8 % 2 = 0) THEN 'f' || size % 8 END AS bytes, CASE WHEN size % 3 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM occ""", OCC)
+
+q("scene_ir_evidence", f"""SELECT count(*) AS instances, count(DISTINCT qualified_key) AS prototypes, count(*) FILTER (WHERE has AND (gen IS NOT NULL OR surf IS NOT NULL OR curv IS NOT NULL)) AS shape_color_occurrences, count(*) FILTER (WHERE has AND mat) AS shape_material_occurrences,
+  CAST(sum({_FACES.format('g0 IS NOT NULL', 'g1 IS NOT NULL')}) AS BIGINT) AS face_color_entries, CAST(sum({_FACES.format('m0', 'm1')}) AS BIGINT) AS face_material_entries, count(*) FILTER (WHERE size % 6 = 0) AS metadata_occurrences FROM looks""", APP)
+q("export_materials", """SELECT 'high/' || geometry_key || '.glb' AS glb, count(*) AS occurrences, count(*) FILTER (size % 6 <> 5) AS exported_materials, count(*) FILTER (size % 6 <> 5 AND size % 10 <> 0 AND size % 4 IN (1, 3)) AS alpha_blend_materials,
+  count(*) FILTER (size % 6 <> 5 AND size % 10 <> 0 AND size % 4 = 2) AS alpha_mask_materials, CASE WHEN sum(CASE WHEN size % 9 = 0 THEN 0 ELSE triangles END) > 0 THEN 'ok' ELSE 'error' END AS status FROM occ GROUP BY geometry_key""", OCC)
+q("input_statistics", """SELECT (SELECT count(DISTINCT geometry_key) FROM occ) AS meshes, (SELECT count(*) FROM same) AS materials_input, (SELECT count(DISTINCT t) FROM same) AS materials_canonical, (SELECT count(*) FROM same WHERE t <> occ_id) AS material_slots_remapped,
+  (SELECT count(DISTINCT (material, mode, has_normals, has_texcoord, CASE WHEN mode = 4 THEN -1 ELSE prim_id END)) FROM prim) AS primitives_merged_out, (SELECT count(*) FROM tri WHERE a >= nv OR b >= nv OR c >= nv) AS triangles_with_unknown_vertices,
+  CAST(0 AS BIGINT) AS primitives_without_vertices, (SELECT CAST(sum((a >= nv)::INT + (b >= nv)::INT + (c >= nv)::INT) AS BIGINT) FROM tri) AS corners_without_remap""",
+  f"{TRI}, {PRIM}, same AS (SELECT occ_id, min(occ_id) OVER (PARTITION BY round(CAST(size AS DOUBLE) / 7 * 1024), round(CAST(size AS DOUBLE) / 50 * 1024)) AS t FROM occ)")
+q("solid_retarget_whole", "SELECT rec_no, CASE WHEN m = 9 AND rec_no BETWEEN 1 AND 100 THEN regexp_replace(norm, '([(,])#\\d+', '\\1#7', 'g') ELSE text END AS text FROM cls", REC)
+_STUBBED = "(m = 2 AND entity_id BETWEEN 20 AND 90)"
+q("face_range_stub_whole", f"SELECT rec_no, CASE WHEN {_STUBBED} THEN '#' || entity_id || '=COMPLEX_TRIANGULATED_FACE('''',#14338,3,((0.,0.,0.)),$,(1,2,3),(),((1)));' ELSE text END AS text, coalesce({_STUBBED}, false) AS stubbed FROM cls", REC)

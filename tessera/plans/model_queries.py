@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
@@ -10,7 +11,7 @@ from tessera.functions.text import has_suffix
 from tessera.operators import box_join, hierarchy, mesh, models, octree, quality, scene, simplify, tile_merge, tiles
 from tessera.operators import exchange_text as ex
 from tessera.plans import bindings as b
-from tessera.plans.queries import RULES, _classified, _counted, _placed, _primitives, _r, query
+from tessera.plans.queries import _STEPS, RULES, _classified, _counted, _placed, _primitives, _r, query
 from tessera.sources import formats, glb
 
 
@@ -256,6 +257,18 @@ def merge_tiles_attributes(spark, d):
     )
 
 
+@query
+def tile_models(spark, d):
+    """A GLB for each tile with all attributes, read back: a row per tile and material."""
+    rows = tile_merge.parts(_attributed_content(spark, d)).withColumnRenamed("path", "tile")
+    back = glb.read_meshes(glb.write_meshes(rows).select(F.col("tile").alias("path"), F.col("glb").alias("content")))
+    # materials are numbered anew in a file, in the order of the parts
+    order = Window.partitionBy("tile").orderBy("part")
+    parts = rows.select("tile", "part", (F.row_number().over(order) - 1).alias("prim"))
+    found = back.filter("status = 'ok'").join(parts, (F.col("file") == F.col("tile")) & (back["prim"] == parts["prim"]))
+    return found.select(F.col("tile").alias("path"), F.col("part").alias("material"), F.size("indices").cast("long").alias("indices"), *[(F.size(F.coalesce(c, F.array())) == F.size("positions")).alias(f"has_{c}") for c in ("normals", "texcoords", "colors")])
+
+
 @query
 def import_evidence(spark, d):
     return scene.evidence(_appearances(spark, d))
@@ -530,3 +543,42 @@ def texture_sources(spark, d):
     at = F.when(F.col("k") % 2 == 0, F.concat(F.lit("file:/models/tex/t"), F.col("k").cast("string"), F.lit(".png"))).otherwise(F.concat(F.lit("file:///else/t"), F.col("k").cast("string"), F.lit(".JPG")))
     files = n.select(at.alias("path"), F.encode(F.concat(F.lit("f"), F.col("k").cast("string")), "utf-8").alias("content"))
     return formats.textures(models_, files).select("model_id", F.decode("bytes", "utf-8").alias("bytes"), "mime")
+
+
+@query
+def scene_ir_evidence(spark, d):
+    return scene.scene_evidence(scene.evidence(_appearances(spark, d)))
+
+
+@query
+def export_materials(spark, d):
+    """Materials of each written file, beside its other evidence."""
+    s = F.col("size")
+    p = _appearances(spark, d).withColumn("glb", F.concat(F.lit("high/"), "geometry_key", F.lit(".glb")))
+    p = p.withColumn("glb_triangles", F.when(s % 9 == 0, 0).otherwise(F.col("triangles"))).withColumn("face_slots", s % 3)
+    mode = F.element_at(F.array(*map(F.lit, ("OPAQUE", "BLEND", "MASK", "blend"))), (s % 4 + 1).cast("int"))
+    m = p.filter(s % 6 != 5).select("glb", F.when(s % 10 != 0, mode).alias("alpha_mode"))
+    return scene.with_materials(scene.export_evidence(p, 80.0, 0.01, 15.0), m).select("glb", "occurrences", "exported_materials", "alpha_blend_materials", "alpha_mask_materials", "status")
+
+
+@query
+def input_statistics(spark, d):
+    s = F.col("size").cast("double")
+    p = b.parts(spark, d)
+    m = p.select(F.col("occ_id").alias("midx"), F.array(s / 7, s / 50, F.lit(0.25), F.lit(1.0)).alias("base"), (s / 50).alias("metallic"), F.lit(1.0).alias("roughness"), F.lit("OPAQUE").alias("mode"), F.lit(0.5).alias("cutoff"), F.lit(False).alias("double_sided"))
+    prims = _primitives(spark, d).withColumn("midx", F.col("prim_id"))
+    v = b.vertices(spark, d)
+    return mesh.input_statistics(p.select(F.col("geometry_key").alias("mesh")), prims, m, b.triangles(spark, d), v, mesh.weld(v, _STEPS))
+
+
+@query
+def solid_retarget_whole(spark, d):
+    """All records, retargeted or not."""
+    return ex.retarget(_classified(spark, d), 1, 100, 7).select("rec_no", "text")
+
+
+@query
+def face_range_stub_whole(spark, d):
+    """All records, stubbed or not."""
+    stub = "COMPLEX_TRIANGULATED_FACE('',#14338,3,((0.,0.,0.)),$,(1,2,3),(),((1)));"
+    return ex.stub_range(_classified(spark, d), "COMPLEX_TRIANGULATED_FACE", 20, 90, stub).select("rec_no", "text", "stubbed")

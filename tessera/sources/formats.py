@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import has_suffix, mime
 from tessera.operators.exchange_text import split_lines
+from tessera.operators.scene import scene_evidence
 
 STEP_SUFFIXES = (".stp", ".step")
 
@@ -99,9 +100,10 @@ def tileset_rows(spark: SparkSession, path: str, max_depth: int = 6) -> DataFram
 
 
 def write_evidence(evidence: DataFrame, occurrences: DataFrame, folder: str) -> None:
-    """Evidence of an import as JSON: ``import_evidence`` (one row), and a row per
-    occurrence (label, source_faces, has_metadata, has_appearance)."""
+    """Evidence of an import as JSON: ``import_evidence`` and ``scene_ir_evidence`` (one
+    row each), and a row per occurrence (label, source_faces, has_metadata, has_appearance)."""
     evidence.coalesce(1).write.mode("overwrite").json(f"{folder}/import_evidence")
+    scene_evidence(evidence).coalesce(1).write.mode("overwrite").json(f"{folder}/scene_ir_evidence")
     rows = occurrences.select(F.col("source_label").alias("label"), F.col("face_count").alias("source_faces"), "has_metadata", F.col("appearance").isNotNull().alias("has_appearance"))
     rows.write.mode("overwrite").json(f"{folder}/occurrence_evidence")
 

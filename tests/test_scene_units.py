@@ -504,3 +504,13 @@ def test_scene_occurrences(spark, tmp_path):
     got = formats.scene_occurrences(spark, f"file://{tmp_path}").orderBy("occ_id").collect()
     assert [(r.occ_id, r.source_label, r.geometry_key, r.from_explicit, r.triangles) for r in got] == [(1, "a", None, True, 3), (2, None, "g", False, 0)]
     assert formats.scene_occurrences(spark, f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 20, 33, 60, 61, 100])
+def test_budget_selects_what_an_order_would(spark, most):
+    areas = [None, float("nan"), float("inf"), 0.0, -1.0, 1e-300, 1e300, *[1.0] * 20, *[1.0 + k / 1000 for k in range(20)], *[2.0**k for k in range(-7, 7)]]
+    rows = [(k % 3, k, a) for k, a in enumerate(areas)]
+    df = spark.createDataFrame(rows, "prim_id long, tidx long, area2 double")
+    got = sorted(r.tidx for r in mesh.budget(df, most).collect())
+    order = [r.tidx for r in df.orderBy("area2", "prim_id", "tidx").collect()]
+    assert got == sorted(order[max(0, len(rows) - most) :])
