@@ -4,20 +4,20 @@ Corners fall into cells of a grid that is halved, or kept, from level to level,
 cell of a tile is made of whole cells of its children.  What a cell needs is a sum:
 the ten numbers of a quadric (squared distances to the planes of its triangles, by
 area), the weighted place, normal, texture coordinates and colour.  Tiles add up
-those of their children, level by level from the deepest, in plain sums; the place
+those below them, a few levels at a time from the deepest, in plain sums; the place
 of a cell is the solution of a three by three system, in SQL expressions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import AXES, max_side
 from tessera.operators.models import _NINE, _merged
-from tessera.operators.tiles import bottom_up
 from tessera.storage import written
 
 #: Attributes of a corner by the weight that counts for them (fixed values, as are the next two).
@@ -31,6 +31,9 @@ _PLANE = ("nx", "ny", "nz", "d")
 _Q = [f"q{i}{j}" for i in range(4) for j in range(i, 4)]
 SUMS = [*_Q, "w", *[f"s{a}" for a in AXES], *ATTRIBUTES, *[f"w_{s}" for s in SETS]]
 
+#: Levels that are made in one step.
+BAND = 7
+
 #: No cell is weighed less than this, so that triangles without area still have a place.
 LEAST_WEIGHT = 1e-12
 
@@ -85,16 +88,24 @@ def _leaf_sums(t: DataFrame) -> DataFrame:
     return cells.groupBy("path", "depth", "material", *AXES).agg(*[F.sum(f"_{k}").alias(k) for k in made])
 
 
-def _coarser(names: list[str], levels: list[int]):
-    """Cells of a tile's grid as cells of its parent's grid."""
-    drop = _of(levels, F.col("depth")) - _of(levels, F.col("depth") - 1)
-
-    def move(rows: DataFrame) -> DataFrame:
-        # shifting by 0 or 1 (or by what few levels skip) is dividing by a power of two, rounding down
-        shifted = [F.floor(F.col(n) / F.pow(F.lit(2.0), drop)).cast("long").alias(n) for n in names]
-        return rows.select(*shifted, *[c for c in rows.columns if c not in names])
+def _upwards(leaves: DataFrame, names: list[str], combine: Callable[[DataFrame], DataFrame], levels: list[int]) -> DataFrame:
+    """The contents of all nodes above the leaves, ``BAND`` levels at a time from the deepest.
 
-    return move
+    Rows (path, depth, cells in ``names``, ..) go to each of their ancestors in a band, in
+    the cells of its grid; above the band only what it has made goes on.
+    """
+    deepest = leaves.agg(F.max("depth")).first()[0] or 0
+    source, made = leaves, None
+    for low in range((deepest - 1) // BAND * BAND if deepest else -1, -1, -BAND):
+        mine = source.filter((F.col("depth") > low) & (F.col("depth") <= low + BAND))
+        each = mine.withColumn("_d", F.explode(F.sequence(F.lit(low), F.col("depth") - 1)))
+        by = F.pow(F.lit(2.0), _of(levels, F.col("depth")) - _of(levels, F.col("_d")))
+        cells = [F.floor(F.col(n) / by).cast("long").alias(n) for n in names]
+        up = each.select(F.substr("path", F.lit(1), F.col("_d")).alias("path"), F.col("_d").alias("depth"), *cells, *[c for c in leaves.columns if c not in ("path", "depth", *names)])
+        level = written(combine(up), "level")
+        made = level if made is None else made.unionByName(level)
+        source = leaves.unionByName(made.select(leaves.columns))
+    return made if made is not None else combine(leaves).limit(0)
 
 
 def _added(rows: DataFrame) -> DataFrame:
@@ -146,11 +157,11 @@ def merge_tiles(tree: DataFrame, triangles: DataFrame, root: DataFrame, loose: f
     xyz = [F.struct(*[F.col(c)[x] for x in AXES]) for c in "abc"]
     own = raw.filter((xyz[0] != xyz[1]) & (xyz[1] != xyz[2]) & (xyz[0] != xyz[2]))
     t = written(_prepared(own, root, share, levels), "corners")
-    inner = written(tree.filter(~F.col("is_leaf")).select("path", "depth"), "inner")
+    inner = tree.filter(~F.col("is_leaf")).select("path")
 
     keyed = t.select("path", "depth", "material", *[F.col(f"c{n[0]}")[n[1]].alias(n) for n in _NINE])
-    clusters = bottom_up(written(_merged(keyed), "clusters"), inner, _merged, _coarser(_NINE, levels)).join(inner.select("path"), "path", "left_semi")
-    sums = bottom_up(written(_leaf_sums(t), "cells"), inner, _added, _coarser(list(AXES), levels)).join(inner.select("path"), "path", "left_semi")
+    clusters = _upwards(written(_merged(keyed), "clusters"), _NINE, _merged, levels).join(inner, "path", "left_semi")
+    sums = _upwards(written(_leaf_sums(t), "cells"), list(AXES), _added, levels).join(inner, "path", "left_semi")
 
     key = ["path", *AXES]
     corner = sums.select("path", "material", *AXES, *_attributes()).join(_places(sums, root, share, levels), key)

@@ -215,3 +215,5 @@ q("input_statistics", """SELECT (SELECT count(DISTINCT geometry_key) FROM occ) A
 q("solid_retarget_whole", "SELECT rec_no, CASE WHEN m = 9 AND rec_no BETWEEN 1 AND 100 THEN regexp_replace(norm, '([(,])#\\d+', '\\1#7', 'g') ELSE text END AS text FROM cls", REC)
 _STUBBED = "(m = 2 AND entity_id BETWEEN 20 AND 90)"
 q("face_range_stub_whole", f"SELECT rec_no, CASE WHEN {_STUBBED} THEN '#' || entity_id || '=COMPLEX_TRIANGULATED_FACE('''',#14338,3,((0.,0.,0.)),$,(1,2,3),(),((1)));' ELSE text END AS text, coalesce({_STUBBED}, false) AS stubbed FROM cls", REC)
+q("triangle_order", "SELECT prim_id, count(*) AS triangles, true AS whole, true AS no_worse, CAST(sum(a + b * 3 + c * 7) AS BIGINT) AS corner_sum FROM ok WHERE a <> b AND b <> c AND a <> c GROUP BY 1", TRI)
+q("geometry_examples", "SELECT prim_id, count(*) AS positions, least(count(*), 16) AS sampled FROM vert GROUP BY 1 ORDER BY 1 LIMIT 10", VERT)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as g
 from tessera.functions import keys, materials
 from tessera.functions.text import has_suffix
-from tessera.operators import box_join, hierarchy, mesh, models, octree, quality, scene, simplify, tile_merge, tiles
+from tessera.operators import box_join, hierarchy, mesh, models, octree, order, quality, scene, simplify, tile_merge, tiles
 from tessera.operators import exchange_text as ex
 from tessera.plans import bindings as b
 from tessera.plans.queries import _STEPS, RULES, _classified, _counted, _placed, _primitives, _r, query
@@ -582,3 +582,24 @@ def face_range_stub_whole(spark, d):
     """All records, stubbed or not."""
     stub = "COMPLEX_TRIANGULATED_FACE('',#14338,3,((0.,0.,0.)),$,(1,2,3),(),((1)));"
     return ex.stub_range(_classified(spark, d), "COMPLEX_TRIANGULATED_FACE", 20, 90, stub).select("rec_no", "text", "stubbed")
+
+
+@query
+def triangle_order(spark, d):
+    """By primitive: whether drawing order keeps all triangles and misses a vertex cache
+    no more often than the given order."""
+    tri, v = _used(spark, d)
+    before = order.cache_misses(order.cells(tri), "tidx").select("prim_id", "triangles", F.col("misses").alias("before"))
+    drawn = order.draw_order(tri, v)
+    after = order.cache_misses(drawn).select("prim_id", F.col("triangles").alias("drawn"), F.col("misses").alias("after"))
+    kept = drawn.groupBy("prim_id").agg(F.count_distinct("tidx").alias("kinds"), F.sum(F.col("a") + F.col("b") * 3 + F.col("c") * 7).alias("corner_sum"))
+    x = before.join(after, "prim_id", "left").join(kept, "prim_id", "left")
+    whole = F.coalesce((F.col("drawn") == F.col("triangles")) & (F.col("kinds") == F.col("triangles")), F.lit(False))
+    return x.select("prim_id", "triangles", whole.alias("whole"), F.coalesce(F.col("after") <= F.col("before"), F.lit(False)).alias("no_worse"), "corner_sum")
+
+
+@query
+def geometry_examples(spark, d):
+    """The first ten meshes with the number of their positions, as a report shows them."""
+    size = b.vertices(spark, d).groupBy("prim_id").agg(F.count("*").alias("positions"), F.least(F.count("*"), F.lit(16).cast("long")).alias("sampled"))
+    return models.first_examples(size, ["prim_id"], 10)
