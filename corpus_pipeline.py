@@ -55,6 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that every stage kept, with their places.
+
+    Null texts go in the first stage, as do texts without a letter, empty ones included;
+    rows that repeat an id count each, and of equal texts that of the smallest id stays
+    (null ids last).  Further columns are kept up to packing.  Long texts are handled
+    whole.  Without documents there are no rows; without ``benchmark`` items, or with
+    null or blank ones only, none is dropped for them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
