@@ -160,7 +160,8 @@ def canonical_turns_json(df: DataFrame, column: str, conv_id: str = "conv_id") -
     Each row's key paths are sorted and hashed, and the hash selects the row's
     layout; rows with further known fields take the layout of most of them.
     Elements of a list that lack a role or a text have null there.  Rows of no
-    known layout have no turns here: ``unknown_json`` returns them.
+    known layout have no turns here: ``unknown_json`` returns them, nulls too.  Rows that
+    repeat give their turns each; an empty table gives none.
     """
     parsed = df.select(F.col(conv_id).alias("conv_id"), F.col(column).alias("_json"), _json_layouts(column).alias("_layout"))
     turns = None
@@ -207,7 +208,7 @@ def format_conversations(turns: DataFrame, learnt: tuple[str, ...] = ("assistant
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (role, text) and learnt (the texts under the mask), read
-    from ``formatted`` and ``mask`` alone."""
+    from ``formatted`` and ``mask`` alone.  A row for each row; an empty table gives none."""
     whole = F.split("formatted", CLOSE, -1)
     parts = F.slice(whole, 1, F.size(whole) - 1)
 

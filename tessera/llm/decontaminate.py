@@ -150,7 +150,9 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, n: i
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs, with all their columns, without those that contain a test item.
 
-    Documents are dropped where they are scanned: nothing is shuffled.
+    Documents are dropped where they are scanned: nothing is shuffled.  Null and blank
+    texts stay, and null or blank items match nothing; rows that repeat are kept or go
+    alike; without items all stay, and an empty table stays empty.
     """
     named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text = f"c{docs.columns.index('text')}"

@@ -183,7 +183,8 @@ def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without those in no known language (``und``): null text, or no letter.
 
     The model is learnt from the documents' own text and lang; without any lang
-    the same documents go.  All columns are kept as they are.
+    the same documents go.  All columns are kept as they are, whatever their names; rows
+    that repeat are kept or go alike; an empty table stays empty.
     """
     model = train(spark, docs)
     if model is None:

@@ -497,6 +497,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, threshold: float = THRESHO
 def drop_near_copies(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, with all their columns, with one row of each group: that of the
     smallest doc_id (nulls last; of rows that share it, the smallest text hash).
+
+    Of equal rows one is left.  Null texts count as empty, and texts without words are
+    copies of each other; long texts count whole; an empty table stays empty.
     """
     hashed, text_hash = _hashed(docs)
     made = _grouped(spark, hashed, text_hash, threshold)

@@ -314,6 +314,9 @@ def _grouped(spark: SparkSession, made: DataFrame, distance: int) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     """docs, with all their columns, with one row of each component: that of the
     smallest doc_id (nulls last; of rows that share it, the smallest text hash).
+
+    Of equal rows one is left.  Null texts count as empty, with fingerprint zero; long
+    texts count whole; an empty table stays empty.
     """
     name = free_name(docs, "text_hash")
     hashed = docs.withColumn(name, F.xxhash64(F.lit(1), "text"))

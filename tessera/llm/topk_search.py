@@ -114,7 +114,8 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     id are no candidates.  Returns query_id, rank (from 1), vec_id, score; ties
     go to the smaller vec_id.  Rows that repeat an id count each on their own;
     repeated queries are answered once.  Vectors of different lengths count as
-    ending in zeros.  Empty inputs give an empty result.
+    ending in zeros.  Further columns do not matter, whatever their names.  Empty inputs
+    give an empty result.
     """
     shards = max(1, -(-vectors.count() // SHARD))
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
