@@ -107,23 +107,24 @@ class Collapse:
             heapq.heappush(heap, (cost, a, b, self.version[a], self.version[b]))
 
     def _flips(self, into: int, gone: int, shared: set[int]) -> bool:
-        """Whether a triangle that stays would face the other way."""
+        """Whether a triangle that stays would face the other way, or lose its area."""
         for i in self.of[gone]:
             if i not in shared:
-                before = [self.x[v] for v in self.t[i]]
-                after = [self.x[into if v == gone else v] for v in self.t[i]]
-                if sum(p * r for p, r in zip(_normal(*before), _normal(*after))) < 0:  # noqa: B905
+                before = _normal(*[self.x[v] for v in self.t[i]])
+                after = _normal(*[self.x[into if v == gone else v] for v in self.t[i]])
+                if any(before) and sum(p * r for p, r in zip(before, after)) <= 0:  # noqa: B905
                     return True
         return False
 
-    def run(self, target: int, most_error: float) -> dict[int, list[int]]:
+    def run(self, target: int, most_error: float, flips: bool = False) -> dict[int, list[int]]:
         """Collapse until ``target`` triangles are left or no edge fits: {row of t: corners}.
 
         The count never falls below ``target``: an edge that more triangles share than
-        may go is passed over.  Edges that turn a triangle over wait until no other is left.
+        may go is passed over.  Edges that turn a triangle over stay or, with ``flips``, wait
+        until no other is left.
         """
         limit = (most_error * self.scale) ** 2
-        for may_flip in (False, True):
+        for may_flip in (False, True) if flips else (False,):
             heap: list[tuple[float, int, int, int, int]] = []
             edges = {(min(c[i], c[i - 1]), max(c[i], c[i - 1])) for c in self.t.values() for i in range(3)}
             for u, v in sorted(edges):
@@ -163,9 +164,9 @@ def _normal(p: list[float], q: list[float], r: list[float]) -> tuple[float, floa
     return ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
 
 
-def collapsed(x: np.ndarray, t: np.ndarray, target: int, most_error: float, more: np.ndarray | None = None, locked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def collapsed(x: np.ndarray, t: np.ndarray, target: int, most_error: float, more: np.ndarray | None = None, locked: np.ndarray | None = None, flips: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(rows of t that stay, their corners)."""
-    left = Collapse(x, t, more, locked).run(target, most_error)
+    left = Collapse(x, t, more, locked).run(target, most_error, flips)
     rows = sorted(left)
     return np.array(rows, np.int64), np.array([left[i] for i in rows], np.int64).reshape(-1, 3)
 
@@ -194,7 +195,7 @@ def _cells(t: DataFrame, sizes: DataFrame, shift: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dict[str, float], error: float) -> DataFrame:
+def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dict[str, float], error: float, flips: bool) -> DataFrame:
     """The triangles after each cell is simplified; t: prim_id, tidx, a, b, c, _code, _n, _target, _cell."""
     use = t.select("prim_id", "_cell", F.explode(F.array(*CORNERS)).alias("vidx")).distinct()
     borders = use.groupBy("prim_id", "vidx").agg((F.min("_cell") != F.max("_cell")).alias("_locked"))
@@ -221,7 +222,7 @@ def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dic
         n, target = t.column("_n")[0].as_py(), t.column("_target")[0].as_py()
         # cells get their share, rounded up, so that all together keep the target
         share = target if n <= CELL else math.ceil(t.num_rows * target / n)
-        rows, left = collapsed(x, at, share, error, more, locked)
+        rows, left = collapsed(x, at, share, error, more, locked, flips)
         out = t.take(pa.array(rows, pa.int64()))
         for i, c in enumerate(CORNERS):
             out = out.set_column(out.schema.get_field_index(c), c, pa.array(ids[left[:, i]], pa.int64()))
@@ -231,15 +232,16 @@ def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dic
     return t.groupBy("prim_id", "_cell").cogroup(v.groupBy("prim_id", "_cell")).applyInArrow(run, "prim_id long, tidx long, a long, b long, c long, _code long")
 
 
-def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: float = 0.05, weights: dict[str, float] | None = None) -> DataFrame:
+def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: float = 0.05, weights: dict[str, float] | None = None, flips: bool = False) -> DataFrame:
     """(prim_id, tidx, a, b, c): about ``ratio`` of each primitive's triangles.
 
     triangles: prim_id, tidx, a, b, c; vertices: prim_id, vidx, x, y, z and the
     attributes in ``weights`` (as of ``ATTRIBUTE_WEIGHTS``) that edges should keep; null
     attributes count as 0.  Of n triangles at least max(1, floor(n * ratio)) stay,
     whatever edges share; more only where an edge's cost exceeds ``error`` (a share of
-    the piece's size), where the last edges are shared by more triangles than may go, or
-    at borders of cells.  Triangles with repeated corners or unknown vertices go.  Those
+    the piece's size), where the last edges are shared by more triangles than may go or
+    would turn one over, or at borders of cells.  With ``flips`` triangles may be turned
+    over where nothing else is left (for loose triangles, whose sides mean nothing).  Triangles with repeated corners or unknown vertices go.  Those
     that stay keep their tidx, and their corners are vertices from before.
     """
     weights = weights or {}
@@ -252,7 +254,7 @@ def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: flo
     t = triangles.filter(proper).select("prim_id", "tidx", *CORNERS)
     if largest <= CELL:
         cut = t.withColumn("_code", F.lit(0).cast("long")).join(sizes.select("prim_id", F.col("n").alias("_n"), F.col("target").alias("_target")), "prim_id")
-        return _one_round(cut.withColumn("_cell", F.lit(0).cast("long")), vertices, names, weights, error).drop("_code")
+        return _one_round(cut.withColumn("_cell", F.lit(0).cast("long")), vertices, names, weights, error, flips).drop("_code")
     at = vertices.join(box, "prim_id")
     code = at.select(F.col("prim_id").alias("_prim"), F.col("vidx").alias("_vidx"), _interleaved([_along(F.col(a), F.col(f"_{a}0"), F.col(f"_{a}1")) for a in g.AXES]).alias("_code"))
     now = t.join(code, (F.col("prim_id") == F.col("_prim")) & (F.col("a") == F.col("_vidx"))).drop("_prim", "_vidx")
@@ -260,5 +262,5 @@ def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: flo
     for k in range(ROUNDS):
         left = sizes.select("prim_id", "n") if k == 0 else now.groupBy("prim_id").agg(F.count("*").alias("n"))
         cut = _cells(now, left, CELL // 2 * (k % 2)).join(targets, "prim_id")
-        now = written(_one_round(cut, vertices, names, weights, error), "simplified")
+        now = written(_one_round(cut, vertices, names, weights, error, flips), "simplified")
     return now.drop("_code")

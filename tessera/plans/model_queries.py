@@ -335,7 +335,7 @@ def _simplified(tri, v, out):
 @query
 def simplify_checks(spark, d):
     tri, v = _used(spark, d)
-    return _simplified(tri, v, simplify.simplify(tri, v, 0.5, 10.0))
+    return _simplified(tri, v, simplify.simplify(tri, v, 0.5, 10.0, flips=True))
 
 
 @query
@@ -374,7 +374,7 @@ def attribute_simplify(spark, d):
     """Simplification that keeps normals and texture coordinates: as ``simplify_checks``."""
     tri, v = _used(spark, d)
     weights = {k: w for k, w in simplify.ATTRIBUTE_WEIGHTS.items() if k in ("nx", "ny", "nz", "u", "v")}
-    return _simplified(tri, v, simplify.simplify(tri, v, 0.5, 10.0, weights))
+    return _simplified(tri, v, simplify.simplify(tri, v, 0.5, 10.0, weights, flips=True))
 
 
 @query

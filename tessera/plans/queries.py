@@ -472,7 +472,7 @@ def simplify_meshes(spark, d):
     tri = mesh.distinct_corners(mesh.in_range(_counted(spark, d), F.col("nv")).drop("nv"))
     # each primitive with the vertices that it uses
     use = tri.select("prim_id", F.explode(F.array("a", "b", "c")).alias("vidx")).distinct()
-    return simplify.simplify(tri, b.vertices(spark, d).drop("prim_id").join(use, "vidx"), 0.5, 10.0)
+    return simplify.simplify(tri, b.vertices(spark, d).drop("prim_id").join(use, "vidx"), 0.5, 10.0, flips=True)
 
 
 @query

@@ -30,7 +30,7 @@ def test_counts_of_repeated_triangles(times):
     x, t = grid(6, times)
     for ratio in (0.9, 0.5, 0.1, 0.0):
         target = max(1, int(len(t) * ratio))
-        rows, left = simplify.collapsed(x, t, target, 10.0)
+        rows, left = simplify.collapsed(x, t, target, 10.0, flips=True)
         assert target <= len(left) < target + 2 * times and len(rows) == len(left)
         assert all(len({*c}) == 3 for c in left.tolist())
 
@@ -38,7 +38,7 @@ def test_counts_of_repeated_triangles(times):
 def test_fans_that_share_one_edge():
     x = np.array([[0.0, 0, 0], [0, 0, 1], *[[np.cos(k), np.sin(k), 0.0] for k in range(40)]])
     t = np.array([[0, 1, k + 2] for k in range(40)])
-    rows, left = simplify.collapsed(x, t, 20, 10.0)
+    rows, left = simplify.collapsed(x, t, 20, 10.0, flips=True)
     assert len(left) == 20
 
 
@@ -52,16 +52,16 @@ def test_flat_regions_go_first():
 def test_locked_vertices_stay():
     x, t = grid(8)
     locked = (x[:, 0] == 0) | (x[:, 0] == 7)
-    _, left = simplify.collapsed(x, t, 1, 10.0, locked=locked)
+    _, left = simplify.collapsed(x, t, 1, 10.0, locked=locked, flips=True)
     assert set(np.flatnonzero(locked).tolist()) <= set(left.ravel().tolist())
     assert len(left) < len(t) / 3
 
 
-def test_no_triangle_turns_over_before_it_must():
+def test_no_triangle_turns_over():
     x, t = grid(10)
     _, left = simplify.collapsed(x, t, len(t) // 3, 10.0)
     n = np.cross(x[left[:, 1]] - x[left[:, 0]], x[left[:, 2]] - x[left[:, 0]])
-    assert (n[:, 2] >= 0).all() and np.isclose(n[:, 2].sum() / 2, 81.0)  # the area of the square
+    assert (n[:, 2] > 0).all() and np.isclose(n[:, 2].sum() / 2, 81.0)  # the area of the square
 
 
 def test_attributes_weigh():
@@ -79,7 +79,7 @@ def test_cells(spark, cell, monkeypatch):
     meshes = {0: grid(20), 1: grid(4, 3), 2: (np.zeros((3, 3)), np.array([[0, 1, 2]])), 3: grid(12, 5)}
     meshes[4] = (meshes[1][0], np.array([[0, 0, 1], [0, 1, 2], [0, 1, 99]]))  # a repeated corner, an unknown vertex
     t, v = frames(spark, meshes)
-    out = simplify.simplify(t, v, 0.4, 10.0).collect()
+    out = simplify.simplify(t, v, 0.4, 10.0, flips=True).collect()
     for p, (x, tri) in meshes.items():
         mine = [r for r in out if r.prim_id == p]
         target = max(1, int(len(tri) * 0.4))
