@@ -5,13 +5,13 @@ numbered along a space-filling order, and a cell is a run of numbers.  Cells are
 simplified apart; a vertex that two cells share is locked, so cells still fit
 together.  Further rounds number what is left and shift the cuts by half a cell, so
 that former borders are simplified, too.  A primitive of any size is so dealt to
-tasks of one size.
+tasks of one size.  Triangles of the same corners go together as one that counts for
+all of them, so repeated triangles neither fill cells nor lie on both sides of a cut.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from tessera.storage import written
 
 CORNERS = ("a", "b", "c")
 
-#: The most triangles of a cell, and how often cells are cut anew.
+#: The most (different) triangles of a cell, and how often cells are cut anew.
 CELL, ROUNDS = 16_384, 3
 
 #: How much a change of an attribute counts against a change of place (fixed values).
@@ -41,13 +41,14 @@ def _products(normal: np.ndarray, through: np.ndarray, weight: np.ndarray) -> np
     return np.stack([e[:, i] * e[:, j] for i in range(4) for j in range(i, 4)], axis=1) * weight[:, None]
 
 
-def _quadrics(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _quadrics(x: np.ndarray, t: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each vertex' sum of squared distances to its triangles' planes, by area, and to
     planes that stand on open borders: ten numbers and the area."""
     p = x[t]
     n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
     area = np.linalg.norm(n, axis=1)
     n = n / np.where(area > 0, area, 1)[:, None]
+    area = area * times
     products = _products(n, p[:, 0], area)
     q, weight = np.zeros((len(x), 10)), np.zeros(len(x))
     for k in range(3):
@@ -73,17 +74,20 @@ class Collapse:
 
     An end of an edge goes into the other one: corners stay original vertices.  The
     cost is the squared distance to the planes that either end has gathered, plus what
-    attributes change; locked vertices never move.
+    attributes change; locked vertices never move.  A row of t counts as ``times`` triangles.
     """
 
-    def __init__(self, x: np.ndarray, t: np.ndarray, more: np.ndarray | None = None, locked: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, t: np.ndarray, more: np.ndarray | None = None, locked: np.ndarray | None = None, times: np.ndarray | None = None):
         self.scale = float(np.ptp(x, axis=0).max() or 1.0) if len(x) else 1.0
-        q, weight = _quadrics(x, t)
+        times = np.ones(len(t), np.int64) if times is None else times
+        q, weight = _quadrics(x, t, times)
+        self.times = times.tolist()
         self.x, self.q, self.weight = x.tolist(), q.tolist(), weight.tolist()
         self.more = (more * self.scale).tolist() if more is not None and more.shape[1] else None
         self.locked = locked.tolist() if locked is not None else [False] * len(x)
         proper = (t[:, 0] != t[:, 1]) & (t[:, 1] != t[:, 2]) & (t[:, 0] != t[:, 2])
         self.t = {i: list(c) for i, c in enumerate(t.tolist()) if proper[i]}
+        self.left = sum(self.times[i] for i in self.t)
         self.of: list[set[int]] = [set() for _ in range(len(x))]
         for i, c in self.t.items():
             for v in c:
@@ -129,22 +133,23 @@ class Collapse:
             edges = {(min(c[i], c[i - 1]), max(c[i], c[i - 1])) for c in self.t.values() for i in range(3)}
             for u, v in sorted(edges):
                 self._push(heap, u, v)
-            while heap and len(self.t) > target:
+            while heap and self.left > target:
                 cost, a, b, va, vb = heapq.heappop(heap)
                 if cost > limit:
                     break
                 if self.version[a] != va or self.version[b] != vb:
                     continue
                 shared = self.of[a] & self.of[b]
-                if not shared or len(self.t) - len(shared) < target or (not may_flip and self._flips(a, b, shared)):
+                if not shared or self.left - sum(self.times[i] for i in shared) < target or (not may_flip and self._flips(a, b, shared)):
                     continue
                 self._collapse(heap, a, b, shared)
-            if len(self.t) <= target:
+            if self.left <= target:
                 break
         return self.t
 
     def _collapse(self, heap: list, a: int, b: int, shared: set[int]) -> None:
         for i in shared:
+            self.left -= self.times[i]
             for v in self.t.pop(i):
                 self.of[v].discard(i)
         for i in self.of[b]:
@@ -164,9 +169,9 @@ def _normal(p: list[float], q: list[float], r: list[float]) -> tuple[float, floa
     return ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
 
 
-def collapsed(x: np.ndarray, t: np.ndarray, target: int, most_error: float, more: np.ndarray | None = None, locked: np.ndarray | None = None, flips: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def collapsed(x: np.ndarray, t: np.ndarray, target: int, most_error: float, more: np.ndarray | None = None, locked: np.ndarray | None = None, flips: bool = False, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows of t that stay, their corners)."""
-    left = Collapse(x, t, more, locked).run(target, most_error, flips)
+    left = Collapse(x, t, more, locked, times).run(target, most_error, flips)
     rows = sorted(left)
     return np.array(rows, np.int64), np.array([left[i] for i in rows], np.int64).reshape(-1, 3)
 
@@ -186,8 +191,9 @@ def _interleaved(cells: list[Column]) -> Column:
 
 
 def _cells(t: DataFrame, sizes: DataFrame, shift: int) -> DataFrame:
-    """t with ``_cell``: 0 where a primitive fits a cell, else a run of its triangles along ``_code``."""
-    sized = t.join(sizes.select("prim_id", F.col("n").alias("_n")), "prim_id")
+    """t with ``_cell``: 0 where a primitive fits a cell, else a run of its triangles along ``_code``.
+    sizes: prim_id, rows of t (n), and the triangles that they count for (all)."""
+    sized = t.join(sizes.select("prim_id", F.col("n").alias("_n"), F.col("all").alias("_all")), "prim_id")
     small = sized.filter(F.col("_n") <= CELL).withColumn("_cell", F.lit(0).cast("long"))
     ranked = dense_ids(sized.filter(F.col("_n") > CELL), ["prim_id", "_code", "tidx"], "_rank")
     first = ranked.groupBy("prim_id").agg(F.min("_rank").alias("_first"))
@@ -196,7 +202,7 @@ def _cells(t: DataFrame, sizes: DataFrame, shift: int) -> DataFrame:
 
 
 def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dict[str, float], error: float, flips: bool) -> DataFrame:
-    """The triangles after each cell is simplified; t: prim_id, tidx, a, b, c, _code, _n, _target, _cell."""
+    """The triangles after each cell is simplified; t: prim_id, tidx, a, b, c, _times, _0, _1, _2, _code, _n, _all, _target, _cell."""
     use = t.select("prim_id", "_cell", F.explode(F.array(*CORNERS)).alias("vidx")).distinct()
     borders = use.groupBy("prim_id", "vidx").agg((F.min("_cell") != F.max("_cell")).alias("_locked"))
     known = vertices.select("prim_id", "vidx", *names).join(borders, ["prim_id", "vidx"])
@@ -219,17 +225,18 @@ def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dic
         x = np.stack([np.array(v.column(a))[order] for a in g.AXES], axis=1)
         more = np.stack([np.nan_to_num(np.array(v.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)))[order] * w for c, w in weights.items()], axis=1) if weights else None
         locked = np.array(v.column("_locked").to_numpy(zero_copy_only=False), bool)[order]
-        n, target = t.column("_n")[0].as_py(), t.column("_target")[0].as_py()
+        n, every, target = (t.column(c)[0].as_py() for c in ("_n", "_all", "_target"))
+        times = np.array(t.column("_times"))
         # cells get their share, rounded up, so that all together keep the target
-        share = target if n <= CELL else math.ceil(t.num_rows * target / n)
-        rows, left = collapsed(x, at, share, error, more, locked, flips)
+        share = target if n <= CELL else -(-int(times.sum()) * target // every)
+        rows, left = collapsed(x, at, share, error, more, locked, flips, times)
         out = t.take(pa.array(rows, pa.int64()))
         for i, c in enumerate(CORNERS):
             out = out.set_column(out.schema.get_field_index(c), c, pa.array(ids[left[:, i]], pa.int64()))
         return out.select(kept)
 
-    kept = ["prim_id", "tidx", *CORNERS, "_code"]
-    return t.groupBy("prim_id", "_cell").cogroup(v.groupBy("prim_id", "_cell")).applyInArrow(run, "prim_id long, tidx long, a long, b long, c long, _code long")
+    kept = ["prim_id", "tidx", *CORNERS, "_times", "_0", "_1", "_2", "_code"]
+    return t.groupBy("prim_id", "_cell").cogroup(v.groupBy("prim_id", "_cell")).applyInArrow(run, "prim_id long, tidx long, a long, b long, c long, _times long, _0 long, _1 long, _2 long, _code long")
 
 
 def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: float = 0.05, weights: dict[str, float] | None = None, flips: bool = False) -> DataFrame:
@@ -248,19 +255,29 @@ def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: flo
     box = vertices.groupBy("prim_id").agg(*[f(a).alias(f"_{a}{k}") for a in g.AXES for k, f in ((0, F.min), (1, F.max))])
     proper = (F.col("a") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("a") != F.col("c"))
     size = triangles.groupBy("prim_id").agg(F.count("*").alias("n"), F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") * F.lit(float(ratio))).cast("long")).alias("target"))
-    sizes = written(size, "mesh-sizes")
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    targets = written(size.select("prim_id", F.col("target").alias("_target")), "mesh-sizes")
     names = [*g.AXES, *weights]
-    t = triangles.filter(proper).select("prim_id", "tidx", *CORNERS)
-    if largest <= CELL:
-        cut = t.withColumn("_code", F.lit(0).cast("long")).join(sizes.select("prim_id", F.col("n").alias("_n"), F.col("target").alias("_target")), "prim_id")
-        return _one_round(cut.withColumn("_cell", F.lit(0).cast("long")), vertices, names, weights, error, flips).drop("_code")
-    at = vertices.join(box, "prim_id")
-    code = at.select(F.col("prim_id").alias("_prim"), F.col("vidx").alias("_vidx"), _interleaved([_along(F.col(a), F.col(f"_{a}0"), F.col(f"_{a}1")) for a in g.AXES]).alias("_code"))
-    now = t.join(code, (F.col("prim_id") == F.col("_prim")) & (F.col("a") == F.col("_vidx"))).drop("_prim", "_vidx")
-    targets = sizes.select("prim_id", F.col("target").alias("_target"))
-    for k in range(ROUNDS):
-        left = sizes.select("prim_id", "n") if k == 0 else now.groupBy("prim_id").agg(F.count("*").alias("n"))
-        cut = _cells(now, left, CELL // 2 * (k % 2)).join(targets, "prim_id")
-        now = written(_one_round(cut, vertices, names, weights, error, flips), "simplified")
-    return now.drop("_code")
+    ends = F.sort_array(F.array(*CORNERS))
+    each = triangles.filter(proper).select("prim_id", "tidx", *CORNERS, *[F.get(ends, F.lit(i)).alias(f"_{i}") for i in range(3)])
+    alike = written(each.groupBy("prim_id", "_0", "_1", "_2").agg(F.min("tidx").alias("_first"), F.count("*").alias("_times")), "alike")
+    t = alike.select("prim_id", F.col("_first").alias("tidx"), *[F.col(f"_{i}").alias(c) for i, c in enumerate(CORNERS)], "_times", "_0", "_1", "_2")
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("prim_id").agg(F.count("*").alias("n"), F.sum("_times").alias("all"))
+
+    before = written(sizes(t), "mesh-sizes")
+    if (before.agg(F.max("n")).first()[0] or 0) <= CELL:
+        none = F.lit(0).cast("long")
+        cut = t.withColumns({"_code": none, "_cell": none}).join(before.withColumnsRenamed({"n": "_n", "all": "_all"}), "prim_id").join(targets, "prim_id")
+        now = _one_round(cut, vertices, names, weights, error, flips)
+    else:
+        at = vertices.join(box, "prim_id")
+        code = at.select(F.col("prim_id").alias("_prim"), F.col("vidx").alias("_vidx"), _interleaved([_along(F.col(a), F.col(f"_{a}0"), F.col(f"_{a}1")) for a in g.AXES]).alias("_code"))
+        now = t.join(code, (F.col("prim_id") == F.col("_prim")) & (F.col("a") == F.col("_vidx"))).drop("_prim", "_vidx")
+        for k in range(ROUNDS):
+            cut = _cells(now, before if k == 0 else sizes(now), CELL // 2 * (k % 2)).join(targets, "prim_id")
+            now = written(_one_round(cut, vertices, names, weights, error, flips), "simplified")
+    # all triangles of the same corners, each in its own order of corners
+    moved = now.select("prim_id", "_0", "_1", "_2", *[F.col(c).alias(f"_to_{i}") for i, c in enumerate(CORNERS)])
+    new = [F.when(F.col(c) == F.col("_0"), F.col("_to_0")).when(F.col(c) == F.col("_1"), F.col("_to_1")).otherwise(F.col("_to_2")).alias(c) for c in CORNERS]
+    return each.join(moved, ["prim_id", "_0", "_1", "_2"]).select("prim_id", "tidx", *new)

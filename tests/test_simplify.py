@@ -103,3 +103,38 @@ def test_cells_still_fit_together(spark, monkeypatch):
 def test_empty(spark):
     t, v = frames(spark, {0: grid(3)})
     assert simplify.simplify(t.limit(0), v, 0.5).count() == 0 and simplify.simplify(t, v.limit(0), 0.5).count() == 0
+
+
+def test_repeated_triangles_do_not_fill_cells(spark, monkeypatch):
+    """40 copies of each triangle, turned and over: more than a cell holds, but few differ,
+    so no border is left and no edge that could still go."""
+    monkeypatch.setattr(simplify, "CELL", 100)
+    x, one = grid(7)
+    t = np.concatenate([np.roll(one, k, axis=1) if k % 4 else one[:, ::-1] for k in range(40)])
+    triangles, vertices = frames(spark, {3: (x, t)})
+    out = [(r.tidx, r.a, r.b, r.c) for r in simplify.simplify(triangles, vertices, 0.5, 10.0, flips=True).collect()]
+    target = len(t) // 2
+    assert target <= len(out) < len(t) and len({k for k, *_ in out}) == len(out)
+    edges = {}
+    for _, *c in out:
+        assert len(set(c)) == 3
+        for i in range(3):
+            e = tuple(sorted((c[i], c[i - 1])))
+            edges[e] = edges.get(e, 0) + 1
+    assert min(edges.values()) > len(out) - target
+    # copies keep their own order of corners
+    n = len(one)
+    by = dict((k, c) for k, *c in out)
+    for k, c in by.items():
+        if k % n in by and k // n % 4:
+            assert list(np.roll(by[k % n][::-1], k // n)) == c
+
+
+def test_equal_numbers_of_triangles_are_kept_apart(spark):
+    """Two triangles of one tidx are two triangles."""
+    x, t = grid(3)
+    triangles, vertices = frames(spark, {1: (x, t)})
+    from pyspark.sql import functions as F
+
+    out = simplify.simplify(triangles.withColumn("tidx", F.lit(5).cast("long")), vertices, 1.0, 10.0)
+    assert out.count() == len(t)
