@@ -52,3 +52,19 @@ def test_tiles_below_the_last_shown_level_are_not_compared(spark):
     shown = tiles.visible_tiles(t, cameras)
     assert [(r["camera"], r["path"]) for r in shown.collect()] == [(1, "000000")]
     assert "<= 6" in shown._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_id_of_several_lines_is_one_item(spark, tmp_path):
+    """The id of a line is not a key: on large tables two lines may share it."""
+    import duckdb
+    from tests.same import assert_same
+
+    import __spark_entry__ as entry
+
+    c = duckdb.connect()
+    at = "/root/testdata/sf0.001"
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{at}/part.parquet'")
+    c.execute(f"CREATE TABLE lineitem AS FROM '{at}/lineitem.parquet' UNION ALL (FROM '{at}/lineitem.parquet' WHERE l_orderkey % 50 = 0)")
+    for t in ("part", "lineitem"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    assert_same(entry.queries()["containing_child"](spark, str(tmp_path)), c, entry.oracle_sql()["containing_child"])
