@@ -96,23 +96,25 @@ def near_triangles(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
     one has, for each corner, a corner within ``eps``.
 
     A grid of cells of ``eps`` makes candidates an equi-join: a right triangle is
-    entered at the 27 cells around its first corners, a left one at its first's.
+    entered at the cells of its three corners, a left one at the 27 around its first.
+    Triangles of equal corners meet as one, so copies do not multiply the rows.
     """
     size = F.lit(float(eps))
 
     def at(c: Column, d: int, a: str) -> Column:
         return F.floor(c[a] / size).cast("long") + d
 
-    around = [F.struct(*[at(F.col("c"), d, a).alias(a) for d, a in zip((i, j, k), g.AXES, strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    r = right.select(F.col("p").alias("q"), F.explode("p").alias("c")).select("q", F.explode(F.array(*around)).alias("cell"))
     first = F.get("p", F.lit(0))
-    l = left.withColumn("cell", F.struct(*[at(first, 0, a).alias(a) for a in g.AXES]))  # noqa: E741
+    around = [F.struct(*[at(first, d, a).alias(a) for d, a in zip((i, j, k), g.AXES, strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    l = left.select("p").distinct().select("p", F.explode(F.array(*around)).alias("cell"))  # noqa: E741
+    own = F.array_distinct(F.transform("q", lambda c: F.struct(*[at(c, 0, a).alias(a) for a in g.AXES])))
+    r = right.select(F.col("p").alias("q")).distinct().select("q", F.explode(own).alias("cell"))
 
     def close(x: Column, y: Column) -> Column:
         return (F.abs(x["x"] - y["x"]) <= size) & (F.abs(x["y"] - y["y"]) <= size) & (F.abs(x["z"] - y["z"]) <= size)
 
     both = l.join(r, "cell").filter(F.forall("p", lambda x: F.exists("q", lambda y: close(x, y))))
-    return both.select("prim_id", "tidx").distinct()
+    return left.join(both.select("p").distinct(), "p", "left_semi").select("prim_id", "tidx").distinct()
 
 
 def geometry_statistics(meshes: DataFrame, vertices: DataFrame, matrix: Column, samples: int = 16) -> DataFrame:
