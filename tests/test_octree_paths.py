@@ -68,3 +68,33 @@ def test_an_id_of_several_lines_is_one_item(spark, tmp_path):
     for t in ("part", "lineitem"):
         c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
     assert_same(entry.queries()["containing_child"](spark, str(tmp_path)), c, entry.oracle_sql()["containing_child"])
+
+
+def _many(spark, n=4000):
+    """Items of ten places only."""
+    x = (F.col("id") % 10).cast("double") * 7
+    return spark.range(n).select("id", g.box(x, x, x, x + 1, x + 1, x + 1).alias("box"), F.lit(100).cast("long").alias("triangles"))
+
+
+def test_trees_are_made_of_whole_paths_counted_once(spark):
+    """A tree without its items is made of one row for each path, not of all items per band of levels."""
+    rules = octree.Rules()
+    items = _many(spark)
+    paths = octree.counted(items, rules)
+    assert paths.count() == 10 and paths.agg(F.sum("n_items")).first()[0] == 4000
+    names = ["path", "depth", "n_items", "tri_sum", "first_id", "is_leaf"]
+    one, two = (octree.nodes(x, rules).select(names).orderBy("path").collect() for x in (paths, octree.placed(items, rules)))
+    assert one == two and one[0].n_items == 4000 and one[0].tri_sum == 400_000
+
+
+def test_items_look_up_the_leaf_of_their_path(spark):
+    """Only whole paths are sorted with the leaves; items are neither sorted nor written again."""
+    rules = octree.Rules()
+    items = octree.placed(_many(spark), rules)
+    tree = octree.nodes(items, rules)
+    got = octree.membership(items, tree, rules)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    leaves = {r.path for r in tree.filter("is_leaf").collect()}
+    whole = {r.id: r.path for r in items.collect()}
+    found = got.collect()
+    assert len(found) == 4000 and all(r.path in leaves and whole[r.item_id].startswith(r.path) for r in found)
