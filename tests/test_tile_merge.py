@@ -87,3 +87,37 @@ def test_files_carry_all_attributes(spark):
     assert len(one.positions) == 4 and len(one.indices) == 6 and two.normals is None and two.colors is None and two.texcoords is None
     at = one.positions.index([0.0, 0.0, 0.0])
     assert one.texcoords[at] == [0.25, 0.5] and one.colors[at] == [1.0, 0.0, 0.0, 1.0] and np.allclose(one.normals, [0, 0, 1])
+
+
+def _flat(spark, rows, scale=1.0, at=0.0):
+    from tessera.operators import models
+
+    names = [f"{c}{x}" for c in "abc" for x in g.AXES]
+    deep = "0" * 5
+    tree = spark.createDataFrame([(deep[:k], k, k == 5) for k in range(6)], "path string, depth int, is_leaf boolean")
+    root = spark.range(1).select(g.box(*[F.lit(v * scale + at) for v in (0.0, 0.0, 0.0, 64.0, 64.0, 64.0)]).alias("root"))
+    t = spark.createDataFrame([(deep, m, *[float(v * scale + at) for v in p]) for m, p in rows], f"path string, material int, {', '.join(f'{n} double' for n in names)}")
+    return models.merge_tiles(tree, t, root, 1.8)
+
+
+def test_corners_of_merged_tiles_go_as_one_long(spark):
+    """Levels carry a long for each corner, but where cells are too many; both ways give the same tiles."""
+    rows = [(k % 3, [math.sin(k * i) * 20 + 30 for i in range(1, 10)]) for k in range(200)] + [(1, [1, 1, 1, 1.01, 1, 1, 1, 1.01, 1])] + [(0, [1, 1, 1, 9, 1, 1, 1, 9, 1]), (0, [1, 9, 1, 9, 1, 1, 1, 1, 1])]
+    near, far = _flat(spark, rows), _flat(spark, rows, 1.0, 2.0**22)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (near, far)]
+    assert ["shiftright" in p for p in plans] == [True, False]
+
+    def wanted(at):
+        """Places level by level, the corners of a triangle in any order."""
+        own = {(m, frozenset(tuple(v + at for v in p[i : i + 3]) for i in (0, 3, 6))) for m, p in rows}
+        own = {(m, t) for m, t in own if len(t) == 3}
+        found = {("00000", len(own))}
+        for d in range(4, -1, -1):
+            step = 64.0 * math.pow(0.9, d) / 64
+            own = {(m, frozenset(tuple((math.floor(v / step) + 0.5) * step for v in p) for p in t)) for m, t in own}
+            own = {(m, t) for m, t in own if len(t) == 3}
+            found.add(("0" * d, len(own)))
+        return found
+
+    for made, at in ((near, 0.0), (far, 2.0**22)):
+        assert {(r.path, r["count"]) for r in made.groupBy("path").count().collect()} == wanted(at)
