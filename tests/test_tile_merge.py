@@ -121,3 +121,24 @@ def test_corners_of_merged_tiles_go_as_one_long(spark):
 
     for made, at in ((near, 0.0), (far, 2.0**22)):
         assert {(r.path, r["count"]) for r in made.groupBy("path").count().collect()} == wanted(at)
+
+
+def test_cells_of_tiles_with_attributes_go_as_one_long(spark, monkeypatch):
+    """But where a corner lies so far out that its cell needs more bits; the rest stays the same."""
+    rows = plane("0", 1, 4) + plane("1", 2, 4, first=4, color=None)
+    out = ("0", 3, corner(1e9, 0, 0), corner(2e9, 0, 0), corner(1e9, 2e9, 0))
+    found, kinds, write = [], [], tile_merge.written
+
+    def noted(df, name):
+        if name == "clusters":
+            kinds.append(df.schema["a"].dataType.simpleString())
+        return write(df, name)
+
+    monkeypatch.setattr(tile_merge, "written", noted)
+    for some in (rows, [*rows, out]):
+        tree, t, root = frames(spark, some)
+        content = tile_merge.merge_tiles(tree, t, root, 1.8, 1 / 8).filter("path = '' and material < 3")
+        places = {repr(r) for r in content.select("material", *[F.col(c)[x].alias(f"{c}{x}") for c in "abc" for x in g.AXES]).collect()}
+        found.append((kinds[-1], places))
+    assert found[0][1] == found[1][1] and found[0][1]
+    assert [kind for kind, _ in found] == ["bigint", "struct<x:bigint,y:bigint,z:bigint>"]
