@@ -187,6 +187,29 @@ def near_words(words: DataFrame, rows: int) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.m")).alias("best_n"), F.col("b.w").alias("best"))
 
 
+def _ends(spark: SparkSession, forms: DataFrame, longest: float) -> DataFrame:
+    """(word, root): where the chain of forms that starts at the word ends.
+
+    forms: word and, as root, its form; no chain has more than ``longest`` steps.
+    Only the words of chains that go on for 2, 4, 8, .. steps are written, with the
+    word so many steps on; such steps, the longest first, then make up any chain."""
+
+    def on(steps: DataFrame) -> DataFrame:
+        return steps.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
+
+    met = F.col("root") == F.col("_word")
+    ahead = [forms]  # [k]: 2**k steps on
+    while 2 ** len(ahead) <= longest:
+        twice = ahead[-1].join(on(ahead[-1]), met).select("word", F.col("_root").alias("root"))
+        ahead.append(table(spark, twice, "ahead"))
+        if ahead[-1].isEmpty():
+            ahead.pop()
+            break
+    for steps in reversed(ahead):
+        forms = forms.join(on(steps), met, "left").select("word", F.coalesce("_root", "root").alias("root"))
+    return forms
+
+
 def variant_groups(spark: SparkSession, docs: DataFrame, least: int = 3, letters: int = 5, factor: int = 2, damage: int = 97) -> DataFrame:
     """(word, form, root, n, n_near, form_n): every word's normal spelling.
 
@@ -205,10 +228,7 @@ def variant_groups(spark: SparkSession, docs: DataFrame, least: int = 3, letters
     form, form_n = (F.when(is_form, F.col(c)) for c in ("best", "best_n"))
     out = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), form.alias("form"), form_n.alias("form_n"))
     out = table(spark, out, "forms")
-    # a form is ``factor`` times as frequent, so chains are short; each round doubles what is followed
-    roots = out.filter("form is not null").select("word", F.col("form").alias("root"))
+    # a form is ``factor`` times as frequent, so chains are short
     longest = math.log((most or least) / least, factor) if least > 0 else 64
-    for _ in range(max(0, math.ceil(math.log2(max(1, math.floor(longest + 1e-9)))))):
-        further = roots.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
-        roots = table(spark, roots.join(further, F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root")), "roots")
+    roots = _ends(spark, out.filter("form is not null").select("word", F.col("form").alias("root")), longest + 1e-9)
     return out.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

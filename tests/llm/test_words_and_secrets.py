@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import ranked_search, secret_scan, spelling
-from tessera.llm.common import flat
+from tessera.llm.common import flat, table
 from tessera.llm.queries import ORACLES, QUERIES
 from tests.same import assert_same
 
@@ -115,6 +115,23 @@ def test_long_chains(spark):
     assert {r.root for r in got.values()} == {"bbbbbbba"} and got["aaaaaaaa"].form == "baaaaaaa" and len(got) == 8
 
 
+def test_short_chains_end_early(spark, monkeypatch):
+    """A word goes into further tables only as long as its chain goes on, however frequent words are."""
+    tables = []
+    monkeypatch.setattr(spelling, "table", lambda s, df, name: tables.append(table(s, df, name)) or tables[-1])
+    rows = [(i, "qqqqqq " * 1500 + "qqqqqp qqqqpq " * 2 + "zzzzzz " * 4 + "zzzzzy " * 2 + "zzzzyy") for i in range(3)]
+    got = {r.word: r for r in spelling.variant_groups(spark, frame(spark, rows), damage=1 << 40).collect()}
+    assert {w: r.root for w, r in got.items()} == {w: w[0] * 6 for w in got} and len(got) == 6 and got["zzzzyy"].form == "zzzzzy"
+    assert [t.count() for t in tables] == [6, 6, 1, 0]
+
+
+def test_chains_of_every_length(spark):
+    words = [("b" * k).ljust(12, "a") for k in range(12)]
+    rows = [(i, " ".join(w for k, w in enumerate(words) for _ in range(2**k))) for i in range(3)]
+    got = {r.word: r for r in spelling.variant_groups(spark, frame(spark, rows), damage=1 << 40).collect()}
+    assert {r.root for r in got.values()} == {words[-1]} and [got[w].form for w in words] == [*words[1:], None]
+
+
 def test_bit_slices():
     r = random.Random(1)
     for c in (5, 6):
