@@ -35,21 +35,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOUND = "word string, n_near long, best_n long, best string"
 
 
-def occurrences(docs: DataFrame, damage: int = 97) -> DataFrame:
-    """(word): one row per run of letters, lower-cased A-Z; a run whose checksum with
-    its doc_id is a multiple of ``damage`` has lost one letter."""
-    runs = documents(docs).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("run"))
-    low = runs.select("doc_id", F.translate("run", UPPER, LOWER).alias("low"))
+def occurrences(docs: DataFrame, letters: int = 5, damage: int = 97) -> DataFrame:
+    """(word): one row per run of at least ``letters`` letters, lower-cased A-Z; a run
+    whose checksum with its doc_id is a multiple of ``damage`` has lost one letter, and
+    is null if too few are left."""
+    found = F.regexp_extract_all("text", F.lit(f"[A-Za-zÀ-ÿ]{{{max(1, letters)},}}"), F.lit(0))
+    runs = documents(docs).select("doc_id", F.explode(found).alias("run"))
+    # translate makes objects of every letter, so it is kept to the runs that need it
+    small = F.when(F.lower("run") == F.col("run"), F.col("run")).otherwise(F.translate("run", UPPER, LOWER))
+    low = runs.select("doc_id", small.alias("low"))
     h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "low"))
     k = (h % F.length("low")).cast("int")
     cut = F.concat(F.substr("low", F.lit(1), k), F.substr("low", k + 2, F.length("low")))
-    return low.select(F.when(h % damage == 0, cut).otherwise(F.col("low")).alias("word"))
+    return low.select(F.when(h % damage != 0, F.col("low")).when(F.length("low") > letters, cut).alias("word"))
 
 
 def vocabulary(docs: DataFrame, least: int = 3, letters: int = 5, damage: int = 97) -> DataFrame:
     """(word, n): words of at least ``letters`` code points and ``least`` occurrences."""
-    words = occurrences(docs, damage).filter(F.length("word") >= letters)
-    return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    # nulls are counted, not filtered: a filter on words would compute each of them anew
+    return occurrences(docs, letters, damage).groupBy("word").agg(F.count("word").alias("n")).filter(F.col("n") >= max(least, 1))
 
 
 # -- the index of one place ----------------------------------------------------

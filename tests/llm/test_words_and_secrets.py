@@ -132,6 +132,25 @@ def test_chains_of_every_length(spark):
     assert {r.root for r in got.values()} == {words[-1]} and [got[w].form for w in words] == [*words[1:], None]
 
 
+@pytest.mark.parametrize(("least", "letters", "damage"), [(3, 5, 97), (1, 5, 2), (0, 0, 2), (1, 1, 1), (2, 3, 1)])
+def test_vocabulary(spark, least, letters, damage):
+    rows = [(1, "École ÉCOLE ÷×Àa naïVe Naïve abcde ABCDE a B é abcdef ABCDEF"), (None, "abcde Zz abcdef zz"), (2, None), (3, "1 2"), (3, "abcde abcdE " * 9)]
+    wanted = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate({c: c + 32 for c in range(65, 91)})
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            wanted[run[: h % len(run)] + run[h % len(run) + 1 :] if h % damage == 0 else run] += 1
+    found = spelling.vocabulary(frame(spark, rows), least, letters, damage)
+    assert {r.word: r.n for r in found.collect()} == {w: n for w, n in wanted.items() if len(w) >= letters and n >= least}
+
+
+def test_vocabulary_lowers_a_run_once(spark):
+    """No filter on words, which would compute them, and lower-case their runs, several times."""
+    plan = spelling.vocabulary(frame(spark, [(1, "some words")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("translate(") == 1
+
+
 def test_bit_slices():
     r = random.Random(1)
     for c in (5, 6):
