@@ -7,6 +7,8 @@ together.  Further rounds number what is left and shift the cuts by half a cell,
 that former borders are simplified, too.  A primitive of any size is so dealt to
 tasks of one size.  Triangles of the same corners go together as one that counts for
 all of them, so repeated triangles neither fill cells nor lie on both sides of a cut.
+What borders still hold back goes in rounds without any: of vertices that share no
+triangle each takes its own triangles along, until no edge is left that may go.
 """
 
 from __future__ import annotations
@@ -201,10 +203,14 @@ def _cells(t: DataFrame, sizes: DataFrame, shift: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dict[str, float], error: float, flips: bool) -> DataFrame:
-    """The triangles after each cell is simplified; t: prim_id, tidx, a, b, c, _times, _0, _1, _2, _code, _n, _all, _target, _cell."""
+def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dict[str, float], error: float, flips: bool, free: DataFrame | None = None) -> DataFrame:
+    """The triangles after each cell is simplified; t: prim_id, tidx, a, b, c, _times, _0, _1, _2, _code, _n, _all, _target, _cell,
+    and _budget: how many a cell may lose (null: its share).  Only the vertices in ``free`` move, without it those of one cell."""
     use = t.select("prim_id", "_cell", F.explode(F.array(*CORNERS)).alias("vidx")).distinct()
     borders = use.groupBy("prim_id", "vidx").agg((F.min("_cell") != F.max("_cell")).alias("_locked"))
+    if free is not None:
+        moving = free.select(F.col("prim_id").alias("_prim"), F.col("vidx").alias("_free"))
+        borders = borders.join(moving, (F.col("prim_id") == F.col("_prim")) & (F.col("vidx") == F.col("_free")), "left").select("prim_id", "vidx", F.col("_free").isNull().alias("_locked"))
     known = vertices.select("prim_id", "vidx", *names).join(borders, ["prim_id", "vidx"])
     # fresh columns, as both sides come from the same table
     v = use.join(known, ["prim_id", "vidx"]).select(*[F.col(c).alias(c) for c in ("prim_id", "_cell", "vidx", *names, "_locked")])
@@ -228,7 +234,8 @@ def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dic
         n, every, target = (t.column(c)[0].as_py() for c in ("_n", "_all", "_target"))
         times = np.array(t.column("_times"))
         # cells get their share, rounded up, so that all together keep the target
-        share = target if n <= CELL else -(-int(times.sum()) * target // every)
+        budget = t.column("_budget")[0].as_py()
+        share = int(times.sum()) - budget if budget is not None else target if n <= CELL else -(-int(times.sum()) * target // every)
         rows, left = collapsed(x, at, share, error, more, locked, flips, times)
         out = t.take(pa.array(rows, pa.int64()))
         for i, c in enumerate(CORNERS):
@@ -239,6 +246,63 @@ def _one_round(t: DataFrame, vertices: DataFrame, names: list[str], weights: dic
     return t.groupBy("prim_id", "_cell").cogroup(v.groupBy("prim_id", "_cell")).applyInArrow(run, "prim_id long, tidx long, a long, b long, c long, _times long, _0 long, _1 long, _2 long, _code long")
 
 
+_ALIKE = ["prim_id", "_0", "_1", "_2"]
+
+
+def _free_vertices(rows: DataFrame, k: int) -> DataFrame:
+    """(prim_id, vidx, _least): vertices at an edge that few enough triangles share to go, no
+    two of them in one triangle.  rows: triangles of primitives that may lose ``_more``.
+
+    Of the vertices of a triangle the one with the smallest such edge moves, so one at the
+    smallest edge of all always does.  Those of over ``CELL`` triangles stand back.
+    """
+    sides = F.array(*[F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")) for x, y in (("a", "b"), ("b", "c"), ("c", "a"))])
+    edges = rows.select("prim_id", "_more", "_times", F.explode(sides).alias("e")).groupBy("prim_id", "e").agg(F.sum("_times").alias("n"), F.first("_more").alias("more")).filter("n <= more")
+    least = edges.select("prim_id", "n", F.explode(F.array("e.u", "e.v")).alias("vidx")).groupBy("prim_id", "vidx").agg(F.min("n").alias("_least"))
+    corner = rows.select(*_ALIKE, F.explode(F.array(*CORNERS)).alias("vidx"))
+    many = corner.groupBy("prim_id", "vidx").agg((F.count("*") > CELL).alias("_many"))
+    rank = F.struct("_many", "_least", F.xxhash64("vidx", F.lit(k)).alias("by"), "vidx").alias("_rank")
+    ranks = least.join(many, ["prim_id", "vidx"]).select(F.col("prim_id").alias("_prim"), F.col("vidx").alias("_vidx"), rank)
+    ranked = written(corner.join(ranks, (F.col("prim_id") == F.col("_prim")) & (F.col("vidx") == F.col("_vidx"))).select(*_ALIKE, "vidx", "_rank"), "ranks")
+    first = ranked.groupBy(*_ALIKE).agg(F.min("_rank").alias("_first"))
+    near = ranked.join(first, _ALIKE).groupBy("prim_id", "vidx").agg(F.min("_first").alias("_first"), F.first("_rank").alias("_rank"))
+    return written(near.filter("_rank = _first").select("prim_id", "vidx", F.col("_rank._least").alias("_least")), "free")
+
+
+def _without_borders(now: DataFrame, targets: DataFrame, run) -> DataFrame:
+    """``now`` after rounds without borders, until each primitive is at its target, none of
+    its edges may go by what it still has too many, or a round takes none.
+
+    targets: prim_id, _target of the primitives that were cut.  ``run`` simplifies cells.
+    A cell is made of the triangles of free vertices.  It may lose its share of what is too
+    much; shares too small for any edge go to the cell of the smallest edge.
+    """
+    k, before = 0, None
+    while True:
+        left = now.groupBy("prim_id").agg(F.sum("_times").alias("_all"), F.count("*").alias("_n")).join(targets, "prim_id").withColumn("_more", F.col("_all") - F.col("_target"))
+        left = written(left.filter("_more > 0"), "mesh-sizes")
+        over = left.agg(F.sum("_more")).first()[0]
+        if not over or over == before:
+            return now
+        rows = now.join(left, "prim_id")
+        free = _free_vertices(rows, k)
+        if free.isEmpty():
+            return now
+        corner = rows.select(*_ALIKE, "_times", "_more", F.explode(F.array(*CORNERS)).alias("vidx"))
+        taken = written(corner.join(free, ["prim_id", "vidx"]), "taken")
+        buckets = taken.groupBy("prim_id").agg(F.ceil(F.count("*") / CELL).alias("_buckets"), F.sum("_times").alias("_taken"))
+        piece = taken.join(buckets, "prim_id").withColumn("_cell", F.pmod(F.xxhash64("vidx"), F.col("_buckets")).cast("long"))
+        cell = piece.groupBy("prim_id", "_cell").agg(F.min("_least").alias("_least"), F.first("_more").alias("more"), (F.floor(F.first("_more") * (F.sum("_times") / F.first("_taken")) * (1 - 1e-9))).cast("long").alias("_part"))
+        cell = cell.withColumn("_part", F.when(F.col("_part") >= F.col("_least"), F.col("_part")).otherwise(0))
+        spent = cell.groupBy("prim_id").agg(F.sum("_part").alias("_spent"), F.min(F.struct("_least", "_cell")).alias("_first"))
+        rest = F.when(F.col("_cell") == F.col("_first._cell"), F.col("more") - F.col("_spent")).otherwise(0)
+        budget = cell.join(spent, "prim_id").select("prim_id", "_cell", (F.col("_part") + rest).alias("_budget"))
+        cut = rows.drop("_more").join(piece.select(*_ALIKE, "_cell").join(budget, ["prim_id", "_cell"]), _ALIKE)
+        same = now.join(taken.select(*_ALIKE), _ALIKE, "left_anti")
+        now = written(same.select(*now.columns).unionByName(run(cut, free)), "simplified")
+        k, before = k + 1, over
+
+
 def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: float = 0.05, weights: dict[str, float] | None = None, flips: bool = False) -> DataFrame:
     """(prim_id, tidx, a, b, c): about ``ratio`` of each primitive's triangles.
 
@@ -247,7 +311,7 @@ def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: flo
     attributes count as 0.  Of n triangles at least max(1, floor(n * ratio)) stay,
     whatever edges share; more only where an edge's cost exceeds ``error`` (a share of
     the piece's size), where the last edges are shared by more triangles than may go or
-    would turn one over, or at borders of cells.  With ``flips`` triangles may be turned
+    would turn one over, or where both ends have over ``CELL`` triangles.  With ``flips`` triangles may be turned
     over where nothing else is left (for loose triangles, whose sides mean nothing).  Triangles with repeated corners or unknown vertices go.  Those
     that stay keep their tidx, and their corners are vertices from before.
     """
@@ -255,7 +319,8 @@ def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: flo
     box = vertices.groupBy("prim_id").agg(*[f(a).alias(f"_{a}{k}") for a in g.AXES for k, f in ((0, F.min), (1, F.max))])
     proper = (F.col("a") != F.col("b")) & (F.col("b") != F.col("c")) & (F.col("a") != F.col("c"))
     size = triangles.groupBy("prim_id").agg(F.count("*").alias("n"), F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") * F.lit(float(ratio))).cast("long")).alias("target"))
-    targets = written(size.select("prim_id", F.col("target").alias("_target")), "mesh-sizes")
+    goals = written(size.select("prim_id", "target", F.ceil(F.col("n") * F.lit(float(ratio))).alias("up")), "mesh-sizes")
+    targets = goals.select("prim_id", F.col("target").alias("_target"))
     names = [*g.AXES, *weights]
     ends = F.sort_array(F.array(*CORNERS))
     each = triangles.filter(proper).select("prim_id", "tidx", *CORNERS, *[F.get(ends, F.lit(i)).alias(f"_{i}") for i in range(3)])
@@ -268,15 +333,18 @@ def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float, error: flo
     before = written(sizes(t), "mesh-sizes")
     if (before.agg(F.max("n")).first()[0] or 0) <= CELL:
         none = F.lit(0).cast("long")
-        cut = t.withColumns({"_code": none, "_cell": none}).join(before.withColumnsRenamed({"n": "_n", "all": "_all"}), "prim_id").join(targets, "prim_id")
+        cut = t.withColumns({"_code": none, "_cell": none, "_budget": F.lit(None).cast("long")}).join(before.withColumnsRenamed({"n": "_n", "all": "_all"}), "prim_id").join(targets, "prim_id")
         now = _one_round(cut, vertices, names, weights, error, flips)
     else:
         at = vertices.join(box, "prim_id")
         code = at.select(F.col("prim_id").alias("_prim"), F.col("vidx").alias("_vidx"), _interleaved([_along(F.col(a), F.col(f"_{a}0"), F.col(f"_{a}1")) for a in g.AXES]).alias("_code"))
         now = t.join(code, (F.col("prim_id") == F.col("_prim")) & (F.col("a") == F.col("_vidx"))).drop("_prim", "_vidx")
         for k in range(ROUNDS):
-            cut = _cells(now, before if k == 0 else sizes(now), CELL // 2 * (k % 2)).join(targets, "prim_id")
+            cut = _cells(now, before if k == 0 else sizes(now), CELL // 2 * (k % 2)).join(targets, "prim_id").withColumn("_budget", F.lit(None).cast("long"))
             now = written(_one_round(cut, vertices, names, weights, error, flips), "simplified")
+        # surfaces keep their share rounded up, as cells do
+        large = goals.select("prim_id", F.greatest("target", F.lit(0) if flips else F.col("up")).alias("_target")).join(before.filter(F.col("n") > CELL).select("prim_id"), "prim_id", "left_semi")
+        now = _without_borders(now, large, lambda cut, free: _one_round(cut, vertices, names, weights, error, flips, free))
     # all triangles of the same corners, each in its own order of corners
     moved = now.select("prim_id", "_0", "_1", "_2", *[F.col(c).alias(f"_to_{i}") for i, c in enumerate(CORNERS)])
     new = [F.when(F.col(c) == F.col("_0"), F.col("_to_0")).when(F.col(c) == F.col("_1"), F.col("_to_1")).otherwise(F.col("_to_2")).alias(c) for c in CORNERS]

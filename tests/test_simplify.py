@@ -138,3 +138,23 @@ def test_equal_numbers_of_triangles_are_kept_apart(spark):
 
     out = simplify.simplify(triangles.withColumn("tidx", F.lit(5).cast("long")), vertices, 1.0, 10.0)
     assert out.count() == len(t)
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_borders_of_cells_hold_nothing_back(spark, monkeypatch, times):
+    """Triangles between any vertices: each cut locks nearly all, yet no edge is left that could still go."""
+    monkeypatch.setattr(simplify, "CELL", 100)
+    rng = np.random.default_rng(5)
+    x = rng.random((600, 3))
+    t = np.repeat(np.array([rng.choice(600, 3, replace=False) for _ in range(600)]), times, axis=0)
+    triangles, vertices = frames(spark, {3: (x, t), 4: grid(4)})
+    out = [(r.tidx, r.a, r.b, r.c) for r in simplify.simplify(triangles, vertices, 0.5, 10.0, flips=True).collect() if r.prim_id == 3]
+    target = len(t) // 2
+    assert target <= len(out) and len({k for k, *_ in out}) == len(out)
+    edges = {}
+    for _, *c in out:
+        assert len(set(c)) == 3
+        for i in range(3):
+            e = tuple(sorted((c[i], c[i - 1])))
+            edges[e] = edges.get(e, 0) + 1
+    assert min(edges.values()) > len(out) - target
