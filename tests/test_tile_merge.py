@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
@@ -142,3 +143,22 @@ def test_cells_of_tiles_with_attributes_go_as_one_long(spark, monkeypatch):
         found.append((kinds[-1], places))
     assert found[0][1] == found[1][1] and found[0][1]
     assert [kind for kind, _ in found] == ["bigint", "struct<x:bigint,y:bigint,z:bigint>"]
+
+
+@pytest.mark.parametrize("rows", [1 << 14, 1])
+def test_parts_number_corners_in_one_exchange(spark, monkeypatch, rows):
+    """Nulls, NaN and -0 of corners, and tiles and materials apart; rows of a primitive meet once."""
+    monkeypatch.setattr(tile_merge, "ROWS", rows)
+    nan, seam = float("nan"), corner(-0.0, 0, 0, uv=(None, 0.5))
+    rows = [("0", 1, corner(0, 0, 0, uv=(0.25, 0.5)), seam, corner(0, nan, 0)), ("0", 1, corner(0.0, 0, 0, uv=(None, 0.5)), corner(0, nan, 0), corner(-1, 0, 0)), ("0", None, seam, seam, seam), ("1", 1, seam, corner(1, 0, 0), corner(2, 0, 0))]
+    _, t, _ = frames(spark, rows)
+    parts = tile_merge.parts(t)
+    got = {(r.path, r.part): r for r in parts.collect()}
+    assert sorted(got) == [("0", -1), ("0", 1), ("1", 1)]
+    one = got["0", 1]
+    x = np.array(one.positions).reshape(-1, 3)
+    assert len(x) == 4 and x[0].tolist() == [-1, 0, 0] and np.isnan(x[3, 1]) and one.texcoords is None and len(one.normals) == 12 and len(one.colors) == 16
+    assert one.indices[1] == one.indices[3] == 1 and one.indices[0] == 2 and one.indices[2] == one.indices[4] == 3 and one.indices[5] == 0
+    assert got["0", -1].material is None and got["0", -1].indices == [0, 0, 0] and got["1", 1].material == 1 and len(set(got["1", 1].indices)) == 3
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
