@@ -162,3 +162,28 @@ def test_parts_number_corners_in_one_exchange(spark, monkeypatch, rows):
     assert got["0", -1].material is None and got["0", -1].indices == [0, 0, 0] and got["1", 1].material == 1 and len(set(got["1", 1].indices)) == 3
     plan = parts._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_items_of_one_box_and_material_go_as_one(spark, tmp_path, monkeypatch):
+    """Three copies of each line and part make no more rows of items, and the tiles of the SQL."""
+    import duckdb
+
+    from tessera.plans import model_queries
+    from tessera.plans.oracles import ORACLES
+    from tests.same import assert_same
+
+    con, at = duckdb.connect(), "/root/testdata/sf0.001"
+    keys = {"lineitem": "l_orderkey + k * 10000 AS l_orderkey, l_partkey + k * 10000 AS l_partkey", "part": "CAST(p_partkey + k * 10000 AS BIGINT) AS p_partkey"}
+    for name, key in keys.items():
+        con.execute(f"COPY (SELECT * EXCLUDE (k) REPLACE ({key}) FROM '{at}/{name}.parquet', range(3) r(k)) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    rows, write = {}, model_queries.written
+
+    def noted(df, name, **options):
+        out = write(df, name, **options)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(model_queries, "written", noted)
+    assert_same(model_queries.merge_tiles(spark, str(tmp_path)), con, ORACLES["merge_tiles"])
+    assert rows["placed"] <= con.execute(f"SELECT count(*) FROM '{at}/lineitem.parquet'").fetchone()[0]
